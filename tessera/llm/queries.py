@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, packing, url_filter
+from tessera.llm import exact_dedup, mixing, packing, token_counts, token_records, url_filter
+
+VOCABULARY = "byte_bpe_50k.json"
+END_ID = 2
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -31,6 +35,16 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_records.write(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID)
+    records = token_records.with_starts(token_records.read(index))
+    return records.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -39,6 +53,8 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_token_records": op5_token_records,
+    "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
 }
 
