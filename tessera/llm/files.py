@@ -21,7 +21,7 @@ def new_file(folder: str, part: int, suffix: str):
     system, path = place(folder)
     system.create_dir(path, recursive=True)
     name = f"part-{part:06d}-{uuid.uuid4().hex}{suffix}"
-    return system.open_output_stream(f"{path}/{name}"), f"{folder}/{name}"
+    return system.open_output_stream(f"{path}/{name}", compression=None), f"{folder}/{name}"
 
 
 def read_range(uri: str, start: int, end: int) -> bytes:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, packing, token_counts, token_records, url_filter
+from tessera.llm import exact_dedup, language_id, mixing, packing, token_counts, token_records, url_filter, warc
+from tessera.runtime import materialise
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -27,6 +28,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"))
+    records = materialise(warc.read(manifest, with_block=False), "warc-records")
+    rows = warc.resolve(warc.assemble(records))
+    return rows.withColumnRenamed("row_id", "page_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,10 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -51,9 +63,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc_transactions": op2_warc_transactions,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_records": op5_token_records,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
 }
