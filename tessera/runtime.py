@@ -73,6 +73,22 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
+def lookup_left(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
+    """Like ``lookup``, but every row stays, with nulls where its key has no group.
+
+    Rows of hot keys, once served by the broadcast, take part in the shuffled join under a key made from ``spread``
+    that matches nothing, so they are dealt evenly. ``rows`` is read once; its key must be a string.
+    """
+    new = [c for c in groups.columns if c != key]
+    hot = groups.where(F.col(size) * HOT_SHARE > total).select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in new])
+    cold = groups.where(F.col(size) * HOT_SHARE <= total).select(F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in new])
+    served = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    free = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    served = served.withColumn("_key", F.when(free, F.concat(F.lit("\u0000"), spread.cast("string"))).otherwise(F.col(key)))
+    joined = served.join(cold, F.col("_key") == F.col("_cold_key"), "left")
+    return joined.select(*[rows[c] for c in rows.columns], *[F.coalesce(F.col(f"_hot_{c}"), F.col(f"_cold_{c}")).alias(c) for c in new])
+
+
 def running_total(df: DataFrame, order: list[Column], value: Column, out: str, name: str, partitions: int | None = None) -> DataFrame:
     """Add the sum of ``value`` over all rows that come earlier in ``order``, over the whole table.
 
