@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, language_id, mixing, packing, token_counts, token_records, url_filter, warc
+from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing, token_counts, token_records, url_filter, warc
 from tessera.runtime import materialise
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -49,6 +49,10 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_records": op5_token_records,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
