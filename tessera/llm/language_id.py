@@ -124,15 +124,6 @@ def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY, most: int
     return out
 
 
-def _slices(batch: pa.RecordBatch, column: int, size: int):
-    _, offsets = pretoken.utf8_of(batch.column(column))
-    i = 0
-    while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
-        yield batch.slice(i, j - i)
-        i = j
-
-
 def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
@@ -151,7 +142,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for s in _slices(batch, 1, 4 << 20):
+            for s in pretoken.slices(batch, 1):
                 langs = s.column(0)
                 for lang in pc.unique(langs).to_pylist():
                     bucket, _, _ = trigrams(s.column(1).filter(pc.equal(langs, lang)))
@@ -182,7 +173,7 @@ def annotate(df: DataFrame, model: Model, text_col: str = "text", min_score: flo
 
     def run(batches):
         for batch in batches:
-            for s in _slices(batch, at, model.block_bytes()):
+            for s in pretoken.slices(batch, at, model.block_bytes()):
                 text = s.column(at)
                 has_letter = np.array(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_pylist(), bool)
                 p = mixtures(text, model)

@@ -65,6 +65,16 @@ def utf8_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where the texts of a column reach ``size`` bytes; a longer text is alone."""
+    _, offsets = utf8_of(batch.column(column))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def blocks(raw: np.ndarray, offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut texts into blocks of about ``size`` bytes: (first text, one past the last, bytes, offsets in the block).
 

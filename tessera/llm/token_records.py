@@ -41,7 +41,7 @@ from tessera.runtime import new_folder
 NULL_ID, WIDE = 1, 2
 READ_BYTES = 16 << 20
 #: Larger blocks share more pre-tokens.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 MEMO_PIECES = 1 << 20
 INDEX = "part int, seq long, doc_id long, file string, offset long, length long, n_tokens long"
 
@@ -186,7 +186,7 @@ def write(df: DataFrame, vocabulary: str, end_id: int | None, folder: str | None
         lib, part, out, offset, seq = encoder(vocabulary), TaskContext.get().partitionId(), None, 0, 0
         for batch in batches:
             # a batch may hold many long texts; slices keep what is held at once small
-            for s in slices(batch):
+            for s in pretoken.slices(batch, 1):
                 ids, counts = lib.encode(s.column(1))
                 if end_id is not None:
                     ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
@@ -208,16 +208,6 @@ def write(df: DataFrame, vocabulary: str, end_id: int | None, folder: str | None
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def slices(batch: pa.RecordBatch, size: int = 4 << 20):
-    """Cut a batch (id, text) where its texts reach ``size`` bytes; a longer text is alone."""
-    _, offsets = pretoken.utf8_of(batch.column(1))
-    i = 0
-    while i < len(batch):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
-        yield batch.slice(i, j - i)
-        i = j
-
-
 def read(index: DataFrame) -> DataFrame:
     """Read all records: part, offset, doc_id, n_tokens, ids_crc32, from the files alone.
 
