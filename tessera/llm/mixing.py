@@ -105,18 +105,46 @@ def multipliers(counts: DataFrame, goals: DataFrame, cap: int = 3, tolerance: fl
     return state.select("source", "multiplier")
 
 
-def mix(df: DataFrame, weights=WEIGHTS, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, rate, copies, partial, taken.
-
-    taken = copies * size + partial; partial words, fewer than size, are the start of one more, cut copy.
-    """
+def _documents(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     docs = df.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         words(F.col(text_col)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    docs = materialise(docs, "mix-documents")
+    return materialise(docs, "mix-documents")
+
+
+def mix(df: DataFrame, weights=WEIGHTS, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """One row per input row: id, source, size, source_size, target, rate, copies, partial, taken.
+
+    taken = copies * size + partial; partial words, fewer than size, are the start of one more, cut copy.
+    """
+    rows = _mixed(_documents(df, id_col, text_col, source_col, seed), weights, cap)
+    return rows.drop("_row").withColumnsRenamed({"id": id_col, "source": source_col})
+
+
+def copies(df: DataFrame, weights=WEIGHTS, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """The mix itself, in the columns of ``df``: each row as often as it is taken, and cut copies with their first words.
+
+    A column n_chars, if there is one, follows the text of a cut copy. Rows are numbered as they are read and read
+    twice, so ``df`` should be a table, not a result that may change between reads.
+    """
+    rows = _mixed(_documents(df, id_col, text_col, source_col, seed), weights, cap)
+    plan = rows.where("taken > 0").select("_row", F.col("copies").alias("_copies"), F.col("partial").alias("_partial"))
+    full = df.withColumn("_row", F.monotonically_increasing_id()).join(plan, "_row")
+    part = F.when(F.col("_partial") > 0, F.array(F.col("_partial"))).otherwise(F.array().cast("array<bigint>"))
+    full = full.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("_copies").cast("int")), part)))
+    ws = r"[\x20\x09-\x0D]"
+    first = F.array_join(F.slice(F.split(F.regexp_replace(F.col(text_col), f"^{ws}+", ""), f"{ws}+"), F.lit(1), F.greatest(F.col("_cut"), F.lit(1)).cast("int")), " ")
+    full = full.withColumn(text_col, F.when(F.col("_cut") > 0, first).otherwise(F.col(text_col)))
+    if "n_chars" in df.columns:
+        full = full.withColumn("n_chars", F.when(F.col("_cut") > 0, F.length(text_col).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return full.select(*df.columns)
+
+
+def _mixed(docs: DataFrame, weights, cap: int) -> DataFrame:
     counts = docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     per_source = counts.groupBy("source").agg(
         F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_docs")
@@ -161,8 +189,9 @@ def mix(df: DataFrame, weights=WEIGHTS, cap: int = 3, id_col: str = "doc_id", te
     placed = placed.withColumn("_extra", extra)
     whole = F.when((F.col("_room") > 0) & (F.col("_extra") == F.col("_room")), 1).otherwise(0)
     return placed.select(
-        F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
+        "_row",
+        "id",
+        "source",
         "size",
         "source_size",
         "target",

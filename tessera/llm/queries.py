@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing, token_counts, token_records, url_filter, warc
+from tessera.llm import exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, token_counts, token_records, url_filter, warc
 from tessera.runtime import materialise
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_token_records": op5_token_records,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_order_minhash": op7_order_minhash,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
