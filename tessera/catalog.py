@@ -1,6 +1,633 @@
-"""All registered queries of the retrieval engine and their SQL."""
+"""All registered queries of the retrieval engine over the driver's tables, and their SQL.
+
+Conventions of ours: ord is doc_id; country is null for English, else the language in capitals; audience is public for
+documents labelled not toxic, else internal; a document's vector is that of the same number; the title is the source.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import arabic, markup
+from tessera.functions import text as T
+from tessera.operators import answer, chunking, index, records, reports, urls
+
+QUESTION = "Is the of thing and thereonwh with est"
+EXPECTED = "thention"
+LEXICON = ("the", "of", "and", "with", "for", "that", "le", "la", "de", "der", "die", "que", "en")
+BOILERPLATE = r"(is it|the of|(?:and|or) \w+)"
+COUNTRY_PARTS = {"/fr/": "FR", "/de/": "DE", "/es/": "ES", "example.org": "ORG"}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, d):
+    return table(spark, d, "documents")
+
+
+def pages(spark, d):
+    return table(spark, d, "pages")
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
+    rows = documents(spark, d).join(labels, "doc_id", "left")
+    return rows.select(
+        F.col("doc_id").alias("ord"),
+        T.content_key(F.col("doc_id").cast("string")).alias("id"),
+        "text",
+        F.when(F.col("toxic") == 0, "public").otherwise("internal").alias("audience"),
+        F.when(F.col("lang") != "en", F.upper("lang")).alias("country"),
+        F.col("source").alias("doc_title"),
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_file"),
+    )
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, QUESTION)], "query_id long, question string")
+
+
+def benchmark_questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", "label")
+
+
+def query_vector(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").where("vec_id = 7").select(F.lit(0).cast("long").alias("query_id"), "embedding")
+
+
+def paired(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and vectors that have each other."""
+    c, v = corpus(spark, d), vectors(spark, d)
+    return c.join(v.select("ord"), "ord", "left_semi"), v.join(c.select("ord"), "ord", "left_semi")
+
+
+# SQL that several queries share
+TOKEN = r"[\p{L}\p{N}_\x{0600}-\x{06FF}]+"
+CORPUS = """c AS (SELECT d.doc_id AS ord, substr(sha256(d.doc_id::VARCHAR), 1, 16) AS id, d.text,
+    CASE WHEN l.toxic = 0 THEN 'public' ELSE 'internal' END AS audience, CASE WHEN d.lang <> 'en' THEN upper(d.lang) END AS country,
+    d.source AS doc_title, 'doc/' || d.doc_id AS source_file
+    FROM documents d LEFT JOIN (SELECT doc_id, min(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id))"""
+TOKENS = f"""t AS (SELECT ord, unnest(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}')) AS term FROM c)"""
+STATS = f"""len AS (SELECT ord, len(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}')) AS doc_len FROM c),
+    stats AS (SELECT count(*) AS n, coalesce(avg(doc_len), 1.0) AS avg_len FROM len),
+    tf AS (SELECT ord, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
+ASKED = f"q AS (SELECT 0::BIGINT AS query_id, '{QUESTION}' AS question)"
+BENCH = "q AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
+
+
+def scored(where: str = "true") -> str:
+    return f"""qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '{TOKEN}')) AS term FROM q) GROUP BY ALL),
+    s AS (SELECT query_id, ord, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(doc_len, 1) / avg_len))), 9) AS score
+        FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN len USING (ord) JOIN c USING (ord), stats WHERE {where} GROUP BY ALL),
+    kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) - 1 AS rank FROM s WHERE score > 0)"""
+
+
+def with_all(asked: str = ASKED, where: str = "true", corpus_sql: str = CORPUS) -> str:
+    return f"WITH {corpus_sql}, {TOKENS}, {STATS}, {asked}, {scored(where)}"
+
+
+NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+UNIT = f"CASE WHEN {NORM} = 0 THEN embedding::DOUBLE[] ELSE list_transform(embedding, lambda x: x::DOUBLE / {NORM}) END"
+
+
+@query("content_key", "SELECT doc_id, substr(sha256(text), 1, 16) AS key FROM documents")
+def content_key(s, d):
+    return documents(s, d).select("doc_id", T.content_key(F.col("text")).alias("key"))
+
+
+@query("doc_chars", "SELECT doc_id, length(text) AS chars FROM documents")
+def doc_chars(s, d):
+    return documents(s, d).select("doc_id", F.length("text").cast("long").alias("chars"))
+
+
+@query("tokens", f"SELECT doc_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}'), ' ') AS tokens FROM documents")
+def tokens(s, d):
+    return documents(s, d).select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query("term_freq", f"WITH {CORPUS}, {TOKENS} SELECT ord, term, count(*) AS tf FROM t GROUP BY ALL")
+def term_freq(s, d):
+    return index.term_freq(corpus(s, d))
+
+
+@query("doc_freq", f"WITH {CORPUS}, {TOKENS} SELECT term, count(DISTINCT ord) AS df FROM t GROUP BY ALL")
+def doc_freq(s, d):
+    return index.doc_freq(corpus(s, d))
+
+
+@query("doc_len", f"WITH {CORPUS}, {TOKENS}, {STATS} SELECT ord, doc_len FROM len")
+def doc_len(s, d):
+    return index.doc_len(corpus(s, d))
+
+
+@query("corpus_stats", f"WITH {CORPUS}, {TOKENS}, {STATS} SELECT n, round(avg_len, 6) AS avg_len FROM stats")
+def corpus_stats(s, d):
+    return index.corpus_stats(corpus(s, d)).select("n", F.round("avg_len", 6).alias("avg_len"))
+
+
+RANKED = "SELECT query_id, ord, round(score, 6) AS score, rank FROM kw WHERE rank < 50"
+
+
+@query("bm25", with_all() + RANKED)
+def bm25(s, d):
+    return index.ranked(index.bm25(corpus(s, d), questions(s)), index.LIST_SIZE).select("query_id", "ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("bm25_batch", with_all(BENCH) + RANKED)
+def bm25_batch(s, d):
+    return index.ranked(index.bm25(corpus(s, d), benchmark_questions(s, d)), index.LIST_SIZE).select("query_id", "ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("bm25_filtered", with_all(where="audience = 'public' AND (country IS NULL OR country = 'FR')") + RANKED)
+def bm25_filtered(s, d):
+    found = index.bm25(corpus(s, d), questions(s), index.allowed("public", "FR"))
+    return index.ranked(found, index.LIST_SIZE).select("query_id", "ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("filter_audience", f"WITH {CORPUS} SELECT ord, audience FROM c WHERE audience = 'public'")
+def filter_audience(s, d):
+    return corpus(s, d).where(index.allowed("public")).select("ord", "audience")
+
+
+@query("filter_country", f"WITH {CORPUS} SELECT ord, country FROM c WHERE country IS NULL OR country = 'DE'")
+def filter_country(s, d):
+    return corpus(s, d).where(index.allowed(country="DE")).select("ord", "country")
+
+
+@query("unit_norm", f"SELECT vec_id, round(list_sum(list_transform({UNIT}, lambda x: x * x)), 6) AS norm FROM embeddings")
+def unit_norm(s, d):
+    v = index.unit(index.sanitise(F.col("embedding")))
+    return table(s, d, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+
+
+@query("nonfinite_rows", "SELECT count(*) FILTER (len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS bad, count(*) AS vectors FROM embeddings")
+def nonfinite_rows(s, d):
+    return table(s, d, "embeddings").agg(F.count_if(index.is_bad(F.col("embedding"))).alias("bad"), F.count(F.lit(1)).alias("vectors"))
+
+
+VECTOR = f"""u AS (SELECT vec_id AS ord, {UNIT} AS v FROM embeddings), qv AS (SELECT v AS q FROM u WHERE ord = 7),
+    vs AS (SELECT ord, round(list_sum(list_transform(list_zip(v, q), lambda p: p[1] * p[2])), 9) AS score FROM u, qv)"""
+
+
+@query("vector_topk", f"WITH {VECTOR} SELECT 0::BIGINT AS query_id, ord, round(score, 6) AS score FROM (SELECT * FROM vs ORDER BY score DESC, ord LIMIT 100)")
+def vector_topk(s, d):
+    q = query_vector(s, d).select("embedding").first()
+    found = index.one_vector_scores(vectors(s, d), list(q["embedding"]))
+    return found.orderBy(F.desc("score"), "ord").limit(index.VECTOR_SIZE).withColumn("score", F.round("score", 6))
+
+
+PAIRED = CORPUS.replace("USING (doc_id))", "USING (doc_id) WHERE d.doc_id IN (SELECT vec_id FROM embeddings))")
+FUSED = """, vl AS (SELECT ord, row_number() OVER (ORDER BY score DESC, ord) - 1 AS rank FROM vs JOIN c USING (ord)),
+    l AS (SELECT ord, rank, 0 AS source FROM vl WHERE rank < 50 UNION ALL SELECT ord, rank, 1 FROM kw WHERE rank < 50),
+    f AS (SELECT ord, coalesce(max(1.0::DOUBLE / (61 + rank)) FILTER (source = 0), 0) + coalesce(max(1.0::DOUBLE / (61 + rank)) FILTER (source = 1), 0) AS score,
+        min(source * 1000 + rank) AS first FROM l GROUP BY ord),
+    h AS (SELECT row_number() OVER (ORDER BY score DESC, first) AS n, ord, score FROM f)"""
+
+
+def hybrid_found(s, d, k):
+    c, v = paired(s, d)
+    return index.search(c, v, questions(s), query_vector(s, d), k), c
+
+
+@query("hybrid", with_all(corpus_sql=PAIRED) + ", " + VECTOR + FUSED + "SELECT n, ord, round(score, 6) AS score FROM h WHERE n <= 6")
+def hybrid(s, d):
+    found, _ = hybrid_found(s, d, 6)
+    return found.select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
+
+
+@query("rrf", with_all(corpus_sql=PAIRED) + ", " + VECTOR + FUSED + "SELECT n, ord, round(score, 6) AS score FROM h")
+def rrf(s, d):
+    found, _ = hybrid_found(s, d, 2 * index.LIST_SIZE)
+    return found.select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
+
+
+@query("keyword_search", with_all() + "SELECT rank + 1 AS n, ord, round(1.0::DOUBLE / (61 + rank), 6) AS score FROM kw WHERE rank < 6")
+def keyword_search(s, d):
+    return index.keyword_search(corpus(s, d), questions(s)).select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
+
+
+@query(
+    "passages",
+    with_all() + "SELECT query_id, rank + 1 AS n, doc_title AS title, source_file AS url, country, round(1.0::DOUBLE / (61 + rank), 4) AS score, substr(text, 1, 600) AS text FROM kw JOIN c USING (ord) WHERE rank < 6",
+)
+def passages(s, d):
+    c = corpus(s, d)
+    return answer.passages(index.keyword_search(c, questions(s)), c).withColumn("n", F.col("n").cast("long"))
+
+
+@query(
+    "format_passages",
+    with_all() + """SELECT query_id, string_agg('[' || (rank + 1) || '] (source: ' || doc_title || CASE WHEN country IS NULL THEN '' ELSE '; country: ' || country END || ')' || chr(10) || text,
+        chr(10) || chr(10) ORDER BY rank) AS prompt FROM kw JOIN c USING (ord) WHERE rank < 6 GROUP BY query_id""",
+)
+def format_passages(s, d):
+    c = corpus(s, d)
+    return answer.format_passages(index.keyword_search(c, questions(s)).join(c, "ord"))
+
+
+REPLIES = "r AS (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 3 = 0 THEN ' [2] and [1], [2] [9] [0]' ELSE '' END || chr(10) || CASE WHEN turn % 2 = 0 THEN '[[ANSWERED]]' ELSE '[[NO_ANSWER]]' END AS reply FROM conversations)"
+
+
+def replies(s, d):
+    mark = F.when(F.col("turn") % 2 == 0, "[[ANSWERED]]").otherwise("[[NO_ANSWER]]")
+    cites = F.when(F.col("turn") % 3 == 0, " [2] and [1], [2] [9] [0]").otherwise("")
+    return table(s, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), cites, F.lit("\n"), mark).alias("reply"))
+
+
+ANSWER = r"trim(regexp_replace(reply, '\s*\[\[(?:ANSWERED|NO_ANSWER)\]\]\s*$', ''), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query("parse_reply", f"WITH {REPLIES} SELECT conv_id, turn, {ANSWER} AS answer, NOT contains(reply, '[[NO_ANSWER]]') AS answered FROM r")
+def parse_reply(s, d):
+    return replies(s, d).select("conv_id", "turn", answer.parse_reply(F.col("reply")).alias("_r")).select("conv_id", "turn", "_r.answer", "_r.answered")
+
+
+@query(
+    "citations",
+    f"""WITH {REPLIES} SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({ANSWER}, '\\[(\\d+)\\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND 6))), ',') AS cited,
+        len(list_filter(list_transform(regexp_extract_all({ANSWER}, '\\[(\\d+)\\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND 6)) > 0 OR contains(reply, '[[NO_ANSWER]]') AS grounded FROM r""",
+)
+def citations(s, d):
+    rows = replies(s, d).select("conv_id", "turn", answer.parse_reply(F.col("reply")).alias("_r"))
+    rows = rows.withColumn("_c", answer.cited(F.col("_r.answer"), F.lit(6)))
+    return rows.select("conv_id", "turn", F.array_join(F.transform("_c", lambda n: n.cast("string")), ",").alias("cited"), ((F.size("_c") > 0) | ~F.col("_r.answered")).alias("grounded"))
+
+
+@query("embed_todo", "SELECT vec_id AS ord FROM embeddings WHERE false UNION ALL SELECT doc_id FROM documents WHERE substr(sha256(text), 1, 16) NOT IN (SELECT substr(sha256(text), 1, 16) FROM documents JOIN embeddings ON doc_id = vec_id)")
+def embed_todo(s, d):
+    c, v = corpus(s, d), vectors(s, d)
+    return index.embed_todo(c, cache(c, v)).select("ord")
+
+
+def cache(c: DataFrame, v: DataFrame) -> DataFrame:
+    """A vector for each distinct text: that of its first document."""
+    keyed = c.withColumn("text_key", T.content_key(F.col("text"))).join(v, "ord")
+    return keyed.groupBy("text_key").agg(F.min_by("embedding", "ord").alias("embedding"))
+
+
+@query(
+    "embed_join",
+    f"""WITH k AS (SELECT doc_id, substr(sha256(text), 1, 16) AS text_key FROM documents), first AS (SELECT text_key, arg_min(embedding, doc_id) AS embedding FROM k JOIN embeddings ON doc_id = vec_id GROUP BY ALL)
+        SELECT doc_id AS ord, text_key, round(({UNIT})[1], 6) AS x0 FROM k JOIN first USING (text_key)""",
+)
+def embed_join(s, d):
+    c, v = corpus(s, d), vectors(s, d)
+    return index.embed_join(c, cache(c, v)).select("ord", "text_key", F.round(F.get("embedding", 0), 6).alias("x0"))
+
+
+@query("index_valid", f"WITH {CORPUS}, v AS (SELECT vec_id AS ord, substr(sha256(vec_id::VARCHAR), 1, 16) AS id FROM embeddings) SELECT count(c.id) AS rows, count(v.id) AS vectors, count(*) FILTER (c.id IS DISTINCT FROM v.id) AS mismatched, count(*) FILTER (c.id IS DISTINCT FROM v.id) = 0 AS valid FROM c FULL JOIN v USING (ord)")
+def index_valid(s, d):
+    return index.index_valid(corpus(s, d), vectors(s, d).select("ord", T.content_key(F.col("ord").cast("string")).alias("id")))
+
+
+@query("why_holders", f"SELECT doc_id AS ord FROM documents WHERE contains(text, '{EXPECTED}')")
+def why_holders(s, d):
+    return index.holders(corpus(s, d), EXPECTED)
+
+
+@query("why_unknown_terms", with_all(BENCH) + f"SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '{TOKEN}')) AS term FROM q) WHERE term NOT IN (SELECT term FROM df) GROUP BY ALL")
+def why_unknown_terms(s, d):
+    return index.unknown_terms(corpus(s, d), benchmark_questions(s, d)).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+DIAGNOSE = f"""SELECT q.query_id, h.holders, coalesce(u.unknown_terms, 0) AS unknown_terms, coalesce(g.retrieved, 0) AS retrieved, g.keyword_rank,
+    CASE WHEN h.holders = 0 THEN 'absent' WHEN g.retrieved > 0 THEN 'retrieved' WHEN g.keyword_rank IS NOT NULL THEN 'ranked_low' ELSE 'unranked' END AS verdict
+    FROM q, (SELECT count(*) AS holders FROM c WHERE contains(text, '{EXPECTED}')) h
+    LEFT JOIN (SELECT query_id, count(*) AS unknown_terms FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '{TOKEN}')) AS term FROM q) WHERE term NOT IN (SELECT term FROM df) GROUP BY ALL) u ON u.query_id = q.query_id
+    LEFT JOIN (SELECT query_id, min(rank) + 1 AS keyword_rank, count(*) FILTER (rank < 8) AS retrieved FROM kw JOIN c USING (ord) WHERE contains(text, '{EXPECTED}') GROUP BY ALL) g ON g.query_id = q.query_id"""
+
+
+@query("diagnose", with_all(BENCH) + DIAGNOSE)
+def diagnose(s, d):
+    return index.diagnose(corpus(s, d), benchmark_questions(s, d), EXPECTED).withColumn("keyword_rank", F.col("keyword_rank").cast("long"))
+
+
+@query("why_rank", with_all() + f"SELECT min(rank) + 1 AS keyword_rank FROM kw JOIN c USING (ord) WHERE contains(text, '{EXPECTED}')")
+def why_rank(s, d):
+    return index.diagnose(corpus(s, d), questions(s), EXPECTED).select(F.col("keyword_rank").cast("long").alias("keyword_rank"))
+
+
+@query("service_status", "SELECT (SELECT count(*) FROM embeddings) > 0 AS ready, count(*) AS chunks FROM documents")
+def service_status(s, d):
+    return reports.status(corpus(s, d), vectors(s, d))
+
+
+# text
+STRIP = "regexp_replace({x}, '^[\\s\\x{{85}}\\x{{A0}}]+|[\\s\\x{{85}}\\x{{A0}}]+$', '', 'g')"
+
+
+def stripped(x: str) -> str:
+    return STRIP.format(x=x)
+
+
+@query("normalize", "SELECT doc_id, " + stripped("regexp_replace(translate(coalesce(text, ''), chr(160), ' '), '[ \\t]{2,}', ' ', 'g')") + " AS text FROM documents")
+def normalize(s, d):
+    return documents(s, d).select("doc_id", T.normalize(F.col("text")).alias("text"))
+
+
+@query("strip_marks", r"SELECT doc_id, regexp_replace(text, '\p{Mn}|\x{0640}', '', 'g') AS text FROM documents")
+def strip_marks(s, d):
+    return documents(s, d).select("doc_id", T.strip_marks(F.col("text")).alias("text"))
+
+
+@query("arabic_ratio", r"""SELECT doc_id, round(CASE WHEN letters = '' THEN 0.0 ELSE length(regexp_replace(letters, '[^\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]', '', 'g'))::DOUBLE / length(letters) END, 6) AS ratio, length(letters) AS letters
+    FROM (SELECT doc_id, regexp_replace(text, '\P{L}', '', 'g') AS letters FROM documents)""")
+def arabic_ratio(s, d):
+    return documents(s, d).select("doc_id", F.round(T.arabic_ratio(F.col("text")), 6).alias("ratio"), F.length(T.letters(F.col("text"))).cast("long").alias("letters"))
+
+
+@query("lang_label", r"SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{0600}-\x{06FF}]') THEN 'mixed' ELSE 'en' END AS label FROM documents")
+def lang_label(s, d):
+    return documents(s, d).select("doc_id", T.lang_label(F.col("text")).alias("label"))
+
+
+@query("lexicon_score", "SELECT doc_id, len(list_filter(regexp_extract_all(text, '[a-z]+'), lambda w: w IN (" + ", ".join(f"'{w}'" for w in LEXICON) + "))) - len(list_filter(regexp_extract_all(text, '[a-z]+'), lambda w: starts_with(w, 'x') OR starts_with(w, 'k'))) AS score FROM documents")
+def lexicon_score(s, d):
+    return documents(s, d).select("doc_id", arabic.lexicon_score(F.col("text"), LEXICON, "[a-z]+", "xk").cast("long").alias("score"))
+
+
+@query("confidence", "SELECT doc_id, 'n/a' AS confidence FROM documents")
+def confidence(s, d):
+    return documents(s, d).select("doc_id", arabic.confidence(F.col("text")).alias("confidence"))
+
+
+@query("mirror", "SELECT doc_id, translate(text, '()[]{}<>', ')(][}{><') AS text FROM documents")
+def mirror(s, d):
+    return documents(s, d).select("doc_id", T.mirror(F.col("text")).alias("text"))
+
+
+@query("collapse_ws", r"SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents")
+def collapse_ws(s, d):
+    return documents(s, d).select("doc_id", T.collapse_ws(F.col("text")).alias("text"))
+
+
+@query("sentences", r"SELECT doc_id, unnest(string_split(replace(regexp_replace(text, '([.؟!])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1))) AS sentence FROM documents")
+def sentences(s, d):
+    return documents(s, d).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+
+
+@query("lines", "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
+def lines(s, d):
+    return documents(s, d).select("doc_id", F.explode(T.lines(F.col("text"))).alias("line"))
+
+
+HEADING = r"length(line) <= 80 AND NOT regexp_matches(line, '[.،:]\s*$') AND len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) <= 10"
+
+
+@query("headings", f"SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE {HEADING}")
+def headings(s, d):
+    return lines(s, d).where(T.is_heading(F.col("line")))
+
+
+@query("page_context", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    h AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE trim(line) <> '' AND {HEADING})
+    SELECT d.doc_id, coalesce(string_agg(line, ' — ' ORDER BY i), '') AS context FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id AND k <= 2 GROUP BY d.doc_id""")
+def page_context(s, d):
+    return documents(s, d).select("doc_id", T.page_context(F.col("text")).alias("context"))
+
+
+@query("boilerplate", r"SELECT doc_id, " + stripped(r"regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: " + stripped("l") + r"), lambda l: l <> '' AND NOT regexp_full_match(l, '" + BOILERPLATE + r"')), chr(10)), '" + BOILERPLATE + r"', ' ', 'g'), '[\s\x{A0}]{2,}', ' ', 'g')") + " AS text FROM documents")
+def boilerplate(s, d):
+    return documents(s, d).select("doc_id", T.boilerplate(F.col("text"), BOILERPLATE).alias("text"))
+
+
+@query("file_title", r"""WITH n AS (SELECT page_id, regexp_extract(url, '([^/]*)/?$', 1) AS stem FROM pages), m AS (SELECT page_id, 'ab12cd34_' || stem || '__x-' AS stem FROM n)
+    SELECT page_id, coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_replace(stem, '^(?:[0-9a-f]{6,}[_-]+)+', ''), '_+', ' ', 'g'), ' -_'), '\s{2,}', ' ', 'g'), ''), stem) AS title FROM m""")
+def file_title(s, d):
+    stem = F.concat(F.lit("ab12cd34_"), F.regexp_extract("url", "([^/]*)/?$", 1), F.lit("__x-"))
+    return pages(s, d).select("page_id", T.file_title(stem).alias("title"))
+
+
+# chunking
+@query("chunk_chars")
+def chunk_chars(s, d):
+    made = documents(s, d).select("doc_id", chunking.chunk_chars(F.col("text")).alias("c"))
+    return made.select("doc_id", F.posexplode("c").alias("part", "text"))
+
+
+@query("blocks", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    k AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\|') THEN 2 WHEN trim(line) = '' THEN 0 ELSE 1 END AS kind FROM l),
+    g AS (SELECT *, sum(CASE WHEN kind IS DISTINCT FROM before OR kind = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k))
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS block FROM g WHERE kind > 0 GROUP BY doc_id, grp""")
+def blocks(s, d):
+    return documents(s, d).select("doc_id", F.explode(chunking.blocks(F.col("text"))).alias("block"))
+
+
+def as_documents(s, d):
+    return documents(s, d).select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("doc_title"), "text", "lang")
+
+
+@query("chunk_tokens")
+def chunk_tokens(s, d):
+    return chunking.chunks(as_documents(s, d))
+
+
+@query("chunk_lineage", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM documents)
+    SELECT doc_id::VARCHAR AS parent_id, substr(sha256(doc_id || ':' || i), 1, 16) AS id, i::BIGINT AS chunk_index, n::BIGINT AS chunk_count, length(text) AS chars FROM l""")
+def chunk_lineage(s, d):
+    rows = documents(s, d).select(F.col("doc_id").cast("string").alias("id"), T.lines(F.col("text")).alias("parts"), F.lit("").alias("text"))
+    out = chunking.lineage(rows, "parts")
+    return out.select("parent_id", "id", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "chunk_count", "chars")])
+
+
+@query("dedup_adjacent", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l) WHERE before IS DISTINCT FROM line GROUP BY doc_id""")
+def dedup_adjacent(s, d):
+    return documents(s, d).select("doc_id", F.array_join(markup.drop_adjacent(T.lines(F.col("text"))), "\n").alias("text"))
+
+
+@query("collapse_blocks")
+def collapse_blocks(s, d):
+    return documents(s, d).select("doc_id", F.array_join(markup.collapse_blocks(markup.drop_adjacent(T.lines(F.col("text")))), "\n").alias("text"))
+
+
+# pages
+def _without(x: str, *tags: str) -> str:
+    for t in tags:
+        x = rf"regexp_replace({x}, '(?is)<{t}\b[^>]*>.*?</{t}\s*>', chr(10), 'g')"
+    return x
+
+
+def _plain(x: str) -> str:
+    for a, b in markup.ENTITIES:
+        b = "''" if b == "'" else b
+        x = f"replace({x}, '{a.replace(chr(39), chr(39) * 2)}', '{b}')"
+    return x
+
+
+def _tag_lines(x: str) -> str:
+    bare = rf"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g')"
+    return f"list_filter(list_transform(string_split({_plain(bare)}, chr(10)), lambda l: {stripped('l')}), lambda l: l <> '')"
+
+
+BODY = _tag_lines(_without("html", "head", "script", "style", "noscript", "nav", "footer", "header"))
+
+
+@query("page_text", f"SELECT page_id, array_to_string({BODY}, chr(10)) AS text FROM pages")
+def page_text(s, d):
+    return pages(s, d).select("page_id", F.array_join(markup.body_lines(F.col("html")), "\n").alias("text"))
+
+
+@query("html_text", "SELECT page_id, regexp_replace(regexp_replace(" + stripped(_plain(r"regexp_replace(regexp_replace(" + _without("html", "script", "style") + r", '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(10), 'g')")) + r", '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM pages")
+def html_text(s, d):
+    return pages(s, d).select("page_id", markup.html_text(F.col("html")).alias("text"))
+
+
+@query("min_body", f"SELECT page_id FROM pages WHERE length(array_to_string({BODY}, chr(10))) >= 200")
+def min_body(s, d):
+    return page_text(s, d).where(F.length("text") >= records.LEAST_BODY).select("page_id")
+
+
+TITLE = r"regexp_replace(" + stripped(_plain(r"regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '(?s)<[^>]*>', ' ', 'g')")) + r", '[\s\x{A0}]+', ' ', 'g')"
+
+
+@query("page_title", f"SELECT page_id, {TITLE} AS title FROM pages")
+def page_title(s, d):
+    return pages(s, d).select("page_id", markup.page_title(F.col("html"), F.col("url")).alias("title"))
+
+
+@query("links", """SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"#?]*)"', 1)) AS path FROM pages""")
+def links(s, d):
+    return pages(s, d).select("page_id", F.explode(markup.links(F.col("html"))).alias("path"))
+
+
+SITE = r"'/' || regexp_extract(html, '<h1>([^ <]+)', 1)"
+START = ["/the", "/of", "/and", "/The", "/de", "/que"]
+
+
+@query("link_bfs", f"""WITH p AS (SELECT {SITE} AS url, html FROM pages), l AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, 'href="(/[^"#?]*)"', 1)) AS dest FROM p),
+    h0 AS (SELECT unnest([{', '.join(f"'{u}'" for u in START)}]) AS url), h1 AS (SELECT DISTINCT dest AS url FROM l JOIN h0 USING (url) WHERE dest NOT IN (SELECT url FROM h0)),
+    h2 AS (SELECT DISTINCT dest AS url FROM l JOIN h1 USING (url) WHERE dest NOT IN (SELECT url FROM h0 UNION ALL SELECT url FROM h1))
+    SELECT url, 0 AS hop FROM h0 UNION ALL SELECT url, 1 FROM h1 UNION ALL SELECT url, 2 FROM h2""")
+def link_bfs(s, d):
+    named = pages(s, d).select(F.concat(F.lit("/"), F.regexp_extract("html", "<h1>([^ <]+)", 1)).alias("url"), "html")
+    return urls.crawl(named, START)
+
+
+@query("sitemap_urls", "SELECT page_id, url FROM pages")
+def sitemap_urls(s, d):
+    xml = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>"))
+    return pages(s, d).select("page_id", F.explode(markup.sitemap_urls(xml)).alias("url"))
+
+
+CASES = "CASE " + " ".join(f"WHEN contains(url, '{k}') THEN '{v}'" for k, v in COUNTRY_PARTS.items()) + " ELSE 'EN' END"
+
+
+@query("url_country", f"SELECT page_id, {CASES} AS country FROM pages")
+def url_country(s, d):
+    return pages(s, d).select("page_id", urls.country(F.col("url"), COUNTRY_PARTS, "EN").alias("country"))
+
+
+@query("url_canon", "SELECT page_id, rtrim(url, '/') || '/' AS url FROM pages")
+def url_canon(s, d):
+    return pages(s, d).select("page_id", urls.canonical(F.col("url")).alias("url"))
+
+
+@query("url_filter", "SELECT page_id, url FROM pages WHERE contains(url, '/en') AND NOT regexp_matches(url, '/(7[0-9]*|private)/?|spam')")
+def url_filter(s, d):
+    return pages(s, d).where(urls.wanted(F.col("url"), "/en", "/(7[0-9]*|private)/?|spam")).select("page_id", "url")
+
+
+@query("url_only", "SELECT page_id, url FROM pages WHERE contains(url, 'blog') OR contains(url, '/de/')")
+def url_only(s, d):
+    return pages(s, d).where(urls.only(F.col("url"), "blog, /de/,")).select("page_id", "url")
+
+
+PATHS = """p AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"#?]*)"', 1)) AS url, generate_subscripts(regexp_extract_all(html, 'href="(/[^"#?]*)"', 1), 1) AS i FROM pages)"""
+
+
+@query("dedup_urls", f"WITH {PATHS} SELECT rtrim(url, '/') AS url, min(page_id * 100000 + i) AS first FROM p GROUP BY ALL")
+def dedup_urls(s, d):
+    rows = pages(s, d).select("page_id", F.posexplode(markup.links(F.col("html"))).alias("i", "url"))
+    rows = rows.withColumn("first", F.col("page_id") * 100000 + F.col("i") + 1)
+    return urls.keep_first(rows, urls.key(F.col("url")), F.col("first")).select(urls.key(F.col("url")).alias("url"), "first")
+
+
+@query("extra_urls", "SELECT url FROM pages UNION ALL SELECT 'https://example.com/new/' UNION ALL SELECT 'https://example.com/other'")
+def extra_urls(s, d):
+    known = pages(s, d).select("url")
+    extra = known.select(urls.canonical(F.col("url")).alias("url")).union(s.createDataFrame([("https://example.com/new/",), ("https://example.com/other",)], "url string"))
+    return urls.add_missing(known, extra)
+
+
+CHROME = f"chrome AS (SELECT unnest({BODY}) AS line FROM pages WHERE page_id = 0), own AS (SELECT page_id, list_distinct({BODY}) AS lines FROM pages)"
+
+
+@query("chrome_subtract", f"WITH {CHROME} SELECT page_id, len(list_filter(lines, lambda l: l NOT IN (SELECT line FROM chrome))) AS lines FROM own".replace("len(list_filter(lines, lambda l: l NOT IN (SELECT line FROM chrome)))", "(SELECT count(*) FROM (SELECT unnest(lines) AS l) WHERE l NOT IN (SELECT line FROM chrome))"))
+def chrome_subtract(s, d):
+    own = pages(s, d).select("page_id", F.array_distinct(markup.body_lines(F.col("html"))).alias("lines"))
+    chrome = own.where("page_id = 0").select(F.explode("lines").alias("line"))
+    left = own.select("page_id", F.explode("lines").alias("line")).join(chrome, "line", "left_anti").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    return own.select("page_id").join(left, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("lines"))
+
+
+NORMAL = lambda x: stripped(f"regexp_replace(translate({x}, chr(160), ' '), '[ \\t]{{2,}}', ' ', 'g')")
+
+
+@query("page_record", f"""WITH r AS (SELECT url, {TITLE} AS title, array_to_string({BODY}, chr(10)) AS body, {CASES} AS country FROM pages), n AS (SELECT *, {NORMAL("title || chr(10) || chr(10) || body")} AS text FROM r WHERE length(body) >= 200)
+    SELECT substr(sha256(url), 1, 16) AS id, title AS doc_title, country, contains(url, '/switchers') AS competitive, 'mixed' AS lang FROM n""")
+def page_record(s, d):
+    made = records.market_pages(pages(s, d), None, COUNTRY_PARTS, "EN")
+    return made.select("id", "doc_title", "country", "competitive", "lang")
+
+
+@query("country_counts", f"SELECT {CASES} AS country, count(*) AS pages, count(*) FILTER (contains(url, '/en/7')) AS competitive, count(*) FILTER (regexp_matches(url, 'ref=')) AS not_local FROM pages GROUP BY ALL")
+def country_counts(s, d):
+    rows = pages(s, d).select(urls.country(F.col("url"), COUNTRY_PARTS, "EN").alias("country"), F.col("url").rlike("/en/7").alias("competitive"), F.col("url").rlike("ref=").alias("pricing_not_local"))
+    return reports.country_report(rows)
+
+
+@query("url_flags", "SELECT page_id, regexp_matches(url, '/en/7') AS competitive, regexp_matches(html, '[0-9]{2,5} ') AND NOT regexp_matches(html, 'USD') AS not_local FROM pages WHERE NOT contains(url, '/fr/') UNION ALL SELECT page_id, regexp_matches(url, '/en/7'), false FROM pages WHERE contains(url, '/fr/')")
+def url_flags(s, d):
+    country = F.when(F.contains(F.col("url"), F.lit("/fr/")), "FR").otherwise("EN")
+    return pages(s, d).select("page_id", F.col("url").rlike("/en/7").alias("competitive"), records.not_local(F.col("html"), country, "FR", "[0-9]{2,5} ", "USD").alias("not_local"))
+
+
+# reports and unions
+@query("source_report", """WITH k AS (SELECT DISTINCT source FROM documents UNION ALL SELECT 'none'), c AS (SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS chunks, count(*) AS documents FROM documents GROUP BY ALL)
+    SELECT source, coalesce(documents, 0) AS documents, coalesce(chunks, 0) AS chunks, coalesce(chunks, 0) = 0 AS empty FROM k LEFT JOIN c USING (source)""")
+def source_report(s, d):
+    docs = documents(s, d)
+    named = docs.select("source").distinct().union(s.createDataFrame([("none",)], "source string"))
+    return reports.source_report(named, docs, docs.select("source", F.explode(T.lines(F.col("text")))))
+
+
+@query("size_report", """WITH t AS (SELECT list_sort(list(length(text))) AS a FROM documents) SELECT len(a) AS chunks, list_sum(a)::BIGINT AS total, a[(len(a) // 2) + 1] AS median, a[floor(len(a) * 0.9)::INT + 1] AS p90, a[len(a)] AS largest,
+    len(list_filter(a, lambda x: x > 700)) AS above FROM t""")
+def size_report(s, d):
+    return reports.size_report(documents(s, d).select(F.length("text").cast("long").alias("tokens")))
+
+
+@query("quality_report", "SELECT count(*) AS chunks, count(*) FILTER (lang = 'de') AS tables, sum(length(text))::BIGINT AS chars, (sum(length(text)) // 3)::BIGINT AS estimated_tokens, count(*) FILTER (lang = 'fr') AS low, round(count(*) FILTER (lang = 'fr')::DOUBLE / count(*), 6) AS low_share FROM documents")
+def quality_report(s, d):
+    kinds = F.when(F.col("lang") == "de", "table").otherwise("prose").alias("type")
+    return reports.quality_report(documents(s, d).select(kinds, F.when(F.col("lang") == "fr", "low").otherwise("high").alias("confidence"), F.length("text").alias("chars")))
+
+
+@query("union_sources", "SELECT 0 AS source_ord, count(*) AS n, count(page) AS pages FROM (SELECT NULL::INT AS page FROM documents) UNION ALL SELECT 1, count(*), count(*) FROM pages")
+def union_sources(s, d):
+    a = documents(s, d).select(F.col("doc_id").cast("string").alias("id"), "text")
+    b = pages(s, d).select(F.col("page_id").cast("string").alias("id"), F.lit(1).alias("page"), F.col("html").alias("text"))
+    return records.union(a, b).groupBy("source_ord").agg(F.count(F.lit(1)).alias("n"), F.count("page").alias("pages"))
