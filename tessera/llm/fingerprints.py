@@ -64,7 +64,8 @@ def with_tuples(df: DataFrame, text_col: str, out: str = "tuples") -> DataFrame:
     while step < 1 << PLACE_BITS:
         df = df.withColumn("_c", F.when(F.coalesce(F.array_max("_c"), F.lit(0)) >= step, _further(step)).otherwise(F.col("_c")))
         step *= STRIDE
-    numbered = F.transform("_s", lambda x, i: F.xxhash64(F.shiftright(x, PLACE_BITS), F.get(F.col("_c"), i)).bitwiseAND(F.lit(~PLACE)).bitwiseOR(x.bitwiseAND(F.lit(PLACE))))
+    # zip_with takes its arrays as they are; named once inside a function of elements, the last round would be repeated for each
+    numbered = F.zip_with("_s", "_c", lambda x, c: F.xxhash64(F.shiftright(x, PLACE_BITS), c).bitwiseAND(F.lit(~PLACE)).bitwiseOR(x.bitwiseAND(F.lit(PLACE))))
     df = df.withColumn("_s", F.sort_array(numbered)).drop("_c")
     top = 64 - BUCKET_BITS
     least = F.filter("_s", lambda x, i: (i < TUPLE) | (F.shiftright(F.get(F.col("_s"), i - TUPLE), top) != F.shiftright(x, top)))
@@ -111,13 +112,14 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     ids = docs.select("row", "id", F.xxhash64("text").alias("hash"), F.length("text").alias("n_chars"))
     placed = running_total(ids, [F.col("id").asc_nulls_first(), F.col("hash"), F.col("row")], F.lit(1), "place", "fingerprint-order")
-    placed = materialise(placed.select("row", "place", F.floor(F.col("n_chars") / 4).cast("int").alias("need")), "fingerprint-places")
+    placed = materialise(placed.select("row", "id", "place", F.floor(F.col("n_chars") / 4).cast("int").alias("need")), "fingerprint-places")
     total = placed.count()
     before = placed.select(F.pmod(F.col("place") + 1, F.lit(max(total, 1))).alias("place"), F.col("row").alias("to_row"), F.col("place").alias("to_place"), F.col("need").alias("to_need"))
     plan = materialise(placed.join(before, "place"), "fingerprint-plan")
-    texts = docs.select("row", "id", "text")
+    # both uses take the same columns of the texts, so their shuffle is done once
+    texts = docs.select("row", "text")
     heads = texts.join(plan.select("row", "to_row", "to_need"), "row").select(F.col("to_row").alias("row"), F.substring("text", F.lit(1), F.col("to_need")).alias("head"))
-    full = texts.join(plan.select("row", "place", "to_place", "need"), "row").join(heads, "row")
+    full = texts.join(plan.select("row", "id", "place", "to_place", "need"), "row").join(heads, "row")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("need")), F.col("head"))
     both = full.select("place", "to_place", "id", F.posexplode(F.array("text", edited)).alias("kind", "t"))
     both = both.select("place", "to_place", F.when(F.col("kind") == 0, F.col("id")).alias("id"), "kind", "t", F.length("t").alias("n"), F.when(F.col("kind") == 1, F.sha2("t", 256)).alias("sha"))
