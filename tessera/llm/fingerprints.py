@@ -15,7 +15,7 @@ Defined results: a null text is empty; a text without words has no tuples, and t
 other 0.0; fewer than K words are one k-mer; equal texts have equal fingerprints; null ids come first in the order of
 documents and rows of equal id are ordered by a hash of the text; a single document is its own next one; an empty
 table gives an empty table; other columns are not read. ``edited_pairs`` numbers rows as they are read and reads them
-twice, so its input should be a table, not a result that may change between reads.
+twice; an input that may change between reads is written first.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise, running_total
+from tessera.runtime import materialise, running_total, stable
 
 K = 3
 TUPLE = 2
@@ -109,6 +109,7 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are shuffled once, by row number, together with what the document before needs of them.
     """
+    df = stable(df.select(id_col, text_col), "fingerprint-input")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     ids = docs.select("row", "id", F.xxhash64("text").alias("hash"), F.length("text").alias("n_chars"))
     placed = running_total(ids, [F.col("id").asc_nulls_first(), F.col("hash"), F.col("row")], F.lit(1), "place", "fingerprint-order")

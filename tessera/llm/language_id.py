@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import pretoken
+from tessera.runtime import small_batches
 
 BUCKETS = 1 << 16
 MOST_LANGUAGES = 256
@@ -94,7 +95,7 @@ def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY, most: int
     bucket, first, words = trigrams(texts)
     out = np.zeros((len(words), len(model.languages)))
     full = np.flatnonzero(words)
-    if not len(full):
+    if not len(full) or not model.languages:
         return out
     likely = np.add.reduceat(model.log_p[bucket], first, axis=0)
     top = likely.max(1, keepdims=True)
@@ -129,6 +130,7 @@ def held_out(id_: Column) -> Column:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
@@ -166,6 +168,7 @@ def annotate(df: DataFrame, model: Model, text_col: str = "text", min_score: flo
 
     The filter drops ``und`` and documents whose largest language has a smaller share than ``min_score``.
     """
+    small_batches(df.sparkSession)
     new = ["lang_pred", "score", "proportions"]
     df = df.select(*[c for c in df.columns if c not in new])
     at = df.columns.index(text_col)

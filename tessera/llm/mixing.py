@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.runtime import materialise, running_total
+from tessera.runtime import materialise, running_total, stable
 
 WEIGHTS = (5, 2, 1)
 SLOTS = 4096
@@ -128,9 +128,10 @@ def mix(df: DataFrame, weights=WEIGHTS, cap: int = 3, id_col: str = "doc_id", te
 def copies(df: DataFrame, weights=WEIGHTS, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """The mix itself, in the columns of ``df``: each row as often as it is taken, and cut copies with their first words.
 
-    A column n_chars, if there is one, follows the text of a cut copy. Rows are numbered as they are read and read
-    twice, so ``df`` should be a table, not a result that may change between reads.
+    A column n_chars, if there is one, follows the text of a cut copy. Rows are numbered as they are read, and are read
+    twice; an input that may change between reads is written first.
     """
+    df = stable(df, "mix-input")
     rows = _mixed(_documents(df, id_col, text_col, source_col, seed), weights, cap)
     plan = rows.where("taken > 0").select("_row", F.col("copies").alias("_copies"), F.col("partial").alias("_partial"))
     full = df.withColumn("_row", F.monotonically_increasing_id()).join(plan, "_row")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import files, pretoken
-from tessera.runtime import lookup_left, materialise, new_folder
+from tessera.runtime import lookup_left, materialise, new_folder, small_batches, stable
 
 REVISIT_BYTES = 100
 RANGE_BYTES = 4 << 20
@@ -86,7 +86,9 @@ def capture(row_id, row_key: int, url: str | None, payload: bytes, digest: str,
 def write(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Write archives of ``df``; returns the manifest: file, start, end, records."""
     spark = df.sparkSession
+    small_batches(spark)
     folder = folder or new_folder(spark, "warc")
+    df = stable(df.select(id_col, url_col, payload_col), "warc-input")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("sha", F.sha2("payload", 256))
