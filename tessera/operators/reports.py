@@ -55,3 +55,17 @@ def country_report(records: DataFrame) -> DataFrame:
 def status(corpus: DataFrame, vectors: DataFrame | None) -> DataFrame:
     """ready, chunks: what a service reports."""
     return corpus.agg(F.count(F.lit(1)).alias("chunks")).select(F.lit(vectors is not None and not vectors.isEmpty()).alias("ready"), "chunks")
+
+
+def kind_report(records: DataFrame) -> DataFrame:
+    """Articles per content type."""
+    return records.groupBy("wp_type").agg(F.count(F.lit(1)).alias("items"))
+
+
+def low_confidence(records: DataFrame, samples: int = 3, most_chars: int = 100) -> DataFrame:
+    """For each document the first few records of low confidence, cut for display."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("source_file").orderBy("page", "id")
+    low = records.where("confidence = 'low'").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= samples)
+    return low.select("source_file", "page", F.substring("text", 1, most_chars).alias("text"))
