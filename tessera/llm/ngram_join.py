@@ -28,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import shingles
+from tessera.llm import pretoken, shingles
 from tessera.llm.graph import components
 from tessera.llm.prefix_tree import link
-from tessera.runtime import lookup, materialise
+from tessera.runtime import lookup, materialise, small_batches
 
 PERCENT = 80
-#: Pairs of a hash and a class in one packed block, and about as many in one bucket of the packed shuffle.
-BLOCK_PAIRS = 1 << 20
-BUCKET_PAIRS = 4 << 20
+#: Pairs of a hash and a class that a task packs at once, and about as many as come together in one bucket.
+BLOCK_PAIRS = 1 << 18
+BUCKET_PAIRS = 1 << 19
+LEAST_BUCKETS = 16
 #: Shingles of the classes in one tree-search task.
 TASK_SHINGLES = 4 << 20
 #: Bits of the filter that keeps other texts out of the candidates' shuffle: 8 MB, whatever the input.
@@ -68,19 +69,23 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def pack(keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Pairs of 64-bit numbers, dealt by key into buckets, a block of bytes for each."""
-    bucket = (shingles.mix(keys ^ _U(0xA5A5A5A5A5A5A5A5)) >> _U(33)).astype(np.int64) % buckets
+def by_hash(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (shingles.mix(keys ^ _U(0xA5A5A5A5A5A5A5A5)) >> _U(33)).astype(np.int64) % buckets
+
+
+def pack(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of 64-bit numbers, a block of bytes for each bucket."""
     order = np.argsort(bucket, kind="stable")
-    pairs = np.stack([keys[order], values[order]], 1)
+    rows = np.stack([c[order] for c in columns], 1)
     found, at = np.unique(bucket[order], return_index=True)
-    ends = np.append(at[1:], len(order))
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pairs[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], names=["bucket", "block"])
+    ends = np.append(at[1:], len(order)) if len(order) else at
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], names=["bucket", "block"])
 
 
-def unpack(blocks: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.frombuffer(b"".join(b.as_buffer() for chunk in blocks.chunks for b in chunk), np.uint64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+def unpack(blocks: pa.ChunkedArray, width: int) -> list[np.ndarray]:
+    pretoken.lean()
+    rows = np.frombuffer(b"".join(b.as_buffer() for chunk in blocks.chunks for b in chunk), np.uint64).reshape(-1, width)
+    return [rows[:, k] for k in range(width)]
 
 
 def groups_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +102,7 @@ def document_sets(df: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     """doc_id, n, k1, k2, prefix."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (s for b in batches for s in pretoken.slices(b, 1)):
             flat, n = shingles.sets(batch.column(1))
             k1, k2 = shingles.digests(flat, n)
             size = np.where(n > 0, prefix_size(n, percent), 0)
@@ -123,12 +128,15 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
 
     def emit(keys, values):
         keys, values, spare = reduced(np.concatenate(keys), np.concatenate(values))
-        own, c = np.unique(spare, return_counts=True)
-        packed = pack(keys, values, buckets)
-        yield pa.RecordBatch.from_arrays(
-            [*packed.columns, pa.nulls(len(packed), pa.int64()), pa.nulls(len(packed), pa.int64())], names=["bucket", "block", "k1", "c"]
-        )
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary()), pa.array(own.view(np.int64)), pa.array(c.astype(np.int64))], names=["bucket", "block", "k1", "c"])
+        yield kind(pack(by_hash(keys, buckets), keys, values), 0)
+        yield kind(counted(spare), 1)
+
+    def kind(packed, k):
+        return pa.RecordBatch.from_arrays([*packed.columns, pa.array([k] * len(packed), pa.int32())], names=["bucket", "block", "kind"])
+
+    def counted(classes):
+        own, c = np.unique(classes, return_counts=True)
+        return pack(by_hash(own, buckets), own, c.astype(np.uint64))
 
     def deal(batches):
         keys, values, held = [], [], 0
@@ -145,17 +153,19 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
             yield from emit(keys, values)
 
     def count(table: pa.Table) -> pa.Table:
-        keys, values = unpack(table.column("block"))
-        keys, values, at = groups_of(keys, values)
+        keys, values, at = groups_of(*unpack(table.column("block"), 2))
         size = np.diff(np.append(at, len(keys)))
-        own, c = np.unique(values[np.repeat(size > 1, size)], return_counts=True)
-        return pa.table({"k1": own.view(np.int64), "c": c.astype(np.int64)})
+        return pa.Table.from_batches([counted(values[np.repeat(size > 1, size)])])
+
+    def total(table: pa.Table) -> pa.Table:
+        classes, c = unpack(table.column("block"), 2)
+        own, at = np.unique(classes, return_inverse=True)
+        return pa.table({"k1": own.view(np.int64), "c": np.bincount(at, weights=c, minlength=len(own)).astype(np.int64)})
 
-    dealt = docs.where("n > 0").select("k1", "prefix").mapInArrow(deal, PACKED + ", k1 long, c long")
-    # the packed blocks and the counts of one pass; written once, as both are read
-    dealt = materialise(dealt, "ngram-dealt")
-    far = dealt.where("bucket is not null").select("bucket", "block").groupBy("bucket").applyInArrow(count, "k1 long, c long")
-    return far.union(dealt.where("bucket is null").select("k1", "c")).groupBy("k1").agg(F.sum("c").alias("c"))
+    # blocks and counts come of one pass and are read apart, so it is written
+    dealt = materialise(docs.where("n > 0").select("k1", "prefix").mapInArrow(deal, PACKED + ", kind int"), "ngram-dealt")
+    far = dealt.where("kind = 0").select("bucket", "block").groupBy("bucket").applyInArrow(count, PACKED)
+    return far.union(dealt.where("kind = 1").select("bucket", "block")).groupBy("bucket").applyInArrow(total, "k1 long, c long")
 
 
 def bit_filter(ids: DataFrame) -> np.ndarray | None:
@@ -180,7 +190,7 @@ def candidate_sets(df: DataFrame, candidates: DataFrame, id_col: str, text_col:
 
     def run(batches):
         bits = bits_b.value
-        for batch in batches:
+        for batch in (s for b in batches for s in pretoken.slices(b, 1)):
             hit = np.ones(batch.num_rows, bool)
             for c in (2, 3):
                 p = batch.column(c).to_numpy(zero_copy_only=False)
@@ -211,37 +221,32 @@ def ordered_sets(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
             size = np.array([len(x.as_buffer()) // 8 for x in batch.column(1)], np.int64)
             cids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), size)
             for a in range(0, len(flat), BLOCK_PAIRS):
-                yield pack(flat[a : a + BLOCK_PAIRS], cids[a : a + BLOCK_PAIRS], buckets)
+                yield pack(by_hash(flat[a : a + BLOCK_PAIRS], buckets), flat[a : a + BLOCK_PAIRS], cids[a : a + BLOCK_PAIRS])
 
     def rank(table: pa.Table) -> pa.Table:
-        keys, values, at = groups_of(*unpack(table.column("block")))
+        keys, cids, at = groups_of(*unpack(table.column("block"), 2))
         size = np.diff(np.append(at, len(keys)))
-        often = np.repeat(size, size)
+        often = np.repeat(size, size).astype(np.uint64)
         keep = often > 1
-        order = np.argsort(values[keep], kind="stable")
-        cid, often, keys = values[keep][order], often[keep][order].astype(np.uint64), keys[keep][order]
-        own, first = np.unique(cid, return_index=True)
-        ends = np.append(first[1:], len(cid))
-        pairs = np.stack([often, keys], 1)
-        return pa.table({"cid": pa.array(own.view(np.int64)), "part": pa.array([pairs[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
-
-    parts = sets.select("cid", "items").mapInArrow(deal, PACKED).groupBy("bucket").applyInArrow(rank, "cid long, part binary")
-    # one class gathers its own shingles, no more than its text has
-    own = parts.groupBy("cid").agg(F.collect_list("part").alias("parts")).join(sets.select("cid", "n"), "cid")
-
-    def order(batches):
-        for batch in batches:
-            out = []
-            for cid, parts, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                pairs = np.frombuffer(b"".join(x.as_buffer() for x in parts.values), np.uint64).reshape(-1, 2)
-                if len(pairs) < ceil_share(n, percent):
-                    continue
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                posts = n - ceil_share(n, percent) + 1 - (n - len(pairs))
-                out.append({"cid": cid, "n": n, "items": pairs.tobytes(), "posts": pairs[:posts, 1].view(np.int64)})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("items", pa.binary()), ("posts", pa.list_(pa.int64()))]))
-
-    return own.select("cid", "parts", "n").mapInArrow(order, "cid long, n long, items binary, posts array<long>")
+        return pa.Table.from_batches([pack((cids[keep] % _U(buckets)).astype(np.int64), cids[keep], often[keep], keys[keep])])
+
+    def order(key, ranked: pa.Table, sizes: pa.Table) -> pa.Table:
+        out = []
+        if len(ranked):
+            cids, often, keys = unpack(ranked.column("block"), 3)
+            by = np.lexsort((keys, often, cids))
+            cids, pairs = cids[by], np.stack([often[by], keys[by]], 1)
+            own = sizes.column("cid").to_numpy().astype(np.uint64)
+            first, last = np.searchsorted(cids, own), np.searchsorted(cids, own, side="right")
+            for cid, n, a, b in zip(sizes.column("cid").to_pylist(), sizes.column("n").to_pylist(), first, last, strict=True):
+                if b - a >= ceil_share(n, percent):
+                    posts = n - ceil_share(n, percent) + 1 - (n - (b - a))
+                    out.append({"cid": cid, "n": n, "items": pairs[a:b].tobytes(), "posts": pairs[a : a + posts, 1].copy().view(np.int64)})
+        return pa.Table.from_pylist(out, pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("items", pa.binary()), ("posts", pa.list_(pa.int64()))]))
+
+    ranked = sets.select("cid", "items").mapInArrow(deal, PACKED).groupBy("bucket").applyInArrow(rank, PACKED)
+    sizes = sets.select(F.pmod(F.col("cid"), F.lit(buckets)).cast("int").alias("bucket"), "cid", "n")
+    return ranked.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(order, "cid long, n long, items binary, posts array<long>")
 
 
 def cluster(posts: DataFrame) -> DataFrame:
@@ -302,10 +307,11 @@ def deal_tasks(clusters: DataFrame, ordered: DataFrame, pairs: bool, task_shingl
 
 def near_groups(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, class_docs (rows with the very same set)."""
+    small_batches(df.sparkSession)
     docs = materialise(document_sets(df, id_col, text_col, percent), "ngram-documents")
     size = docs.agg(F.sum("n")).first()[0] or 0
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffle, -(-int(size) // 4 // BUCKET_PAIRS))
+    # buckets follow the data alone: a quarter of all shingles is dealt
+    buckets = max(LEAST_BUCKETS, -(-int(size) // 4 // BUCKET_PAIRS))
     classes = docs.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("class_docs"))
     classes = materialise(classes, "ngram-classes")
     need = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
@@ -314,7 +320,7 @@ def near_groups(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", t
     candidates = materialise(candidates.withColumn("cid", F.monotonically_increasing_id()), "ngram-candidates")
     sets = materialise(candidate_sets(df, candidates, id_col, text_col), "ngram-sets")
     size = candidates.agg(F.sum("n")).first()[0] or 0
-    ordered = materialise(ordered_sets(sets, max(shuffle, -(-int(size) // BUCKET_PAIRS)), percent), "ngram-ordered")
+    ordered = materialise(ordered_sets(sets, max(LEAST_BUCKETS, -(-int(size) // BUCKET_PAIRS)), percent), "ngram-ordered")
     posts = ordered.select(F.explode("posts").alias("h"), "cid")
     clusters = materialise(cluster(posts), "ngram-clusters")
     tasks, split = deal_tasks(clusters, ordered.select("cid", "n", "items"), False, task_shingles)

@@ -7,6 +7,7 @@ It is found from character classes by whole-array operations, without a loop ove
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import unicodedata
@@ -54,8 +55,24 @@ def special_tokens(path: str) -> dict[bytes, int]:
         return {x["content"].encode(): x["id"] for x in json.load(f)["added_tokens"]}
 
 
+@cache
+def lean() -> None:
+    """Let this worker give freed arrays back to the system, rather than keep them for later.
+
+    Workers live on between tasks, and what they keep adds up beside the executor's own memory.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 24 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped on their own
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
 def utf8_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and len(texts) + 1 offsets; a null is empty."""
+    lean()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
