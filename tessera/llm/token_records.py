@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from tessera.llm import files, pretoken
 from tessera.llm.checksums import crc32c, masked
 from tessera.llm.token_counts import byte_symbols
-from tessera.runtime import new_folder
+from tessera.runtime import new_folder, small_batches
 
 NULL_ID, WIDE = 1, 2
 READ_BYTES = 16 << 20
@@ -176,6 +176,7 @@ def parse(raw: bytes) -> list[tuple[int, int | None, np.ndarray]]:
 def write(df: DataFrame, vocabulary: str, end_id: int | None, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Encode and write ``df``; returns the index, which also is written, to ``folder``/index."""
     spark = df.sparkSession
+    small_batches(spark)
     folder = folder or new_folder(spark, "token-records")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
