@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from tessera.runtime import materialise
 
-#: A document whose largest language has a smaller share of its words is rejected, as is one without letters.
-LEAST_SHARE = 0.5
+#: A document without letters is rejected, and one in which no language has this share of the words. It is low, since
+#: documents with passages of another language are clean too.
+LEAST_SHARE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
