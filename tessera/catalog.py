@@ -421,10 +421,31 @@ def file_title(s, d):
 
 
 # chunking
-@query("chunk_chars")
+def _chunk_sql() -> str:
+    heading_ = HEADING.replace("line", "x.cur[1]")
+    heading_ = f"CASE WHEN len(acc.cur) = 0 AND ({heading_}) THEN x.cur[1] ELSE acc.heading END"
+    cur, chars = "list_concat(acc.cur, x.cur)", "list_sum(list_transform({}, lambda s: length(s)))"
+    full = chars.format(cur) + f" >= {chunking.TARGET_CHARS}"
+    return f"""WITH e AS (
+        SELECT doc_id, list_concat([{{'out': []::VARCHAR[], 'cur': []::VARCHAR[], 'heading': ''}}],
+            list_transform(string_split(text, chr(10)), lambda l: {{'out': []::VARCHAR[], 'cur': [l], 'heading': ''}})) AS e FROM documents
+    ), r AS (
+        SELECT doc_id, list_reduce(e, lambda acc, x: {{
+            'out': CASE WHEN {full} THEN list_append(acc.out, array_to_string({cur}, chr(10))) ELSE acc.out END,
+            'cur': CASE WHEN {full} THEN CASE WHEN ({heading_}) <> '' THEN [{heading_}] ELSE []::VARCHAR[] END ELSE {cur} END,
+            'heading': {heading_}}}) AS a FROM e
+    ), f AS (
+        SELECT doc_id, CASE WHEN len(a.cur) = 0 THEN a.out
+            WHEN {chars.format("a.cur")} >= {chunking.LEAST_CHARS} OR len(a.out) = 0 THEN list_append(a.out, array_to_string(a.cur, chr(10)))
+            ELSE list_append(a.out[1:len(a.out) - 1], a.out[len(a.out)] || chr(10) || array_to_string(a.cur, chr(10))) END AS c FROM r
+    )
+    SELECT doc_id, unnest(c) AS text, generate_subscripts(c, 1) - 1 AS part FROM f"""
+
+
+@query("chunk_chars", _chunk_sql())
 def chunk_chars(s, d):
     made = documents(s, d).select("doc_id", chunking.chunk_chars(F.col("text")).alias("c"))
-    return made.select("doc_id", F.posexplode("c").alias("part", "text"))
+    return made.select("doc_id", F.posexplode("c").alias("part", "text")).withColumn("part", F.col("part").cast("long"))
 
 
 @query("blocks", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
