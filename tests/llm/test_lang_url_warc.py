@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -26,7 +27,8 @@ def test_held_out_accuracy(spark):
     for r in got:
         held = zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
         assert r["held_out"] == held and 0 <= r["score"] <= 1 and r["lang_pred"] in {"en", "fr", "de", "es"}
-        assert abs(sum(r["proportions"].values()) - 1) < 1e-6 and r["score"] == pytest.approx(max(r["proportions"].values()))
+        shares = json.loads(r["proportions"]).values()
+        assert abs(sum(shares) - 1) < 1e-6 and r["score"] == pytest.approx(max(shares))
         seen += held
         right += held and r["lang_pred"] == want[r["doc_id"]][0]
     assert seen > 100 and right / seen > 0.97

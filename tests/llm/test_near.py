@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -30,6 +31,13 @@ def test_query_is_brute_force(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()), key=repr) == near_groups(rows)
 
 
+def test_query_is_sql(spark):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
+    want = sorted(duck.sql(queries.ORACLE_SQL["op6_ngram_jaccard_join"]).fetchall())
+    assert sorted(tuple(r) for r in queries.op6_ngram_jaccard_join(spark, D).collect()) == want
+
+
 @pytest.mark.parametrize("task_shingles", [4 << 20, 200])
 def test_families(spark, task_shingles):
     rng = random.Random(3)
