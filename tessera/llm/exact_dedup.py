@@ -48,6 +48,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def close(self) -> None:
+        """Take the table's name out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def missing(self, batch: DataFrame) -> DataFrame:
         """Rows of ``batch`` (digest, keep_id; each digest once) that the index lacks, by sort-merge anti-join."""
         return batch.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
@@ -75,7 +79,7 @@ def dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id
     keep_id is the smallest id of all equal texts; with one that held the text before, it is the id stored there, and
     no row of this call is kept for that text unless it is that very id.
     """
-    index = index or DigestIndex(df.sparkSession)
+    given, index = index, index or DigestIndex(df.sparkSession)
     members = materialise(df.select(F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest")), "digests")
     cuts = sorted(set(members.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     rank = F.coalesce(sum((F.col("id") > F.lit(int(c))).cast("int") for c in cuts), F.lit(len(cuts))) if cuts else F.lit(0)
@@ -83,6 +87,8 @@ def dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id
         index.add(members.where(rank == i))
     sizes = members.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     groups = materialise(sizes.join(index.read(), "digest"), "digest-groups")
+    if given is None:
+        index.close()
     out = lookup(members, groups, "digest", "group_size", members.count())
     return out.select(
         F.col("id").alias(id_col),
