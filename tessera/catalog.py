@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arabic, markup
 from tessera.functions import text as T
 from tessera.operators import answer, chunking, index, records, reports, urls
+from tessera.runtime import spread
 
 QUESTION = "Is the of thing and thereonwh with est"
 EXPECTED = "thention"
@@ -36,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark, d):

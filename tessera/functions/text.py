@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ MIRROR = ("()[]{}<>", ")(][}{><")
 TATWEEL = "ـ"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once. An expression that a function of elements mentions is else evaluated for each of them."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
 
@@ -66,8 +72,10 @@ def fold_token(t: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(f"({TOKEN})"), 1)
-    return F.transform(found, fold_token)
+    low = F.lower(F.coalesce(x, F.lit("")))
+    found = F.regexp_extract_all(low, F.lit(TOKEN), 0)
+    # a text without Arabic letters has nothing to fold
+    return F.when(low.rlike(r"[\x{0620}-\x{064A}]"), F.transform(found, fold_token)).otherwise(found)
 
 
 def letters(x: Column) -> Column:
@@ -75,9 +83,11 @@ def letters(x: Column) -> Column:
 
 
 def arabic_ratio(x: Column) -> Column:
-    all_ = letters(F.coalesce(x, F.lit("")))
+    all_ = letters(x)
     own = F.regexp_replace(all_, f"[^{ARABIC}]", "")
-    return F.when(F.length(all_) == 0, F.lit(0.0)).otherwise(F.length(own) / F.length(all_))
+    share = F.when(F.length(all_) == 0, F.lit(0.0)).otherwise(F.length(own) / F.length(all_))
+    # most texts of other scripts are settled by one look for an Arabic character
+    return F.when(x.rlike(f"[{ARABIC}]"), share).otherwise(F.lit(0.0))
 
 
 def lang_label(x: Column, three_way: bool = True) -> Column:

@@ -67,7 +67,7 @@ def table_markdown(cells: DataFrame) -> DataFrame:
     tables = rows.groupBy("file", "page", "table_no").agg(F.sort_array(F.collect_list(F.struct("row_no", "_r"))).alias("_t")).where(F.size("_t") >= 2)
     width = F.array_max(F.transform("_t", lambda r: F.size(r["_r"])))
     show = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    padded = F.transform("_t", lambda r: show(F.concat(r["_r"], F.array_repeat(F.lit(""), width - F.size(r["_r"])))))
+    padded = T.let(width, lambda w: F.transform("_t", lambda r: show(F.concat(r["_r"], F.array_repeat(F.lit(""), w - F.size(r["_r"]))))))
     rule = show(F.array_repeat(F.lit("---"), width))
     text = F.array_join(F.concat(F.slice(padded, 1, 1), F.array(rule), F.slice(padded, F.lit(2), F.greatest(F.size(padded) - 1, F.lit(0)))), "\n")
     return tables.select("file", "page", "table_no", text.alias("text"))

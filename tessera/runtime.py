@@ -73,6 +73,15 @@ def stable(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores, dealt out to all of them; others as they are.
+
+    For scans only, such as of a small table in one file: counting the parts of anything else may run it.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send at most ``rows`` rows at once to Python workers, for operators that send whole texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
