@@ -126,31 +126,30 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
         spare = place >= 2
         return keys[~spare], values[~spare], values[spare]
 
-    def emit(keys, values):
-        keys, values, spare = reduced(np.concatenate(keys), np.concatenate(values))
-        yield kind(pack(by_hash(keys, buckets), keys, values), 0)
-        yield kind(counted(spare), 1)
-
-    def kind(packed, k):
-        return pa.RecordBatch.from_arrays([*packed.columns, pa.array([k] * len(packed), pa.int32())], names=["bucket", "block", "kind"])
-
     def counted(classes):
         own, c = np.unique(classes, return_counts=True)
         return pack(by_hash(own, buckets), own, c.astype(np.uint64))
 
-    def deal(batches):
-        keys, values, held = [], [], 0
-        for batch in batches:
-            prefix = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(1)), np.uint64)
-            size = np.array([len(x.as_buffer()) // 8 for x in batch.column(1)], np.int64)
-            keys.append(prefix)
-            values.append(np.repeat(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), size))
-            held += len(prefix)
-            if held >= BLOCK_PAIRS:
-                yield from emit(keys, values)
-                keys, values, held = [], [], 0
-        if held:
-            yield from emit(keys, values)
+    def deal(far: bool):
+        def emit(keys, values):
+            keys, values, spare = reduced(np.concatenate(keys), np.concatenate(values))
+            return pack(by_hash(keys, buckets), keys, values) if far else counted(spare)
+
+        def run(batches):
+            keys, values, held = [], [], 0
+            for batch in batches:
+                prefix = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(1)), np.uint64)
+                size = np.array([len(x.as_buffer()) // 8 for x in batch.column(1)], np.int64)
+                keys.append(prefix)
+                values.append(np.repeat(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), size))
+                held += len(prefix)
+                if held >= BLOCK_PAIRS:
+                    yield emit(keys, values)
+                    keys, values, held = [], [], 0
+            if held:
+                yield emit(keys, values)
+
+        return run
 
     def count(table: pa.Table) -> pa.Table:
         keys, values, at = groups_of(*unpack(table.column("block"), 2))
@@ -162,10 +161,12 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
         own, at = np.unique(classes, return_inverse=True)
         return pa.table({"k1": own.view(np.int64), "c": np.bincount(at, weights=c, minlength=len(own)).astype(np.int64)})
 
-    # blocks and counts come of one pass and are read apart, so it is written
-    dealt = materialise(docs.where("n > 0").select("k1", "prefix").mapInArrow(deal, PACKED + ", kind int"), "ngram-dealt")
-    far = dealt.where("kind = 0").select("bucket", "block").groupBy("bucket").applyInArrow(count, PACKED)
-    return far.union(dealt.where("kind = 1").select("bucket", "block")).groupBy("bucket").applyInArrow(total, "k1 long, c long")
+    # what is sent and what is counted on the spot come of the same pass; it is made twice, as that costs less than
+    # keeping its blocks
+    prefixes = docs.where("n > 0").select("k1", "prefix")
+    far = prefixes.mapInArrow(deal(True), PACKED).groupBy("bucket").applyInArrow(count, PACKED)
+    near = prefixes.mapInArrow(deal(False), PACKED)
+    return far.union(near).groupBy("bucket").applyInArrow(total, "k1 long, c long")
 
 
 def bit_filter(ids: DataFrame) -> np.ndarray | None:
