@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, token_counts, token_records, url_filter, warc
-from tessera.runtime import materialise
+from tessera.runtime import materialise, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -22,7 +22,7 @@ URL_RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
