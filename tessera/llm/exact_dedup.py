@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import lookup, materialise, new_folder
+from tessera.runtime import lookup, materialise, new_folder, stable
 
 
 def normalised(text: Column) -> Column:
@@ -72,15 +72,9 @@ class DigestIndex:
         )
 
 
-def dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
-
-    Rows are fed to the index in ``batches`` of ascending id ranges, as new data would arrive. With a new index,
-    keep_id is the smallest id of all equal texts; with one that held the text before, it is the id stored there, and
-    no row of this call is kept for that text unless it is that very id.
-    """
-    given, index = index, index or DigestIndex(df.sparkSession)
-    members = materialise(df.select(F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest")), "digests")
+def _groups(members: DataFrame, index: DigestIndex | None, batches: int) -> DataFrame:
+    """digest, group_size, keep_id of the texts of ``members`` (id, digest), which are added to the index."""
+    given, index = index, index or DigestIndex(members.sparkSession)
     cuts = sorted(set(members.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     rank = F.coalesce(sum((F.col("id") > F.lit(int(c))).cast("int") for c in cuts), F.lit(len(cuts))) if cuts else F.lit(0)
     for i in range(len(cuts) + 1):
@@ -89,7 +83,18 @@ def dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id
     groups = materialise(sizes.join(index.read(), "digest"), "digest-groups")
     if given is None:
         index.close()
-    out = lookup(members, groups, "digest", "group_size", members.count())
+    return groups
+
+
+def dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+
+    Rows are fed to the index in ``batches`` of ascending id ranges, as new data would arrive. With a new index,
+    keep_id is the smallest id of all equal texts; with one that held the text before, it is the id stored there, and
+    no row of this call is kept for that text unless it is that very id.
+    """
+    members = materialise(df.select(F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest")), "digests")
+    out = lookup(members, _groups(members, index, batches), "digest", "group_size", members.count())
     return out.select(
         F.col("id").alias(id_col),
         "keep_id",
@@ -99,9 +104,14 @@ def dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text is the first of its kind; of rows equal in id and text one stays."""
-    keep = dedup(df, id_col=id_col, text_col=text_col).where("kept").select(F.col(id_col).alias("_id"), "text_sha256").distinct()
-    whole = df.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    stay = whole.join(keep, whole[id_col].eqNullSafe(keep["_id"]) & (whole["_sha"] == keep["text_sha256"]), "left_semi")
-    return stay.dropDuplicates([id_col, "_sha"]).drop("_sha")
+def drop_copies(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+    """The rows of ``df`` whose text is the first of its kind; of rows equal in id and text one stays.
+
+    Rows are numbered as they are read, and only the numbers of rows that stay meet the texts again. Rows are read
+    twice; an input that may change between reads is written first.
+    """
+    df = stable(df, "dedup-input").withColumn("_row", F.monotonically_increasing_id())
+    members = materialise(df.select("_row", F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest")), "digests")
+    found = lookup(members, _groups(members, index, batches), "digest", "group_size", members.count())
+    stay = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("_row").alias("_row"))
+    return df.join(stay.select("_row"), "_row", "left_semi").drop("_row")
