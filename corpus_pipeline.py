@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from tessera.runtime import materialise
 
-#: A document without letters is rejected, and one in which no language has this share of the words. It is low, since
-#: documents with passages of another language are clean too.
+#: A document without letters is rejected, one that no mixture of the learned languages explains, and one in which no language
+#: has this share of the words. It is low, since documents with passages of another language are clean too.
 LEAST_SHARE = 0.35
 
 
@@ -20,7 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs)
     if not model.languages:  # nothing to learn from: nothing to reject by, but for texts without letters
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    return language_id.annotate(docs, model, min_score=LEAST_SHARE).select(*docs.columns)
+    typical = language_id.typical_gain(docs, model)
+    return language_id.annotate(docs, model, min_score=LEAST_SHARE, typical=typical).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,10 @@ hash of the id (the bound of the model's sample; everything that is predicted is
 MOST_LANGUAGES are learned, the most frequent, so the model has at most 256 * 65,536 weights and is shipped with the
 tasks. Prediction is one pass without a shuffle; the language, source and id of a document are not inputs to it.
 
+Shares are relative: they say nothing about whether any learned language fits. The gain does, the mean log-likelihood of a
+text's trigrams under its mixture less that under a flat background. Gibberish and languages that were not learned gain
+little or nothing against what labelled rows gain (``typical_gain``), and a filter can reject them by it (``explained``).
+
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text if there was nothing
 to learn from; equal texts get equal predictions; a tie goes to the first language by name; repeated rows give
 repeated results; an empty table gives an empty table; an input column with the name of a new one is replaced.
@@ -40,6 +44,11 @@ HELD_OUT = 2
 #: Weights gathered at once, over all languages.
 BLOCK_WEIGHTS = 6 << 20
 UNKNOWN = "und"
+#: Share of the typical gain that a text must have, and typical trigrams that are added to those of a text, so that a few
+#: odd ones in a short text don't decide.
+LEAST_GAIN = 0.5
+PRIOR_TRIGRAMS = 8
+BINS_PER_NAT = 100
 
 
 def _letters_only() -> np.ndarray:
@@ -90,13 +99,16 @@ def em(e: np.ndarray, doc: np.ndarray, starts: np.ndarray, words: np.ndarray, al
     return p, np.add.reduceat(np.log((e * p[doc]).sum(1)), starts, dtype=np.float64)
 
 
-def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY, most: int = MOST_LANGUAGES_IN_TEXT) -> np.ndarray:
-    """Selected proportions, texts x languages; zeros for a text without words."""
+def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY, most: int = MOST_LANGUAGES_IN_TEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Selected proportions, texts x languages, and each text's gain and trigrams; zeros for a text without words.
+
+    The gain is the mean over trigrams of ln p(selected mixture) - ln p(background), which gives all buckets the same.
+    """
     bucket, first, words = trigrams(texts)
-    out = np.zeros((len(words), len(model.languages)))
+    out, gain, grams = np.zeros((len(words), len(model.languages))), np.zeros(len(words)), np.zeros(len(words), np.int64)
     full = np.flatnonzero(words)
     if not len(full) or not model.languages:
-        return out
+        return out, gain, grams
     likely = np.add.reduceat(model.log_p[bucket], first, axis=0)
     top = likely.max(1, keepdims=True)
     # a floor keeps a word that only one language explains from ruling out the others altogether
@@ -109,7 +121,7 @@ def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY, most: int
     order = np.argsort(-p, axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(n)[None, :].repeat(len(full), 0), axis=1)
-    best, chosen = np.full(len(full), -np.inf), np.zeros((len(full), n))
+    best, best_fit, chosen = np.full(len(full), -np.inf), np.zeros(len(full)), np.zeros((len(full), n))
     for k in range(1, min(most, n) + 1):
         cost = penalty * k * np.log(words + 1.0)
         # no set fits better than all languages together, so most documents need no larger set
@@ -120,9 +132,11 @@ def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY, most: int
         size = words[open_]
         q, fit = em(e[some], np.repeat(np.arange(len(open_)), size), np.cumsum(size) - size, size, (place[open_] < k).astype(np.float32), 1 if k == 1 else STEPS)
         better = fit - cost[open_] > best[open_]
-        best[open_[better]], chosen[open_[better]] = (fit - cost[open_])[better], q[better]
+        best[open_[better]], best_fit[open_[better]], chosen[open_[better]] = (fit - cost[open_])[better], fit[better], q[better]
     out[full] = chosen / np.maximum(chosen.sum(1, keepdims=True), 1e-9)
-    return out
+    grams[full] = np.add.reduceat(np.diff(np.append(first, len(bucket))), starts)
+    gain[full] = (best_fit + np.add.reduceat(top[:, 0], starts, dtype=np.float64)) / grams[full] + np.log(BUCKETS)
+    return out, gain, grams
 
 
 def held_out(id_: Column) -> Column:
@@ -163,10 +177,36 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(languages, np.log(p).astype(np.float32))
 
 
-def annotate(df: DataFrame, model: Model, text_col: str = "text", min_score: float | None = None) -> DataFrame:
-    """``df`` with lang_pred, score and proportions (map of the selected set); with ``min_score`` also filtered by it.
+def typical_gain(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> float | None:
+    """Median gain of all rows that have a learned language as label, held-out ones too; None without such rows."""
+    small_batches(df.sparkSession)
+    rows = df.where(F.col(lang_col).cast("string").isin(model.languages)).select(F.col(text_col).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for s in pretoken.slices(batch, 0, model.block_bytes()):
+                _, gain, grams = mixtures(s.column(0), model)
+                bins, n = np.unique(np.floor(gain[grams > 0] * BINS_PER_NAT).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(n, pa.int64())], names=["bin", "n"])
+
+    # a gain lies within some 50 nats, so a few thousand rows come to the driver
+    found = rows.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
+    if not len(found):
+        return None
+    upto = found["n"].cumsum().to_numpy()
+    return float(found["bin"].iloc[int(np.searchsorted(upto, upto[-1] / 2))] + 0.5) / BINS_PER_NAT
+
+
+def explained(gain: np.ndarray, grams: np.ndarray, typical: float) -> np.ndarray:
+    """Whether each text gains at least LEAST_GAIN of ``typical``, with PRIOR_TRIGRAMS typical ones added to its own."""
+    return (gain * grams + PRIOR_TRIGRAMS * typical) / (grams + PRIOR_TRIGRAMS) >= LEAST_GAIN * typical
+
+
+def annotate(df: DataFrame, model: Model, text_col: str = "text", min_score: float | None = None, typical: float | None = None) -> DataFrame:
+    """``df`` with lang_pred, score and proportions (map of the selected set); with ``min_score`` also filtered.
 
-    The filter drops ``und`` and documents whose largest language has a smaller share than ``min_score``.
+    The filter drops ``und``, documents whose largest language has a smaller share than ``min_score`` and, given the
+    gain that is ``typical``, documents that the learned languages don't explain.
     """
     small_batches(df.sparkSession)
     new = ["lang_pred", "score", "proportions"]
@@ -179,7 +219,7 @@ def annotate(df: DataFrame, model: Model, text_col: str = "text", min_score: flo
             for s in pretoken.slices(batch, at, model.block_bytes()):
                 text = s.column(at)
                 has_letter = np.array(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_pylist(), bool)
-                p = mixtures(text, model)
+                p, gain, grams = mixtures(text, model)
                 known = has_letter & (p.sum(1) > 0) if p.shape[1] else np.zeros(len(text), bool)
                 p[~known] = 0
                 best = p.argmax(1) if p.shape[1] else np.zeros(len(text), int)
@@ -189,7 +229,10 @@ def annotate(df: DataFrame, model: Model, text_col: str = "text", min_score: flo
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))]).astype(np.int32)
                 shares = pa.MapArray.from_arrays(pa.array(ends), pa.array([model.languages[c] for c in col], pa.string()), pa.array(p[row, col]))
                 out = pa.RecordBatch.from_arrays([*s.columns, pa.array(name, pa.string()), pa.array(score), shares], names=[*s.schema.names, *new])
-                yield out if min_score is None else out.filter(pa.array(known & (score >= min_score)))
+                stays = known & (score >= (min_score or 0.0))
+                if typical is not None:
+                    stays &= explained(gain, grams, typical)
+                yield out if min_score is None else out.filter(pa.array(stays))
 
     return df.mapInArrow(run, schema)
 

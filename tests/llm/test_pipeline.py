@@ -1,3 +1,4 @@
+import random
 import re
 
 from helpers import WORD, near_groups
@@ -49,6 +50,28 @@ def test_rejects_texts_without_a_language(spark):
     assert language_id.train(docs).languages == ["de", "en", "es", "fr"]
 
 
+def test_rejects_gibberish_and_languages_not_learned(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    rng = random.Random(0)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    bad = [" ".join(word() for _ in range(n)) for n in (3, 60, 2000)] + [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由,在尊严和权利上一律平等。",
+    ]
+    clean = {}
+    for r in docs.where("length(text) > 200").orderBy("doc_id").collect():
+        clean.setdefault(r["lang"], r["text"][:200])
+    mixed = [clean["en"] + " " + clean["de"], clean["fr"] + " " + clean["es"]]
+    rows = [(10**6 + i, t, lang, "s", len(t)) for lang, at in ((None, 0), ("en", 100)) for i, t in enumerate(bad, at)]
+    rows += [(2 * 10**6 + i, t, None, "s", len(t)) for i, t in enumerate(mixed)]
+    got = corpus_pipeline.identify_language(spark, docs.union(spark.createDataFrame(rows, docs.schema)), D)
+    stay = {r["doc_id"] for r in got.select("doc_id").collect()}
+    assert {i for i in stay if i >= 10**6} == {2 * 10**6, 2 * 10**6 + 1}
+    assert stay >= {r["doc_id"] for r in docs.where(r"text rlike '\\p{L}'").collect()}
+
+
 def test_empty_corpus(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
