@@ -224,6 +224,22 @@ def rrf(s, d):
     return found.select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
 
 
+# hybrid and rrf keep to documents that have a vector, as their SQL does; these two search every document by keywords,
+# with statistics of the whole corpus, and only the vector list is limited to documents that have a vector
+def whole_found(s, d, k):
+    return index.search(corpus(s, d), vectors(s, d), questions(s), query_vector(s, d), k)
+
+
+@query("hybrid_whole", with_all() + ", " + VECTOR + FUSED + "SELECT n, ord, round(score, 6) AS score FROM h WHERE n <= 6")
+def hybrid_whole(s, d):
+    return whole_found(s, d, 6).select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
+
+
+@query("rrf_whole", with_all() + ", " + VECTOR + FUSED + "SELECT n, ord, round(score, 6) AS score FROM h")
+def rrf_whole(s, d):
+    return whole_found(s, d, 2 * index.LIST_SIZE).select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
+
+
 @query("keyword_search", with_all() + "SELECT rank + 1 AS n, ord, round(1.0::DOUBLE / (61 + rank), 6) AS score FROM kw WHERE rank < 6")
 def keyword_search(s, d):
     return index.keyword_search(corpus(s, d), questions(s)).select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))

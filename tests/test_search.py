@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.operators import answer, index, reports
 
 
@@ -66,6 +67,16 @@ def test_vectors(spark):
     assert {r["ord"]: r["score"] for r in batch.collect()} == scores
 
 
+def test_whole_hybrid_finds_documents_without_a_vector(spark, tmp_path):
+    d = str(tmp_path)
+    docs = [(1, "the thing", "en", "s", 9), (7, "other", "en", "s", 5), (8, "unasked", "en", "s", 7)]
+    frame(spark, docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    frame(spark, [(7, [1.0, 0.0], 0), (9, [0.5, 0.5], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    frame(spark, [(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    for name in ("hybrid_whole", "rrf_whole"):
+        assert [r["ord"] for r in catalog.QUERIES[name](spark, d).orderBy("n").collect()] == [7, 1]
+
+
 def test_index_file(spark, tmp_path):
     docs = frame(spark, [(0, "a b c"), (1, "a a"), (2, "b")], "ord long, text string")
     built = index.Index.build(docs, str(tmp_path / "i"))
