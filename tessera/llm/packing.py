@@ -115,7 +115,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, piece, length, start (in its document), bin_id, bin_length, position (in its bin), bin_used.
 
-    ``tokens`` is the length of a document with its end token; words and one more, if not given.
+    ``tokens`` is the length of a document with its end token; words and one more, if not given, which
+    is less than most tokenizers' counts.
     """
     tokens = words(F.col(text_col)) + 1 if tokens is None else tokens
     items = df.select(

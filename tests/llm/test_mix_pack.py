@@ -156,6 +156,15 @@ def test_pack_query(spark):
     check_pack(rows, queries.op1_best_fit_packing(spark, D).collect(), packing.LENGTHS)
 
 
+def test_pack_by_tokens_measures_tokens(spark):
+    tokens = {r["doc_id"]: r["n_tokens"] + 1 for r in queries.op9_token_counts(spark, D).collect()}
+    by_doc, by_bin = defaultdict(int), defaultdict(int)
+    for r in queries.QUERIES["pack_by_tokens"](spark, D).collect():
+        by_doc[r["doc_id"]] += r["length"]
+        by_bin[r["bin_id"], r["bin_length"]] += r["length"]
+    assert by_doc == tokens and all(used <= size for (_, size), used in by_bin.items())
+
+
 def test_pack_edges(spark):
     rows = [(1, "w " * 100), (1, "w " * 100), (2, None), (3, ""), (None, "a b"), (None, None)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, bin_id int, shard int")
