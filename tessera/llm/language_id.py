@@ -2,7 +2,7 @@
 
 Each language has a distribution over byte trigrams inside words (hashed to BUCKETS). A document is taken as a mixture:
 every word comes from one language. Expectation-maximisation estimates the proportions from the words' likelihoods,
-first over all languages, then over the best one, two, ... MOST_LANGUAGES_IN_TEXT of them; the set with the highest
+first over all languages, then over the best one, two, ... of them, as long as a larger set can still win; the set with the highest
 likelihood less ``penalty * ln(words)`` for each language is selected, and its largest language is the prediction.
 
 Training rows are those with a language whose crc32(id) % 4 is not 2, of each language about ``rows_per_language``, by a
@@ -35,7 +35,6 @@ from tessera.runtime import small_batches
 
 BUCKETS = 1 << 16
 MOST_LANGUAGES = 256
-MOST_LANGUAGES_IN_TEXT = 3
 ROWS_PER_LANGUAGE = 4000
 PENALTY = 1.5
 STEPS = 10
@@ -99,7 +98,7 @@ def em(e: np.ndarray, doc: np.ndarray, starts: np.ndarray, words: np.ndarray, al
     return p, np.add.reduceat(np.log((e * p[doc]).sum(1)), starts, dtype=np.float64)
 
 
-def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY, most: int = MOST_LANGUAGES_IN_TEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Selected proportions, texts x languages, and each text's gain and trigrams; zeros for a text without words.
 
     The gain is the mean over trigrams of ln p(selected mixture) - ln p(background), which gives all buckets the same.
@@ -122,7 +121,7 @@ def mixtures(texts: pa.Array, model: Model, penalty: float = PENALTY, most: int
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(n)[None, :].repeat(len(full), 0), axis=1)
     best, best_fit, chosen = np.full(len(full), -np.inf), np.zeros(len(full)), np.zeros((len(full), n))
-    for k in range(1, min(most, n) + 1):
+    for k in range(1, n + 1):
         cost = penalty * k * np.log(words + 1.0)
         # no set fits better than all languages together, so most documents need no larger set
         open_ = np.flatnonzero(limit - cost > best)

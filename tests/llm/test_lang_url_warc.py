@@ -56,6 +56,18 @@ def test_mixtures_and_odd_texts(spark):
     assert not got[None][0]["held_out"] and got[None][0]["lang_pred"] == "bb"
 
 
+def test_more_than_three_languages_in_a_text(spark):
+    rng = np.random.default_rng(1)
+    words = {x: ["".join(rng.choice(list(x), rng.integers(3, 8))) for _ in range(200)] for x in ("abcde", "fghij", "klmno", "pqrst", "uvwxy")}
+    rows = [(i, " ".join(w[j : j + 40]), x) for x, w in words.items() for i, j in enumerate(range(0, 160, 10))]
+    rows += [(1000 + n, " ".join(" ".join(w[:60]) for w in list(words.values())[:n]), None) for n in (4, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(df).where("doc_id > 1000").collect()}
+    for n in (4, 5):
+        assert got[1000 + n]["proportions"] == pytest.approx({x: 1 / n for x in list(words)[:n]}, abs=0.03)
+        assert got[1000 + n]["score"] == pytest.approx(1 / n, abs=0.03)
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     r = language_id.identify(df).first()
