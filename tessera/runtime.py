@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: A key with more than one row in HOT_SHARE of all rows is hot. At most HOT_SHARE keys can be, whatever the data,
 #: so the hot side of ``lookup`` is always small enough to broadcast.
 HOT_SHARE = 1024
+#: Copies of one row that a task makes in a row.
+CHUNK = 1024
 
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "tessera") -> SparkSession:
@@ -89,6 +92,68 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def free_name(taken, name: str) -> str:
+    """``name``, with underscores put before it until no column has it (names are compared as Spark does, without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_key(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """Two 64-bit hashes of a row's content, the same wherever and however often the row is read.
+
+    Rows with equal keys are taken as equal in every one of ``columns`` (all, if not given).
+    """
+    parts = []
+    for c in columns or df.columns:
+        col = F.col(f"`{c}`")
+        parts += [col.isNull(), col if _hashable(df.schema[c].dataType) else F.to_json(F.struct(col))]
+    return [F.xxhash64(F.lit(salt), *parts) for salt in ("first", "second")]
+
+
+def pick(rows: DataFrame, plan: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``plan`` that takes one row for each of the plan's keys.
+
+    Rows that agree in ``keys`` must be equal, so it doesn't matter which one is taken, and no row needs a number. The
+    plan holds each key once, with the number of its rows in ``times``, and should be materialised. Where rows repeat,
+    those of hot keys are reduced in each task before they are shuffled, and all others meet in bounded groups.
+    """
+    many = plan.where(F.col(times) > 1)
+    if many.isEmpty():
+        return rows.join(plan, keys)
+    hot = plan.where(F.col(times) * HOT_SHARE > F.greatest(F.lit(total), F.lit(HOT_SHARE)))
+    cold = plan.where(F.col(times) * HOT_SHARE <= F.greatest(F.lit(total), F.lit(HOT_SHARE)))
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    single = rest.join(cold.where(F.col(times) == 1), keys)
+    repeated = rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold.where(F.col(times) > 1), keys))
+    others = [c for c in repeated.columns if c not in keys]
+    one = repeated.groupBy(*keys).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_one"))
+    return single.unionByName(one.select(*keys, *[F.col("_one").getField(c).alias(c) for c in others]))
+
+
+def in_chunks(rows: DataFrame, times: str, out: str, most: int, chunk: int = CHUNK) -> DataFrame:
+    """Each row once for every ``chunk`` of its ``times`` copies, with the first copy's number in ``out``.
+
+    ``most`` is the largest of all times. Only if it exceeds the chunk are rows dealt out anew, so that the copies of
+    one row are made by many tasks. Rows with no copies go.
+    """
+    rows = rows.where(F.col(times) > 0)
+    if most <= chunk:
+        return rows.withColumn(out, F.lit(0).cast("long"))
+    few = rows.where(F.col(times) <= chunk).withColumn(out, F.lit(0).cast("long"))
+    many = rows.where(F.col(times) > chunk).withColumn(out, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times).cast("long") - 1, F.lit(chunk).cast("long"))))
+    return few.unionByName(many.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), out))
+
+
 def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of many ``rows`` with one row per key of ``groups``, safe against hot keys.
 
