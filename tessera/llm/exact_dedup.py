@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import lookup, materialise, new_folder, stable
+from tessera.runtime import free_name, lookup, materialise, new_folder, pick, row_key
 
 
 def normalised(text: Column) -> Column:
@@ -107,11 +107,18 @@ def dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id
 def drop_copies(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """The rows of ``df`` whose text is the first of its kind; of rows equal in id and text one stays.
 
-    Rows are numbered as they are read, and only the numbers of rows that stay meet the texts again. Rows are read
-    twice; an input that may change between reads is written first.
+    That one is the row with the smallest content key. Only digests and content keys of the rows that stay meet the
+    texts again, so a second reading of ``df`` may be split in any way. Other columns may have any name.
     """
-    df = stable(df, "dedup-input").withColumn("_row", F.monotonically_increasing_id())
-    members = materialise(df.select("_row", F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest")), "digests")
-    found = lookup(members, _groups(members, index, batches), "digest", "group_size", members.count())
-    stay = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("_row").alias("_row"))
-    return df.join(stay.select("_row"), "_row", "left_semi").drop("_row")
+    names = [free_name(df.columns, n) for n in ("k1", "k2")]
+    k1, k2 = row_key(df)
+    members = df.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest"))
+    members = materialise(members, "digests")
+    total = members.count()
+    found = lookup(members, _groups(members, index, batches), "digest", "group_size", total)
+    own = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    stay = own.groupBy("digest").agg(F.min(F.struct("k1", "k2", "n")).alias("k"))
+    times = free_name(df.columns, "times")
+    plan = materialise(stay.select(F.col("k.k1").alias(names[0]), F.col("k.k2").alias(names[1]), F.col("k.n").alias(times)), "dedup-plan")
+    rows = df.withColumn(names[0], k1).withColumn(names[1], k2)
+    return pick(rows, plan, names, times, total).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -9,7 +9,7 @@ from pyarrow import fs
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of an address such as file:///..., hdfs://... or s3://..."""
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
 def new_file(folder: str, part: int, suffix: str):
@@ -28,3 +28,11 @@ def read_range(uri: str, start: int, end: int) -> bytes:
     system, path = place(uri)
     with system.open_input_file(path) as f:
         return f.read_at(end - start, start)
+
+
+def open_at(uri: str, start: int):
+    """A stream that reads a file from ``start`` on."""
+    system, path = place(uri)
+    f = system.open_input_file(path)
+    f.seek(start)
+    return f

@@ -14,8 +14,7 @@ text is never exploded.
 Defined results: a null text is empty; a text without words has no tuples, and two such are alike (1.0), with any
 other 0.0; fewer than K words are one k-mer; equal texts have equal fingerprints; null ids come first in the order of
 documents and rows of equal id are ordered by a hash of the text; a single document is its own next one; an empty
-table gives an empty table; other columns are not read. ``edited_pairs`` numbers rows as they are read and reads them
-twice; an input that may change between reads is written first.
+table gives an empty table; other columns are not read; a text of more than 134 million words is an error.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise, running_total, stable
+from tessera.runtime import CHUNK, in_chunks, materialise, pick, row_key, running_total
 
 K = 3
 TUPLE = 2
@@ -52,6 +51,8 @@ def with_tuples(df: DataFrame, text_col: str, out: str = "tuples") -> DataFrame:
     """Add an ascending array of (bucket << 32 | hash of the tuple), one number per bucket that is not empty."""
     h = F.transform(_words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.xxhash64(w))
     df = df.withColumn("_h", h)
+    too_long = F.raise_error(F.lit(f"a text has more than {PLACE} words")).cast("array<bigint>")
+    df = df.withColumn("_h", F.when(F.size("_h") > PLACE, too_long).otherwise(F.col("_h")))
     n = F.size("_h")
     runs = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(K)]))
     kmers = F.when(n >= K, runs).when(n > 0, F.array(F.xxhash64("_h"))).otherwise(F.array().cast("array<bigint>"))
@@ -107,40 +108,56 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Texts are shuffled once, by row number, together with what the document before needs of them.
+    Rows are known by a key made of id and text, so nothing depends on how a reading is split. Rows equal in both are
+    one document with a number of copies: each copy's next one is its equal, but for the last. Texts are shuffled once,
+    by key, together with what the document before needs of them.
     """
-    df = stable(df.select(id_col, text_col), "fingerprint-input")
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    ids = docs.select("row", "id", F.xxhash64("text").alias("hash"), F.length("text").alias("n_chars"))
-    placed = running_total(ids, [F.col("id").asc_nulls_first(), F.col("hash"), F.col("row")], F.lit(1), "place", "fingerprint-order")
-    placed = materialise(placed.select("row", "id", "place", F.floor(F.col("n_chars") / 4).cast("int").alias("need")), "fingerprint-places")
-    total = placed.count()
-    before = placed.select(F.pmod(F.col("place") + 1, F.lit(max(total, 1))).alias("place"), F.col("row").alias("to_row"), F.col("place").alias("to_place"), F.col("need").alias("to_need"))
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    k1, k2 = row_key(docs)
+    docs = docs.withColumn("k1", k1).withColumn("k2", k2)
+    ids = docs.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("times"), F.first(F.length("text")).alias("n_chars"))
+    placed = running_total(ids, [F.col("id").asc_nulls_first(), F.col("k1"), F.col("k2")], F.col("times"), "place", "fingerprint-order")
+    placed = materialise(placed.select("k1", "k2", "id", "times", "place", F.floor(F.col("n_chars") / 4).cast("int").alias("need")), "fingerprint-places")
+    total, most = placed.agg(F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.max("times"), F.lit(0))).first()
+    after = F.pmod(F.col("place") + F.col("times"), F.lit(max(total, 1)))
+    before = placed.select(after.alias("place"), F.col("k1").alias("to_k1"), F.col("k2").alias("to_k2"), F.col("place").alias("to_place"), F.col("need").alias("to_need"))
     plan = materialise(placed.join(before, "place"), "fingerprint-plan")
     # both uses take the same columns of the texts, so their shuffle is done once
-    texts = docs.select("row", "text")
-    heads = texts.join(plan.select("row", "to_row", "to_need"), "row").select(F.col("to_row").alias("row"), F.substring("text", F.lit(1), F.col("to_need")).alias("head"))
-    full = texts.join(plan.select("row", "id", "place", "to_place", "need"), "row").join(heads, "row")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("need")), F.col("head"))
-    both = full.select("place", "to_place", "id", F.posexplode(F.array("text", edited)).alias("kind", "t"))
-    both = both.select("place", "to_place", F.when(F.col("kind") == 0, F.col("id")).alias("id"), "kind", "t", F.length("t").alias("n"), F.when(F.col("kind") == 1, F.sha2("t", 256)).alias("sha"))
+    texts = docs.select("k1", "k2", "text")
+    heads = pick(texts, plan.select("k1", "k2", "to_k1", "to_k2", "to_need", "times"), ["k1", "k2"], "times", total)
+    heads = heads.select(F.col("to_k1").alias("k1"), F.col("to_k2").alias("k2"), F.substring("text", F.lit(1), F.col("to_need")).alias("head"))
+    full = pick(texts, plan.select("k1", "k2", "place", "to_place", "need", "times"), ["k1", "k2"], "times", total).join(heads, ["k1", "k2"])
+    cut = F.substring("text", F.lit(1), F.length("text") - F.col("need"))
+    # 0: the text; 1: edited with the next document; 2: edited with its equal, if it has one
+    kinds = F.array("text", F.concat(cut, F.col("head")))
+    if most > 1:
+        kinds = F.when(F.col("times") > 1, F.concat(kinds, F.array(F.concat(cut, F.substring("text", F.lit(1), F.col("need")))))).otherwise(kinds)
+    both = full.select("place", "to_place", F.posexplode(kinds).alias("kind", "t"))
+    both = both.select("place", "to_place", "kind", "t", F.length("t").alias("n"), F.when(F.col("kind") > 0, F.sha2("t", 256)).alias("sha"))
     made = with_tuples(both, "t").drop("t")
     # an original goes to its own place and, as the next one, to the place before
-    goes = F.when(
-        F.col("kind") == 0,
-        F.array(F.struct(F.col("place").alias("at"), F.lit(0).alias("as")), F.struct(F.col("to_place").alias("at"), F.lit(2).alias("as"))),
-    ).otherwise(F.array(F.struct(F.col("place").alias("at"), F.lit(1).alias("as"))))
-    sent = made.withColumn("_go", F.explode(goes)).select("_go.at", "_go.as", "id", "n", "sha", "tuples")
-    pick = lambda c, k: F.first(F.when(F.col("as") == k, F.col(c)), ignorenulls=True)
+    to = lambda at, as_: F.struct(F.col(at).alias("at"), as_.cast("int").alias("as"))
+    goes = F.when(F.col("kind") == 0, F.array(to("place", F.lit(0)), to("to_place", F.lit(3)))).otherwise(F.array(to("place", F.col("kind"))))
+    sent = made.withColumn("_go", F.explode(goes)).select("_go.at", "_go.as", "n", "sha", "tuples")
+    pick_ = lambda c, k: F.first(F.when(F.col("as") == k, F.col(c)), ignorenulls=True)
     rows = sent.groupBy("at").agg(
-        pick("id", 0).alias("id"), pick("n", 0).alias("n_chars"), pick("sha", 1).alias("sha"), *[pick("tuples", k).alias(f"_{k}") for k in range(3)]
+        pick_("n", 0).alias("n_chars"), pick_("sha", 1).alias("sha_1"), pick_("sha", 2).alias("sha_2"), *[pick_("tuples", k).alias(f"_{k}") for k in range(4)]
     )
+    rows = rows.join(placed.select(F.col("place").alias("at"), "id", "times"), "at")
+    line = lambda sha, edited, near: F.struct(
+        F.col(sha).alias("edited_sha256"), as_text(F.col(edited)).alias("edited_fingerprint"), likeness(F.col("_0"), F.col(edited)).alias("near_edited"), near.alias("near_next")
+    )
+    rows = rows.withColumn("_last", line("sha_1", "_1", likeness(F.col("_0"), F.col("_3"))))
+    if most > 1:
+        rows = in_chunks(rows, "times", "_from", most).withColumn("_inner", line("sha_2", "_2", F.lit(1.0)))
+        end = F.least(F.col("times"), F.col("_from") + CHUNK)
+        rows = rows.withColumn("_k", F.explode(F.sequence(F.col("_from"), end - 1))).withColumn("_last", F.when(F.col("_k") == F.col("times") - 1, F.col("_last")).otherwise(F.col("_inner")))
     return rows.select(
         F.col("id").alias(id_col),
         F.col("n_chars").cast("long").alias("n_chars"),
-        F.col("sha").alias("edited_sha256"),
+        "_last.edited_sha256",
         as_text(F.col("_0")).alias("fingerprint"),
-        as_text(F.col("_1")).alias("edited_fingerprint"),
-        likeness(F.col("_0"), F.col("_1")).alias("near_edited"),
-        likeness(F.col("_0"), F.col("_2")).alias("near_next"),
+        "_last.edited_fingerprint",
+        "_last.near_edited",
+        "_last.near_next",
     )

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.runtime import materialise, running_total, stable
+from tessera.runtime import CHUNK, free_name, in_chunks, materialise, pick, row_key, running_total
 
 WEIGHTS = (5, 2, 1)
 SLOTS = 4096
@@ -105,13 +105,14 @@ def multipliers(counts: DataFrame, goals: DataFrame, cap: int = 3, tolerance: fl
     return state.select("source", "multiplier")
 
 
-def _documents(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def _documents(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, key: list[Column]) -> DataFrame:
     docs = df.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         words(F.col(text_col)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"),
-        F.monotonically_increasing_id().alias("_row"),
+        key[0].alias("_k1"),
+        key[1].alias("_k2"),
     )
     return materialise(docs, "mix-documents")
 
@@ -121,28 +122,38 @@ def mix(df: DataFrame, weights=WEIGHTS, cap: int = 3, id_col: str = "doc_id", te
 
     taken = copies * size + partial; partial words, fewer than size, are the start of one more, cut copy.
     """
-    rows = _mixed(_documents(df, id_col, text_col, source_col, seed), weights, cap)
-    return rows.drop("_row").withColumnsRenamed({"id": id_col, "source": source_col})
+    key = [F.lit(0).cast("long")] * 2  # rows need not be found again
+    rows = _mixed(_documents(df, id_col, text_col, source_col, seed, key), weights, cap)
+    return rows.drop("_k1", "_k2").withColumnsRenamed({"id": id_col, "source": source_col})
 
 
 def copies(df: DataFrame, weights=WEIGHTS, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """The mix itself, in the columns of ``df``: each row as often as it is taken, and cut copies with their first words.
 
-    A column n_chars, if there is one, follows the text of a cut copy. Rows are numbered as they are read, and are read
-    twice; an input that may change between reads is written first.
+    A column n_chars, if there is one, follows the text of a cut copy; other columns may have any name. Rows are known
+    by their content, so a second reading of ``df`` may be split in any way.
     """
-    df = stable(df, "mix-input")
-    rows = _mixed(_documents(df, id_col, text_col, source_col, seed), weights, cap)
-    plan = rows.where("taken > 0").select("_row", F.col("copies").alias("_copies"), F.col("partial").alias("_partial"))
-    full = df.withColumn("_row", F.monotonically_increasing_id()).join(plan, "_row")
-    part = F.when(F.col("_partial") > 0, F.array(F.col("_partial"))).otherwise(F.array().cast("array<bigint>"))
-    full = full.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("_copies").cast("int")), part)))
+    rows = _mixed(_documents(df, id_col, text_col, source_col, seed, row_key(df)), weights, cap)
+    k1, k2, n, partial, times, first, cut = (free_name(df.columns, x) for x in ("k1", "k2", "copies", "partial", "times", "first", "cut"))
+    # of all rows of a source at most one is taken in part
+    plan = rows.where("taken > 0").groupBy(F.col("_k1").alias(k1), F.col("_k2").alias(k2))
+    plan = plan.agg(F.sum("copies").alias(n), F.max("partial").alias(partial))
+    sizes = rows.groupBy(F.col("_k1").alias(k1), F.col("_k2").alias(k2)).agg(F.count(F.lit(1)).alias(times))
+    plan = materialise(plan.join(sizes, [k1, k2]), "mix-plan")
+    total, most = plan.agg(F.coalesce(F.sum(times), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    keyed = df.withColumns(dict(zip((k1, k2), row_key(df), strict=True)))
+    full = pick(keyed, plan, [k1, k2], times, total)
+    part = full.where(F.col(partial) > 0).withColumn(cut, F.col(partial))
+    whole = in_chunks(full, n, first, most)
+    each = F.least(F.lit(CHUNK).cast("long"), F.col(n) - F.col(first)).cast("int")
+    whole = whole.withColumn(cut, F.explode(F.array_repeat(F.lit(0).cast("long"), each))).drop(first)
+    full = whole.unionByName(part)
     ws = r"[\x20\x09-\x0D]"
-    first = F.array_join(F.slice(F.split(F.regexp_replace(F.col(text_col), f"^{ws}+", ""), f"{ws}+"), F.lit(1), F.greatest(F.col("_cut"), F.lit(1)).cast("int")), " ")
-    full = full.withColumn(text_col, F.when(F.col("_cut") > 0, first).otherwise(F.col(text_col)))
+    start = F.array_join(F.slice(F.split(F.regexp_replace(F.col(text_col), f"^{ws}+", ""), f"{ws}+"), F.lit(1), F.greatest(F.col(cut), F.lit(1)).cast("int")), " ")
+    full = full.withColumn(text_col, F.when(F.col(cut) > 0, start).otherwise(F.col(text_col)))
     if "n_chars" in df.columns:
-        full = full.withColumn("n_chars", F.when(F.col("_cut") > 0, F.length(text_col).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return full.select(*df.columns)
+        full = full.withColumn("n_chars", F.when(F.col(cut) > 0, F.length(text_col).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return full.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _mixed(docs: DataFrame, weights, cap: int) -> DataFrame:
@@ -184,13 +195,14 @@ def _mixed(docs: DataFrame, weights, cap: int) -> DataFrame:
     )
     sure = materialise(sure, "mix-slots")
     placed = rated.join(sure, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slot") == F.col("_k")))
-    inside = Window.partitionBy("source", "_slot").orderBy("_late", "_hash", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_slot").orderBy("_late", "_hash", F.col("id").asc_nulls_last(), "_k1", "_k2").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("_left") - F.coalesce(F.sum("_room").over(inside), F.lit(0))
     extra = F.greatest(F.lit(0), F.least(left, F.col("_room")))
     placed = placed.withColumn("_extra", extra)
     whole = F.when((F.col("_room") > 0) & (F.col("_extra") == F.col("_room")), 1).otherwise(0)
     return placed.select(
-        "_row",
+        "_k1",
+        "_k2",
         "id",
         "source",
         "size",

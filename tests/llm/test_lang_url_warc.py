@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 import math
@@ -228,12 +229,29 @@ def test_payloads_come_back_whole(spark):
 def test_assembly_follows_both_directions(spark):
     empty = {"target_uri": None, "date": None, "refers_to": None, "content_type": None, "declared_digest": None, "fields": {}, "payload_bytes": 0, "payload_digest": "", "block": None}
     rec = lambda i, t, *to: {"record_id": i, "type": t, "concurrent_to": list(to), **empty}
-    rows = [rec("r1", "response", "q1"), rec("q1", "request"), rec("m1", "metadata", "q1"), rec("r2", "response"), rec("q2b", "request", "r2"), rec("q2a", "request", "r2"), rec("w", "warcinfo"), rec("r3", "revisit")]
+    rows = [rec("r1", "response", "q1"), rec("q1", "request"), rec("m1", "metadata", "q1"), rec("r2", "response"), rec("q2b", "request", "r2"), rec("q2a", "request", "r2"), rec("w", "warcinfo"), rec("r3", "revisit"), rec("m2", "metadata", "m1"), rec("m3", "metadata", "m2")]
     got = {r["capture_id"]: r for r in warc.assemble(spark.createDataFrame(rows, warc.RECORDS)).collect()}
     assert set(got) == {"r1", "r2", "r3"}
-    assert (got["r1"]["request"]["record_id"], got["r1"]["metadata"]["record_id"]) == ("q1", "m1")
-    assert (got["r2"]["request"]["record_id"], got["r2"]["n_requests"], got["r2"]["metadata"]) == ("q2a", 2, None)
-    assert (got["r3"]["request"], got["r3"]["n_metadata"]) == (None, 0)
+    names = lambda rs: [r["record_id"] for r in rs]
+    # chains are followed to their end, and every record is kept
+    assert (names(got["r1"]["requests"]), names(got["r1"]["metadata"]), got["r1"]["n_metadata"]) == (["q1"], ["m1", "m2", "m3"], 3)
+    assert (names(got["r2"]["requests"]), got["r2"]["n_requests"], got["r2"]["metadata"]) == (["q2a", "q2b"], 2, [])
+    assert (got["r3"]["requests"], got["r3"]["n_metadata"]) == ([], 0)
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    """No manifest, several members, payloads in transfer and content codings."""
+    page = b"<html>" + b"y" * 5000
+    packed = gzip.compress(page)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(packed[a : a + 7]), packed[a : a + 7]) for a in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    http = lambda extra, body: b"HTTP/1.1 200 OK\r\n" + extra + b"\r\n\r\n" + body
+    kind = [("Content-Type", "application/http; msgtype=response")]
+    bodies = [http(b"X: y", page), http(b"Content-Encoding: gzip", packed), http(b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked), http(b"Content-Encoding: br", b"?")]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc.gz").write_bytes(b"".join(warc.record("response", f"<urn:{i}>", kind, b) for i, b in enumerate(bodies)))
+    got = {r["record_id"]: r for r in warc.read(warc.archives(spark, f"file://{tmp_path}")).collect()}
+    want = hashlib.sha256(page).hexdigest()
+    assert [got[f"<urn:{i}>"]["payload_digest"] for i in range(4)] == [want] * 3 + [hashlib.sha256(b"?").hexdigest()]
 
 
 def test_broken_archives_are_errors():
