@@ -3,6 +3,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import language_id, queries, url_filter, warc
 
@@ -106,41 +108,39 @@ def rule(host, path):
     return max(found)[1:] if found else (None, None)
 
 
-def restated_verdicts(urls):
-    low = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
-    fold = lambda u: "^^" + re.sub(r"[^a-z0-9./:\-_?=&#%+~@]", "~", low(u)) + "$"
-    grams = lambda u: [fold(u)[i : i + 3] for i in range(len(fold(u)) - 2)]
-    held = lambda u: zlib.crc32((u or "").encode()) % 4 == 0
+def restated_verdicts(urls, order=url_filter.ORDER):
+    frame = lambda u: url_filter.START * order + u + url_filter.END
+    grams = lambda u: [frame(u)[i : i + order + 1] for i in range(len(u) + 1)]
+    part = lambda u: {0: "test", 1: "calibrate", 2: "calibrate"}.get(zlib.crc32(u.encode()) % 8, "train")
     seen = {"allow": Counter(), "block": Counter()}
     for u in urls:
         act = rule(*split(u))[1]
-        if act and not held(u):
+        if act and part(u) == "train":
             seen[act].update(grams(u))
+    characters = len({g[-1] for u in urls if u for g in grams(u)})
 
     def tables(n):
         out = []
-        for order in (0, 1, 2):
+        for k in range(order + 1):
             pairs, whole, kinds = Counter(), Counter(), defaultdict(set)
             for g, c in n.items():
-                pairs[g[2 - order :]] += c
-                whole[g[2 - order : 2]] += c
-                kinds[g[2 - order : 2]].add(g[2 - order :])
+                pairs[g[order - k :]] += c
+                whole[g[order - k : order]] += c
+                kinds[g[order - k : order]].add(g[-1])
             out.append((pairs, whole, kinds))
         return out
 
     models = {k: tables(n) for k, n in seen.items()}
 
     def p(g, which):
-        q = 1 / (len(url_filter.ALPHABET) + 1)
-        for order, (pairs, whole, kinds) in enumerate(models[which]):
-            c = g[2 - order : 2]
+        q = 1 / characters
+        for k, (pairs, whole, kinds) in enumerate(models[which]):
+            c = g[order - k : order]
             if whole[c]:
-                q = (pairs[g[2 - order :]] + len(kinds[c]) * q) / (whole[c] + len(kinds[c]))
+                q = (pairs[g[order - k :]] + len(kinds[c]) * q) / (whole[c] + len(kinds[c]))
         return q
 
     def score(u):
-        if not u:
-            return 0.0
         x = [math.log(p(g, "allow") / p(g, "block")) for g in grams(u)]
         return round(sum(x) / len(x), 9)
 
@@ -148,17 +148,38 @@ def restated_verdicts(urls):
     bins = defaultdict(lambda: [0, 0])
     for u in urls:
         act = rule(*split(u))[1]
-        if act and held(u):
+        if act and part(u) == "calibrate":
             bins[math.floor(scores[u] * 200)][act == "block"] += 1
     cut = url_filter.threshold([(k, *v) for k, v in bins.items()])
-    return [(*split(u), rule(*split(u))[0], rule(*split(u))[1] or ("allow" if not u or scores[u] >= cut else "block")) for u in urls]
+    return [(*split(u), rule(*split(u))[0], rule(*split(u))[1] or ("allow" if not u or scores[u] >= cut else "block"), round(scores.get(u, 0.0), 6)) for u in urls]
 
 
 def test_urls_by_brute_force(spark):
     rows = [tuple(r) for r in queries.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url").collect()]
     want = sorted((i, *v) for (i, _), v in zip(rows, restated_verdicts([u for _, u in rows]), strict=True))
-    got = queries.op10_url_filter(spark, "/root/testdata/sf0.01").select("page_id", "host", "path", "rule", "verdict").collect()
-    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+    got = queries.op10_url_filter(spark, "/root/testdata/sf0.01").select("page_id", "host", "path", "rule", "verdict", "score").collect()
+    assert sorted(((*tuple(r)[:5], round(r["score"], 6)) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_rates_on_urls_that_neither_train_nor_calibrate(spark):
+    judged = queries.op10_url_filter(spark, "/root/testdata/sf0.1")
+    got = {r["action"]: r["right"] / r["n"] for r in url_filter.rates(judged).collect()}
+    assert got["allow"] > 0.9 and got["block"] > 0.9
+
+
+def test_windows(spark):
+    cut = lambda u: spark.createDataFrame([(u,)], "u string").select(url_filter.windows(F.col("u"), 2).alias("w")).first()["w"]
+    s, e = url_filter.START, url_filter.END
+    assert cut("a\nb") == [s + s + "a", s + "a\n", "a\nb", "\nb" + e] and cut("") == [s + s + e]
+    assert cut("\U0001f600b\U0001f601") == [s + s + "\U0001f600", s + "\U0001f600b", "\U0001f600b\U0001f601", "b\U0001f601" + e]
+
+
+def test_long_urls_take_linear_time(spark):
+    long = "http://q.com/" + "\u00e9a%" * 330_000
+    rows = [(i, f"http://example.com/en/{i}/x") for i in range(100)] + [(1000, long), (1001, long)]
+    began = time.time()
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).where("page_id >= 1000").collect()
+    assert len(got) == 2 and got[0]["score"] == got[1]["score"] and time.time() - began < 60
 
 
 def test_odd_urls(spark):
