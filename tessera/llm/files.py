@@ -36,3 +36,25 @@ def open_at(uri: str, start: int):
     f = system.open_input_file(path)
     f.seek(start)
     return f
+
+
+class Opened:
+    """Ranges of many files, a few of which are kept open."""
+
+    MOST = 32
+
+    def __enter__(self):
+        self.streams = {}
+        return self
+
+    def __exit__(self, *_):
+        for f in self.streams.values():
+            f.close()
+
+    def read(self, uri: str, start: int, size: int) -> bytes:
+        if uri not in self.streams:
+            if len(self.streams) >= self.MOST:
+                self.streams.pop(next(iter(self.streams))).close()
+            system, path = place(uri)
+            self.streams[uri] = system.open_input_file(path)
+        return self.streams[uri].read_at(size, start)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -20,6 +19,8 @@ import pyarrow as pa
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Bytes worked on at once; working arrays take some 60 times as much.
 BLOCK_BYTES = 2 << 20
+#: Bytes that are looked through at once for a place to cut a long text.
+CUT_BYTES = 1 << 14
 # White space of the Unicode property White_Space.
 WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -92,21 +93,62 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[
         i = j
 
 
-def blocks(raw: np.ndarray, offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each character of valid UTF-8 begins, its code point and its class."""
+    lead = np.flatnonzero((raw & 0xC0) != 0x80)
+    head = raw[lead]
+    cp = head.astype(np.int32)
+    kind = classes()[:256][head]
+    high = np.flatnonzero(head >= 0x80)
+    if len(high):
+        padded, at = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int32), lead[high]
+        first, a, b, c = cp[high], *(padded[at + k] & 0x3F for k in (1, 2, 3))
+        wide = np.where(first < 0xE0, (first & 0x1F) << 6 | a, (first & 0x0F) << 12 | a << 6 | b)
+        cp[high] = np.where(first < 0xF0, wide, (first & 0x07) << 18 | a << 12 | b << 6 | c)
+        kind[high] = classes()[cp[high]]
+    return lead, cp, kind
+
+
+def cut_after(raw: np.ndarray, at: int, specials: dict[bytes, int] | None = None) -> int:
+    """First place from ``at`` on where a pre-token begins whatever stands around it; the end, if there is none.
+
+    That is where a run of letters, of numbers or of other characters ends, but for other characters that end in an
+    apostrophe before a letter (it may belong to a contraction). Places inside of a special string don't count.
+    """
+    longest = max(map(len, specials or {}), default=0)
+    while at < len(raw):
+        while at > 0 and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        stop = min(len(raw), at + CUT_BYTES)
+        while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+            stop += 1
+        lead, cp, kind = code_points(raw[at:stop])
+        before, after = kind[:-1], kind[1:]
+        safe = (before != after) & (before != SPACE) & ~((before == OTHER) & (after == LETTER) & (cp[:-1] == 0x27))
+        for p in (lead[1:][safe] + at).tolist():
+            near = raw[max(0, p - longest + 1) : p + longest - 1].tobytes() if longest else b""
+            own = p - max(0, p - longest + 1)
+            if not any(0 <= (q := near.find(w, max(0, own - len(w) + 1))) < own for w in specials or {}):
+                return p
+        if stop == len(raw):
+            break
+        at = stop - 1  # its last character is the next piece's first
+    return len(raw)
+
+
+def blocks(raw: np.ndarray, offsets: np.ndarray, size: int = BLOCK_BYTES, specials: dict[bytes, int] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut texts into blocks of about ``size`` bytes: (first text, one past the last, bytes, offsets in the block).
 
-    A text longer than that comes in several blocks, cut only before a single space between printable ASCII
-    characters, where a pre-token always begins.
+    A text longer than that comes in several blocks, cut where a pre-token begins in any case (``cut_after``).
     """
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         part = raw[offsets[i] : offsets[j]]
         if j == i + 1 and len(part) > size:
-            whole, a = part.tobytes(), 0
-            while a < len(whole):
-                m = re.compile(rb"[!-~] (?=[!-~])").search(whole, a + size)
-                b = m.end() - 1 if m else len(whole)
+            a = 0
+            while a < len(part):
+                b = cut_after(part, a + size, specials)
                 yield i, j, part[a:b], np.array([0, b - a])
                 a = b
         else:
@@ -118,17 +160,7 @@ def split(raw: np.ndarray, offsets: np.ndarray, specials: dict[bytes, int] | Non
     """Byte offsets at which pre-tokens begin, and the id of the special token that begins there, or -1."""
     if not len(raw):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    lead = np.flatnonzero((raw & 0xC0) != 0x80)
-    head = raw[lead]
-    cp = head.astype(np.int32)
-    kind = classes()[:256][head]
-    high = np.flatnonzero(head >= 0x80)
-    if len(high):
-        padded, at = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int32), lead[high]
-        first, a, b, c = cp[high], *(padded[at + k] & 0x3F for k in (1, 2, 3))
-        wide = np.where(first < 0xE0, (first & 0x1F) << 6 | a, (first & 0x0F) << 12 | a << 6 | b)
-        cp[high] = np.where(first < 0xF0, wide, (first & 0x07) << 18 | a << 12 | b << 6 | c)
-        kind[high] = classes()[cp[high]]
+    lead, cp, kind = code_points(raw)
     n = len(lead)
     edge = np.zeros(n + 1, bool)  # texts and special tokens begin and end here
     edge[np.searchsorted(lead, offsets)] = True

@@ -5,8 +5,8 @@ array of symbols. In each round every pre-token's lowest-rank pair is found and
 are merged, for all pre-tokens of the batch at the same time. Pre-tokens without a pair to merge leave the array with
 their number of symbols. A document's count is the sum over its pre-tokens; special strings count as one.
 
-Only (id, text) enters, only counts leave, nothing is shuffled, and memory follows the batch. Long texts are worked on
-in blocks cut where a pre-token begins.
+Only (id, text) enters, only counts leave, nothing is shuffled, and memory follows the batch. Long texts of any script are
+worked on in blocks cut where a pre-token begins; only a single pre-token (a run of letters, say) is never cut.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows give repeated results; an empty table
 gives an empty table; other columns are not read.
@@ -119,10 +119,11 @@ def counts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and tokens of each text."""
     raw, offsets = pretoken.utf8_of(texts)
     tokens, table = np.zeros(len(offsets) - 1, np.int64), merges(path)
-    for i, j, part, at in pretoken.blocks(raw, offsets):
+    specials = pretoken.special_tokens(path)
+    for i, j, part, at in pretoken.blocks(raw, offsets, specials=specials):
         if not len(part):
             continue
-        starts, special = pretoken.split(part, at, pretoken.special_tokens(path))
+        starts, special = pretoken.split(part, at, specials)
         group, begin, end = pretoken.distinct(part, starts)
         lengths = end - begin
         flat = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))

@@ -8,7 +8,7 @@ A record file is a row of frames, as in the TFRecord format:
     check    4 bytes: masked CRC-32C of the payload
 
 Flag 1: the id is null. Flag 2: ids of 4 bytes, taken if one is above 65,535. The index is a Parquet table, one row per
-record: part, seq, doc_id, file, offset, length, n_tokens; it serves reads in any order.
+record: part, seq, doc_id, file, offset, length, n_tokens; `read_shuffled` reads records through it in a random order.
 
 Texts are encoded by the tokenizers library. Equal pre-tokens of a batch are encoded once: they are found by the
 pre-tokenizer's own split, and since no merge crosses one, a text's ids are those of its pre-tokens in a row.
@@ -29,7 +29,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,7 +102,7 @@ class Encoder:
         """Ids of all texts in a row, and the number of each."""
         raw, offsets = pretoken.utf8_of(texts)
         parts, counts = [], np.zeros(len(offsets) - 1, np.int64)
-        for i, j, part, at in pretoken.blocks(raw, offsets, ENCODE_BYTES):
+        for i, j, part, at in pretoken.blocks(raw, offsets, ENCODE_BYTES, pretoken.special_tokens(self.path)):
             if not len(part):
                 continue
             if len(self.memo) > MEMO_PIECES:
@@ -180,8 +180,10 @@ def write(df: DataFrame, vocabulary: str, end_id: int | None, folder: str | None
     folder = folder or new_folder(spark, "token-records")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # rows equal in id and text are parted by the partition they are read in, which a repeated task does not change
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = rows.withColumn("tie", F.spark_partition_id())
+    rows = rows.repartitionByRange(n, *order, F.col("tie")).sortWithinPartitions(*order).drop("tie")
 
     def run(batches):
         lib, part, out, offset, seq = encoder(vocabulary), TaskContext.get().partitionId(), None, 0, 0
@@ -246,6 +248,34 @@ def with_starts(records: DataFrame) -> DataFrame:
     return records.withColumn("_own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, "part").withColumn("start", F.col("_own") + F.col("_ahead")).drop("_own", "_ahead")
 
 
-def read_shuffled(spark: SparkSession, index: DataFrame, seed: int) -> DataFrame:
-    """The index in a random order that depends on ``seed`` and the records alone: the plan of a shuffled read."""
-    return index.orderBy(F.xxhash64(F.lit(seed), "part", "seq"))
+def read_shuffled(index: DataFrame, seed: int, partitions: int | None = None) -> DataFrame:
+    """Records in a random order that depends on ``seed`` and the records alone: doc_id, ids (array of int), place.
+
+    The index alone is sorted, by a hash; each task then reads its records one by one, at the offsets the index gives,
+    and checks them. ``place`` is the record's hash, so ``orderBy("place")`` is the order of the whole table.
+    """
+    place = F.xxhash64(F.lit(seed), "part", "seq")
+    n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = index.select(place.alias("place"), "part", "seq", "file", "offset", "length")
+    plan = plan.repartitionByRange(n, "place", "part", "seq").sortWithinPartitions("place", "part", "seq").select("place", "file", "offset", "length")
+
+    def run(batches):
+        with files.Opened() as opened:
+            for batch in batches:
+                rows, held = [], 0
+                for r in batch.to_pylist():
+                    _, doc_id, ids = parse(opened.read(r["file"], r["offset"], r["length"]))[0]
+                    rows.append((doc_id, ids, r["place"]))
+                    held += r["length"]
+                    if held > READ_BYTES:
+                        yield shown(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield shown(rows)
+
+    def shown(rows):
+        ends = np.concatenate([[0], np.cumsum([len(x) for _, x, _ in rows])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x.astype(np.int32) for _, x, _ in rows])))
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in rows], pa.int64()), ids, pa.array([p for _, _, p in rows], pa.int64())], names=["doc_id", "ids", "place"])
+
+    return plan.mapInArrow(run, "doc_id long, ids array<int>, place long")

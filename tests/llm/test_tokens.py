@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -51,10 +53,66 @@ def test_long_text_in_blocks(library, monkeypatch):
     text = "the quick brown fox's  jump, " * 300
     want = len(ids(library, text))
     for size in (64, 1000):
-        monkeypatch.setattr(pretoken.blocks, "__defaults__", (size,))
+        monkeypatch.setattr(pretoken.blocks, "__defaults__", (size, None))
         assert token_counts.counts(pa.array([text, "x", text]), PATH)[1].tolist() == [want, 1, want]
 
 
+SCRIPTS = {
+    "cyrillic": "Все люди рождаются свободными и равными в своём достоинстве, и правах; они'с наделены 12разумом. ",
+    "chinese": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "arabic": "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق، وقد وهبوا عقلاً وضميراً. ",
+    "mixed": "it's 'll<|endoftext|>'s x'' '1 ''a!'s\u3000\u3000b \r\n🙂🙂'🙂é9 ",
+}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_long_texts_of_any_script_are_cut(library, monkeypatch, script):
+    text = SCRIPTS[script] * 60
+    want = ids(library, text)
+    specials = pretoken.special_tokens(PATH)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    for size in (1, 7, 64, 1000):
+        pieces = [p.tobytes() for _, _, p, _ in pretoken.blocks(raw, np.array([0, len(raw)]), size, specials)]
+        assert b"".join(pieces) == text.encode() and max(map(len, pieces)) <= size + 90
+        assert [i for p in pieces for i in ids(library, p.decode())] == want
+        monkeypatch.setattr(pretoken.blocks, "__defaults__", (size, None))
+        assert token_counts.counts(pa.array([text]), PATH)[1].tolist() == [len(want)]
+
+
+@pytest.mark.parametrize("script", ["cyrillic", "chinese"])
+def test_memory_of_a_long_text(script):
+    code = f"""
+import resource, pyarrow as pa
+from tessera.llm import token_counts
+text = {SCRIPTS[script]!r}
+small, long = pa.array([text * 20000]), pa.array([text * (24_000_000 // len(text.encode()))])
+token_counts.counts(small, {PATH!r})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+token_counts.counts(long, {PATH!r})
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    used = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(used.stdout) < 250
+
+
+def test_shuffled_reader(spark, library):
+    rows = [(i, f"text of {i} " * (i % 7)) for i in range(200)] + [(None, None)] * 3 + [(5, "again")]
+    index = token_records.write(frame(spark, rows), PATH, 2).cache()
+    got = token_records.read_shuffled(index, 7).orderBy("place").collect()
+    assert sorted(((r["doc_id"], r["ids"]) for r in got), key=repr) == sorted(((i, [*ids(library, t), 2]) for i, t in rows), key=repr)
+    order = [r["doc_id"] for r in got]
+    assert order != sorted(order, key=lambda d: (d is not None, d)) and order == [r["doc_id"] for r in token_records.read_shuffled(index, 7, 3).orderBy("place").collect()]
+    assert order != [r["doc_id"] for r in token_records.read_shuffled(index, 8).orderBy("place").collect()]
+    assert token_records.read_shuffled(index.where("false"), 1).count() == 0
+
+
+def test_repeated_rows_are_parted(spark):
+    df = spark.range(0, 4000, 1, 8).selectExpr("cast(null as long) AS doc_id", "cast(null as string) AS text")
+    index = token_records.write(df, PATH, 2, partitions=4)
+    parts = [r["count"] for r in index.groupBy("part").count().collect()]
+    assert sum(parts) == 4000 and max(parts) <= 2000
+
+
 def test_query_counts(spark, library):
     from tessera.llm import queries
 
@@ -124,7 +182,7 @@ def test_records_of_odd_rows(spark, library):
     assert got[0][0] is None and [g[0] for g in got[1:]] == sorted(g[0] for g in got[1:])
     assert sorted(g[2:] for g in got) == sorted(r[2:] for r in restated_records(library, rows))
     assert got[-1][1] + got[-1][2] == sum(g[2] for g in got)
-    assert index.count() == len(rows) and token_records.read_shuffled(spark, index, 1).count() == len(rows)
+    assert index.count() == len(rows) and token_records.read_shuffled(index, 1).count() == len(rows)
 
 
 def test_no_rows(spark):
