@@ -1,47 +1,54 @@
-"""Best-fit packing of documents into sequences of several permitted lengths.
-
-Pieces are packed in descending order of length. A piece goes to the open bin in which it leaves the least room. If it
-fits nowhere, a bin is opened in the size that costs least for the tokens it can still get: ``cost(L)`` divided by the
-smaller of L and the tokens not yet packed, over all permitted L that hold the piece. At the end each bin shrinks to
-the shortest permitted length that holds its contents. So the lengths are chosen jointly: dear lengths only where
-enough is left to fill them, short ones where contents turned out short.
-
-Documents longer than the longest permitted length are cut into pieces of that length; nothing is dropped.
-
-Work is dealt into shards by a hash of the row, of about ``shard_pieces`` pieces each. Their number grows with the
-input and a shard is packed in one task with bounded memory; bins never span shards. Only (id, length) is shuffled.
-A lost task repeats its shard with the same result, as the order inside a shard depends on the rows alone.
-
-Defined results: a null or empty text has length 1, its end token; rows that are equal in every respect are packed
-separately and may exchange places; an empty table gives an empty table; other columns are not read.
+"""Best-fit packing of documents into token sequences of several permitted lengths.
+
+Texts are encoded by the tokenizers library, each followed by an end token. Documents longer than the longest permitted
+length are cut into pieces of that length; nothing is dropped. Pieces are packed in descending order of length. A piece
+goes to the open bin in which it leaves the least room. If it fits nowhere, a bin is opened in the size that costs least
+for the tokens it can still get: ``cost(L)`` divided by the smaller of L and the tokens not yet packed, over all
+permitted L that hold the piece. At the end each bin shrinks to the shortest permitted length that holds its contents.
+So the lengths are chosen jointly. The default cost of a sequence is a fixed part, its tokens, and a share that grows
+with the square of its length, as attention does: long bins are opened for long pieces only, and middle ones for others.
+
+Pieces are dealt to tasks by a hash of their content and shuffled once, with their token ids. A task packs about
+``chunk_tokens`` tokens at a time, in the order of that hash, so its memory is bounded and the same pieces in the same
+partitions give the same bins. Bins never span two such chunks. Equal pieces from different parts of the reading go to
+different tasks, so a row that repeats very often is spread.
+
+Defined results: a null or empty text has length 1, its end token; rows that are equal in id and text are packed
+separately; an id may be null; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.mixing import words
-from tessera.runtime import materialise
+from tessera.llm import pretoken
+from tessera.llm.token_records import encoder
+from tessera.runtime import row_key, small_batches
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
-#: Cost of a sequence besides its tokens, in tokens: start-up of a row in a batch.
-OVERHEAD = 32
-SHARD_PIECES = 50_000
+#: Cost of a sequence besides its tokens, in tokens, and the length at which attention costs as much as all the rest.
+OVERHEAD, ATTENTION = 256, 8192
+CHUNK_TOKENS = 8 << 20
+#: Pieces held at once: short ones take more memory than their tokens do.
+CHUNK_PIECES = 1 << 18
+#: Bytes of text for one task of the packing; of small inputs, so that all tasks get something.
+TASK_BYTES, LEAST_TASK_BYTES = 256 << 20, 4 << 20
 BIN_BITS = 32
 
-SCHEMA = "id long, piece long, length long, start long, bin_id long, bin_length long, position long, bin_used long"
+SCHEMA = "bin_id long, bin_length int, bin_used int, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<int>, ids binary"
 
 
-def linear_cost(length: int) -> float:
-    return length + OVERHEAD
+def sequence_cost(length: int) -> float:
+    return OVERHEAD + length + length * length / ATTENTION
 
 
-def pack_sizes(sizes: Sequence[int], lengths: Sequence[int], cost: Callable[[int], float] = linear_cost) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pack_sizes(sizes: Sequence[int], lengths: Sequence[int], cost: Callable[[int], float] = sequence_cost) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pack ``sizes``, sorted descending and none above max(lengths).
 
     Returns bin and position in the bin of each item, and length and used tokens of each bin.
@@ -75,56 +82,123 @@ def pack_sizes(sizes: Sequence[int], lengths: Sequence[int], cost: Callable[[int
     return where, position, final, np.asarray(used, np.int64)
 
 
-def _pack_shard(lengths, cost):
-    longest = max(lengths)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        pieces = (pdf["tokens"].to_numpy() + longest - 1) // longest
-        row = np.repeat(np.arange(len(pdf)), pieces)
-        piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = piece * longest
-        length = np.minimum(pdf["tokens"].to_numpy()[row] - start, longest)
-        order = np.lexsort((piece, pdf["tie"].to_numpy()[row], pdf["id"].fillna(-1).to_numpy(np.int64)[row], -length))
-        where, position, final, used = pack_sizes(length[order].tolist(), lengths, cost)
-        row = row[order]
-        return pd.DataFrame(
-            {
-                "id": pdf["id"].astype("Int64").array[row],
-                "piece": piece[order],
-                "length": length[order],
-                "start": start[order],
-                "bin_id": (shard << BIN_BITS) + where,
-                "bin_length": final[where],
-                "position": position,
-                "bin_used": used[where],
-            }
-        )
+def _pieces(vocabulary: str, end_id: int | None, longest: int):
+    """Batches of (id, text, k1, k2, part) to rows for each piece: k1, k2, piece, part, id, start, ids."""
+
+    def run(batches):
+        lib = encoder(vocabulary)
+        for batch in (s for b in batches for s in pretoken.slices(b, 1)):
+            ids, n = lib.encode(batch.column(1))
+            if end_id is not None:
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            # without an end token an empty text has no piece
+            pieces = -(-n // longest)
+            row = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * longest
+            first = (np.cumsum(n) - n)[row] + start
+            size = np.minimum(n[row] - start, longest)
+            data, take = ids.astype("<u4"), pa.array(row)
+            for a in range(0, len(row), SEND_PIECES):
+                z = slice(a, a + SEND_PIECES)
+                ends = np.concatenate([[0], np.cumsum(size[z] * 4)]).astype(np.int64)
+                body = np.ascontiguousarray(data[first[z][0] : first[z][-1] + size[z][-1]])
+                own = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body)]).cast(pa.binary())
+                k = take.slice(a, len(ends) - 1)
+                cols = [batch.column(2).take(k), batch.column(3).take(k), pa.array(piece[z].astype(np.int32)), batch.column(4).take(k), batch.column(0).take(k), pa.array(start[z]), own]
+                yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "piece", "part", "id", "start", "ids"])
 
     return run
 
 
+#: Pieces sent to Spark at once.
+SEND_PIECES = 4096
+
+
+def _bins(tables: list[pa.RecordBatch], lengths: Sequence[int], cost, first: int) -> Iterator[pa.RecordBatch]:
+    """Pack all pieces of ``tables``; one row per bin, numbered from ``first``."""
+    table = pa.Table.from_batches(tables)
+    ids = table.column("ids").cast(pa.large_binary()).combine_chunks()
+    offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    data = np.frombuffer(ids.buffers()[2], np.uint8)
+    size = np.diff(offsets) // 4
+    # pieces come in the order of their keys, so a stable sort settles ties by them
+    order = np.argsort(-size, kind="stable")
+    where, _, final, used = pack_sizes(size[order].tolist(), lengths, cost)
+    by_bin = np.argsort(where, kind="stable")
+    order, where = order[by_bin], where[by_bin]
+    doc, piece, start = (table.column(c).combine_chunks().take(pa.array(order)) for c in ("id", "piece", "start"))
+    for a in range(0, len(used), SEND_BINS):
+        b = min(a + SEND_BINS, len(used))
+        lo, hi = np.searchsorted(where, [a, b])
+        some = order[lo:hi]
+        at = np.concatenate([[0], np.cumsum(np.bincount(where[lo:hi] - a, minlength=b - a))]).astype(np.int32)
+        body = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in some.tolist())
+        ends = np.concatenate([[0], np.cumsum(used[a:b] * 4)]).astype(np.int64)
+        packed = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body)]).cast(pa.binary())
+        nested = lambda x, at=at: pa.ListArray.from_arrays(pa.array(at), x)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(first + np.arange(a, b)),
+                pa.array(final[a:b].astype(np.int32)),
+                pa.array(used[a:b].astype(np.int32)),
+                nested(doc.slice(lo, hi - lo)),
+                nested(piece.slice(lo, hi - lo)),
+                nested(start.slice(lo, hi - lo)),
+                nested(pa.array(size[some].astype(np.int32))),
+                packed,
+            ],
+            names=["bin_id", "bin_length", "bin_used", "doc_ids", "pieces", "starts", "lengths", "ids"],
+        )
+
+
+#: Bins sent to Spark at once.
+SEND_BINS = 256
+
+
 def pack(
     df: DataFrame,
+    vocabulary: str,
+    end_id: int | None,
     lengths: Sequence[int] = LENGTHS,
-    cost: Callable[[int], float] = linear_cost,
-    tokens: Column | None = None,
+    cost: Callable[[int], float] = sequence_cost,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shard_pieces: int = SHARD_PIECES,
+    chunk_tokens: int = CHUNK_TOKENS,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """One row per piece: id, piece, length, start (in its document), bin_id, bin_length, position (in its bin), bin_used.
+    """One row per packed sequence: bin_id, bin_length, bin_used, doc_ids, pieces, starts, lengths, ids.
 
-    ``tokens`` is the length of a document with its end token; words and one more, if not given, which
-    is less than most tokenizers' counts.
+    The four arrays have one entry per piece, in the order in which they stand in the sequence: its document, its
+    number in that document, the place of its first token there, and its length. ``ids`` are the token ids, 4 bytes
+    little-endian each, ``bin_used`` of them; the sequence is to be padded to ``bin_length``. ``vocabulary`` is a file
+    on every executor.
     """
-    tokens = words(F.col(text_col)) + 1 if tokens is None else tokens
-    items = df.select(
-        F.col(id_col).cast("long").alias("id"), F.greatest(tokens.cast("long"), F.lit(1)).alias("tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie")
-    )
-    items = materialise(items, "pack-items")
-    total = items.agg(F.sum(F.ceil(F.col("tokens") / max(lengths)))).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_pieces))
-    items = items.withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "tie"), F.lit(shards)))
-    out = items.groupBy("shard").applyInPandas(_pack_shard(tuple(lengths), cost), SCHEMA)
-    return out.withColumnRenamed("id", id_col)
+    lengths, spark = tuple(sorted(lengths)), df.sparkSession
+    small_batches(spark)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if tasks is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        tasks = max(1, -(-size // TASK_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_TASK_BYTES)))
+    k1, k2 = row_key(rows)
+    # the number of the part that is read is the same when a lost task is repeated
+    rows = rows.select("id", "text", k1.alias("k1"), k2.alias("k2"), F.spark_partition_id().alias("part"))
+    pieces = rows.mapInArrow(_pieces(vocabulary, end_id, lengths[-1]), "k1 long, k2 long, piece int, part int, id long, start long, ids binary")
+    order = ["k1", "k2", "piece", "part"]
+    dealt = pieces.repartition(int(tasks), *order).sortWithinPartitions(*order)
+
+    def run(batches):
+        pretoken.lean()
+        first, held, tokens, n = TaskContext.get().partitionId() << BIN_BITS, [], 0, 0
+        for batch in batches:
+            held.append(batch.select(["id", "piece", "start", "ids"]))
+            tokens, n = tokens + batch.column("ids").nbytes // 4, n + batch.num_rows
+            if tokens >= chunk_tokens or n >= CHUNK_PIECES:
+                for out in _bins(held, lengths, cost, first):
+                    first += out.num_rows
+                    yield out
+                held, tokens, n = [], 0, 0
+        if n:
+            yield from _bins(held, lengths, cost, first)
+
+    return dealt.mapInArrow(run, SCHEMA)

@@ -26,13 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
-
-
-def pack_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like op1_best_fit_packing, which measures documents in words, with their true lengths in tokens of VOCABULARY."""
-    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    return packing.pack(counted, tokens=F.col("n_tokens") + 1, text_col="n_tokens")
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID)
 
 
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +81,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
-    "pack_by_tokens": pack_by_tokens,
 }
 
 ORACLE_SQL = {

@@ -4,8 +4,11 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import public_tokenizers
 import pytest
 from helpers import WORD
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm import mixing, packing, queries
 
@@ -135,40 +138,68 @@ def test_lengths_are_chosen_by_cost():
     assert packing.pack_sizes([60, 5], (8, 64), lambda n: n + 1)[2].tolist() == [64, 8]
 
 
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def check_pack(rows, made, lengths):
-    by_doc, by_bin = defaultdict(list), defaultdict(list)
+    """Every token of every row is in one place, and bins hold what they say."""
+    whole = {}
     for r in made:
-        by_doc[r["doc_id"]].append(r)
-        by_bin[r["bin_id"]].append(r)
-        assert r["length"] <= r["bin_length"] and r["bin_length"] in lengths
-    want = defaultdict(int)
+        ids, end = np.frombuffer(bytes(r["ids"]), "<u4").tolist(), 0
+        assert r["bin_used"] == len(ids) == sum(r["lengths"]) and r["bin_length"] == min(n for n in lengths if n >= len(ids))
+        for d, piece, start, n in zip(r["doc_ids"], r["pieces"], r["starts"], r["lengths"], strict=True):
+            assert start == piece * max(lengths) and 0 < n <= max(lengths)
+            whole.setdefault((d, piece), []).append(ids[end : end + n])
+            end += n
+    assert len({r["bin_id"] for r in made}) == len(made)
+    want = {}
     for d, t in rows:
-        want[d] += len(WORD.findall(t or "")) + 1
-    assert {d: sum(r["length"] for r in x) for d, x in by_doc.items()} == dict(want)
-    for x in by_bin.values():
-        used = sum(r["length"] for r in x)
-        assert {(r["bin_used"], r["bin_length"]) for r in x} == {(used, min(n for n in lengths if n >= used))}
-        assert sorted(r["position"] for r in x) == [sum(s["length"] for s in x if s["position"] < r["position"]) for r in sorted(x, key=lambda r: r["position"])]
+        ids = [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 2]
+        for k in range(0, len(ids), max(lengths)):
+            want.setdefault((d, k // max(lengths)), []).append(ids[k : k + max(lengths)])
+    assert {k: sorted(v) for k, v in whole.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def restated_bins(rows, lengths):
+    """Lengths and fills of all bins, of one task, by the plain loops of slow_pack."""
+    sizes = []
+    for _, t in rows:
+        n = len(LIBRARY.encode(t or "", add_special_tokens=False).ids) + 1
+        sizes += [min(max(lengths), n - k) for k in range(0, n, max(lengths))]
+    bins = slow_pack(sorted(sizes, reverse=True), lengths, packing.sequence_cost)
+    return sorted((min(n for n in lengths if n >= b["used"]), b["used"]) for b in bins)
 
 
 def test_pack_query(spark):
     rows = [tuple(r) for r in queries.table(spark, D, "documents").select("doc_id", "text").collect()]
-    check_pack(rows, queries.op1_best_fit_packing(spark, D).collect(), packing.LENGTHS)
+    made = queries.op1_best_fit_packing(spark, D).collect()
+    check_pack(rows, made, packing.LENGTHS)
+    # the table is smaller than one task's share, so all of it is packed at once
+    assert sorted((r["bin_length"], r["bin_used"]) for r in made) == restated_bins(rows, packing.LENGTHS)
 
 
-def test_pack_by_tokens_measures_tokens(spark):
-    tokens = {r["doc_id"]: r["n_tokens"] + 1 for r in queries.op9_token_counts(spark, D).collect()}
-    by_doc, by_bin = defaultdict(int), defaultdict(int)
-    for r in queries.QUERIES["pack_by_tokens"](spark, D).collect():
-        by_doc[r["doc_id"]] += r["length"]
-        by_bin[r["bin_id"], r["bin_length"]] += r["length"]
-    assert by_doc == tokens and all(used <= size for (_, size), used in by_bin.items())
+def test_several_lengths_are_used(spark):
+    made = queries.op1_best_fit_packing(spark, "/root/testdata/sf0.01").groupBy("bin_length").agg(F.sum("bin_used").alias("n")).collect()
+    total = sum(r["n"] for r in made)
+    assert sum(r["n"] > total / 10 for r in made) >= 3
+    bins = queries.op1_best_fit_packing(spark, "/root/testdata/sf0.01").agg(F.sum("bin_used"), F.sum("bin_length")).first()
+    assert bins[0] / bins[1] > 0.95
 
 
 def test_pack_edges(spark):
-    rows = [(1, "w " * 100), (1, "w " * 100), (2, None), (3, ""), (None, "a b"), (None, None)]
-    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, bin_id int, shard int")
-    check_pack(rows, packing.pack(df, (8, 32)).collect(), (8, 32))
-    made = packing.pack(df, (8, 32), shard_pieces=3).collect()
-    check_pack(rows, made, (8, 32))
-    assert packing.pack(df.where("false")).count() == 0
+    big = 2**60 + 1
+    rows = [(1, "w " * 100), (1, "w " * 100), (2, None), (3, ""), (None, "a b"), (None, None), (big, "x y z"), (big, None), (-big, "é 中 🙂")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, bin_id int, part int")
+    for tasks, chunk in ((1, 1 << 20), (1, 20), (5, 20)):
+        check_pack(rows, packing.pack(df, PATH, 2, (8, 32), tasks=tasks, chunk_tokens=chunk).collect(), (8, 32))
+    assert packing.pack(df.where("false"), PATH, 2).count() == 0
+    bare = packing.pack(df, PATH, None, (8, 32)).collect()
+    assert sum(r["bin_used"] for r in bare) == sum(len(LIBRARY.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
+
+
+def test_repeated_rows_are_spread(spark):
+    df = spark.range(0, 4000, 1, 16).selectExpr("1L AS doc_id", "'a b c' AS text")
+    made = packing.pack(df, PATH, 2, (8, 32), tasks=4)
+    used = [r[0] for r in made.groupBy(F.shiftright("bin_id", packing.BIN_BITS)).agg(F.sum("bin_used")).select("sum(bin_used)").collect()]
+    assert sum(used) == 16000 and max(used) <= 12000

@@ -2,9 +2,10 @@ import random
 import re
 
 from helpers import WORD, near_groups
+from test_mix_pack import check_pack
 
 import corpus_pipeline
-from tessera.llm import language_id
+from tessera.llm import language_id, packing
 from tessera.runtime import materialise
 
 D = "/root/testdata/sf0.001"
@@ -36,7 +37,7 @@ def test_stages(spark):
             size = lambda rs: sum(len(WORD.findall(r["text"] or "")) for r in rs)
             assert abs(size(rows) - size(before)) <= len({r["source"] for r in before})
         if name == "best_fit_packing":
-            assert sum(r["length"] for r in rows) == sum(len(WORD.findall(r["text"] or "")) + 1 for r in before)
+            check_pack([(r["doc_id"], r["text"]) for r in before], rows, packing.LENGTHS)
         kept[name] = len(rows)
     assert corpus_pipeline.run(spark, D).count() == kept[names[-1]]
 
