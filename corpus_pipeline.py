@@ -5,10 +5,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing
+from tessera.llm.queries import END_ID, VOCABULARY
 from tessera.runtime import materialise
 
 #: A document without letters is rejected, one that no mixture of the learned languages explains, and one in which no language
@@ -37,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), END_ID)
 
 
 STAGES = [
