@@ -140,6 +140,13 @@ def pick(rows: DataFrame, plan: DataFrame, keys: list[str], times: str, total: i
     return single.unionByName(one.select(*keys, *[F.col("_one").getField(c).alias(c) for c in others]))
 
 
+def without(rows: DataFrame, plan: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
+    """The rows whose keys the plan lacks. Keys of many rows are broadcast, all others meet in bounded groups; see ``pick``."""
+    bound = F.greatest(F.lit(total), F.lit(HOT_SHARE))
+    hot, cold = plan.where(F.col(times) * HOT_SHARE > bound), plan.where(F.col(times) * HOT_SHARE <= bound)
+    return rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold.select(keys), keys, "left_anti")
+
+
 def in_chunks(rows: DataFrame, times: str, out: str, most: int, chunk: int = CHUNK) -> DataFrame:
     """Each row once for every ``chunk`` of its ``times`` copies, with the first copy's number in ``out``.
 
