@@ -11,9 +11,11 @@
    are counted and dropped. Only the first of this order are postings, so passages that very many texts share hold
    nothing together. Components of the postings bring together what may have a link.
 4. Each such cluster is searched by prefix trees (`prefix_tree`), in tasks of bounded size. A cluster too large for
-   one task is dealt into blocks, each with the cluster's first class; what blocks leave open (postings between
-   different components) is clustered again, and then all pairs of its blocks are searched. No link is lost: two
-   classes with a link share a posting, so they are in one cluster, and in one block or one pair of blocks.
+   one task is dealt into blocks, each with the cluster's first class. Where postings still lie between different
+   components, a few classes of each are searched together, until that joins no more; then the classes of different
+   components are compared in full, by pairs of blocks. Blocks of one component never meet, so a large group costs in
+   proportion to its size. No link is lost: two classes with a link share a posting, so they are in one component, or
+   in one cluster of what is left and there in one block or pair of blocks.
 5. Components of the links, and a join that gives every document its component.
 
 Defined results: a null or blank text has no shingles and stays alone; a text of fewer than five words has its whole
@@ -25,13 +27,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import pretoken, shingles
 from tessera.llm.graph import components
 from tessera.llm.prefix_tree import link
-from tessera.runtime import lookup, materialise, small_batches
+from tessera.runtime import free_name, lookup, materialise, pick, row_key, small_batches, without
 
 PERCENT = 80
 #: Pairs of a hash and a class that a task packs at once, and about as many as come together in one bucket.
@@ -39,7 +42,9 @@ BLOCK_PAIRS = 1 << 18
 BUCKET_PAIRS = 1 << 19
 LEAST_BUCKETS = 16
 #: Shingles of the classes in one tree-search task.
-TASK_SHINGLES = 4 << 20
+TASK_SHINGLES, LEAST_TASK_SHINGLES = 4 << 20, 4 << 10
+#: Classes that speak for a component when components are joined, and rounds of that before the full comparison.
+SPOKESMEN, JOINING_ROUNDS = 8, 6
 #: Bits of the filter that keeps other texts out of the candidates' shuffle: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 PACKED = "bucket int, block binary"
@@ -98,21 +103,22 @@ def groups_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys, values, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
 
 
-def document_sets(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """doc_id, n, k1, k2, prefix."""
+def document_sets(df: DataFrame, id_col: str, text_col: str, percent: int, key: list[Column]) -> DataFrame:
+    """doc_id, r1, r2 (the row's key), n, k1, k2, prefix."""
 
     def run(batches):
-        for batch in (s for b in batches for s in pretoken.slices(b, 1)):
-            flat, n = shingles.sets(batch.column(1))
+        for batch in (s for b in batches for s in pretoken.slices(b, 3)):
+            flat, n = shingles.sets(batch.column(3))
             k1, k2 = shingles.digests(flat, n)
             size = np.where(n > 0, prefix_size(n, percent), 0)
             own = flat[ragged(np.cumsum(n) - n, size)].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int64)
             prefix = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(own.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(k1), pa.array(k2), prefix], names=["doc_id", "n", "k1", "k2", "prefix"])
+            made = [*batch.columns[:3], pa.array(n), pa.array(k1), pa.array(k2), prefix]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "r1", "r2", "n", "k1", "k2", "prefix"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix binary")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), key[0].alias("r1"), key[1].alias("r2"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, r1 long, r2 long, n long, k1 long, k2 long, prefix binary")
 
 
 def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -258,11 +264,14 @@ def cluster(posts: DataFrame) -> DataFrame:
 
 
 def search(tasks: DataFrame, percent: int) -> DataFrame:
-    """task, cluster, cid, n, items -> links (a, b) between classes; a task's rows are searched together."""
+    """task, cluster, cid, own, n, items -> links (a, b) between classes; a task's rows are searched together.
+
+    Classes with the same ``own`` are known to be in one component.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        cids, n, cl = (table.column(c).to_pylist() for c in ("cid", "n", "cluster"))
+        cids, n, cl, own = (table.column(c).to_pylist() for c in ("cid", "n", "cluster", "own"))
         pairs = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in table.column("items")]
         size = np.array([len(p) for p in pairs])
         all_ = np.concatenate(pairs)
@@ -274,42 +283,100 @@ def search(tasks: DataFrame, percent: int) -> DataFrame:
         number[order] = np.cumsum(new) - 1
         at = np.concatenate([[0], np.cumsum(size)])
         sets = [number[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
-        links = link(cl, sets, n, percent)
+        links = link(cl, sets, n, percent, own)
         return pa.table({"a": pa.array([cids[i] for i, _ in links], pa.int64()), "b": pa.array([cids[j] for _, j in links], pa.int64())})
 
     return tasks.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def deal_tasks(clusters: DataFrame, ordered: DataFrame, pairs: bool, task_shingles: int) -> tuple[DataFrame, bool]:
-    """Rows for ``search``, and whether a cluster is in several blocks.
+def shard(shards: int) -> Column:
+    return F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(shards)).cast("string"))
 
-    Small clusters share tasks; a large one is dealt into blocks by a hash of the class. With ``pairs`` all pairs of
-    its blocks are tasks, else single blocks, each with the cluster's first class.
-    """
-    rows = ordered.join(clusters, "cid").withColumn("w", F.greatest(F.length("items") / 16, F.lit(1)))
-    sizes = rows.groupBy("cluster").agg(F.sum("w").alias("w")).withColumn("blocks", F.ceil(F.col("w") / task_shingles).cast("int"))
-    sizes = materialise(sizes, "ngram-sizes")
-    total, most = sizes.agg(F.sum("w"), F.max("blocks")).first()
-    if not total:
-        return rows.withColumn("task", F.lit("")).limit(0), False
-    shards = max(1, int(total // task_shingles), int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.join(sizes.drop("w"), "cluster")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    shard = F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(shards)).cast("string"))
-    name = lambda a, b: F.concat_ws("-", F.lit("b"), F.col("cluster"), a, b)
-    span = F.sequence(F.lit(0), F.col("blocks") - 1)
-    if pairs:
-        blocks = F.transform(span, lambda k: name(F.least(k, own), F.greatest(k, own)))
-    else:
-        blocks = F.when(F.col("cid") == F.col("cluster"), F.transform(span, lambda k: name(k, k))).otherwise(F.array(name(own, own)))
-    task = F.explode(F.when(F.col("blocks") == 1, F.array(shard)).otherwise(blocks))
-    return rows.select(task.alias("task"), "cluster", "cid", "n", "items"), most > 1
 
+def deal_tasks(rows: DataFrame, block_shingles: int, shards: int) -> tuple[DataFrame, bool]:
+    """Rows (cluster, cid, own, n, items, w) for ``search``, and whether a cluster is in several blocks.
 
-def near_groups(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, class_docs (rows with the very same set)."""
+    Small clusters share tasks; a large one is dealt into blocks by a hash of the class, each with the cluster's first class.
+    """
+    sizes = rows.groupBy("cluster").agg(F.sum("w").alias("cluster_w"), F.min("cid").alias("leader"))
+    sizes = materialise(sizes.withColumn("blocks", F.ceil(F.col("cluster_w") / block_shingles).cast("int")), "ngram-sizes")
+    most = sizes.agg(F.max("blocks")).first()[0] or 0
+    rows = rows.join(sizes, "cluster")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    name = lambda k: F.concat_ws("-", F.lit("b"), F.col("cluster"), k)
+    blocks = F.when(F.col("cid") == F.col("leader"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), name)).otherwise(F.array(name(own)))
+    task = F.explode(F.when(F.col("blocks") == 1, F.array(shard(shards))).otherwise(blocks))
+    return rows.select(task.alias("task"), "cluster", "cid", "own", "n", "items"), most > 1
+
+
+def deal_pairs(rows: DataFrame, block_shingles: int, shards: int) -> DataFrame:
+    """Rows (cluster, cid, own, n, items, w) for a ``search`` that compares all classes of a cluster whose components differ.
+
+    A component above a block's size has blocks of its own, the others of a cluster share some. Pairs of blocks are
+    tasks unless both are of one component, so the blocks of a large component meet those of the others only.
+    """
+    comps = rows.groupBy("cluster", "own").agg(F.sum("w").alias("own_w"))
+    large = F.col("own_w") > block_shingles
+    rest = F.sum(F.when(~large, F.col("own_w")).otherwise(0))
+    sizes = comps.groupBy("cluster").agg(F.sum("own_w").alias("cluster_w"), F.ceil(F.greatest(rest, F.lit(1)) / block_shingles).alias("shared"))
+    comps = materialise(comps.join(sizes, "cluster"), "ngram-components")
+    rows = rows.join(comps, ["cluster", "own"])
+    parts = F.ceil(F.col("own_w") / block_shingles)
+    block = F.when(large, F.concat_ws("-", F.lit("c"), "own", F.pmod(F.xxhash64("cid"), parts))).otherwise(F.concat_ws("-", F.lit("m"), F.pmod(F.xxhash64("own"), F.col("shared"))))
+    alone = F.col("cluster_w") <= block_shingles
+    small = rows.where(alone).select(shard(shards).alias("task"), "cluster", "cid", "own", "n", "items")
+    rows = rows.where(~alone).withColumn("block", block).withColumn("of", F.when(large, F.col("own")))
+    blocks = materialise(rows.select("cluster", "block", "of").distinct(), "ngram-blocks")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    apart = ~F.coalesce(F.col("x.of") == F.col("y.of"), F.lit(False))
+    pairs = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & apart)
+    task = F.concat_ws("|", F.col("x.cluster"), F.col("x.block"), F.col("y.block"))
+    pairs = pairs.select(F.col("x.cluster").alias("cluster"), task.alias("task"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
+    return small.union(rows.join(pairs, ["cluster", "block"]).select("task", "cluster", "cid", "own", "n", "items"))
+
+
+def all_links(posts: DataFrame, ordered: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+    """Links that connect all classes which Jaccard similarity connects, from postings (h, cid) and ordered sets.
+
+    First each cluster is searched in blocks. While postings lie between components that are still apart, a few classes
+    of each component are searched together, which mostly joins them; when that joins no more, classes of different
+    components that share such a posting are compared in full.
+    """
+    spark = ordered.sparkSession
+    ordered = ordered.select("cid", "n", "items", F.greatest(F.length("items") / 16, F.lit(1)).cast("long").alias("w"))
+    total = ordered.agg(F.sum("w")).first()[0] or 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block = int(max(1, min(task_shingles, max(LEAST_TASK_SHINGLES, total // (4 * tasks)))))
+    shards = int(max(tasks, total // task_shingles))
+    clusters = materialise(cluster(posts), "ngram-clusters")
+    dealt, split = deal_tasks(ordered.join(clusters, "cid").withColumn("own", F.col("cid")), block, shards)
+    links = materialise(search(dealt, percent), "ngram-links")
+    rounds = 0
+    while split:
+        known = materialise(components(links), "ngram-known")
+        named = posts.join(known, posts["cid"] == known["v"], "left").select("h", "cid", F.coalesce("component", "cid").alias("own"))
+        open_ = named.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("h")
+        left = materialise(named.join(open_, "h", "left_semi"), "ngram-open")
+        clusters = materialise(cluster(left.select("h", "cid")), "ngram-clusters")
+        if clusters.isEmpty():
+            break
+        rows = ordered.join(clusters, "cid").join(left.select("cid", "own").distinct(), "cid")
+        found = None
+        if rounds < JOINING_ROUNDS:
+            few = Window.partitionBy("cluster", "own").orderBy(F.xxhash64("cid"), "cid")
+            some = rows.withColumn("_k", F.row_number().over(few)).where(F.col("_k") <= SPOKESMEN).drop("_k")
+            found = materialise(search(deal_tasks(some, block, shards)[0], percent), "ngram-links")
+        if found is None or found.isEmpty():
+            found, split = materialise(search(deal_pairs(rows, block, shards), percent), "ngram-links"), False
+        rounds += 1
+        links = materialise(links.union(found), "ngram-links")
+    return links
+
+
+def _grouped(df: DataFrame, percent: int, id_col: str, text_col: str, task_shingles: int, key: list[Column]) -> DataFrame:
+    """doc_id, r1, r2, n, component_id, class_docs, g (names the group; null for texts without shingles)."""
     small_batches(df.sparkSession)
-    docs = materialise(document_sets(df, id_col, text_col, percent), "ngram-documents")
+    docs = materialise(document_sets(df, id_col, text_col, percent, key), "ngram-documents")
     size = docs.agg(F.sum("n")).first()[0] or 0
     # buckets follow the data alone: a quarter of all shingles is dealt
     buckets = max(LEAST_BUCKETS, -(-int(size) // 4 // BUCKET_PAIRS))
@@ -323,31 +390,49 @@ def near_groups(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", t
     size = candidates.agg(F.sum("n")).first()[0] or 0
     ordered = materialise(ordered_sets(sets, max(LEAST_BUCKETS, -(-int(size) // BUCKET_PAIRS)), percent), "ngram-ordered")
     posts = ordered.select(F.explode("posts").alias("h"), "cid")
-    clusters = materialise(cluster(posts), "ngram-clusters")
-    tasks, split = deal_tasks(clusters, ordered.select("cid", "n", "items"), False, task_shingles)
-    links = materialise(search(tasks, percent), "ngram-links")
-    if split:
-        known = materialise(components(links), "ngram-known")
-        named = posts.join(known, posts["cid"] == known["v"], "left").select("h", "cid", F.coalesce("component", "cid").alias("own"))
-        open_ = named.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("h")
-        clusters = materialise(cluster(posts.join(open_, "h", "left_semi")), "ngram-clusters")
-        tasks, _ = deal_tasks(clusters, ordered.select("cid", "n", "items"), True, task_shingles)
-        links = links.union(materialise(search(tasks, percent), "ngram-links"))
-    found = components(links)
+    found = components(all_links(posts, ordered, percent, task_shingles))
     linked = candidates.join(found, candidates["cid"] == found["v"]).select("k1", "k2", "doc_id", "component")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(least, "component").select("k1", "k2", "component_id")
+    linked = linked.join(least, "component").select("k1", "k2", "component_id", "component")
+    same = F.struct(F.col("component").isNull().alias("class"), F.coalesce("component", "k1").alias("a"), F.when(F.col("component").isNull(), F.col("k2")).alias("b"))
     named = classes.join(linked, ["k1", "k2"], "left").select(
-        F.struct("k1", "k2").alias("key"), F.coalesce("component_id", "doc_id").alias("component_id"), "class_docs"
+        F.struct("k1", "k2").alias("key"), F.coalesce("component_id", "doc_id").alias("component_id"), "class_docs", same.alias("g")
     )
     named = materialise(named, "ngram-named")
-    full = docs.where("n > 0").select("doc_id", "n", F.struct("k1", "k2").alias("key"))
-    out = lookup(full, named, "key", "class_docs", docs.count()).select("doc_id", "n", "component_id", "class_docs")
-    alone = docs.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_docs"))
-    return out.union(alone).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "class_docs")
+    full = docs.where("n > 0").select("doc_id", "r1", "r2", "n", F.struct("k1", "k2").alias("key"))
+    out = lookup(full, named, "key", "class_docs", docs.count()).select("doc_id", "r1", "r2", "n", "component_id", "class_docs", "g")
+    alone = docs.where("n = 0").select(
+        "doc_id", "r1", "r2", "n", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_docs"), F.lit(None).cast(out.schema["g"].dataType).alias("g")
+    )
+    return out.union(alone)
 
 
-def drop_near(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that have the smallest id of their group; rows without an id stay."""
-    gone = near_groups(df, percent, id_col, text_col).where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    return df.join(materialise(gone, "ngram-gone"), id_col, "left_anti")
+def near_groups(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, class_docs (rows with the very same set)."""
+    key = [F.lit(0).cast("long")] * 2  # rows need not be found again
+    out = _grouped(df, percent, id_col, text_col, task_shingles, key)
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "class_docs")
+
+
+def drop_near(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """One row of each group, in the columns of ``df``: the one with the smallest id, null ids last.
+
+    Of rows of one group with that id the one with the smallest content key stays. Texts without a word all stay. Rows
+    are known by their content, so different texts of one id are told apart, and other columns may have any name.
+    """
+    names = [free_name(df.columns, n) for n in ("r1", "r2")]
+    times = free_name(df.columns, "times")
+    key = row_key(df)
+    rows = materialise(_grouped(df, percent, id_col, text_col, task_shingles, key).where("g is not null").select("doc_id", "r1", "r2", "g"), "ngram-grouped")
+    total = rows.count()
+    first = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("f")).select(F.col("f.r1").alias("f1"), F.col("f.r2").alias("f2"))
+    each = rows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias(times))
+    named = each.join(first, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")), "left")
+    # rows that go, and rows that stay but repeat; all others are left alone
+    plan = named.where(F.col("f1").isNull() | (F.col(times) > 1)).select(F.col("r1").alias(names[0]), F.col("r2").alias(names[1]), times, F.col("f1").isNotNull().alias("stays"))
+    plan = materialise(plan, "ngram-plan")
+    keyed = df.withColumns(dict(zip(names, key, strict=True)))
+    out, again = without(keyed, plan, names, times, total), plan.where("stays").drop("stays")
+    if not again.isEmpty():
+        out = out.unionByName(pick(keyed, again, names, times, total).drop(times))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])

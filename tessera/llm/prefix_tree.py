@@ -104,12 +104,16 @@ class PrefixTree:
             node = child
 
 
-def link(groups: list[int], sets: list[list[int]], sizes: list[int], percent: int) -> list[tuple[int, int]]:
+def link(groups: list[int], sets: list[list[int]], sizes: list[int], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (positions) that connect all sets of a group with a similarity of percent or more.
 
-    sets: ascending tokens that other sets may share; sizes: sizes of the whole sets.
+    sets: ascending tokens that other sets may share; sizes: sizes of the whole sets; sets with the same ``known`` need
+    no links between them.
     """
     union, links, trees = list(range(len(sets))), [], {}
+    first: dict[int, int] = {}
+    for i, k in enumerate(known or ()):
+        union[i] = first.setdefault(k, i)
     for i in sorted(range(len(sets)), key=lambda k: (sizes[k], sets[k])):
         tree = trees.get(groups[i])
         if tree is None:

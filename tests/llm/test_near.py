@@ -105,3 +105,37 @@ def test_components(spark):
 def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame([(2, "a b c d e", "x"), (1, "a b c d e", "y"), (3, None, "z")], "doc_id long, text string, n string")
     assert sorted(r["n"] for r in ngram_join.drop_near(df).collect()) == ["y", "z"]
+
+
+def test_no_row_of_a_group_is_lost(spark):
+    """Different texts of one id, near copies without ids, repeated rows, columns with the operator's own names."""
+    t, far = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, t, 1), (5, t + " x", 2), (5, far, 3), (None, far + " y", 4), (None, far + " z", 4), (7, None, 5), (7, None, 5), (8, " ", 6), (9, "q r s t u v", 7), (9, "q r s t u v", 7), (9, "q r s t u v", 8)]
+    df = spark.createDataFrame([(*r, r[2], {"a": r[2]}) for r in rows], "doc_id long, text string, r1 int, component_id int, g map<string,int>").repartition(3)
+    got_ = ngram_join.drop_near(df)
+    assert got_.columns == df.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got_.collect()), key=repr)
+    assert kept == sorted([(1, t), (5, far), (7, None), (7, None), (8, " "), (9, "q r s t u v")], key=repr)
+    none = ngram_join.drop_near(df.where("doc_id is null")).collect()
+    assert len(none) == 1
+    assert ngram_join.drop_near(df.where("false")).count() == 0
+
+
+def test_hot_group_of_two_components(spark):
+    """Two large groups that share rare passages but no link, among them chains; blocks far below the groups' sizes."""
+    rng = random.Random(5)
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "pq")
+    shared = [f"s{i}" for i in range(12)]
+    rows = []
+    for i in range(20_000):
+        w = list(a if i % 3 else b) + (shared if i % 2 else [])
+        w[rng.randrange(len(w))] = f"u{i}"
+        rows.append((i, " ".join(w)))
+    df = frame(spark, rows).repartition(8)
+    sizes = {}
+    for r in ngram_join.near_groups(df, task_shingles=20_000).select("component_id").collect():
+        sizes[r[0]] = sizes.get(r[0], 0) + 1
+    # with 12 of 72 words shared or not, all four kinds are groups of their own, up to links the brute force shows below
+    few = rows[:300]
+    assert got(frame(spark, few), task_shingles=2000) == near_groups(few)
+    assert sum(sizes.values()) == 20_000 and len([n for n in sizes.values() if n > 2000]) == len([c for c in {c for _, _, c in near_groups(few)} if sum(x == c for _, _, x in near_groups(few)) > 20])
