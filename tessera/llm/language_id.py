@@ -6,9 +6,9 @@ first over all languages, then over the best one, two, ... of them, as long as a
 likelihood less ``penalty * ln(words)`` for each language is selected, and its largest language is the prediction.
 
 Training rows are those with a language whose crc32(id) % 4 is not 2, of each language about ``rows_per_language``, by a
-hash of the id (the bound of the model's sample; everything that is predicted is predicted from its whole text). At most
-MOST_LANGUAGES are learned, the most frequent, so the model has at most 256 * 65,536 weights and is shipped with the
-tasks. Prediction is one pass without a shuffle; the language, source and id of a document are not inputs to it.
+hash of id and text (the bound of the model's sample; everything that is predicted is predicted from its whole text). All
+languages are learned; the model has 65,536 weights for each and is shipped with the tasks, so more than
+``most_languages`` are an error, not cut off. Prediction is one pass without a shuffle; the language, source and id of a document are not inputs to it.
 
 Shares are relative: they say nothing about whether any learned language fits. The gain does, the mean log-likelihood of a
 text's trigrams under its mixture less that under a flat background. Gibberish and languages that were not learned gain
@@ -34,6 +34,7 @@ from tessera.llm import pretoken
 from tessera.runtime import small_batches
 
 BUCKETS = 1 << 16
+#: More languages than this are an error unless ``most_languages`` allows them: the model is shipped with every task.
 MOST_LANGUAGES = 256
 ROWS_PER_LANGUAGE = 4000
 PENALTY = 1.5
@@ -142,16 +143,18 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; raise most_languages and the memory of driver and workers with it")
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     # a row is in the sample if the hash of its id falls under its language's share
     share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, rows_per_language / r["count"])) for r in sizes], "lang string, share double")
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(0)), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "text")
 
     def count(batches):
@@ -167,7 +170,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
     counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # at most MOST_LANGUAGES * BUCKETS numbers
+    # at most most_languages * BUCKETS numbers
     found = counted.toPandas()
     languages = sorted(found["lang"].unique())
     n = np.zeros((BUCKETS, len(languages)))
@@ -201,39 +204,57 @@ def explained(gain: np.ndarray, grams: np.ndarray, typical: float) -> np.ndarray
     return (gain * grams + PRIOR_TRIGRAMS * typical) / (grams + PRIOR_TRIGRAMS) >= LEAST_GAIN * typical
 
 
-def annotate(df: DataFrame, model: Model, text_col: str = "text", min_score: float | None = None, typical: float | None = None) -> DataFrame:
-    """``df`` with lang_pred, score and proportions (map of the selected set); with ``min_score`` also filtered.
+def predict(text: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: the column of its language (-1: ``und``), its score, the proportions, its gain and its trigrams."""
+    has_letter = np.array(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_pylist(), bool)
+    p, gain, grams = mixtures(text, model)
+    known = has_letter & (p.sum(1) > 0) if p.shape[1] else np.zeros(len(text), bool)
+    p[~known] = 0
+    best = p.argmax(1) if p.shape[1] else np.zeros(len(text), int)
+    score = np.minimum(1.0, p[np.arange(len(p)), best]) if p.shape[1] else np.zeros(len(text))
+    return np.where(known, best, -1), score, p, gain, grams
 
-    The filter drops ``und``, documents whose largest language has a smaller share than ``min_score`` and, given the
-    gain that is ``typical``, documents that the learned languages don't explain.
-    """
+
+def annotate(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``df`` with lang_pred, score and proportions (map of the selected set), which replace columns of these names."""
     small_batches(df.sparkSession)
     new = ["lang_pred", "score", "proportions"]
-    df = df.select(*[c for c in df.columns if c not in new])
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
     at = df.columns.index(text_col)
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("proportions", T.MapType(T.StringType(), T.DoubleType()))])
 
     def run(batches):
         for batch in batches:
             for s in pretoken.slices(batch, at, model.block_bytes()):
-                text = s.column(at)
-                has_letter = np.array(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_pylist(), bool)
-                p, gain, grams = mixtures(text, model)
-                known = has_letter & (p.sum(1) > 0) if p.shape[1] else np.zeros(len(text), bool)
-                p[~known] = 0
-                best = p.argmax(1) if p.shape[1] else np.zeros(len(text), int)
-                score = np.minimum(1.0, p[np.arange(len(p)), best]) if p.shape[1] else np.zeros(len(text))
-                name = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+                best, score, p, _, _ = predict(s.column(at), model)
+                name = [model.languages[b] if b >= 0 else UNKNOWN for b in best.tolist()]
                 row, col = np.nonzero(p > 0)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))]).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(best)))]).astype(np.int32)
                 shares = pa.MapArray.from_arrays(pa.array(ends), pa.array([model.languages[c] for c in col], pa.string()), pa.array(p[row, col]))
-                out = pa.RecordBatch.from_arrays([*s.columns, pa.array(name, pa.string()), pa.array(score), shares], names=[*s.schema.names, *new])
-                stays = known & (score >= (min_score or 0.0))
+                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(name, pa.string()), pa.array(score), shares], names=[*s.schema.names, *new])
+
+    return df.mapInArrow(run, schema)
+
+
+def keep(df: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0, typical: float | None = None) -> DataFrame:
+    """The rows of ``df``, in its own columns whatever their names, that are in a learned language.
+
+    Texts that are ``und`` go, those whose largest language has a smaller share than ``min_score`` and, given the gain
+    that is ``typical``, those that the learned languages don't explain.
+    """
+    small_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for s in pretoken.slices(batch, at, model.block_bytes()):
+                best, score, _, gain, grams = predict(s.column(at), model)
+                stays = (best >= 0) & (score >= min_score)
                 if typical is not None:
                     stays &= explained(gain, grams, typical)
-                yield out if min_score is None else out.filter(pa.array(stays))
+                yield s.filter(pa.array(stays))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

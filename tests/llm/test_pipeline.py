@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 
 from helpers import WORD, near_groups
+from pyspark.sql import functions as F
 from test_mix_pack import check_pack
 
 import corpus_pipeline
@@ -78,3 +80,62 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, D), "empty")
         assert docs.count() == 0
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, one id with different texts, and all clashing names."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    text = {}
+    for r in docs.where("length(text) > 300").orderBy("doc_id").collect():
+        text.setdefault(r["lang"], r["text"])
+    t, u, v = text["en"], text["de"], text["fr"]
+    rows = [(1, t, "en", "a", len(t)), (1, u, "de", "a", len(u)), (1, t, "en", "a", len(t)), (None, t + " and", None, None, None), (None, None, None, None, None), (None, None, None, None, None)]
+    rows += [(7, "", "en", "b", 0), (8, " \n", "en", "b", 2), (9, (v + " ") * 40, "fr", "b", None), (10, v, "fr", "c", len(v)), (10, v, "fr", "c", len(v)), (11, t + " the of", "en", None, 5)]
+    names = ["score", "lang_pred", "proportions", "_row", "row", "_copies", "_partial", "_cut", "k1", "k2", "times", "r1", "component_id", "keep_id", "digest", "bin_id", "part", "ids"]
+    odd = spark.createDataFrame(rows, docs.schema).unionByName(docs.limit(60)).repartition(3)
+    return odd.select("*", *[F.xxhash64("doc_id", "text", F.lit(n)).cast("double" if n == "score" else "string").alias(n) for n in names])
+
+
+def test_odd_documents_in_every_stage(spark):
+    docs = odd_documents(spark).cache()
+    columns = docs.columns
+    plain = lambda r: tuple(r[c] for c in columns)
+    given = Counter(map(plain, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, D)
+        assert got.columns == columns and got.dtypes == docs.dtypes, name
+        rows = Counter(map(plain, got.collect()))
+        if name == "mix_to_targets":  # a cut copy has another text and length, but all other columns
+            cut = [i for i, c in enumerate(columns) if c not in ("text", "n_chars")]
+            known = {tuple(r[i] for i in cut) for r in given}
+            assert all(tuple(r[i] for i in cut) in known for r in rows)
+            size = lambda rs: sum(len(WORD.findall(r[1] or "")) * n for r, n in rs.items())
+            assert abs(size(rows) - size(given)) <= len({r[3] for r in given})
+            continue
+        assert all(n <= given[r] for r, n in rows.items()), name
+        norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        if name == "language_id":
+            assert not [r for r in rows if not re.search(r"[^\W\d_]", r[1] or "")]
+            assert {r: n for r, n in given.items() if len(WORD.findall(r[1] or "")) > 40}.items() <= rows.items()
+        if name == "exact_dedup":
+            assert Counter(norm(r[1]) for r in rows.elements()) == Counter({norm(r[1]) for r in given})
+            least = {}
+            for r in given:
+                least[norm(r[1])] = min(least.get(norm(r[1]), (True, 0)), (r[0] is None, r[0] or 0))
+            assert all((r[0] is None, r[0] or 0) == least[norm(r[1])] for r in rows)
+        if name == "ngram_jaccard_join":
+            number = list(given.elements())
+            groups = {}
+            for i, _, c in near_groups([(i, r[1]) for i, r in enumerate(number)]):
+                groups.setdefault(c, []).append(number[i])
+            want = 0
+            for g in groups.values():
+                if not WORD.findall(g[0][1] or ""):
+                    want += len(g)
+                    continue
+                want += 1
+                first = min((r[0] is None, r[0] or 0) for r in g)
+                assert sum(rows[r] for r in set(g)) == 1 and any(rows[r] and (r[0] is None, r[0] or 0) == first for r in g)
+            assert sum(rows.values()) == want
+    made = corpus_pipeline.pack_sequences(spark, docs, D).collect()
+    check_pack([(r[0], r[1]) for r in given.elements()], made, packing.LENGTHS)
