@@ -19,26 +19,50 @@ LEAST_SHARE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be learned from ``docs``; the others, and those without a letter, go.
+
+    The prediction rejects but leaves no trace: all columns, ``score`` or ``lang_pred`` among them, are the user's own.
+    Without a labelled row nothing can be learned, and only texts without a letter go. Repeated rows have one fate; null
+    ids and labels are allowed; an empty table stays empty.
+    """
     model = language_id.train(docs)
-    if not model.languages:  # nothing to learn from: nothing to reject by, but for texts without letters
+    if not model.languages:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    typical = language_id.typical_gain(docs, model)
-    return language_id.annotate(docs, model, min_score=LEAST_SHARE, typical=typical).select(*docs.columns)
+    return language_id.keep(docs, model, min_score=LEAST_SHARE, typical=language_id.typical_gain(docs, model))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each text, up to white space: that with the smallest id, null ids last.
+
+    Null and empty texts are one text. Of rows with that id one stays, by content, also if they repeat. Other columns
+    may have any name; an empty table stays empty.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each group of texts that links of five-word shingles with similarity 0.8 connect.
+
+    The smallest id stays, null ids last; different texts of one id are told apart; texts without a word all stay; a row
+    that repeats stays once. Other columns may have any name; an empty table stays empty.
+    """
     return ngram_join.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, so that sources come to their targets; a cut copy has its first words.
+
+    A null source is a source; texts without words are taken 0 times; n_chars follows a cut text, other columns may have
+    any name; repeated rows are taken like others; an empty table stays empty.
+    """
     return mixing.copies(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of several lengths that hold all documents, long ones in pieces; see ``packing.pack``.
+
+    A null or empty text is its end token; repeated rows are packed separately; an empty table gives no sequence.
+    """
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), END_ID)
 
 
