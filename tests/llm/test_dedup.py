@@ -53,9 +53,58 @@ def test_index_persists_and_grows(spark, tmp_path):
     got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.dedup(frame(spark, [(1, "a"), (2, "c")]), again).collect()}
     assert got == {1: (10, False), 2: (2, True)}
     assert again.read().count() == 3
-    assert glob.glob(f"{tmp_path}/index/*_0000*.parquet")
-    plan = again.missing(again.read().limit(1))._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    assert again.buckets == 4 and glob.glob(f"{tmp_path}/index/v0/*_0000*.parquet")
+
+
+@pytest.mark.parametrize("partitions", ["8", "200", "400"])
+def test_index_is_never_shuffled(spark, partitions):
+    index = exact_dedup.DigestIndex(spark, buckets=16)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    batch = lambda a: spark.range(a, a + 3000).selectExpr("id", "unhex(sha2(cast(id AS string), 256)) AS digest")
+    try:
+        index.add(batch(0))
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        with index.in_place():
+            new = batch(2000).groupBy("digest").agg({"id": "min"}).withColumnRenamed("min(id)", "keep_id")
+            found = index.missing(new)
+            assert found.count() == 2000
+            plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan
+        scan = plan[: plan.index("FileScan parquet")] if "FileScan parquet" in plan else plan
+        below = plan[plan.index("LeftAnti") :].split("\n")
+        own = next(i for i, line in enumerate(below) if "FileScan" in line and "keep_id" not in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        above, d = [], depth(below[own])
+        for line in reversed(below[1:own]):
+            if depth(line) < d:
+                above.append(line)
+                d = depth(line)
+        assert above and not any("Exchange" in line for line in above), plan
+        assert not any(line.lstrip(" :+-*(0123456789)").startswith("Sort ") for line in above), plan
+        assert scan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        index.close()
+
+
+def test_adding_again_and_merging_change_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_FILES", 2)
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    rows = lambda a, b: spark.range(a, b).selectExpr("id", "unhex(sha2(cast(id AS string), 256)) AS digest")
+    for a in (0, 50, 100, 150):
+        for _ in range(2):
+            index.add(rows(a, a + 80))
+    assert index.version >= 1 and index.files <= 2
+    index.merge()
+    want = sorted(tuple(r) for r in rows(0, 230).select("digest", "id").collect())
+    assert sorted(tuple(r) for r in index.read().collect()) == want
+    assert len(glob.glob(f"{tmp_path}/index/v{index.version}/part*.parquet")) == 4
+    other = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    assert (other.version, other.buckets, other.files) == (index.version, 4, 1) and sorted(tuple(r) for r in other.read().collect()) == want
+    with index.locked(), pytest.raises(RuntimeError):
+        other.add(rows(0, 1))
+    other.add(rows(500, 501))
+    assert other.read().count() == 231
 
 
 def test_sql(spark):
