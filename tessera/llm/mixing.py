@@ -12,8 +12,8 @@ leaves its bracket is replaced by bisection. Whole parts of the rates become cop
 documents in the order of hash / fraction, so that a document's chance of one more copy follows its fraction; the last
 one gives the words that are still missing (a partial copy), so each source ends on its target, rounded down.
 
-The order is found without bringing a source together: documents fall into SLOTS hash slots per source, the slots are
-summed first, and only inside one slot are single documents ordered.
+The order is found without bringing a source together: documents fall into hash slots per source, whose number grows
+with the documents; the slots are summed first, and only inside one slot are single documents ordered.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
 taken 0 times; rows that are equal in every respect may exchange their results; an empty table gives an empty table.
@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.runtime import CHUNK, free_name, in_chunks, materialise, pick, row_key, running_total
+from tessera.runtime import CHUNK, free_name, in_chunks, lookup, materialise, pick, row_key, running_total
 
 WEIGHTS = (5, 2, 1)
-SLOTS = 4096
-MAX_STEPS = 40
+#: Hash slots of each source at least, and documents for which there is one more.
+SLOTS, SLOT_ROWS = 4096, 100_000
+MAX_STEPS = 80
 
 
 def words(text: Column) -> Column:
@@ -93,7 +94,9 @@ def multipliers(counts: DataFrame, goals: DataFrame, cap: int = 3, tolerance: fl
             .withColumn("high", F.when(F.col("gap") >= 0, F.col("multiplier")).otherwise(F.col("high")))
             .withColumn("newton", F.when(F.col("slope") > 0, F.col("multiplier") - F.col("gap") / F.col("slope")))
         )
-        good = F.abs("gap") <= F.col("target") * F.lit(tolerance)
+        # a bracket that can't be halved any more is as near as numbers go
+        narrow = F.col("high") - F.col("low") <= F.lit(1e-14) * F.greatest(F.lit(1.0), F.abs("low"))
+        good = (F.abs("gap") <= F.col("target") * F.lit(tolerance)) | narrow
         inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
         step = step.withColumn(
             "next", F.when(good, F.col("multiplier")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
@@ -102,6 +105,8 @@ def multipliers(counts: DataFrame, goals: DataFrame, cap: int = 3, tolerance: fl
         if state.where("_open").isEmpty():
             break
         state = state.drop("_open")
+    else:
+        raise RuntimeError(f"the dual did not settle in {MAX_STEPS} steps")
     return state.select("source", "multiplier")
 
 
@@ -109,6 +114,7 @@ def _documents(df: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     docs = df.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
+        F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("")).alias("_k"),
         words(F.col(text_col)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"),
         key[0].alias("_k1"),
@@ -162,19 +168,22 @@ def _mixed(docs: DataFrame, weights, cap: int) -> DataFrame:
         F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_docs")
     )
     per_source = materialise(per_source, "mix-sums")
+    total = per_source.agg(F.coalesce(F.sum("source_docs"), F.lit(0))).first()[0]
+    slots_of = max(SLOTS, -(-total // SLOT_ROWS))
     goals = materialise(targets(per_source.select("source", "source_size"), weights, cap), "mix-targets")
-    means = per_source.select(F.col("source").alias("_s"), F.greatest(F.col("source_size") / F.col("source_docs"), F.lit(1e-9)).alias("mean_size"))
-    counts = counts.join(means, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    means = per_source.select(F.col("source").alias("_s"), "source_docs", F.greatest(F.col("source_size") / F.col("source_docs"), F.lit(1e-9)).alias("mean_size"))
+    counts = counts.join(means.drop("source_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     solved = multipliers(counts, goals, cap)
     facts = (
         goals.join(means, F.col("source").eqNullSafe(F.col("_s")))
         .drop("_s")
         .join(solved.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
         .drop("_s")
-        .withColumnRenamed("source", "_s")
+        .withColumn("_k", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")))
+        .drop("source")
     )
     facts = materialise(facts, "mix-facts")
-    rated = docs.join(facts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rated = lookup(docs, facts, "_k", "source_docs", total).drop("_k", "source_docs")
     x = F.lit(1.0) + F.log1p(F.col("size") / F.col("mean_size"))
     rate = F.when((F.col("size") > 0) & F.col("multiplier").isNotNull(), _rate(F.col("multiplier"), x, cap)).otherwise(0.0)
     rated = rated.withColumn("rate", rate).withColumn("_base", F.floor(F.col("rate") + F.lit(1e-6)).cast("long"))
@@ -183,7 +192,7 @@ def _mixed(docs: DataFrame, weights, cap: int) -> DataFrame:
     # order of further copies: u / fraction, with a place after all others for those without a fraction
     late = u / F.greatest(fraction, F.lit(1e-9))
     rated = rated.withColumn("_late", late).withColumn(
-        "_slot", F.when(late < 2, F.floor(late * (SLOTS // 2))).otherwise(F.lit(SLOTS) + F.pmod(F.shiftright("_hash", 40), F.lit(SLOTS))).cast("int")
+        "_slot", F.when(late < 2, F.floor(late * (slots_of // 2))).otherwise(F.lit(slots_of) + F.pmod(F.shiftright("_hash", 40), F.lit(slots_of))).cast("int")
     )
     room = F.when(F.col("_base") < cap, F.col("size")).otherwise(F.lit(0))
     rated = materialise(rated.withColumn("_room", room), "mix-rated")
