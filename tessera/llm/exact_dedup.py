@@ -113,6 +113,9 @@ class DigestIndex:
     def in_place(self):
         """Joins planned and run in here take the index's buckets as their partitions, and their order where they have one."""
         conf, want = self.spark.conf, {"spark.sql.shuffle.partitions": str(self.buckets), "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+        # the anti-join must not move below the batch's aggregation: a hot digest would be shuffled row by row
+        kept = [r for r in (conf.get("spark.sql.optimizer.excludedRules", None) or "").split(",") if r]
+        want["spark.sql.optimizer.excludedRules"] = ",".join([*kept, "org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"])
         if self.files <= 1:
             want["spark.sql.legacy.bucketedTableScan.outputOrdering"] = "true"
         before = {k: conf.get(k, None) for k in want}
