@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,30 +59,22 @@ def blocks(x: Column) -> Column:
     return F.aggregate(T.lines(x), start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(F.array_join(a["cur"], "\n")))).otherwise(a["out"]))
 
 
+#: Thousandths of a token for a character, and what a character of Arabic has more.
+CHAR_UNITS, ARABIC_UNITS = 250, 45
+GAP = "\n\n"
+
+
 class Counter:
-    """Counts tokens and cuts a text into pieces of so many tokens.
+    """Counts tokens with a Python function and cuts a text into pieces of so many tokens.
 
-    ``estimate`` is the default where no vocabulary is at hand: 0.295 tokens for a character of Arabic, 0.25 for
-    others, rounded up. ``words`` counts words; ``bpe`` takes a rank file and its pattern.
+    Without one, ``chunks`` estimates from characters, all in Columns. ``by_words`` counts words; ``bpe`` takes a rank
+    file and its pattern. A count must not depend on what stands before a text but for the gap between blocks.
     """
 
     def __init__(self, name: str, count: Callable[[str], int], cut: Callable[[str, int], list[str]]):
         self.name, self.count, self.cut = name, count, cut
 
 
-def _estimate(s: str) -> int:
-    arabic = len(re.findall(r"[؀-ۿ]", s))
-    return -(-(295 * arabic + 250 * (len(s) - arabic)) // 1000)
-
-
-def estimate() -> Counter:
-    def cut(s: str, limit: int) -> list[str]:
-        step = max(1, int(limit / 0.295))
-        return [s[i : i + step] for i in range(0, len(s), step)]
-
-    return Counter("estimate", _estimate, cut)
-
-
 def by_words() -> Counter:
     def cut(s: str, limit: int) -> list[str]:
         w = s.split()
@@ -108,77 +100,147 @@ def bpe(path: str, pattern: str) -> Counter:
     return Counter("bpe", lambda s: len(enc.encode_ordinary(s)), cut)
 
 
-def _heading(block: str) -> bool:
-    s = block.strip()
-    return 0 < len(s) <= 80 and s[-1] not in ".،:؛" and len(s.split()) <= 10
+def units(x: Column) -> Column:
+    """Estimated thousandths of a token; those of texts in a row add up."""
+    return (F.length(x) * CHAR_UNITS + F.length(F.regexp_replace(x, r"[^\x{0600}-\x{06FF}]", "")) * ARABIC_UNITS).cast("long")
 
 
-def split_oversize(block: str, limit: int, counter: Counter) -> list[str]:
-    """Whole sentences up to the limit; a sentence above it is cut by tokens."""
-    packed: list[str] = []
-    for s in re.split(r"(?<=[.؟!])\s+|\n", block):
-        if not s.strip():
-            continue
-        if packed and counter.count(f"{packed[-1]} {s}") <= limit:
-            packed[-1] += f" {s}"
-        else:
-            packed.append(s)
-    return [piece for p in packed for piece in ([p] if counter.count(p) <= limit else counter.cut(p, limit))]
+def tokens_of(u: Column) -> Column:
+    return F.ceil(u / 1000).cast("int")
 
 
-def pack_blocks(parts: Sequence[str], title: str | None, counter: Counter, target: int = TARGET_TOKENS, most: int = MOST_TOKENS, least: int = LEAST_TOKENS) -> list[str]:
-    """Blocks into chunks of about ``target`` tokens that all begin with the title.
+def _weighed(block: Column) -> Column:
+    """A block with its units when it begins a chunk, and when it follows another block."""
+    return T.let(units(block), lambda u: F.struct(block.alias("text"), u.alias("alone"), (u + CHAR_UNITS * len(GAP)).alias("after")))
 
-    Tables stay whole. Other blocks above the hard limit are split. A chunk that follows another begins with the last
-    heading. Small chunks join the one before, small first ones the one after.
-    """
-    title = title or ""
-    prefix = f"{title}\n\n" if title else ""
-    used = counter.count(prefix)
-    soft, hard = target - used, most - used
-    chunks: list[str] = []
-    cur: list[str] = []
-    heading = ""
-
-    def flush(then: list[str]) -> list[str]:
-        if cur:
-            chunks.append("\n\n".join(cur))
-        return then
-
-    for block in parts:
-        if counter.count(block) > hard and not re.match(r"\s*\|", block):
-            cur = flush([])
-            chunks += split_oversize(block, hard, counter)
-            continue
-        heading = block if _heading(block) else heading
-        if cur and counter.count("\n\n".join([*cur, block])) > soft:
-            cur = flush([heading] if heading and heading != block else [])
-        cur.append(block)
-    flush([])
-    out: list[str] = []
-    for body in filter(None, (c.strip() for c in chunks)):
-        if out and counter.count(body) < least:
-            out[-1] += f"\n\n{body}"
-        else:
-            out.append(body)
-    while len(out) > 1 and counter.count(out[0]) < least:
-        out[:2] = [f"{out[0]}\n\n{out[1]}"]
-    return [c if c.startswith(title) else prefix + c for c in out]
 
+def _estimated_pieces(block: Column, hard: Column) -> Column:
+    """A long block as pieces of whole sentences up to ``hard`` tokens; what is longer still is cut by characters."""
+    weighed = F.transform(F.filter(T.sentences(block), lambda s: T.strip(s) != ""), lambda s: F.struct(s.alias("text"), units(s).alias("u")))
+    first = lambda s: F.array(F.struct(s["text"].alias("text"), s["u"].alias("u")))
 
-def chunks(df: DataFrame, counter: Counter | None = None, text_col: str = "text", title_col: str = "doc_title", id_col: str = "id") -> DataFrame:
-    """One row per chunk: the document's columns, with text, chars, tokens, chunk_index, chunk_count, parent_id and a new id."""
-    counter = counter or estimate()
+    def step(out, s):
+        last = F.element_at(out, -1)
+        joined = F.struct(F.concat_ws(" ", last["text"], s["text"]).alias("text"), (last["u"] + CHAR_UNITS + s["u"]).alias("u"))
+        fits = (F.size(out) > 0) & (tokens_of(F.try_element_at(out, F.lit(-1))["u"] + CHAR_UNITS + s["u"]) <= hard)
+        return F.when(fits, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, first(s)))
+
+    packed = F.aggregate(weighed, F.array().cast("array<struct<text:string,u:bigint>>"), step)
+    # the limit in characters, were they all Arabic
+    size = F.greatest(F.lit(1), F.floor(hard * 1000 / (CHAR_UNITS + ARABIC_UNITS))).cast("int")
+    cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)), size), lambda i: F.substr(t, i, size))
+    return F.flatten(F.transform(packed, lambda p: F.when(tokens_of(p["u"]) <= hard, F.array(p["text"])).otherwise(cut(p["text"]))))
 
-    @F.pandas_udf("array<struct<text:string,tokens:int>>")
-    def pack(parts: pd.Series, titles: pd.Series) -> pd.Series:
-        def one(p, t):
-            return [{"text": c, "tokens": counter.count(c)} for c in pack_blocks(list(p) if p is not None else [], t, counter)]
 
-        return pd.Series([one(p, t) for p, t in zip(parts, titles, strict=True)])
+def grouped(items: Column, soft: Column) -> Column:
+    """Bodies of chunks from items (text, alone, after, sealed): blocks in a row up to ``soft`` tokens.
 
-    made = df.withColumn("_chunks", pack(blocks(F.coalesce(F.col(text_col), F.lit(""))), F.col(title_col)))
-    return lineage(made, "_chunks", id_col, text_col).withColumn("counter", F.lit(counter.name))
+    A sealed item is a body of its own. Where a body is full, the next begins with the last heading, unless the block
+    that comes is that heading itself.
+    """
+    start = F.struct(
+        F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("body"), F.lit(0).cast("long").alias("u"),
+        F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("u")).alias("heading"),
+    )
+
+    def step(a, x):
+        heading = F.when(T.is_block_heading(x["text"]) & ~x["sealed"], F.struct(x["text"].alias("text"), x["alone"].alias("u"))).otherwise(a["heading"])
+        ends = a["body"].isNotNull() & (x["sealed"] | (tokens_of(a["u"] + x["after"]) > soft))
+        led = ends & heading["text"].isNotNull() & (heading["text"] != x["text"])
+        goes_on = a["body"].isNotNull() & ~ends
+        done = F.when(ends, F.concat(a["done"], F.array(a["body"]))).otherwise(a["done"])
+        before = F.when(goes_on, a["body"]).when(led, heading["text"])
+        weight = F.when(goes_on, a["u"] + x["after"]).when(led, heading["u"] + x["after"]).otherwise(x["alone"])
+        return F.struct(
+            F.when(x["sealed"], F.concat(done, F.array(x["text"]))).otherwise(done).alias("done"),
+            F.when(~x["sealed"], F.concat_ws(GAP, before, x["text"])).alias("body"),
+            F.when(x["sealed"], F.lit(0)).otherwise(weight).cast("long").alias("u"),
+            heading.alias("heading"),
+        )
+
+    return F.aggregate(items, start, step, lambda a: F.when(a["body"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["body"]))))
+
+
+def joined_small(bodies: Column, least: int) -> Column:
+    """Bodies (text, tokens) as texts: a small one goes to the one before it, and a small first one takes up the next."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("first"))
+
+    def step(a, x):
+        n = F.size(a["out"])
+        joins = (n > 0) & ((x["tokens"] < least) | ((n == 1) & (a["first"] < least)))
+        last = F.concat_ws(GAP, F.try_element_at(a["out"], F.lit(-1)), x["text"])
+        out = F.when(joins, F.concat(F.slice(a["out"], 1, F.greatest(n - 1, F.lit(0))), F.array(last))).otherwise(F.concat(a["out"], F.array(x["text"])))
+        return F.struct(out.alias("out"), F.when(n == 0, x["tokens"]).when(n == 1, F.when(joins, a["first"] + x["tokens"]).otherwise(a["first"])).otherwise(a["first"]).alias("first"))
+
+    return F.aggregate(bodies, start, step, lambda a: a["out"])
+
+
+def chunk_tokens(df: DataFrame, counter: Counter | None, text_col: str, title_col: str, out: str, target: int = TARGET_TOKENS, most: int = MOST_TOKENS, least: int = LEAST_TOKENS) -> DataFrame:
+    """Add an array of chunks (text, tokens) of about ``target`` tokens that all begin with the title.
+
+    Tables stay whole. Other blocks above ``most`` are cut. With a counter, Python functions weigh blocks and cut long
+    ones; grouping them is the same.
+    """
+    title, body = F.coalesce(F.col(title_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
+    prefix = F.when(title != "", F.concat(title, F.lit(GAP))).otherwise(F.lit(""))
+    if counter is None:
+        count = lambda x: F.transform(x, lambda t: tokens_of(units(t)))
+        weigh = lambda blocks_, _: F.transform(blocks_, _weighed)
+    else:
+        count, weigh = _functions(counter)
+    df = df.withColumn("_used", F.get(count(F.array(prefix)), 0)).withColumn("_hard", most - F.col("_used"))
+    df = df.withColumn("_items", weigh(blocks(body), F.col("_hard")))
+    long = lambda x: (tokens_of(x["alone"]) > F.col("_hard")) & ~T.is_table_line(x["text"])
+    item = lambda t, alone, after, sealed: F.struct(t.alias("text"), alone.alias("alone"), after.alias("after"), F.lit(sealed).alias("sealed"))
+    zero = F.lit(0).cast("long")
+    own = (lambda x: _estimated_pieces(x["text"], F.col("_hard"))) if counter is None else (lambda x: x["pieces"])
+    items = F.flatten(F.transform("_items", lambda x: F.when(long(x), F.transform(own(x), lambda t: item(t, zero, zero, True))).otherwise(F.array(item(x["text"], x["alone"], x["after"], False)))))
+    df = df.withColumn("_bodies", F.filter(F.transform(grouped(items, target - F.col("_used")), T.strip), lambda t: t != ""))
+    df = df.withColumn("_counts", count(F.col("_bodies")))
+    made = joined_small(F.zip_with("_bodies", "_counts", lambda t, n: F.struct(t.alias("text"), n.alias("tokens"))), least)
+    df = df.withColumn("_bodies", F.transform(made, lambda t: F.when(F.startswith(t, title), t).otherwise(F.concat(prefix, t))))
+    df = df.withColumn("_counts", count(F.col("_bodies")))
+    df = df.withColumn(out, F.zip_with("_bodies", "_counts", lambda t, n: F.struct(t.alias("text"), n.alias("tokens"))))
+    return df.drop("_used", "_hard", "_items", "_bodies", "_counts")
+
+
+def _functions(counter: Counter):
+    """Functions of arrays of texts for a counter: tokens, and blocks with their units and, if they are long, their pieces."""
+
+    @F.pandas_udf("array<int>")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda some: [counter.count(t) for t in some])
+
+    def pieces(block: str, hard: int) -> list[str]:
+        # a sentence that follows another counts with the space before it
+        out, free = [], 0
+        for s in filter(str.strip, re.split(r"(?<=[.؟!])\s+|\n", block)):
+            more = counter.count(" " + s)
+            if out and more <= free:
+                out[-1], free = out[-1] + " " + s, free - more
+            else:
+                free = hard - counter.count(s)
+                out.append(s)
+        return [p for t in out for p in (counter.cut(t, hard) if counter.count(t) > hard else (t,))]
+
+    @F.pandas_udf("array<struct<text:string,alone:bigint,after:bigint,pieces:array<string>>>")
+    def weigh(blocks_: pd.Series, hard: pd.Series) -> pd.Series:
+        def one(some, limit):
+            rows = []
+            for t in some:
+                n = counter.count(t)
+                rows.append({"text": t, "alone": 1000 * n, "after": 1000 * counter.count(GAP + t), "pieces": pieces(t, limit) if n > limit else []})
+            return rows
+
+        return pd.Series([one(b, h) for b, h in zip(blocks_, hard, strict=True)])
+
+    return count, weigh
+
+
+def chunks(df: DataFrame, counter: Counter | None = None, text_col: str = "text", title_col: str = "doc_title", id_col: str = "id") -> DataFrame:
+    """One row per chunk: the document's columns, with text, chars, tokens, chunk_index, chunk_count, parent_id and a new id."""
+    made = chunk_tokens(df, counter, text_col, title_col, "_chunks")
+    return lineage(made, "_chunks", id_col, text_col).withColumn("counter", F.lit(counter.name if counter else "estimate"))
 
 
 def lineage(df: DataFrame, chunks_col: str, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Sources, records, chunking and markup on literals."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -114,6 +115,9 @@ def test_collapse(spark):
     df = spark.createDataFrame([(list("AABA"),), (list("ABABAB"),), (list("ABCABCD"),)], "l array<string>")
     got = df.select(markup.collapse_blocks(markup.drop_adjacent(F.col("l"))).alias("x"))
     assert values(got, "x") == [list("ABA"), list("ABAB"), list("ABCD")]
+    # the longest block first, then on by one line: the repeat after it is seen from the next place
+    longer = spark.createDataFrame([(list("ABCABCABC"),), (list("XABABABAB"),), (None,), ([],)], "l array<string>").select(markup.collapse_blocks(F.col("l")).alias("x"))
+    assert values(longer, "x") == [list("ABCABC"), list("XABAB"), None, []]
 
 
 def test_urls(spark):
@@ -180,16 +184,35 @@ def test_blocks(spark):
     assert values(df, "b") == [["a\nb", " | x |\n| y |", "c", "|z|"]]
 
 
-def test_pack_blocks():
+def packed(spark, texts, title, counter=None):
+    df = spark.createDataFrame([("d", title, "\n\n".join(texts))], "id string, doc_title string, text string")
+    return [r["text"] for r in chunking.chunks(df, counter).orderBy("chunk_index").collect()]
+
+
+def test_chunks_by_words(spark):
     count = chunking.by_words()
     table = "| " + "c " * 900
-    text = ["Heading one", "w " * 300, "v " * 300, table, "u " * 1500, "tail"]
-    got = chunking.pack_blocks(text, "Title", count)
-    assert all(c.startswith("Title") for c in got)
-    assert any(table.strip() in c for c in got)
-    assert [len(c.split()) for c in got if "u u" in c] == [700, 700, 104] or got[-1].endswith("tail")
-    assert chunking.pack_blocks([], "T", count) == []
-    assert chunking.pack_blocks(["Only", "body " * 60], None, count) == ["Only\n\n" + ("body " * 60).strip()]
+    got = packed(spark, ["Heading one", "w " * 300, "v " * 300, table, "u " * 1500, "tail"], "Title", count)
+    assert all(c.startswith("Title") for c in got) and any(table.strip() in c for c in got)
+    # the table stays whole; the long block is cut at 699 words beside the title's one, and the small tail joins it
+    assert [len(c.split()) for c in got if "u u" in c] == [700, 700, 104]
+    assert got[1] == "Title\n\nHeading one\n\n" + ("v " * 300).strip()
+    assert packed(spark, [], "T", count) == []
+    assert packed(spark, ["Only", "body " * 60], None, count) == ["Only\n\n" + ("body " * 60).strip()]
+
+
+def test_chunks_by_the_estimate(spark):
+    tokens = lambda t: -(-(250 * len(t) + 45 * len(re.findall("[\u0600-\u06ff]", t))) // 1000)
+    sentence = "متجر " * 40 + "words and more. "
+    texts = ["Heading", sentence * 3, sentence * 4, "Next heading", sentence * 40, "x" * 9000, "small"]
+    got = packed(spark, texts, "Title")
+    assert all(c.startswith("Title\n\n") for c in got) and max(map(tokens, got)) <= chunking.MOST_TOKENS + chunking.LEAST_TOKENS
+    bare = lambda t: re.sub(r"\s+", "", t)
+    whole = bare("".join(c.removeprefix("Title\n\n") for c in got))
+    for t in ("Heading", "Nextheading"):
+        whole = whole.replace(t, "")
+    assert whole == bare("".join(texts)).replace("Heading", "").replace("Nextheading", "")
+    assert got[-1].endswith("small") and "x" * 2000 in "".join(got)
 
 
 def test_chunks_and_answers(spark):
