@@ -194,8 +194,9 @@ VECTOR = f"""u AS (SELECT vec_id AS ord, {UNIT} AS v FROM embeddings), qv AS (SE
 
 @query("vector_topk", f"WITH {VECTOR} SELECT 0::BIGINT AS query_id, ord, round(score, 6) AS score FROM (SELECT * FROM vs ORDER BY score DESC, ord LIMIT 100)")
 def vector_topk(s, d):
-    q = query_vector(s, d).select("embedding").first()
-    found = index.one_vector_scores(vectors(s, d), list(q["embedding"]))
+    rows = s.read.parquet(f"{d}/embeddings.parquet").withColumnRenamed("vec_id", "ord")
+    q = rows.where("ord = 7").select("embedding").first()
+    found = index.one_vector_scores(rows, list(q["embedding"]))
     return found.orderBy(F.desc("score"), "ord").limit(index.VECTOR_SIZE).withColumn("score", F.round("score", 6))
 
 
@@ -437,6 +438,61 @@ def file_title(s, d):
     return pages(s, d).select("page_id", T.file_title(stem).alias("title"))
 
 
+# Texts of ours for what the driver's tables lack: Arabic letters and marks, folded spellings, backwards words, tables.
+SAMPLES = (
+    "من المتجر إلى العميل", "نم رجتملا ىلإ", "ليمعلا نم", "قطة كبيرة", "مُتَاجِر الســعر", "السعر ٤٥ SAR for والمتاجر",
+    "plain English, 12 words_or so", "mostly English with one كلمة", "", "123 !?", "ﻻ ﷲ letters", "للبيع لل ال بالمدينة كالبيت فالكل إأآى",
+    "# head\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter table\nsame block\n\n \nlast", "| only |\n\n| two |", "x\n  | indented |\ny\n",
+    "مرحبا:\n| ا | ب |\nنص", None,
+)
+SAMPLED = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if t is None else repr_}::VARCHAR)" for i, t in enumerate(SAMPLES) for repr_ in [f"'{t}'"]) + ") AS v(sample, text))"
+
+
+def samples(s) -> DataFrame:
+    return s.createDataFrame(list(enumerate(SAMPLES)), "sample long, text string")
+
+
+def _sql_list(texts) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in texts) + "]"
+
+
+_BARE, _LETTERS = r"regexp_replace(text, '\p{Mn}|\x{0640}', '', 'g')", r"regexp_replace(text, '\P{L}', '', 'g')"
+_RATIO = f"CASE WHEN {_LETTERS} = '' THEN 0.0 ELSE length(regexp_replace({_LETTERS}, '[^{T.ARABIC}]', '', 'g'))::DOUBLE / length({_LETTERS}) END"
+_FOLD = "CASE " + " ".join(f"WHEN length(w) > {len(p) + 2} AND starts_with(w, '{p}') THEN substr(w, {len(p) + 1})" for p in T.PREFIXES) + " ELSE w END"
+
+
+@query("sample_labels", f"WITH {SAMPLED}, r AS (SELECT *, {_RATIO} AS ratio FROM s) SELECT sample, {_BARE} AS bare, round(ratio, 6) AS ratio, CASE WHEN ratio > 0.6 THEN 'ar' WHEN ratio < 0.2 THEN 'en' ELSE 'mixed' END AS label, CASE WHEN ratio > 0.6 THEN 'ar' ELSE 'mixed' END AS page_label FROM r WHERE text IS NOT NULL")
+def sample_labels(s, d):
+    t = F.col("text")
+    return samples(s).where(t.isNotNull()).select("sample", T.strip_marks(t).alias("bare"), F.round(T.arabic_ratio(t), 6).alias("ratio"), T.lang_label(t).alias("label"), T.lang_label(t, False).alias("page_label"))
+
+
+@query("sample_confidence", f"""WITH {SAMPLED}, f AS (SELECT sample, regexp_extract_all({_BARE}, '[{T.ARABIC}]+') AS w FROM s WHERE text IS NOT NULL),
+    h AS (SELECT sample, len(w) AS n, len(list_filter(w, lambda t: list_contains({_sql_list(arabic.WORDS)}, t))) AS hits, len(list_filter(w, lambda t: list_contains({_sql_list(arabic.WORDS)}, reverse(t)))) AS backwards,
+        len(list_filter(w, lambda t: regexp_matches(t, '^[{arabic.FINAL_ONLY}]'))) AS wrong FROM f)
+    SELECT sample, hits - wrong AS score, CASE WHEN n = 0 THEN 'n/a' WHEN hits >= 2 OR (hits = 1 AND n <= 3) THEN 'high' WHEN backwards > hits THEN 'low' WHEN hits > 0 THEN 'high' ELSE 'low' END AS confidence FROM h""")
+def sample_confidence(s, d):
+    t = F.col("text")
+    return samples(s).where(t.isNotNull()).select("sample", arabic.lexicon_score(t).cast("long").alias("score"), arabic.confidence(t).alias("confidence"))
+
+
+@query("sample_tokens", f"WITH {SAMPLED} SELECT sample, array_to_string(list_transform(list_transform(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}'), lambda w: translate(w, '{T.FOLDED[0]}', '{T.FOLDED[1]}')), lambda w: {_FOLD}), ' ') AS tokens FROM s")
+def sample_tokens(s, d):
+    return samples(s).select("sample", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+
+
+def _blocks_sql(key: str, source: str) -> str:
+    return rf"""l AS (SELECT {key}, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source}),
+    k AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\|') THEN 2 WHEN trim(line) = '' THEN 0 ELSE 1 END AS kind FROM l),
+    g AS (SELECT *, sum(CASE WHEN kind IS DISTINCT FROM before OR kind = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY i) AS grp FROM (SELECT *, lag(kind) OVER (PARTITION BY {key} ORDER BY i) AS before FROM k))
+    SELECT {key}, string_agg(line, chr(10) ORDER BY i) AS block FROM g WHERE kind > 0 GROUP BY {key}, grp"""
+
+
+@query("sample_blocks", f"WITH {SAMPLED}, {_blocks_sql('sample', 's')}")
+def sample_blocks(s, d):
+    return samples(s).select("sample", F.explode(chunking.blocks(F.col("text"))).alias("block"))
+
+
 # chunking
 def _chunk_sql() -> str:
     heading_ = HEADING.replace("line", "x.cur[1]")
@@ -465,10 +521,7 @@ def chunk_chars(s, d):
     return made.select("doc_id", F.posexplode("c").alias("part", "text")).withColumn("part", F.col("part").cast("long"))
 
 
-@query("blocks", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-    k AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\|') THEN 2 WHEN trim(line) = '' THEN 0 ELSE 1 END AS kind FROM l),
-    g AS (SELECT *, sum(CASE WHEN kind IS DISTINCT FROM before OR kind = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k))
-    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS block FROM g WHERE kind > 0 GROUP BY doc_id, grp""")
+@query("blocks", f"WITH {_blocks_sql('doc_id', 'documents')}")
 def blocks(s, d):
     return documents(s, d).select("doc_id", F.explode(chunking.blocks(F.col("text"))).alias("block"))
 
@@ -496,7 +549,12 @@ def dedup_adjacent(s, d):
     return documents(s, d).select("doc_id", F.array_join(markup.drop_adjacent(T.lines(F.col("text"))), "\n").alias("text"))
 
 
-@query("collapse_blocks")
+@query("collapse_blocks", """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    k AS (SELECT doc_id, list(line ORDER BY i) AS l FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l) WHERE before IS DISTINCT FROM line GROUP BY doc_id),
+    w AS (SELECT doc_id, l, 1::BIGINT AS i FROM k UNION ALL
+        SELECT doc_id, CASE WHEN size IS NULL THEN l ELSE list_concat(l[1:i + size - 1], l[i + 2 * size:]) END, i + 1
+        FROM (SELECT *, list_max(list_filter(range(2, 13), lambda n: i + 2 * n - 1 <= len(l) AND l[i:i + n - 1] = l[i + n:i + 2 * n - 1])) AS size FROM w WHERE i <= len(l)))
+    SELECT doc_id, array_to_string(l, chr(10)) AS text FROM w WHERE i = len(l) + 1""")
 def collapse_blocks(s, d):
     return documents(s, d).select("doc_id", F.array_join(markup.collapse_blocks(markup.drop_adjacent(T.lines(F.col("text")))), "\n").alias("text"))
 

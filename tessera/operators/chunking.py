@@ -22,22 +22,22 @@ def chunk_chars(x: Column, target: int = TARGET_CHARS, least: int = LEAST_CHARS)
     before it, if there is one.
     """
     texts = "array<string>"
-    start = F.struct(F.array().cast(texts).alias("out"), F.array().cast(texts).alias("cur"), F.lit("").alias("heading"))
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.length(s))
+    start = F.struct(F.array().cast(texts).alias("out"), F.array().cast(texts).alias("cur"), F.lit("").alias("heading"), F.lit(0).alias("n"))
 
     def step(a, line):
         heading = F.when((F.size(a["cur"]) == 0) & T.is_heading(line), line).otherwise(a["heading"])
         cur = F.concat(a["cur"], F.array(line))
-        full = chars(cur) >= target
+        n = a["n"] + F.length(line)
+        full = n >= target
         after = F.when(heading != "", F.array(heading)).otherwise(F.array().cast(texts))
         out = F.when(full, F.concat(a["out"], F.array(F.array_join(cur, "\n")))).otherwise(a["out"])
-        return F.struct(out.alias("out"), F.when(full, after).otherwise(cur).alias("cur"), heading.alias("heading"))
+        return F.struct(out.alias("out"), F.when(full, after).otherwise(cur).alias("cur"), heading.alias("heading"), F.when(full, F.length(heading)).otherwise(n).alias("n"))
 
     def finish(a):
         rest, out = F.array_join(a["cur"], "\n"), a["out"]
         n = F.size(out)
         joined = F.concat(F.slice(out, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(out, -1), F.lit("\n"), rest)))
-        return F.when(F.size(a["cur"]) == 0, out).when((chars(a["cur"]) >= least) | (n == 0), F.concat(out, F.array(rest))).otherwise(joined)
+        return F.when(F.size(a["cur"]) == 0, out).when((a["n"] >= least) | (n == 0), F.concat(out, F.array(rest))).otherwise(joined)
 
     return F.aggregate(T.lines(x), start, step, finish)
 

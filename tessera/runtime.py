@@ -63,19 +63,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` if each reading gives its rows in the same places, else a written copy of it.
-
-    Operators that number rows as they are read, in two readings, need this. Plans that only read files or given rows,
-    project and filter are stable; whatever shuffles, joins or limits may deal rows anew.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    nodes = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.toString().strip().split("\n")}
-    if plan.deterministic() and nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range"}:
-        return df
-    return materialise(df, name)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """A table that is read in fewer parts than there are cores, dealt out to all of them; others as they are.
 

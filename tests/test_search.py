@@ -67,6 +67,23 @@ def test_vectors(spark):
     assert {r["ord"]: r["score"] for r in batch.collect()} == scores
 
 
+def test_query_vectors_in_blocks(spark, monkeypatch):
+    vectors = frame(spark, [(i, [float(i % 5), 1.0]) for i in range(40)], "ord long, embedding array<float>")
+    asked = vectors.select(F.col("ord").alias("query_id"), "embedding").where("query_id % 4 = 0")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(index.vector_scores(vectors, asked))
+    monkeypatch.setattr(index, "QUERY_BLOCK", 3)
+    assert key(index.vector_scores(vectors, asked)) == want and len(want) == 400
+
+
+def test_lists_are_cut_before_the_shuffle(spark):
+    scores = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("ord"), (F.col("id") % 7).cast("double").alias("score"))
+    top = index.ranked(scores, 5)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    assert top.agg(F.min("rank"), F.max("rank"), F.count("*")).first()[:] == (0, 4, 15)
+
+
 def test_whole_hybrid_finds_documents_without_a_vector(spark, tmp_path):
     d = str(tmp_path)
     docs = [(1, "the thing", "en", "s", 9), (7, "other", "en", "s", 5), (8, "unasked", "en", "s", 7)]
@@ -116,6 +133,11 @@ def test_diagnose_verdicts(spark):
     assert v("beta") == {0: ("retrieved", 0), 1: ("unranked", 1)}
     assert v("nothing") == {0: ("absent", 0), 1: ("absent", 1)}
     assert v("beta", 0)[0] == ("ranked_low", 0)
+    ties = frame(spark, [(i, "same words" + " held" * (i in (4, 6))) for i in range(8)] + [(8, "same same words")], "ord long, text string")
+    asked = frame(spark, [(0, "same words"), (1, "held"), (2, "none")], "query_id long, question string")
+    full = index.ranked(index.bm25(ties, asked), 99).where("ord IN (4, 6)").groupBy("query_id").agg(F.min("rank") + 1)
+    want = {r[0]: r[1] for r in full.collect()}
+    assert {r["query_id"]: r["keyword_rank"] for r in index.diagnose(ties, asked, "held").collect()} == {0: want[0], 1: want[1], 2: None}
 
 
 def test_size_report(spark):
