@@ -40,14 +40,25 @@ def classes() -> np.ndarray:
     return kinds
 
 
-@cache
+_powers: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """root ** i and root ** -i modulo 2 ** 64 for i < n."""
-    inverse = np.uint64(pow(int(_ROOT), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, _ROOT, np.uint64), np.full(n, inverse, np.uint64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """root ** i and root ** -i modulo 2 ** 64 for i < n.
+
+    A worker keeps one pair of tables, as long as the longest that was asked for, in whole megabytes.
+    """
+    if not _powers or len(_powers[0]) < n:
+        size = -(-n >> 20) << 20
+        inverse = np.uint64(pow(int(_ROOT), -1, 1 << 64))
+        _powers.clear()
+        for root in (_ROOT, inverse):
+            table = np.full(size, root, np.uint64)
+            table[0] = 1
+            with np.errstate(over="ignore"):
+                np.multiply.accumulate(table, out=table)
+            _powers.append(table)
+    return _powers[0][:n], _powers[1][:n]
 
 
 @cache
@@ -213,10 +224,13 @@ def distinct(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     that differ (a collision) get groups of their own, so groups are exact.
     """
     ends = np.append(starts[1:], len(raw))
-    up, down = powers(1 << max(21, int(len(raw)).bit_length()))
+    up, down = powers(len(raw) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+        sums[1:] = raw
+        sums[1:] += np.uint64(1)
+        sums[1:] *= up[: len(raw)]
+        np.cumsum(sums, out=sums)
         hashes = (sums[ends] - sums[starts]) * down[starts]
         hashes ^= hashes >> np.uint64(32)
         hashes *= np.uint64(0xD6E8FEB86659FD93)

@@ -37,7 +37,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if len(raw):
         stop[-1] = inside[-1]
     a, b = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = pretoken.powers(1 << max(21, int(len(raw)).bit_length()))
+    up, down = pretoken.powers(len(raw) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_BYTES[_LOWER[raw]] * up[: len(raw)], out=sums[1:])

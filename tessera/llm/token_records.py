@@ -42,7 +42,8 @@ NULL_ID, WIDE = 1, 2
 READ_BYTES = 16 << 20
 #: Larger blocks share more pre-tokens.
 ENCODE_BYTES = 4 << 20
-MEMO_PIECES = 1 << 20
+#: Pre-tokens that a worker remembers, some 200 bytes each.
+MEMO_PIECES = 1 << 18
 INDEX = "part int, seq long, doc_id long, file string, offset long, length long, n_tokens long"
 
 
