@@ -40,8 +40,8 @@ from tessera.runtime import new_folder, small_batches
 
 NULL_ID, WIDE = 1, 2
 READ_BYTES = 16 << 20
-#: Larger blocks share more pre-tokens.
-ENCODE_BYTES = 4 << 20
+#: Working arrays take some 60 times as much; pre-tokens are remembered from block to block, so larger ones save nothing.
+ENCODE_BYTES = 1 << 19
 #: Pre-tokens that a worker remembers, some 200 bytes each.
 MEMO_PIECES = 1 << 18
 INDEX = "part int, seq long, doc_id long, file string, offset long, length long, n_tokens long"
