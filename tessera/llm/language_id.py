@@ -253,6 +253,7 @@ def keep(df: DataFrame, model: Model, text_col: str = "text", min_score: float =
                 if typical is not None:
                     stays &= explained(gain, grams, typical)
                 yield s.filter(pa.array(stays))
+        pretoken.give_back()
 
     return df.mapInArrow(run, df.schema)
 

@@ -116,6 +116,7 @@ def document_sets(df: DataFrame, id_col: str, text_col: str, percent: int, key:
             prefix = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(own.tobytes())]).cast(pa.binary())
             made = [*batch.columns[:3], pa.array(n), pa.array(k1), pa.array(k2), prefix]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "r1", "r2", "n", "k1", "k2", "prefix"])
+        pretoken.give_back()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), key[0].alias("r1"), key[1].alias("r2"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, r1 long, r2 long, n long, k1 long, k2 long, prefix binary")

@@ -107,6 +107,7 @@ def _pieces(vocabulary: str, end_id: int | None, longest: int):
                 k = take.slice(a, len(ends) - 1)
                 cols = [batch.column(2).take(k), batch.column(3).take(k), pa.array(piece[z].astype(np.int32)), batch.column(4).take(k), batch.column(0).take(k), pa.array(start[z]), own]
                 yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "piece", "part", "id", "start", "ids"])
+        pretoken.give_back()
 
     return run
 
@@ -200,5 +201,7 @@ def pack(
                 held, tokens, n = [], 0, 0
         if n:
             yield from _bins(held, lengths, cost, first)
+        held = []
+        pretoken.give_back()
 
     return dealt.mapInArrow(run, SCHEMA)

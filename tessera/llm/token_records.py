@@ -207,6 +207,7 @@ def write(df: DataFrame, vocabulary: str, end_id: int | None, folder: str | None
                 offset, seq = offset + len(data), seq + k
         if out is not None:
             out.close()
+        pretoken.give_back()
 
     rows.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
