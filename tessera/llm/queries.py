@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, token_counts, token_records, url_filter, warc
+from tessera.llm import collocations, exact_dedup, fingerprints, language_id, mixing, neighbours, ngram_join, packing, token_counts, token_records, url_filter, warc
 from tessera.runtime import materialise, spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,6 +70,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_transactions": op2_warc_transactions,
@@ -81,6 +89,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
 }
 
 ORACLE_SQL = {
@@ -121,4 +131,41 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM w
     """,
+    "op11_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+        ), g AS (
+            SELECT lang, 1 AS d, unnest(w) AS phrase FROM w
+            UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w
+            UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w
+        ), f AS (
+            SELECT lang, d, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10
+        ), t AS (
+            SELECT lang, count(*) AS n FROM g WHERE d = 1 GROUP BY ALL
+        ), s AS (
+            SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, d)) AS k FROM f WHERE d > 1
+        ), c AS (
+            SELECT s.lang, s.phrase, s.a, s.k, x.f AS l, y.f AS r, (1000000::HUGEINT * s.a * s.a) // (x.f::HUGEINT * y.f) AS score
+            FROM s JOIN f x ON x.lang = s.lang AND x.phrase = array_to_string(s.w[1:s.k], ' ') JOIN f y ON y.lang = s.lang AND y.phrase = array_to_string(s.w[s.k + 1:], ' ')
+        ), b AS (
+            SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inside AS (
+            SELECT lang, q AS phrase, max(f) AS longer FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS q FROM f WHERE d = 3) GROUP BY ALL
+        ), o AS (
+            SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN t USING (lang) WHERE rank <= 2000
+    """,
+    "op12_nearest_neighbours": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), p AS (
+            SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.e, c.e)) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e) GROUP BY ALL
+        )
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+    """,
 }
