@@ -457,11 +457,11 @@ def _sql_list(texts) -> str:
 
 
 _BARE, _LETTERS = r"regexp_replace(text, '\p{Mn}|\x{0640}', '', 'g')", r"regexp_replace(text, '\P{L}', '', 'g')"
-_RATIO = f"CASE WHEN {_LETTERS} = '' THEN 0.0 ELSE length(regexp_replace({_LETTERS}, '[^{T.ARABIC}]', '', 'g'))::DOUBLE / length({_LETTERS}) END"
+RATIO = f"CASE WHEN {_LETTERS} = '' THEN 0.0 ELSE length(regexp_replace({_LETTERS}, '[^{T.ARABIC}]', '', 'g'))::DOUBLE / length({_LETTERS}) END"
 _FOLD = "CASE " + " ".join(f"WHEN length(w) > {len(p) + 2} AND starts_with(w, '{p}') THEN substr(w, {len(p) + 1})" for p in T.PREFIXES) + " ELSE w END"
 
 
-@query("sample_labels", f"WITH {SAMPLED}, r AS (SELECT *, {_RATIO} AS ratio FROM s) SELECT sample, {_BARE} AS bare, round(ratio, 6) AS ratio, CASE WHEN ratio > 0.6 THEN 'ar' WHEN ratio < 0.2 THEN 'en' ELSE 'mixed' END AS label, CASE WHEN ratio > 0.6 THEN 'ar' ELSE 'mixed' END AS page_label FROM r WHERE text IS NOT NULL")
+@query("sample_labels", f"WITH {SAMPLED}, r AS (SELECT *, {RATIO} AS ratio FROM s) SELECT sample, {_BARE} AS bare, round(ratio, 6) AS ratio, CASE WHEN ratio > 0.6 THEN 'ar' WHEN ratio < 0.2 THEN 'en' ELSE 'mixed' END AS label, CASE WHEN ratio > 0.6 THEN 'ar' ELSE 'mixed' END AS page_label FROM r WHERE text IS NOT NULL")
 def sample_labels(s, d):
     t = F.col("text")
     return samples(s).where(t.isNotNull()).select("sample", T.strip_marks(t).alias("bare"), F.round(T.arabic_ratio(t), 6).alias("ratio"), T.lang_label(t).alias("label"), T.lang_label(t, False).alias("page_label"))
@@ -494,28 +494,28 @@ def sample_blocks(s, d):
 
 
 # chunking
-def _chunk_sql() -> str:
+def chunk_sql(source: str = "documents", keep: str = "doc_id", name: str = "chunked") -> str:
+    """Parts of a WITH: ``name`` has the columns of ``keep`` with the chunks of ``source``'s text (text, part)."""
     heading_ = HEADING.replace("line", "x.cur[1]")
     heading_ = f"CASE WHEN len(acc.cur) = 0 AND ({heading_}) THEN x.cur[1] ELSE acc.heading END"
     cur, chars = "list_concat(acc.cur, x.cur)", "list_sum(list_transform({}, lambda s: length(s)))"
     full = chars.format(cur) + f" >= {chunking.TARGET_CHARS}"
-    return f"""WITH e AS (
-        SELECT doc_id, list_concat([{{'out': []::VARCHAR[], 'cur': []::VARCHAR[], 'heading': ''}}],
-            list_transform(string_split(text, chr(10)), lambda l: {{'out': []::VARCHAR[], 'cur': [l], 'heading': ''}})) AS e FROM documents
-    ), r AS (
-        SELECT doc_id, list_reduce(e, lambda acc, x: {{
+    return f"""{name}_e AS (
+        SELECT {keep}, list_concat([{{'out': []::VARCHAR[], 'cur': []::VARCHAR[], 'heading': ''}}],
+            list_transform(string_split(text, chr(10)), lambda l: {{'out': []::VARCHAR[], 'cur': [l], 'heading': ''}})) AS e FROM {source}
+    ), {name}_r AS (
+        SELECT {keep}, list_reduce(e, lambda acc, x: {{
             'out': CASE WHEN {full} THEN list_append(acc.out, array_to_string({cur}, chr(10))) ELSE acc.out END,
             'cur': CASE WHEN {full} THEN CASE WHEN ({heading_}) <> '' THEN [{heading_}] ELSE []::VARCHAR[] END ELSE {cur} END,
-            'heading': {heading_}}}) AS a FROM e
-    ), f AS (
-        SELECT doc_id, CASE WHEN len(a.cur) = 0 THEN a.out
+            'heading': {heading_}}}) AS a FROM {name}_e
+    ), {name}_f AS (
+        SELECT {keep}, CASE WHEN len(a.cur) = 0 THEN a.out
             WHEN {chars.format("a.cur")} >= {chunking.LEAST_CHARS} OR len(a.out) = 0 THEN list_append(a.out, array_to_string(a.cur, chr(10)))
-            ELSE list_append(a.out[1:len(a.out) - 1], a.out[len(a.out)] || chr(10) || array_to_string(a.cur, chr(10))) END AS c FROM r
-    )
-    SELECT doc_id, unnest(c) AS text, generate_subscripts(c, 1) - 1 AS part FROM f"""
+            ELSE list_append(a.out[1:len(a.out) - 1], a.out[len(a.out)] || chr(10) || array_to_string(a.cur, chr(10))) END AS c FROM {name}_r
+    ), {name} AS (SELECT {keep}, unnest(c) AS text, generate_subscripts(c, 1) - 1 AS part FROM {name}_f)"""
 
 
-@query("chunk_chars", _chunk_sql())
+@query("chunk_chars", f"WITH {chunk_sql()} SELECT * FROM chunked")
 def chunk_chars(s, d):
     made = documents(s, d).select("doc_id", chunking.chunk_chars(F.col("text")).alias("c"))
     return made.select("doc_id", F.posexplode("c").alias("part", "text")).withColumn("part", F.col("part").cast("long"))

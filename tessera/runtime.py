@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing needs any more.
+
+    Spark deletes them when the driver's garbage is collected, which a driver with memory to spare hardly ever does by
+    itself. Call it between the rounds of a long computation whose state is in written tables.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table that is read in fewer parts than there are cores, dealt out to all of them; others as they are.
 

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from jobs import queries as jobs
 from tessera import catalog
 
 D = "/root/testdata/sf0.001"
@@ -32,9 +33,12 @@ def rows(df):
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+QUERIES, ORACLE_SQL = catalog.QUERIES | jobs.QUERIES, catalog.ORACLE_SQL | jobs.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, duck, name):
-    ours, theirs = catalog.QUERIES[name](spark, D).toPandas(), duck.sql(catalog.ORACLE_SQL[name]).df()
+    ours, theirs = QUERIES[name](spark, D).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     a, b = rows(ours), rows(theirs)
     # whole numbers may come as floats beside nulls
