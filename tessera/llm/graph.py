@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise
+from tessera.runtime import materialise, release
 
 MOST_ROUNDS = 60
 
@@ -15,7 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step is an aggregation with partial sums and a join on its key, so a vertex with very many edges is spread
     over tasks. Each round is written to the shared folder. The number of rounds grows with the logarithm of the size.
+    Shuffle files of what came before, earlier calls among it, are let go of first.
     """
+    release(edges.sparkSession)
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     e = materialise(edges.where("a <> b").select(hi.alias("u"), lo.alias("v")).distinct(), "components")
     mark = None
