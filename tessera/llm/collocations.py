@@ -34,9 +34,9 @@ from tessera.runtime import lookup, materialise, running_total, small_batches
 DEPTH = 3
 LEAST, SHOWN, HIDDEN_BY, SCALE = 10, 2000, 50, 1_000_000
 #: Bytes of text in a shard; its arrays take some 30 times as much.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 #: Nodes that meet in a range, before equal ones are added up, and how many a byte of text gives.
-RANGE_NODES, NODES_A_BYTE = 1 << 20, 0.3
+RANGE_NODES, NODES_A_BYTE = 1 << 19, 0.3
 #: Keys sampled for each bound between ranges, and bytes of text that give them.
 SAMPLED_KEYS, SAMPLED_BYTES = 64, 16 << 10
 UNKNOWN = "und"
@@ -243,6 +243,7 @@ def nodes(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
         pretoken.lean()
         r = table["range"][0].as_py()
         out = list(walk(merge(table["part"].to_pylist(), least), bounds[r - 1] if r else b""))
+        pretoken.give_back()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(FIELDS), FIELDS, strict=True)], names=[c.split()[0] for c in NODES.split(", ")])
 
     return rows.mapInArrow(build, "range int, part binary").groupBy("range").applyInArrow(meet, NODES)
