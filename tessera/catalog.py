@@ -668,6 +668,41 @@ def extra_urls(s, d):
     return urls.add_missing(known, extra)
 
 
+# plans as pages stream them: fields in the plan itself, around it, in lists of its own, in another language, cut off
+def sold(s, d):
+    """Pages with a payload of a shape that follows their number."""
+    quote = lambda x: F.expr(f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)")
+    named = pages(s, d).select("page_id", "html", F.regexp_extract("html", "<h1>([^<]*)", 1).alias("title"), (F.col("page_id") % 900 + 99).cast("string").alias("price"))
+    for c, x in {"n": "title", "n1": "concat(title, ' 1')", "n2": "concat(title, ' 2')", "price": "price"}.items():
+        named = named.withColumn(f"q_{c}", quote(x))
+    shapes = (
+        '{"plans":[{"packageName":%n,"packagePriceMonthly":%price,"billingCycle":"a month","languages_id":{"name":"ar"}},{"packageName":"%price","packagePriceMonthly":"1","languages_id":{"name":"en"}}]}',
+        '{"packagePriceMonthly":%price,"totalCost":%price,"translations":[{"packageName":"other","languages_id":{"name":"en"}},{"packageName":%n,"packageDescription":null,"languages_id":{"name":"ar"}}]}',
+        '3:["$","div",null,{"packageName":%n,"prices":{"packagePriceAnnual":%price},"labels":[{"x":1,"languages_id":{"name":"ar"}}]}]',
+        '"]}\n{"billingCycle":"once","plans":[{"packageName":%n1,"packagePriceMonthly":%price,"languages_id":{"name":"ar"}},{"packageName":%n1,"totalCost":"again","languages_id":{"name":"ar"}},{"cost":{"packagePriceAnnual":%price},"names":[{"packageName":%n2,"languages_id":{"name":"ar"}',
+    )
+    filled = []
+    for shape in shapes:
+        blob = F.lit(shape)
+        for c in ("n1", "n2", "n", "price"):
+            blob = F.replace(blob, F.lit(f"%{c}"), F.col(f"q_{c}"))
+        filled.append(blob)
+    named = named.withColumn("blob", F.get(F.array(*filled), F.pmod("page_id", F.lit(4)).cast("int")))
+    push = lambda x: F.concat(F.lit("<script>self.__next_f.push([1,"), quote(x), F.lit("])</script>"))
+    half = "cast(length(blob) / 2 as int)"
+    return named.select("page_id", F.concat("html", push(f"substring(blob, 1, {half})"), push(f"substring(blob, {half} + 1)")).alias("html"))
+
+
+@query("plans", f"""WITH p AS (SELECT page_id, page_id % 4 AS shape, regexp_extract(html, '<h1>([^<]*)', 1) AS title, (page_id % 900 + 99)::VARCHAR AS price FROM pages),
+    r AS (SELECT page_id, 0 AS place, trim(title) AS name, CASE WHEN shape = 0 THEN 'a month' END AS cycle, CASE WHEN shape < 2 THEN price END AS monthly, CASE WHEN shape = 2 THEN price END AS annual, CASE WHEN shape = 1 THEN price END AS total FROM p WHERE shape < 3 AND trim(title) <> ''
+        UNION ALL SELECT page_id, 0, title || ' 1', 'once', price, NULL, NULL FROM p WHERE shape = 3 UNION ALL SELECT page_id, 1, title || ' 2', 'once', NULL, price, NULL FROM p WHERE shape = 3)
+    SELECT page_id, place, name, cycle, monthly, annual, total, NULL::VARCHAR AS description, '{markup.PLAN_NAME}'.replace('%s', name) || ' ' || coalesce(monthly || ' ' || coalesce(cycle, '{markup.PLAN_MONTHLY}'), annual || coalesce(' ' || cycle, '')) || coalesce(' (' || total || ')', '') AS line FROM r""")
+def plans(s, d):
+    found = sold(s, d).select("page_id", F.posexplode(markup.plans(markup.payload(F.col("html")))).alias("place", "_p"))
+    fields = dict(zip(("name", "cycle", "monthly", "annual", "total", "description"), markup.PLAN, strict=True))
+    return found.select("page_id", "place", *[F.col("_p").getField(k).alias(c) for c, k in fields.items()], markup.plan_line(F.col("_p")).alias("line"))
+
+
 CHROME = f"chrome AS (SELECT unnest({BODY}) AS line FROM pages WHERE page_id = 0), own AS (SELECT page_id, list_distinct({BODY}) AS lines FROM pages)"
 
 

@@ -2,7 +2,9 @@
 
 import json
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import markup
@@ -99,6 +101,40 @@ def test_payload_and_plans(spark):
     assert page["country"] == "KW" and "كلمات عربية كثيرة هنا" in page["text"] and "المشتركة" not in page["text"]
 
 
+def test_plans_of_any_nesting():
+    """Fields come from the plan, what it holds and what holds it; never from a neighbour."""
+    read = lambda blob: [{k: v for k, v in p.items() if v} for p in markup.read_plans(blob)]
+    ar, en = ',"languages_id":{"name":"ar"}', ',"languages_id":{"name":"en"}'
+    around = '{"packagePriceMonthly":"99","translations":[{"packageName":"X"%s},{"packageName":"Y"%s}]}' % (ar, en)
+    assert read(around) == [{"packageName": "X", "packagePriceMonthly": "99"}]
+    assert read('{"packageName":"X","packagePriceMonthly":"99","more":[{"a":[{"languages_id":{"id":1,"name":"ar"}}]}]}') == [{"packageName": "X", "packagePriceMonthly": "99"}]
+    assert read('[{"totalCost":"1","names":[{"packageName":"A"%s}]},{"names":[{"packageName":"B"%s}],"billingCycle":"b"},{"packageName":"C","totalCost":"3"%s}]' % (ar, ar, ar)) == [
+        {"packageName": "A", "totalCost": "1"}, {"packageName": "B", "billingCycle": "b"}, {"packageName": "C", "totalCost": "3"},
+    ]
+    # nearest first: the plan, what it holds, what is around it; a blank or null is no answer; other objects around lend too
+    assert read('{"billingCycle":"far","totalCost":"far","o":{"packageDescription":"beside"},"l":[{"totalCost":"near","p":{"packageName":"N","billingCycle":" ","in":{"billingCycle":"held"},"totalCost":null%s}}]}' % ar) == [
+        {"packageName": "N", "billingCycle": "held", "totalCost": "near", "packageDescription": "beside"}
+    ]
+    # the first of each name; numbers aren't fields; no language, another one, or a blank name give nothing
+    twice = '{"packageName":"T","totalCost":"1"%s}{"packageName":"T","totalCost":"2"%s}' % (ar, ar)
+    assert read(twice) == [{"packageName": "T", "totalCost": "1"}]
+    assert read('{"packageName":"T","totalCost":5%s}' % ar) == [{"packageName": "T"}]
+    assert read('{"packageName":"T"}') == read('{"packageName":"T"%s}' % en) == read('{"packageName":" "%s}' % ar) == read("") == []
+    # text around objects, stray brackets and quotes, a stream that breaks off
+    assert read('3:"]}text "quoted\n}}{"packageName":"a \\" {\\u0041"%s,"totalCost":"9","l":[{"' % ar) == [{"packageName": 'a " {A', "totalCost": "9"}]
+
+
+@pytest.mark.parametrize("piece", ['{"packageName":"a",', '{"a":[', '" \\"', '\\"', '{"packageName":"a","languages_id":{"name":"ar"}},', "}]", '{"o":{"totalCost":"1"},"l":[{"packageName":"a"}'])
+def test_plans_take_linear_time(piece):
+    def took(n):
+        began = time.process_time()
+        markup.read_plans(piece * n)
+        return time.process_time() - began
+
+    small = min(took(5_000) for _ in range(3))
+    assert took(40_000) < 8 * small * 2.5 + 0.2
+
+
 def test_bare_price(spark):
     df = spark.createDataFrame([("990 شهري",), ("كلمة990 شهري",), ("١٢٣ شهري",), ("990 شهري USD",)], "t string")
     assert values(df.select(records.not_local(F.col("t"), F.lit("KW")).alias("x")), "x") == [True, False, True, False]
