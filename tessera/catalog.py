@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -481,14 +482,15 @@ def sample_tokens(s, d):
     return samples(s).select("sample", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
-def _blocks_sql(key: str, source: str) -> str:
+def blocks_sql(key: str, source: str) -> str:
+    """Parts of a WITH: ``b`` has the blocks of ``source``'s text, numbered in their order (grp)."""
     return rf"""l AS (SELECT {key}, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source}),
     k AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\|') THEN 2 WHEN trim(line) = '' THEN 0 ELSE 1 END AS kind FROM l),
-    g AS (SELECT *, sum(CASE WHEN kind IS DISTINCT FROM before OR kind = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY i) AS grp FROM (SELECT *, lag(kind) OVER (PARTITION BY {key} ORDER BY i) AS before FROM k))
-    SELECT {key}, string_agg(line, chr(10) ORDER BY i) AS block FROM g WHERE kind > 0 GROUP BY {key}, grp"""
+    g AS (SELECT *, sum(CASE WHEN kind IS DISTINCT FROM before OR kind = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY i) AS grp FROM (SELECT *, lag(kind) OVER (PARTITION BY {key} ORDER BY i) AS before FROM k)),
+    b AS (SELECT {key}, grp, string_agg(line, chr(10) ORDER BY i) AS block FROM g WHERE kind > 0 GROUP BY {key}, grp)"""
 
 
-@query("sample_blocks", f"WITH {SAMPLED}, {_blocks_sql('sample', 's')}")
+@query("sample_blocks", f"WITH {SAMPLED}, {blocks_sql('sample', 's')} SELECT sample, block FROM b")
 def sample_blocks(s, d):
     return samples(s).select("sample", F.explode(chunking.blocks(F.col("text"))).alias("block"))
 
@@ -521,7 +523,7 @@ def chunk_chars(s, d):
     return made.select("doc_id", F.posexplode("c").alias("part", "text")).withColumn("part", F.col("part").cast("long"))
 
 
-@query("blocks", f"WITH {_blocks_sql('doc_id', 'documents')}")
+@query("blocks", f"WITH {blocks_sql('doc_id', 'documents')} SELECT doc_id, block FROM b")
 def blocks(s, d):
     return documents(s, d).select("doc_id", F.explode(chunking.blocks(F.col("text"))).alias("block"))
 
@@ -530,11 +532,63 @@ def as_documents(s, d):
     return documents(s, d).select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("doc_title"), "text", "lang")
 
 
-@query("chunk_tokens")
+def units_sql(x: str) -> str:
+    return f"({chunking.CHAR_UNITS} * length({x}) + {chunking.ARABIC_UNITS} * length(regexp_replace({x}, '[^\\x{{0600}}-\\x{{06FF}}]', '', 'g')))"
+
+
+def _chunk_tokens_sql() -> str:
+    gap, space, item = chunking.CHAR_UNITS * len(chunking.GAP), chunking.CHAR_UNITS, "STRUCT(text VARCHAR, u BIGINT)[]"
+    heading = stripped("block")
+    heading = f"length({heading}) BETWEEN 1 AND 80 AND NOT regexp_matches({heading}, '[.،:؛]$') AND len(list_filter(regexp_split_to_array({heading}, '\\s+'), lambda w: w <> '')) <= 10"
+    last = lambda x: f"{x}[len({x})]"
+    butlast = lambda x: f"{x}[1:len({x}) - 1]"
+    fits = f"len(acc.out) > 0 AND {last('acc.out')}.u + {space} + {units_sql('x.s')} <= hard * 1000"
+    ends = "acc.body IS NOT NULL AND (x.sealed OR acc.u + x.after > soft * 1000)"
+    head, head_u = "CASE WHEN x.head THEN x.text ELSE acc.heading END", "CASE WHEN x.head THEN x.u ELSE acc.heading_u END"
+    led = f"({ends}) AND ({head}) IS NOT NULL AND ({head}) <> x.text"
+    goes_on = f"acc.body IS NOT NULL AND NOT ({ends})"
+    done = f"CASE WHEN {ends} THEN list_append(acc.done, {{'text': acc.body, 'u': acc.u}}) ELSE acc.done END"
+    joins = f"len(acc.out) > 0 AND (x.u <= {1000 * (chunking.LEAST_TOKENS - 1)} OR (len(acc.out) = 1 AND acc.first <= {1000 * (chunking.LEAST_TOKENS - 1)}))"
+    prefixed = "CASE WHEN starts_with(c, title) THEN c ELSE title || chr(10) || chr(10) || c END"
+    return f"""WITH {blocks_sql("doc_id", "documents")},
+    t AS (SELECT doc_id, coalesce(source, '') AS title, CASE WHEN coalesce(source, '') = '' THEN 0 ELSE ceil({units_sql("source || chr(10) || chr(10)")} / 1000)::BIGINT END AS used FROM documents),
+    w AS (SELECT doc_id, grp, block, {units_sql("block")} AS u, {chunking.TARGET_TOKENS} - used AS soft, greatest(1, {chunking.MOST_TOKENS} - used) AS hard FROM b JOIN t USING (doc_id)),
+    long AS (SELECT *, list_filter(string_split(replace(regexp_replace(block, '([.؟!])\\s+', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda s: {stripped("s")} <> '') AS s FROM w WHERE u > hard * 1000 AND NOT regexp_matches(block, '^\\s*\\|')),
+    packed AS (SELECT doc_id, grp, hard, list_reduce(list_concat([{{'out': []::{item}, 's': ''}}], list_transform(s, lambda s: {{'out': []::{item}, 's': s}})), lambda acc, x: {{
+        'out': CASE WHEN {fits} THEN list_append({butlast("acc.out")}, {{'text': {last("acc.out")}.text || ' ' || x.s, 'u': {last("acc.out")}.u + {space} + {units_sql("x.s")}}})
+            ELSE list_append(acc.out, {{'text': x.s, 'u': {units_sql("x.s")}}}) END, 's': ''}}).out AS p FROM long),
+    piece AS (SELECT doc_id, grp, unnest(p).text AS text, unnest(p).u AS u, generate_subscripts(p, 1) AS n, hard, greatest(1, hard * 1000 // {chunking.CHAR_UNITS + chunking.ARABIC_UNITS}) AS size FROM packed),
+    cut AS (SELECT doc_id, grp, n, unnest(c) AS text, generate_subscripts(c, 1) AS m FROM (
+        SELECT *, CASE WHEN u > hard * 1000 THEN list_transform(range(0, ceil(length(text) / size)::BIGINT), lambda i: substr(text, i * size + 1, size)) ELSE [text] END AS c FROM piece)),
+    items AS (
+        SELECT doc_id, soft, grp, 0 AS n, 0 AS m, block AS text, u, u + {gap} AS after, false AS sealed, {heading} AS head FROM w WHERE NOT (u > hard * 1000 AND NOT regexp_matches(block, '^\\s*\\|'))
+        UNION ALL SELECT doc_id, 0, grp, n, m, text, {units_sql("text")}, 0, true, false FROM cut),
+    lists AS (SELECT doc_id, max(soft) AS soft, list({{'done': []::{item}, 'body': NULL::VARCHAR, 'heading': NULL::VARCHAR, 'heading_u': 0::BIGINT, 'text': text, 'u': u::BIGINT, 'after': after::BIGINT, 'sealed': sealed, 'head': head}} ORDER BY grp, n, m) AS l FROM items GROUP BY doc_id),
+    folded AS (SELECT doc_id, list_reduce(list_concat([{{'done': []::{item}, 'body': NULL::VARCHAR, 'heading': NULL::VARCHAR, 'heading_u': 0::BIGINT, 'text': '', 'u': 0::BIGINT, 'after': 0::BIGINT, 'sealed': false, 'head': false}}], l), lambda acc, x: {{
+        'done': CASE WHEN x.sealed THEN list_append({done}, {{'text': x.text, 'u': x.u}}) ELSE {done} END,
+        'body': CASE WHEN x.sealed THEN NULL WHEN {goes_on} THEN acc.body || chr(10) || chr(10) || x.text WHEN {led} THEN ({head}) || chr(10) || chr(10) || x.text ELSE x.text END,
+        'heading': {head}, 'heading_u': {head_u}, 'text': '',
+        'u': CASE WHEN x.sealed THEN 0 WHEN {goes_on} THEN acc.u + x.after WHEN {led} THEN ({head_u}) + x.after ELSE x.u END, 'after': 0::BIGINT, 'sealed': false, 'head': false}}) AS a FROM lists),
+    bodies AS (SELECT doc_id, list_filter(list_transform(CASE WHEN a.body IS NULL THEN a.done ELSE list_append(a.done, {{'text': a.body, 'u': a.u}}) END, lambda x: {{'out': []::VARCHAR[], 'text': {stripped("x.text")}, 'u': x.u, 'first': 0::BIGINT}}), lambda x: x.text <> '') AS l FROM folded),
+    joined AS (SELECT doc_id, list_reduce(list_concat([{{'out': []::VARCHAR[], 'text': '', 'u': 0::BIGINT, 'first': 0::BIGINT}}], l), lambda acc, x: {{
+        'out': CASE WHEN {joins} THEN list_append({butlast("acc.out")}, {last("acc.out")} || chr(10) || chr(10) || x.text) ELSE list_append(acc.out, x.text) END, 'text': '', 'u': 0::BIGINT,
+        'first': CASE WHEN {joins} THEN acc.first + CASE WHEN len(acc.out) = 1 THEN {gap} + x.u ELSE 0 END WHEN len(acc.out) = 0 THEN x.u ELSE acc.first END}}).out AS c FROM bodies),
+    made AS (SELECT doc_id, list_transform(c, lambda c: {prefixed}) AS c FROM joined JOIN t USING (doc_id)),
+    chunk AS (SELECT doc_id, unnest(c) AS text, generate_subscripts(c, 1) - 1 AS i, len(c) AS n FROM made)
+    SELECT substr(sha256(doc_id || ':' || i), 1, 16) AS id, source AS doc_title, chunk.text AS text, lang, n AS chunk_count, i AS chunk_index, doc_id::VARCHAR AS parent_id, length(chunk.text) AS chars, ceil({units_sql("chunk.text")} / 1000)::BIGINT AS tokens, 'estimate' AS counter
+    FROM chunk JOIN documents USING (doc_id)"""
+
+
+@query("chunk_tokens", _chunk_tokens_sql())
 def chunk_tokens(s, d):
     return chunking.chunks(as_documents(s, d))
 
 
+@query("chunk_vocabulary")
+def chunk_vocabulary(s, d):
+    return chunking.chunks(as_documents(s, d), chunking.vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query("chunk_lineage", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM documents)
     SELECT doc_id::VARCHAR AS parent_id, substr(sha256(doc_id || ':' || i), 1, 16) AS id, i::BIGINT AS chunk_index, n::BIGINT AS chunk_count, length(text) AS chars FROM l""")
 def chunk_lineage(s, d):

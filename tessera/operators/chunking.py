@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,185 +65,205 @@ def blocks(x: Column) -> Column:
 #: Thousandths of a token for a character, and what a character of Arabic has more.
 CHAR_UNITS, ARABIC_UNITS = 250, 45
 GAP = "\n\n"
+_SENTENCE, _TABLE, _ARABIC = re.compile(r"(?<=[.؟!])\s+|\n"), re.compile(r"\s*\|"), re.compile("[\u0600-\u06ff]")
 
 
+@dataclass(frozen=True)
 class Counter:
-    """Counts tokens with a Python function and cuts a text into pieces of so many tokens.
+    """How a text is measured: ``counts`` of many texts, in parts of a token (``scale`` of them), and how one is cut.
 
-    Without one, ``chunks`` estimates from characters, all in Columns. ``by_words`` counts words; ``bpe`` takes a rank
-    file and its pattern. A count must not depend on what stands before a text but for the gap between blocks.
+    ``cut(text, limit)`` gives pieces of at most ``limit`` tokens. A count may depend on the white space before a text, but
+    not on other text there, so that counts of blocks and sentences in a row add up.
     """
 
-    def __init__(self, name: str, count: Callable[[str], int], cut: Callable[[str, int], list[str]]):
-        self.name, self.count, self.cut = name, count, cut
+    name: str
+    counts: Callable[[list[str]], list[int]]
+    cut: Callable[[str, int], list[str]]
+    scale: int = 1
 
+    def tokens(self, texts: list[str]) -> list[int]:
+        return [-(-n // self.scale) for n in self.counts(texts)]
 
-def by_words() -> Counter:
-    def cut(s: str, limit: int) -> list[str]:
-        w = s.split()
-        return [" ".join(w[i : i + limit]) for i in range(0, len(w), limit)]
 
-    return Counter("words", lambda s: len(s.split()), cut)
+def _estimate(texts: list[str]) -> list[int]:
+    return [CHAR_UNITS * len(t) + (0 if t.isascii() else ARABIC_UNITS * len(_ARABIC.findall(t))) for t in texts]
 
 
-def bpe(path: str, pattern: str) -> Counter:
-    """A byte-pair vocabulary as a file of ranks; pieces may cut a character, which then shows as U+FFFD."""
-    import base64
+def _cut_chars(text: str, limit: int) -> list[str]:
+    size = max(1, limit * 1000 // (CHAR_UNITS + ARABIC_UNITS))  # as many characters, were they all Arabic
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
-    import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    enc = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+#: An estimate by characters, which needs no vocabulary.
+ESTIMATE = Counter("estimate", _estimate, _cut_chars, 1000)
 
+
+def by_words() -> Counter:
     def cut(s: str, limit: int) -> list[str]:
-        ids = enc.encode_ordinary(s)
-        return [enc.decode(ids[i : i + limit]) for i in range(0, len(ids), limit)]
+        w = s.split()
+        return [" ".join(w[i : i + limit]) for i in range(0, len(w), limit)]
 
-    return Counter("bpe", lambda s: len(enc.encode_ordinary(s)), cut)
+    return Counter("words", lambda texts: [len(t.split()) for t in texts], cut)
 
 
-def units(x: Column) -> Column:
-    """Estimated thousandths of a token; those of texts in a row add up."""
-    return (F.length(x) * CHAR_UNITS + F.length(F.regexp_replace(x, r"[^\x{0600}-\x{06FF}]", "")) * ARABIC_UNITS).cast("long")
+@cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path)
 
-def tokens_of(u: Column) -> Column:
-    return F.ceil(u / 1000).cast("int")
 
+def vocabulary(path: str) -> Counter:
+    """Counts by a vocabulary of the tokenizers library, a file that every executor has."""
 
-def _weighed(block: Column) -> Column:
-    """A block with its units when it begins a chunk, and when it follows another block."""
-    return T.let(units(block), lambda u: F.struct(block.alias("text"), u.alias("alone"), (u + CHAR_UNITS * len(GAP)).alias("after")))
+    def cut(s: str, limit: int) -> list[str]:
+        lib = _tokenizer(path)
+        ids = lib.encode(s, add_special_tokens=False).ids
+        return [lib.decode(ids[i : i + limit]) for i in range(0, len(ids), limit)]
 
+    return Counter("vocabulary", lambda texts: [len(e) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)], cut)
 
-def _estimated_pieces(block: Column, hard: Column) -> Column:
-    """A long block as pieces of whole sentences up to ``hard`` tokens; what is longer still is cut by characters."""
-    weighed = F.transform(F.filter(T.sentences(block), lambda s: T.strip(s) != ""), lambda s: F.struct(s.alias("text"), units(s).alias("u")))
-    first = lambda s: F.array(F.struct(s["text"].alias("text"), s["u"].alias("u")))
 
-    def step(out, s):
-        last = F.element_at(out, -1)
-        joined = F.struct(F.concat_ws(" ", last["text"], s["text"]).alias("text"), (last["u"] + CHAR_UNITS + s["u"]).alias("u"))
-        fits = (F.size(out) > 0) & (tokens_of(F.try_element_at(out, F.lit(-1))["u"] + CHAR_UNITS + s["u"]) <= hard)
-        return F.when(fits, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, first(s)))
+@cache
+def _ranks(path: str, pattern: str):
+    import base64
 
-    packed = F.aggregate(weighed, F.array().cast("array<struct<text:string,u:bigint>>"), step)
-    # the limit in characters, were they all Arabic
-    size = F.greatest(F.lit(1), F.floor(hard * 1000 / (CHAR_UNITS + ARABIC_UNITS))).cast("int")
-    cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)), size), lambda i: F.substr(t, i, size))
-    return F.flatten(F.transform(packed, lambda p: F.when(tokens_of(p["u"]) <= hard, F.array(p["text"])).otherwise(cut(p["text"]))))
+    import tiktoken
 
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-def grouped(items: Column, soft: Column) -> Column:
-    """Bodies of chunks from items (text, alone, after, sealed): blocks in a row up to ``soft`` tokens.
 
-    A sealed item is a body of its own. Where a body is full, the next begins with the last heading, unless the block
-    that comes is that heading itself.
-    """
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("body"), F.lit(0).cast("long").alias("u"),
-        F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("u")).alias("heading"),
-    )
-
-    def step(a, x):
-        heading = F.when(T.is_block_heading(x["text"]) & ~x["sealed"], F.struct(x["text"].alias("text"), x["alone"].alias("u"))).otherwise(a["heading"])
-        ends = a["body"].isNotNull() & (x["sealed"] | (tokens_of(a["u"] + x["after"]) > soft))
-        led = ends & heading["text"].isNotNull() & (heading["text"] != x["text"])
-        goes_on = a["body"].isNotNull() & ~ends
-        done = F.when(ends, F.concat(a["done"], F.array(a["body"]))).otherwise(a["done"])
-        before = F.when(goes_on, a["body"]).when(led, heading["text"])
-        weight = F.when(goes_on, a["u"] + x["after"]).when(led, heading["u"] + x["after"]).otherwise(x["alone"])
-        return F.struct(
-            F.when(x["sealed"], F.concat(done, F.array(x["text"]))).otherwise(done).alias("done"),
-            F.when(~x["sealed"], F.concat_ws(GAP, before, x["text"])).alias("body"),
-            F.when(x["sealed"], F.lit(0)).otherwise(weight).cast("long").alias("u"),
-            heading.alias("heading"),
-        )
-
-    return F.aggregate(items, start, step, lambda a: F.when(a["body"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["body"]))))
-
-
-def joined_small(bodies: Column, least: int) -> Column:
-    """Bodies (text, tokens) as texts: a small one goes to the one before it, and a small first one takes up the next."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("first"))
-
-    def step(a, x):
-        n = F.size(a["out"])
-        joins = (n > 0) & ((x["tokens"] < least) | ((n == 1) & (a["first"] < least)))
-        last = F.concat_ws(GAP, F.try_element_at(a["out"], F.lit(-1)), x["text"])
-        out = F.when(joins, F.concat(F.slice(a["out"], 1, F.greatest(n - 1, F.lit(0))), F.array(last))).otherwise(F.concat(a["out"], F.array(x["text"])))
-        return F.struct(out.alias("out"), F.when(n == 0, x["tokens"]).when(n == 1, F.when(joins, a["first"] + x["tokens"]).otherwise(a["first"])).otherwise(a["first"]).alias("first"))
-
-    return F.aggregate(bodies, start, step, lambda a: a["out"])
+def bpe(path: str, pattern: str) -> Counter:
+    """A byte-pair vocabulary as a file of ranks; pieces may cut a character, which then shows as U+FFFD."""
+
+    def cut(s: str, limit: int) -> list[str]:
+        ids = _ranks(path, pattern).encode_ordinary(s)
+        return [_ranks(path, pattern).decode(ids[i : i + limit]) for i in range(0, len(ids), limit)]
+
+    return Counter("bpe", lambda texts: [len(ids) for ids in _ranks(path, pattern).encode_ordinary_batch(texts, num_threads=1)], cut)
+
+
+def _paragraphs(text: str) -> list[str]:
+    """``blocks`` of one text."""
+    out, cur, table = [], [], False
+    for line in text.split("\n"):
+        own, blank = _TABLE.match(line) is not None, not line.strip()
+        if cur and (own != table or blank):
+            out.append("\n".join(cur))
+            cur = []
+        if not blank:
+            cur.append(line)
+        table = own
+    return [*out, "\n".join(cur)] if cur else out
+
+
+def _is_heading(block: str, most_chars: int = 80, most_words: int = 10) -> bool:
+    s = block.strip()
+    return 0 < len(s) <= most_chars and s[-1] not in ".،:؛" and len(s.split()) <= most_words
+
+
+class _Sums:
+    """Texts in a row by their running totals: the furthest that fits a limit is found by a search."""
+
+    def __init__(self, alone: list[int], after: list[int]):
+        self.alone, self.upto = alone, np.concatenate([[0], np.cumsum(after, dtype=np.int64)])
+
+    def run(self, i: int, base: int, limit: int, stop: int) -> tuple[int, int]:
+        """One past the last text that fits behind text i, which counts as ``base``, and the total."""
+        end = int(np.searchsorted(self.upto, limit - base + self.upto[i + 1], side="right")) - 1
+        end = min(max(end, i + 1), stop)
+        return end, base + int(self.upto[end] - self.upto[i + 1])
+
+
+def _pieces(block: str, hard: int, counter: Counter) -> list[tuple[str, int]]:
+    """A long block as pieces of whole sentences up to ``hard`` tokens; what is longer still is cut."""
+    parts = [s for s in _SENTENCE.split(block) if s.strip()]
+    sums, i, out = _Sums(counter.counts(parts), counter.counts([" " + s for s in parts])), 0, []
+    while i < len(parts):
+        end, n = sums.run(i, sums.alone[i], hard * counter.scale, len(parts))
+        text = " ".join(parts[i:end])
+        if n > hard * counter.scale:
+            cut = counter.cut(text, hard)
+            out += zip(cut, counter.counts(cut), strict=True)
+        else:
+            out.append((text, n))
+        i = end
+    return out
+
+
+def split_text(text: str, title: str, counter: Counter, target: int = TARGET_TOKENS, most: int = MOST_TOKENS, least: int = LEAST_TOKENS) -> list[str]:
+    """One document's chunks; see ``chunk_tokens``."""
+    prefix = f"{title}{GAP}" if title else ""
+    used = counter.tokens([prefix])[0] if prefix else 0
+    # a title may leave no room; then each block or sentence stands alone, and what is cut has a token at least
+    soft, hard = target - used, max(1, most - used)
+    blocks_ = _paragraphs(text)
+    if not blocks_:
+        return []
+    n = len(blocks_)
+    alone = counter.counts(blocks_)
+    sums = _Sums(alone, counter.counts([GAP + b for b in blocks_]))
+    after = np.diff(sums.upto)
+    long = np.array([u > hard * counter.scale and not _TABLE.match(b) for u, b in zip(alone, blocks_, strict=True)])
+    heads = np.maximum.accumulate(np.where([_is_heading(b) for b in blocks_] & ~long, np.arange(n), -1))
+    stops = np.append(np.flatnonzero(long), n)
+    bodies: list[tuple[str, int]] = []
+    i, full = 0, False
+    while i < n:
+        if long[i]:
+            bodies += _pieces(blocks_[i], hard, counter)
+            i, full = i + 1, False
+            continue
+        # a body that follows a full one begins with the last heading, unless its first block is that heading
+        head = int(heads[i]) if full else -1
+        led = head >= 0 and blocks_[head] != blocks_[i]
+        end, u = sums.run(i, alone[head] + int(after[i]) if led else alone[i], soft * counter.scale, int(stops[np.searchsorted(stops, i)]))
+        bodies.append((GAP.join([*([blocks_[head]] if led else []), *blocks_[i:end]]), u))
+        i, full = end, end < n and not long[end]
+    gap = counter.counts([GAP])[0]
+    small = least * counter.scale - counter.scale  # at most so many parts are fewer than ``least`` tokens
+    groups: list[list[str]] = []
+    first = 0
+    for body, u in bodies:
+        if not (body := body.strip()):
+            continue
+        if groups and (u <= small or (len(groups) == 1 and first <= small)):
+            groups[-1].append(body)
+            first += gap + u if len(groups) == 1 else 0
+        else:
+            groups.append([body])
+            first = u if len(groups) == 1 else first
+    made = [GAP.join(g) for g in groups]
+    return [c if c.startswith(title) else prefix + c for c in made]
 
 
 def chunk_tokens(df: DataFrame, counter: Counter | None, text_col: str, title_col: str, out: str, target: int = TARGET_TOKENS, most: int = MOST_TOKENS, least: int = LEAST_TOKENS) -> DataFrame:
     """Add an array of chunks (text, tokens) of about ``target`` tokens that all begin with the title.
 
-    Tables stay whole. Other blocks above ``most`` are cut. With a counter, Python functions weigh blocks and cut long
-    ones; grouping them is the same.
+    Blocks in a row make a chunk. Tables stay whole; other blocks above ``most`` are cut, by sentences, and stand alone.
+    A chunk of fewer than ``least`` tokens joins the one before it, and a small first one takes up the next. Where a chunk
+    ends and what joins is decided by running totals of the blocks' counts, so time is linear in the text whatever its
+    shape; ``tokens`` is the count of the finished chunk. Nulls are empty; an empty text has no chunk.
     """
-    title, body = F.coalesce(F.col(title_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    prefix = F.when(title != "", F.concat(title, F.lit(GAP))).otherwise(F.lit(""))
-    if counter is None:
-        count = lambda x: F.transform(x, lambda t: tokens_of(units(t)))
-        weigh = lambda blocks_, _: F.transform(blocks_, _weighed)
-    else:
-        count, weigh = _functions(counter)
-    df = df.withColumn("_used", F.get(count(F.array(prefix)), 0)).withColumn("_hard", most - F.col("_used"))
-    df = df.withColumn("_items", weigh(blocks(body), F.col("_hard")))
-    long = lambda x: (tokens_of(x["alone"]) > F.col("_hard")) & ~T.is_table_line(x["text"])
-    item = lambda t, alone, after, sealed: F.struct(t.alias("text"), alone.alias("alone"), after.alias("after"), F.lit(sealed).alias("sealed"))
-    zero = F.lit(0).cast("long")
-    own = (lambda x: _estimated_pieces(x["text"], F.col("_hard"))) if counter is None else (lambda x: x["pieces"])
-    items = F.flatten(F.transform("_items", lambda x: F.when(long(x), F.transform(own(x), lambda t: item(t, zero, zero, True))).otherwise(F.array(item(x["text"], x["alone"], x["after"], False)))))
-    df = df.withColumn("_bodies", F.filter(F.transform(grouped(items, target - F.col("_used")), T.strip), lambda t: t != ""))
-    df = df.withColumn("_counts", count(F.col("_bodies")))
-    made = joined_small(F.zip_with("_bodies", "_counts", lambda t, n: F.struct(t.alias("text"), n.alias("tokens"))), least)
-    df = df.withColumn("_bodies", F.transform(made, lambda t: F.when(F.startswith(t, title), t).otherwise(F.concat(prefix, t))))
-    df = df.withColumn("_counts", count(F.col("_bodies")))
-    df = df.withColumn(out, F.zip_with("_bodies", "_counts", lambda t, n: F.struct(t.alias("text"), n.alias("tokens"))))
-    return df.drop("_used", "_hard", "_items", "_bodies", "_counts")
-
-
-def _functions(counter: Counter):
-    """Functions of arrays of texts for a counter: tokens, and blocks with their units and, if they are long, their pieces."""
-
-    @F.pandas_udf("array<int>")
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda some: [counter.count(t) for t in some])
-
-    def pieces(block: str, hard: int) -> list[str]:
-        # a sentence that follows another counts with the space before it
-        out, free = [], 0
-        for s in filter(str.strip, re.split(r"(?<=[.؟!])\s+|\n", block)):
-            more = counter.count(" " + s)
-            if out and more <= free:
-                out[-1], free = out[-1] + " " + s, free - more
-            else:
-                free = hard - counter.count(s)
-                out.append(s)
-        return [p for t in out for p in (counter.cut(t, hard) if counter.count(t) > hard else (t,))]
-
-    @F.pandas_udf("array<struct<text:string,alone:bigint,after:bigint,pieces:array<string>>>")
-    def weigh(blocks_: pd.Series, hard: pd.Series) -> pd.Series:
-        def one(some, limit):
-            rows = []
-            for t in some:
-                n = counter.count(t)
-                rows.append({"text": t, "alone": 1000 * n, "after": 1000 * counter.count(GAP + t), "pieces": pieces(t, limit) if n > limit else []})
-            return rows
-
-        return pd.Series([one(b, h) for b, h in zip(blocks_, hard, strict=True)])
-
-    return count, weigh
+    counter = counter or ESTIMATE
+
+    @F.arrow_udf("array<struct<text:string,tokens:int>>")
+    def cut(texts: pa.Array, titles: pa.Array) -> pa.Array:
+        made = [split_text(t or "", h or "", counter, target, most, least) for t, h in zip(texts.to_pylist(), titles.to_pylist(), strict=True)]
+        flat = [c for some in made for c in some]
+        ends = np.concatenate([[0], np.cumsum([len(some) for some in made])]).astype(np.int32)
+        fields = pa.StructArray.from_arrays([pa.array(flat, pa.string()), pa.array(counter.tokens(flat), pa.int32())], ["text", "tokens"])
+        return pa.ListArray.from_arrays(pa.array(ends), fields)
+
+    return df.withColumn(out, cut(F.col(text_col).cast("string"), F.col(title_col).cast("string")))
 
 
 def chunks(df: DataFrame, counter: Counter | None = None, text_col: str = "text", title_col: str = "doc_title", id_col: str = "id") -> DataFrame:
     """One row per chunk: the document's columns, with text, chars, tokens, chunk_index, chunk_count, parent_id and a new id."""
     made = chunk_tokens(df, counter, text_col, title_col, "_chunks")
-    return lineage(made, "_chunks", id_col, text_col).withColumn("counter", F.lit(counter.name if counter else "estimate"))
+    return lineage(made, "_chunks", id_col, text_col).withColumn("counter", F.lit((counter or ESTIMATE).name))
 
 
 def lineage(df: DataFrame, chunks_col: str, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -1,11 +1,14 @@
 """Sources, records, chunking and markup on literals."""
 
 import json
+import random
 import re
 import time
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.functions import markup
 from tessera.operators import chunking, records, urls
@@ -251,6 +254,93 @@ def test_chunks_by_the_estimate(spark):
     assert got[-1].endswith("small") and "x" * 2000 in "".join(got)
 
 
+def restated_chunk_tokens(text, title, count, cut, target, most, least):
+    """The rules block by block, with every candidate joined and counted anew."""
+    prefix = f"{title}\n\n" if title else ""
+    soft, hard = target - count(prefix), max(1, most - count(prefix))
+    table = lambda b: re.match(r"\s*\|", b)
+    heads = lambda b: 0 < len(b.strip()) <= 80 and not b.strip().endswith((".", "،", ":", "؛")) and len(b.split()) <= 10
+    blocks, cur, was = [], [], False
+    for line in [*text.split("\n"), ""]:
+        own = bool(table(line))
+        if cur and (own != was or not line.strip()):
+            blocks.append("\n".join(cur))
+            cur = []
+        cur += [line] if line.strip() else []
+        was = own
+    chunks, cur, heading = [], [], ""
+    for b in blocks:
+        if count(b) > hard and not table(b):
+            chunks += ["\n\n".join(cur)] if cur else []
+            cur, held = [], []
+            for s in filter(str.strip, re.split(r"(?<=[.؟!])\s+|\n", b)):
+                if held and count(" ".join([*held, s])) > hard:
+                    chunks += cut(" ".join(held), hard) if count(" ".join(held)) > hard else [" ".join(held)]
+                    held = []
+                held.append(s)
+            chunks += cut(" ".join(held), hard) if count(" ".join(held)) > hard else [" ".join(held)]
+            continue
+        heading = b if heads(b) else heading
+        if cur and count("\n\n".join([*cur, b])) > soft:
+            chunks.append("\n\n".join(cur))
+            cur = [heading] if heading and heading != b else []
+        cur.append(b)
+    chunks += ["\n\n".join(cur)] if cur else []
+    out = []
+    for c in filter(None, map(str.strip, chunks)):
+        if out and count(c) < least:
+            out[-1] += "\n\n" + c
+        else:
+            out.append(c)
+    while len(out) > 1 and count(out[0]) < least:
+        out[:2] = ["\n\n".join(out[:2])]
+    return [c if c.startswith(title) else prefix + c for c in out]
+
+
+def random_texts(n):
+    rnd = random.Random(2)
+    sentence = lambda: " ".join(rnd.choice(["a", "bb", "متجر", "word", "c|d"]) for _ in range(rnd.choice([1, 3, 9, 40]))) + rnd.choice([".", "؟", "!", "", ":"])
+    block = lambda: rnd.choice([" ", "\n"]).join(sentence() for _ in range(rnd.choice([1, 1, 2, 12])))
+    table = lambda: "\n".join("| x " * rnd.choice([1, 30]) + "|" for _ in range(rnd.choice([1, 4])))
+    return [rnd.choice(["", "\n"]).join(rnd.choice([block, block, block, table])() + rnd.choice(["\n", "\n\n", "\n \n\n"]) for _ in range(rnd.choice([0, 1, 5, 30]))) for _ in range(n)]
+
+
+def test_running_totals_give_what_counting_anew_gives():
+    count = chunking.by_words()
+    for i, text in enumerate(random_texts(400)):
+        for title in ("", "T", "two words here"):
+            args = (30 + i % 20, 50, 1 + i % 12)
+            assert chunking.split_text(text, title, count, *args) == restated_chunk_tokens(text, title, lambda t: count.tokens([t])[0], count.cut, *args)
+
+
+def test_chunks_by_a_vocabulary(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, texts = Tokenizer.from_file(path), [t * 8 for t in random_texts(60)]
+    df = spark.createDataFrame([(str(i), "A title", t) for i, t in enumerate([*texts, None])], "id string, doc_title string, text string")
+    got = chunking.chunks(df, chunking.vocabulary(path)).collect()
+    assert all(r["tokens"] == len(lib.encode(r["text"], add_special_tokens=False).ids) and r["counter"] == "vocabulary" for r in got)
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    split = chunking.vocabulary(path)
+    for i in range(0, 60, 4):
+        mine = [r["text"] for r in sorted((r for r in got if r["parent_id"] == str(i)), key=lambda r: r["chunk_index"])]
+        assert mine == chunking.split_text(texts[i], "A title", split)
+        # counts of parts in a row add up but for white space before a cut, so chunks stay within a few tokens of the limit
+        assert all(r["tokens"] <= chunking.MOST_TOKENS + chunking.LEAST_TOKENS + 16 for r in got if "|" not in r["text"])
+        whole = restated_chunk_tokens(texts[i], "A title", n, split.cut, 450, 700, 40)
+        assert abs(len(mine) - len(whole)) <= 1 + len(whole) // 20
+
+
+@pytest.mark.parametrize("text", ["word\n\n", "some words in a sentence. ", "x", "| t |\n\n", "A heading\n\n" + "w " * 300 + "\n\n"])
+def test_chunking_takes_linear_time(text):
+    def took(n):
+        began = time.process_time()
+        chunking.split_text(text * n, "Title", chunking.ESTIMATE)
+        return time.process_time() - began
+
+    n = 200_000 // len(text)
+    assert took(8 * n) < 8 * min(took(n) for _ in range(3)) * 2.5 + 0.3
+
+
 def test_chunks_and_answers(spark):
     docs = spark.createDataFrame([("d1", "facts/a", "Alpha", "alpha words here.\n\nmore alpha"), ("d2", "facts/b", "Beta", "beta only")], "id string, source_file string, doc_title string, text string")
     corpus = ask.build_corpus(docs)
