@@ -79,12 +79,6 @@ def query_vector(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id = 7").select(F.lit(0).cast("long").alias("query_id"), "embedding")
 
 
-def paired(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents and vectors that have each other."""
-    c, v = corpus(spark, d), vectors(spark, d)
-    return c.join(v.select("ord"), "ord", "left_semi"), v.join(c.select("ord"), "ord", "left_semi")
-
-
 # SQL that several queries share
 TOKEN = r"[\p{L}\p{N}_\x{0600}-\x{06FF}]+"
 CORPUS = """c AS (SELECT d.doc_id AS ord, substr(sha256(d.doc_id::VARCHAR), 1, 16) AS id, d.text,
@@ -201,45 +195,45 @@ def vector_topk(s, d):
     return found.orderBy(F.desc("score"), "ord").limit(index.VECTOR_SIZE).withColumn("score", F.round("score", 6))
 
 
-PAIRED = CORPUS.replace("USING (doc_id))", "USING (doc_id) WHERE d.doc_id IN (SELECT vec_id FROM embeddings))")
-FUSED = """, vl AS (SELECT ord, row_number() OVER (ORDER BY score DESC, ord) - 1 AS rank FROM vs JOIN c USING (ord)),
-    l AS (SELECT ord, rank, 0 AS source FROM vl WHERE rank < 50 UNION ALL SELECT ord, rank, 1 FROM kw WHERE rank < 50),
-    f AS (SELECT ord, coalesce(max(1.0::DOUBLE / (61 + rank)) FILTER (source = 0), 0) + coalesce(max(1.0::DOUBLE / (61 + rank)) FILTER (source = 1), 0) AS score,
-        min(source * 1000 + rank) AS first FROM l GROUP BY ord),
-    h AS (SELECT row_number() OVER (ORDER BY score DESC, first) AS n, ord, score FROM f)"""
+MANY = f"""u AS (SELECT vec_id AS ord, {UNIT} AS v FROM embeddings), nv AS (SELECT ord AS query_id, v AS q FROM u WHERE ord % 50 = 0),
+    vs AS (SELECT query_id, ord, round(list_sum(list_transform(list_zip(v, q), lambda p: p[1] * p[2])), 9) AS score FROM u, nv)"""
+
+
+@query("vector_topk_batch", f"WITH {MANY} SELECT query_id, ord, round(score, 6) AS score, row_number() OVER w - 1 AS rank FROM vs WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, ord) QUALIFY row_number() OVER w <= 100")
+def vector_topk_batch(s, d):
+    v = vectors(s, d)
+    found = index.vector_search(v, v.where("ord % 50 = 0").select(F.col("ord").alias("query_id"), "embedding"))
+    return found.select("query_id", "ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def hybrid_found(s, d, k):
-    c, v = paired(s, d)
-    return index.search(c, v, questions(s), query_vector(s, d), k), c
+FUSED = """, vl AS (SELECT query_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) - 1 AS rank FROM vs JOIN c USING (ord)),
+    l AS (SELECT query_id, ord, rank, 0 AS source FROM vl WHERE rank < 50 UNION ALL SELECT query_id, ord, rank, 1 FROM kw WHERE rank < 50),
+    f AS (SELECT query_id, ord, coalesce(max(1.0::DOUBLE / (61 + rank)) FILTER (source = 0), 0) + coalesce(max(1.0::DOUBLE / (61 + rank)) FILTER (source = 1), 0) AS score,
+        min(source * 1000 + rank) AS first FROM l GROUP BY ALL),
+    h AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS n, ord, score FROM f)"""
+ONE = VECTOR.replace("vs AS (SELECT ord", "vs AS (SELECT 0::BIGINT AS query_id, ord")
 
 
-@query("hybrid", with_all(corpus_sql=PAIRED) + ", " + VECTOR + FUSED + "SELECT n, ord, round(score, 6) AS score FROM h WHERE n <= 6")
+# every document is found by keywords, with statistics of the whole corpus; documents without a vector by keywords alone
+@query("hybrid", with_all() + ", " + ONE + FUSED + "SELECT n, ord, round(score, 6) AS score FROM h WHERE n <= 6")
 def hybrid(s, d):
-    found, _ = hybrid_found(s, d, 6)
+    found = index.search(corpus(s, d), vectors(s, d), questions(s), query_vector(s, d), 6)
     return found.select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
 
 
-@query("rrf", with_all(corpus_sql=PAIRED) + ", " + VECTOR + FUSED + "SELECT n, ord, round(score, 6) AS score FROM h")
+@query("rrf", with_all() + ", " + ONE + FUSED + "SELECT n, ord, round(score, 6) AS score FROM h")
 def rrf(s, d):
-    found, _ = hybrid_found(s, d, 2 * index.LIST_SIZE)
+    found = index.search(corpus(s, d), vectors(s, d), questions(s), query_vector(s, d), 2 * index.LIST_SIZE)
     return found.select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
 
 
-# hybrid and rrf keep to documents that have a vector, as their SQL does; these two search every document by keywords,
-# with statistics of the whole corpus, and only the vector list is limited to documents that have a vector
-def whole_found(s, d, k):
-    return index.search(corpus(s, d), vectors(s, d), questions(s), query_vector(s, d), k)
-
-
-@query("hybrid_whole", with_all() + ", " + VECTOR + FUSED + "SELECT n, ord, round(score, 6) AS score FROM h WHERE n <= 6")
-def hybrid_whole(s, d):
-    return whole_found(s, d, 6).select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
-
-
-@query("rrf_whole", with_all() + ", " + VECTOR + FUSED + "SELECT n, ord, round(score, 6) AS score FROM h")
-def rrf_whole(s, d):
-    return whole_found(s, d, 2 * index.LIST_SIZE).select(F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
+@query("hybrid_batch", with_all(BENCH) + ", " + MANY.replace("WHERE ord % 50 = 0", "JOIN q ON q.query_id = u.ord") + FUSED + "SELECT query_id, n, ord, round(score, 6) AS score FROM h WHERE n <= 6")
+def hybrid_batch(s, d):
+    """All questions at once, each with the vector of its number."""
+    asked = benchmark_questions(s, d)
+    of = vectors(s, d).join(asked.select(F.col("query_id").alias("ord")), "ord", "left_semi").select(F.col("ord").alias("query_id"), "embedding")
+    found = index.search(corpus(s, d), vectors(s, d), asked, of, 6)
+    return found.select("query_id", F.col("n").cast("long").alias("n"), "ord", F.round("score", 6).alias("score"))
 
 
 @query("keyword_search", with_all() + "SELECT rank + 1 AS n, ord, round(1.0::DOUBLE / (61 + rank), 6) AS score FROM kw WHERE rank < 6")

@@ -1,5 +1,9 @@
 """Search, fusion, vectors, answers and reports on small tables."""
 
+import math
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,17 +67,69 @@ def test_vectors(spark):
     # a zero vector is found with score 0, before negative ones
     scores = {r["ord"]: r["score"] for r in index.one_vector_scores(df, [-1.0, 0.0]).collect()}
     assert scores[1] == 0.0 and scores[3] == pytest.approx(-0.6)
-    batch = index.vector_scores(df, frame(spark, [(0, [-1.0, 0.0])], "query_id long, embedding array<float>"))
+    batch = index.vector_search(df, frame(spark, [(0, [-1.0, 0.0])], "query_id long, embedding array<float>"))
     assert {r["ord"]: r["score"] for r in batch.collect()} == scores
 
 
-def test_query_vectors_in_blocks(spark, monkeypatch):
-    vectors = frame(spark, [(i, [float(i % 5), 1.0]) for i in range(40)], "ord long, embedding array<float>")
-    asked = vectors.select(F.col("ord").alias("query_id"), "embedding").where("query_id % 4 = 0")
-    key = lambda df: sorted(map(tuple, df.collect()))
-    want = key(index.vector_scores(vectors, asked))
-    monkeypatch.setattr(index, "QUERY_BLOCK", 3)
-    assert key(index.vector_scores(vectors, asked)) == want and len(want) == 400
+def restated_search(rows, asked, most):
+    def unit(v):
+        v = [x if x is not None and math.isfinite(x) else 0.0 for x in v]
+        total = 0.0
+        for x in v:
+            total += x * x
+        return [x / math.sqrt(total) for x in v] if total else v
+
+    out = []
+    for q, w in asked:
+        w, scores = unit(w), []
+        for o, v in rows:
+            if v is not None and len(v) == len(w):
+                total = 0.0
+                for x, y in zip(unit(v), w, strict=True):
+                    total += x * y
+                scores.append((-round(total, 9), o))
+        out += [(q, o, -s, i) for i, (s, o) in enumerate(sorted(scores)[:most])]
+    return sorted(out)
+
+
+def test_vector_search_is_exact(spark, monkeypatch):
+    """Ties, near ties, odd vectors, several lengths, several blocks of queries, tiles of few rows."""
+    rnd = random.Random(8)
+    some = lambda n: [float(np.float32(rnd.choice([rnd.gauss(0, 1), 0.0, 1.0]))) for _ in range(n)]
+    rows = [(i, some(rnd.choice([6, 6, 6, 2]))) for i in range(300)]
+    rows += [(300 + i, [1.0, 1.0, 1.0, 1.0, 1.0, 1.0 + i * 2e-7]) for i in range(30)] + [(400 + i, [0.5] * 6) for i in range(30)]
+    rows += [(500, None), (501, []), (502, [None, 1.0, 0.0, 0.0, 0.0, 0.0]), (503, [math.nan, math.inf, 1.0, 0.0, 0.0, 0.0]), (504, [0.0] * 6)]
+    vectors = frame(spark, rows, "ord long, embedding array<float>").repartition(5)
+    asked = [(i, v) for i, v in rows if i % 7 == 0 and v]
+    want = restated_search([(i, None if v is None else single(v)) for i, v in rows], [(i, single(v)) for i, v in asked], 12)
+    got = lambda **kw: sorted(map(tuple, index.vector_search(vectors, frame(spark, asked, "query_id long, embedding array<float>"), most=12, **kw).collect()))
+    assert got() == want
+    assert got(block_bytes=200) == want
+    many = index.Heaps(np.eye(3), 2)
+    monkeypatch.setattr(index, "TILE_QUERIES", 2)
+    monkeypatch.setattr(index, "PAIRS", 3)
+    many.add(np.arange(6), np.repeat(np.eye(3), 2, 0))
+    many.add(np.arange(6, 9), np.eye(3)[::-1] * 0.5)
+    assert many.row.tolist() == [0, 0, 1, 1, 2, 2] and many.ord.tolist() == [0, 1, 2, 3, 4, 5]
+    assert frame(spark, [], "ord long, embedding array<float>").transform(lambda v: index.vector_search(v, v.withColumnRenamed("ord", "query_id"))).count() == 0
+
+
+def single(v):
+    return [x if x is None else float(np.float32(x)) for x in v]
+
+
+def test_vector_search_shuffles_few_rows(spark):
+    """A task sends at most ``most`` rows for each query, whatever it reads."""
+    vectors = spark.range(0, 20000, 1, 4).select(F.col("id").alias("ord"), F.array(F.sin("id"), F.cos(F.col("id") * 7), F.lit(0.1)).alias("embedding"))
+    found = index.vector_search(vectors, vectors.where("ord < 10").withColumnRenamed("ord", "query_id"), most=20)
+    assert found.count() == 200
+    scored = found._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in scored and "Join" not in scored
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    heaps = index.Heaps(np.eye(2), 20)
+    heaps.add(np.arange(5000), np.random.default_rng(0).standard_normal((5000, 2)))
+    assert len(heaps.ord) == 40
 
 
 def test_lists_are_cut_before_the_shuffle(spark):
@@ -90,7 +146,7 @@ def test_whole_hybrid_finds_documents_without_a_vector(spark, tmp_path):
     frame(spark, docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     frame(spark, [(7, [1.0, 0.0], 0), (9, [0.5, 0.5], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     frame(spark, [(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    for name in ("hybrid_whole", "rrf_whole"):
+    for name in ("hybrid", "rrf"):
         assert [r["ord"] for r in catalog.QUERIES[name](spark, d).orderBy("n").collect()] == [7, 1]
 
 
