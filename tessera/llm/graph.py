@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise, release
+from tessera.runtime import forget, materialise, release
 
 MOST_ROUNDS = 60
 
@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step is an aggregation with partial sums and a join on its key, so a vertex with very many edges is spread
     over tasks. Each round is written to the shared folder. The number of rounds grows with the logarithm of the size.
-    Shuffle files of what came before, earlier calls among it, are let go of first.
+    Tables of earlier rounds are deleted, and shuffle files of what came before, earlier calls among it, are let go of first.
     """
     release(edges.sparkSession)
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "components-small")
+        before, e = e, materialise(small, "components-small")
+        forget(before, large)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

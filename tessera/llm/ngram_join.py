@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from tessera.llm import pretoken, shingles
 from tessera.llm.graph import components
 from tessera.llm.prefix_tree import link
-from tessera.runtime import free_name, lookup, materialise, pick, row_key, small_batches, without
+from tessera.runtime import forget, free_name, lookup, materialise, pick, row_key, small_batches, without
 
 PERCENT = 80
 #: Pairs of a hash and a class that a task packs at once, and about as many as come together in one bucket.
@@ -354,11 +354,13 @@ def all_links(posts: DataFrame, ordered: DataFrame, percent: int, task_shingles:
     links = materialise(search(dealt, percent), "ngram-links")
     rounds = 0
     while split:
+        forget(clusters)
         known = materialise(components(links), "ngram-known")
         named = posts.join(known, posts["cid"] == known["v"], "left").select("h", "cid", F.coalesce("component", "cid").alias("own"))
         open_ = named.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("h")
         left = materialise(named.join(open_, "h", "left_semi"), "ngram-open")
         clusters = materialise(cluster(left.select("h", "cid")), "ngram-clusters")
+        forget(known)
         if clusters.isEmpty():
             break
         rows = ordered.join(clusters, "cid").join(left.select("cid", "own").distinct(), "cid")
@@ -370,7 +372,8 @@ def all_links(posts: DataFrame, ordered: DataFrame, percent: int, task_shingles:
         if found is None or found.isEmpty():
             found, split = materialise(search(deal_pairs(rows, block, shards), percent), "ngram-links"), False
         rounds += 1
-        links = materialise(links.union(found), "ngram-links")
+        before, links = links, materialise(links.union(found), "ngram-links")
+        forget(before, found, left)
     return links
 
 
