@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arabic, markup
 from tessera.functions import text as T
-from tessera.operators import answer, chunking, index, records, reports, urls
-from tessera.runtime import spread
+from tessera.operators import answer, chunking, index, records, reports, segments, urls
+from tessera.runtime import new_folder, spread
 
 QUESTION = "Is the of thing and thereonwh with est"
 EXPECTED = "thention"
@@ -156,6 +156,16 @@ def bm25_batch(s, d):
     return index.ranked(index.bm25(corpus(s, d), benchmark_questions(s, d)), index.LIST_SIZE).select("query_id", "ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("bm25_segments", with_all(BENCH) + RANKED)
+def bm25_segments(s, d):
+    """The same lists from an index of three segments, written one after the other."""
+    path, c = new_folder(s, "segments"), corpus(s, d)
+    for i in range(3):
+        segments.append(c.where(F.pmod(F.floor(F.col("ord") / segments.WINDOW), F.lit(3)) == i), path, i)
+    found = segments.Segments.open(s, path).top(benchmark_questions(s, d))
+    return found.select("query_id", "ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("bm25_filtered", with_all(where="audience = 'public' AND (country IS NULL OR country = 'FR')") + RANKED)
 def bm25_filtered(s, d):
     found = index.bm25(corpus(s, d), questions(s), index.allowed("public", "FR"))
