@@ -443,18 +443,25 @@ def file_title(s, d):
     return pages(s, d).select("page_id", T.file_title(stem).alias("title"))
 
 
-# Texts of ours for what the driver's tables lack: Arabic letters and marks, folded spellings, backwards words, tables.
-SAMPLES = (
-    "من المتجر إلى العميل", "نم رجتملا ىلإ", "ليمعلا نم", "قطة كبيرة", "مُتَاجِر الســعر", "السعر ٤٥ SAR for والمتاجر",
-    "plain English, 12 words_or so", "mostly English with one كلمة", "", "123 !?", "ﻻ ﷲ letters", "للبيع لل ال بالمدينة كالبيت فالكل إأآى",
-    "# head\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter table\nsame block\n\n \nlast", "| only |\n\n| two |", "x\n  | indented |\ny\n",
-    "مرحبا:\n| ا | ب |\nنص", None,
-)
-SAMPLED = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if t is None else repr_}::VARCHAR)" for i, t in enumerate(SAMPLES) for repr_ in [f"'{t}'"]) + ") AS v(sample, text))"
+# The tables have no Arabic: documents with their letters and digits exchanged for Arabic ones stand for it. Every sixth is
+# like this whole, with marks and stretches, in half of its letters, read backwards, with spellings that are folded, or as it is.
+LATIN = "abcdefghijklmnopqrstuvwxyz0123456789"
+SCRIPT = ("ابتثجنحخفدكلسمهوةرير" + "طظقىعز" + "٠١٢٣٤٥٦٧٨٩", "ابتثأنإخفدكلسمهوةرير" + "آظقىعز" + "۰۱۲۳۴۵۶۷۸۹")
+MARKS = ("م", "مُـ")
+SHAPES = (
+    f"translate(lower(text), '{LATIN}', '{SCRIPT[0]}')",
+    f"replace(translate(lower(text), '{LATIN}', '{SCRIPT[0]}'), '{MARKS[0]}', '{MARKS[1]}')",
+    f"translate(lower(text), '{LATIN[:13]}', '{SCRIPT[0][:13]}')",
+    f"reverse(translate(lower(text), '{LATIN}', '{SCRIPT[0]}'))",
+    f"translate(lower(text), '{LATIN}', '{SCRIPT[1]}')",
+    "text",
+)
+_CASES = "CASE " + " ".join(f"WHEN doc_id % {len(SHAPES)} = {i} THEN {x}" for i, x in enumerate(SHAPES)) + " END"
+SCRIPTED = f"s AS (SELECT doc_id, {_CASES} AS text FROM documents)"
 
 
-def samples(s) -> DataFrame:
-    return s.createDataFrame(list(enumerate(SAMPLES)), "sample long, text string")
+def scripted(s, d) -> DataFrame:
+    return documents(s, d).select("doc_id", F.expr(_CASES).alias("text"))
 
 
 def _sql_list(texts) -> str:
@@ -466,24 +473,29 @@ RATIO = f"CASE WHEN {_LETTERS} = '' THEN 0.0 ELSE length(regexp_replace({_LETTER
 _FOLD = "CASE " + " ".join(f"WHEN length(w) > {len(p) + 2} AND starts_with(w, '{p}') THEN substr(w, {len(p) + 1})" for p in T.PREFIXES) + " ELSE w END"
 
 
-@query("sample_labels", f"WITH {SAMPLED}, r AS (SELECT *, {RATIO} AS ratio FROM s) SELECT sample, {_BARE} AS bare, round(ratio, 6) AS ratio, CASE WHEN ratio > 0.6 THEN 'ar' WHEN ratio < 0.2 THEN 'en' ELSE 'mixed' END AS label, CASE WHEN ratio > 0.6 THEN 'ar' ELSE 'mixed' END AS page_label FROM r WHERE text IS NOT NULL")
-def sample_labels(s, d):
+@query("arabic_labels", f"WITH {SCRIPTED}, r AS (SELECT *, {RATIO} AS ratio FROM s) SELECT doc_id, {_BARE} AS bare, round(ratio, 6) AS ratio, CASE WHEN ratio > 0.6 THEN 'ar' WHEN ratio < 0.2 THEN 'en' ELSE 'mixed' END AS label, CASE WHEN ratio > 0.6 THEN 'ar' ELSE 'mixed' END AS page_label FROM r WHERE text IS NOT NULL")
+def arabic_labels(s, d):
     t = F.col("text")
-    return samples(s).where(t.isNotNull()).select("sample", T.strip_marks(t).alias("bare"), F.round(T.arabic_ratio(t), 6).alias("ratio"), T.lang_label(t).alias("label"), T.lang_label(t, False).alias("page_label"))
+    return scripted(s, d).where(t.isNotNull()).select("doc_id", T.strip_marks(t).alias("bare"), F.round(T.arabic_ratio(t), 6).alias("ratio"), T.lang_label(t).alias("label"), T.lang_label(t, False).alias("page_label"))
 
 
-@query("sample_confidence", f"""WITH {SAMPLED}, f AS (SELECT sample, regexp_extract_all({_BARE}, '[{T.ARABIC}]+') AS w FROM s WHERE text IS NOT NULL),
-    h AS (SELECT sample, len(w) AS n, len(list_filter(w, lambda t: list_contains({_sql_list(arabic.WORDS)}, t))) AS hits, len(list_filter(w, lambda t: list_contains({_sql_list(arabic.WORDS)}, reverse(t)))) AS backwards,
+@query("arabic_confidence", f"""WITH {SCRIPTED}, f AS (SELECT doc_id, regexp_extract_all({_BARE}, '[{T.ARABIC}]+') AS w FROM s WHERE text IS NOT NULL),
+    h AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda t: list_contains({_sql_list(arabic.WORDS)}, t))) AS hits, len(list_filter(w, lambda t: list_contains({_sql_list(arabic.WORDS)}, reverse(t)))) AS backwards,
         len(list_filter(w, lambda t: regexp_matches(t, '^[{arabic.FINAL_ONLY}]'))) AS wrong FROM f)
-    SELECT sample, hits - wrong AS score, CASE WHEN n = 0 THEN 'n/a' WHEN hits >= 2 OR (hits = 1 AND n <= 3) THEN 'high' WHEN backwards > hits THEN 'low' WHEN hits > 0 THEN 'high' ELSE 'low' END AS confidence FROM h""")
-def sample_confidence(s, d):
+    SELECT doc_id, hits - wrong AS score, CASE WHEN n = 0 THEN 'n/a' WHEN hits >= 2 OR (hits = 1 AND n <= 3) THEN 'high' WHEN backwards > hits THEN 'low' WHEN hits > 0 THEN 'high' ELSE 'low' END AS confidence FROM h""")
+def arabic_confidence(s, d):
     t = F.col("text")
-    return samples(s).where(t.isNotNull()).select("sample", arabic.lexicon_score(t).cast("long").alias("score"), arabic.confidence(t).alias("confidence"))
+    return scripted(s, d).where(t.isNotNull()).select("doc_id", arabic.lexicon_score(t).cast("long").alias("score"), arabic.confidence(t).alias("confidence"))
+
+
+@query("arabic_tokens", f"WITH {SCRIPTED} SELECT doc_id, array_to_string(list_transform(list_transform(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}'), lambda w: translate(w, '{T.FOLDED[0]}', '{T.FOLDED[1]}')), lambda w: {_FOLD}), ' ') AS tokens FROM s")
+def arabic_tokens(s, d):
+    return scripted(s, d).select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query("sample_tokens", f"WITH {SAMPLED} SELECT sample, array_to_string(list_transform(list_transform(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}'), lambda w: translate(w, '{T.FOLDED[0]}', '{T.FOLDED[1]}')), lambda w: {_FOLD}), ' ') AS tokens FROM s")
-def sample_tokens(s, d):
-    return samples(s).select("sample", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+@query("arabic_normalize", f"WITH {SCRIPTED} SELECT doc_id, " + stripped(f"regexp_replace(translate(coalesce(text, ''), '{T.DIGITS[0]}' || chr(160), '{T.DIGITS[1]}' || ' '), '[ \\t]{{2,}}', ' ', 'g')") + " AS text FROM s")
+def arabic_normalize(s, d):
+    return scripted(s, d).select("doc_id", T.normalize(F.col("text")).alias("text"))
 
 
 def blocks_sql(key: str, source: str) -> str:
@@ -494,9 +506,14 @@ def blocks_sql(key: str, source: str) -> str:
     b AS (SELECT {key}, grp, string_agg(line, chr(10) ORDER BY i) AS block FROM g WHERE kind > 0 GROUP BY {key}, grp)"""
 
 
-@query("sample_blocks", f"WITH {SAMPLED}, {blocks_sql('sample', 's')} SELECT sample, block FROM b")
-def sample_blocks(s, d):
-    return samples(s).select("sample", F.explode(chunking.blocks(F.col("text"))).alias("block"))
+# and no tables: a comma begins a table's line, a full stop ends a paragraph in every other document
+TABLED = "s AS (SELECT doc_id, replace(replace(text, ', ', chr(10) || '  | '), '. ', CASE WHEN doc_id % 2 = 0 THEN chr(10) || ' ' || chr(10) ELSE '|' || chr(10) END) AS text FROM documents)"
+
+
+@query("table_blocks", f"WITH {TABLED}, {blocks_sql('doc_id', 's')} SELECT doc_id, block FROM b")
+def table_blocks(s, d):
+    end = F.when(F.col("doc_id") % 2 == 0, "\n \n").otherwise("|\n")
+    return documents(s, d).select("doc_id", F.explode(chunking.blocks(F.replace(F.replace("text", F.lit(", "), F.lit("\n  | ")), F.lit(". "), end))).alias("block"))
 
 
 # chunking
