@@ -13,22 +13,18 @@ from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from tessera.llm.queries import END_ID, VOCABULARY
 from tessera.runtime import materialise
 
-#: A document without letters is rejected, one that no mixture of the learned languages explains, and one in which no language
-#: has this share of the words. It is low, since documents with passages of another language are clean too.
-LEAST_SHARE = 0.35
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be learned from ``docs``; the others, and those without a letter, go.
 
     The prediction rejects but leaves no trace: all columns, ``score`` or ``lang_pred`` among them, are the user's own.
-    Without a labelled row nothing can be learned, and only texts without a letter go. Repeated rows have one fate; null
-    ids and labels are allowed; an empty table stays empty.
+    A document without letters is rejected, and one that no mixture of the learned languages explains, however many of
+    them that takes. Without a labelled row nothing can be learned, and only texts without a letter go. Repeated rows have
+    one fate; null ids and labels are allowed; an empty table stays empty.
     """
     model = language_id.train(docs)
     if not model.languages:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    return language_id.keep(docs, model, min_score=LEAST_SHARE, typical=language_id.typical_gain(docs, model))
+    return language_id.keep(docs, model, typical=language_id.typical_gain(docs, model))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -661,6 +661,22 @@ def page_text(s, d):
     return pages(s, d).select("page_id", F.array_join(markup.body_lines(F.col("html")), "\n").alias("text"))
 
 
+# lines of pages with blocks that follow themselves, of sizes up to 13, some twice, some one in the other
+REPEATED = "list_concat(l[1:page_id % 14], l[1:page_id % 14], CASE WHEN page_id % 3 = 0 THEN l[1:page_id % 14] ELSE [] END, l, l[len(l) - 2:], l[len(l) - 2:])"
+
+
+@query("collapse_repeats", f"""WITH RECURSIVE b AS (SELECT page_id, {BODY} AS l FROM pages), w AS (SELECT page_id, {REPEATED} AS l, 1::BIGINT AS i FROM b UNION ALL
+        SELECT page_id, CASE WHEN size IS NULL THEN l ELSE list_concat(l[1:i + size - 1], l[i + 2 * size:]) END, i + 1
+        FROM (SELECT *, list_max(list_filter(range(2, 13), lambda n: i + 2 * n - 1 <= len(l) AND l[i:i + n - 1] = l[i + n:i + 2 * n - 1])) AS size FROM w WHERE i <= len(l)))
+    SELECT page_id, array_to_string(l, chr(10)) AS text FROM w WHERE i = len(l) + 1""")
+def collapse_repeats(s, d):
+    rows = pages(s, d).select("page_id", markup.body_lines(F.col("html")).alias("l"))
+    n, end = (F.col("page_id") % 14).cast("int"), F.slice("l", F.greatest(F.size("l") - 2, F.lit(1)), 3)
+    head = F.slice("l", F.lit(1), n)
+    more = F.when(F.col("page_id") % 3 == 0, head).otherwise(F.array().cast("array<string>"))
+    return rows.select("page_id", F.array_join(markup.collapse_blocks(F.concat(head, head, more, "l", end, end)), "\n").alias("text"))
+
+
 @query("html_text", "SELECT page_id, regexp_replace(regexp_replace(" + stripped(_plain(r"regexp_replace(regexp_replace(" + _without("html", "script", "style") + r", '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(10), 'g')")) + r", '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM pages")
 def html_text(s, d):
     return pages(s, d).select("page_id", markup.html_text(F.col("html")).alias("text"))
