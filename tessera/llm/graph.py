@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.runtime import forget, materialise, release
 
 MOST_ROUNDS = 60
+#: Edges that a task takes.
+TASK_EDGES = 1 << 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,26 +18,32 @@ def components(edges: DataFrame) -> DataFrame:
     Each step is an aggregation with partial sums and a join on its key, so a vertex with very many edges is spread
     over tasks. Each round is written to the shared folder. The number of rounds grows with the logarithm of the size.
     Tables of earlier rounds are deleted, and shuffle files of what came before, earlier calls among it, are let go of first.
+    A round's tasks are as many as its edges need: there are many rounds, and mostly over few edges.
     """
-    release(edges.sparkSession)
+    spark = edges.sparkSession
+    release(spark)
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     e = materialise(edges.where("a <> b").select(hi.alias("u"), lo.alias("v")).distinct(), "components")
-    mark = None
+    most, mark = int(spark.conf.get("spark.sql.shuffle.partitions")), (e.count(), None)
     for _ in range(MOST_ROUNDS):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "components-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u")
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        before, e = e, materialise(small, "components-small")
+        tasks = -(-2 * mark[0] // TASK_EDGES) + 1
+        fit = lambda df, n=tasks: df.coalesce(n) if n < most else df
+        now = fit(e)
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = fit(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
+        large = fit(both.where("v > u").join(least, "u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(fit(large.distinct()), "components-large")
+        least = fit(fit(large).groupBy("u").agg(F.min("v").alias("m")))
+        near = fit(fit(large).join(least, "u"))
+        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        before, e = e, materialise(fit(small.distinct()), "components-small")
         forget(before, large)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = fit(e).agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
     else:
         raise RuntimeError("components did not settle")
-    roots = e.select(F.col("v").alias("u")).distinct().select(F.col("u").alias("v"), F.col("u").alias("component"))
+    e = fit(e)
+    roots = fit(e.select(F.col("v").alias("u")).distinct()).select(F.col("u").alias("v"), F.col("u").alias("component"))
     return e.select(F.col("u").alias("v"), F.col("v").alias("component")).union(roots)

@@ -68,10 +68,16 @@ def test_rejects_gibberish_and_languages_not_learned(spark):
         clean.setdefault(r["lang"], r["text"][:200])
     mixed = [clean["en"] + " " + clean["de"], clean["fr"] + " " + clean["es"]]
     rows = [(10**6 + i, t, lang, "s", len(t)) for lang, at in ((None, 0), ("en", 100)) for i, t in enumerate(bad, at)]
+    # clean documents in two, three and four languages, in parts of equal size
+    pick = {lang: [r["text"] for r in docs.where(F.col("lang") == lang).where("length(text) > 900").orderBy("doc_id").limit(10).collect()] for lang in ("de", "en", "es", "fr")}
+    for n in (2, 3, 4):
+        for k in range(10):
+            some = [pick[lang][k % len(pick[lang])][300:700] for lang in sorted(pick)[k % 4 :] + sorted(pick)[: k % 4]]
+            mixed.append("\n".join(some[:n]))
     rows += [(2 * 10**6 + i, t, None, "s", len(t)) for i, t in enumerate(mixed)]
     got = corpus_pipeline.identify_language(spark, docs.union(spark.createDataFrame(rows, docs.schema)), D)
     stay = {r["doc_id"] for r in got.select("doc_id").collect()}
-    assert {i for i in stay if i >= 10**6} == {2 * 10**6, 2 * 10**6 + 1}
+    assert {i for i in stay if i >= 10**6} == {2 * 10**6 + i for i in range(32)}
     assert stay >= {r["doc_id"] for r in docs.where(r"text rlike '\\p{L}'").collect()}
 
 
