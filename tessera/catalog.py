@@ -488,6 +488,24 @@ def arabic_confidence(s, d):
     return scripted(s, d).where(t.isNotNull()).select("doc_id", arabic.lexicon_score(t).cast("long").alias("score"), arabic.confidence(t).alias("confidence"))
 
 
+def _lexicon_sql(x: str) -> str:
+    found = f"regexp_extract_all(regexp_replace({x}, '\\p{{Mn}}|\\x{{0640}}', '', 'g'), '[{T.ARABIC}]+')"
+    return f"(len(list_filter({found}, lambda t: list_contains({_sql_list(arabic.WORDS)}, t))) - len(list_filter({found}, lambda t: regexp_matches(t, '^[{arabic.FINAL_ONLY}]'))))"
+
+
+#: A third forwards, a third backwards, a third as it is.
+TURNED = f"CASE doc_id % 3 WHEN 0 THEN {SHAPES[0]} WHEN 1 THEN {SHAPES[3]} ELSE text END"
+
+
+@query("char_order", f"""WITH s AS (SELECT doc_id, {TURNED} AS text FROM documents), p AS (
+        SELECT doc_id, text, array_to_string(list_transform(regexp_extract_all(text, '[{T.ARABIC}][{T.ARABIC}\\s]*|[^{T.ARABIC}]+'), lambda p: CASE WHEN regexp_matches(p, '^[{T.ARABIC}]')
+            THEN reverse(regexp_replace(p, '\\s+$', '')) || regexp_extract(p, '\\s*$') ELSE p END), '') AS turned FROM s)
+    SELECT doc_id, coalesce({_lexicon_sql("turned")} > {_lexicon_sql("text")}, false) AS changed, CASE WHEN {_lexicon_sql("turned")} > {_lexicon_sql("text")} THEN turned ELSE text END AS text FROM p""")
+def char_order(s, d):
+    fixed = documents(s, d).select("doc_id", arabic.fix_char_order(F.expr(TURNED)).alias("_f"))
+    return fixed.select("doc_id", "_f.changed", "_f.text")
+
+
 @query("arabic_tokens", f"WITH {SCRIPTED} SELECT doc_id, array_to_string(list_transform(list_transform(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}'), lambda w: translate(w, '{T.FOLDED[0]}', '{T.FOLDED[1]}')), lambda w: {_FOLD}), ' ') AS tokens FROM s")
 def arabic_tokens(s, d):
     return scripted(s, d).select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +18,6 @@ WORDS = (
 ).split()
 #: Letters that stand only at the end of a word; at its start they tell of reversed characters.
 FINAL_ONLY = "ةى"
-_PY = "؀-ۿݐ-ݿﭐ-﷿ﹰ-\ufeff"
 
 
 def _found(x: Column, pattern: str) -> Column:
@@ -60,25 +55,18 @@ def fix_word_order(line: Column) -> Column:
     return F.struct(fixed.alias("text"), (fixed != line).alias("changed"))
 
 
-def _score(text: str, known: frozenset) -> int:
-    bare = "".join(c for c in text.replace(T.TATWEEL, "") if unicodedata.category(c) != "Mn")
-    found = re.findall(f"[{_PY}]+", bare)
-    return sum(t in known for t in found) - sum(t[0] in FINAL_ONLY for t in found)
+#: An Arabic letter and all Arabic letters and white space after it, or what is between such runs.
+_RUN = rf"[{T.ARABIC}][{T.ARABIC}\p{{IsWhite_Space}}\x1C-\x1F]*+|[^{T.ARABIC}]++"
 
 
 def fix_char_order(x: Column, lexicon=WORDS) -> Column:
-    """Reverse the characters of each Arabic run, if that makes more known words. -> struct(text, changed)"""
-    known = frozenset(lexicon)
-
-    def one(s: str | None):
-        if s is None:
-            return None, False
-        turn = lambda m: re.sub(r"^(\s*)(.*?)(\s*)$", lambda k: k[1] + k[2][::-1] + k[3], m[0], flags=re.S)
-        out = re.sub(rf"[{_PY}][{_PY}\s]*", turn, s)
-        return (out, True) if _score(out, known) > _score(s, known) else (s, False)
-
-    @F.pandas_udf("text string, changed boolean")
-    def fix(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(v) for v in s], columns=["text", "changed"])
-
-    return fix(x)
+    """Reverse the characters of each Arabic run, if that makes more known words. -> struct(text, changed)
+
+    White space at a run's end stays there. ``x`` is used inside of functions of elements, so it must be a column if a
+    Python function makes it.
+    """
+    turn = lambda p: T.let(F.regexp_replace(p, f"{T.WS}+$", ""), lambda core: F.concat(F.reverse(core), F.substr(p, F.length(core) + 1)))
+    pieces = F.transform(F.regexp_extract_all(x, F.lit(_RUN), 0), lambda p: F.when(p.rlike(f"^[{T.ARABIC}]"), turn(p)).otherwise(p))
+    result = lambda text, changed: F.struct(text.alias("text"), F.lit(changed).alias("changed"))
+    judged = T.let(F.array_join(pieces, ""), lambda out: F.when(lexicon_score(out, lexicon) > lexicon_score(x, lexicon), result(out, True)).otherwise(result(x, False)))
+    return F.when(x.rlike(f"[{T.ARABIC}]"), judged).otherwise(result(x, False))

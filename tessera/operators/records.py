@@ -61,7 +61,8 @@ def table_markdown(cells: DataFrame) -> DataFrame:
     """(file, page, table_no, row_no, cells) -> file, page, table_no, text: tables of two rows or more as Markdown."""
     one = cells.select("file", "page", "table_no", "row_no", F.posexplode_outer("cells").alias("_i", "_c"))
     clean = F.replace(T.normalize(F.col("_c")), F.lit("\n"), F.lit(" "))
-    one = one.withColumn("_c", T.strip(arabic.fix_char_order(clean)["text"]))
+    one = one.withColumn("_c", clean)
+    one = one.withColumn("_c", T.strip(arabic.fix_char_order(F.col("_c"))["text"]))
     rows = one.groupBy("file", "page", "table_no", "row_no").agg(F.sort_array(F.collect_list(F.struct("_i", "_c"))).alias("_r"))
     rows = rows.withColumn("_r", F.transform("_r", lambda s: s["_c"])).where(F.exists("_r", lambda c: c != ""))
     tables = rows.groupBy("file", "page", "table_no").agg(F.sort_array(F.collect_list(F.struct("row_no", "_r"))).alias("_t")).where(F.size("_t") >= 2)

@@ -49,6 +49,17 @@ def test_filter_keeps_scores_and_duplicates_weigh_twice(spark):
     assert all(k[1] != 3 for k in all_)
 
 
+def test_the_corpus_is_tokenised_once(spark, tmp_path):
+    frame(spark, [(i, f"a b c {i}") for i in range(50)], "ord long, text string").write.parquet(str(tmp_path / "corpus"))
+    frame(spark, [(0, "a b"), (1, "c 7 7")], "query_id long, question string").write.parquet(str(tmp_path / "asked"))
+    found = index.bm25(spark.read.parquet(str(tmp_path / "corpus")), spark.read.parquet(str(tmp_path / "asked")))
+    assert found.count() == 100
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert final.count("Generate explode(concat(") == 1 and final.count("ReusedExchange") >= 2
+
+
 def test_empty_corpus(spark):
     docs = frame(spark, [], "ord long, text string, audience string, country string")
     q = frame(spark, [(0, "a")], "query_id long, question string")

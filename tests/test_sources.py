@@ -159,6 +159,31 @@ def test_collapse(spark):
     assert values(longer, "x") == [list("ABCABC"), list("XABAB"), None, []]
 
 
+def test_collapse_is_linear_and_exact():
+    def restated(x):
+        i = 0
+        while i < len(x):
+            for n in range(12, 1, -1):
+                if x[i : i + n] == x[i + n : i + 2 * n] and len(x[i + n : i + 2 * n]) == n:
+                    x = x[: i + n] + x[i + 2 * n :]
+                    break
+            i += 1
+        return x
+
+    rnd = random.Random(6)
+    for _ in range(500):
+        unit = [rnd.randrange(3) for _ in range(rnd.randrange(1, 14))]
+        codes = [c for _ in range(rnd.randrange(6)) for c in (unit if rnd.random() < 0.7 else [rnd.randrange(3)])]
+        assert [codes[i] for i in markup._kept(codes)] == restated(codes)
+
+    def took(n):
+        began = time.process_time()
+        markup._kept([1, 2, 3, 1, 2, 3, 4] * n)
+        return time.process_time() - began
+
+    assert took(16_000) < 8 * min(took(2_000) for _ in range(3)) * 2.5 + 0.2
+
+
 def test_urls(spark):
     df = spark.createDataFrame([("https://s/ar/kuwait/",), ("https://s/ar/pricing",), ("https://s/ar/testing/",)], "url string")
     assert values(df.select(urls.country(F.col("url")).alias("c")), "c") == ["KW", "SA", "SA"]
@@ -349,6 +374,13 @@ def test_chunks_and_answers(spark):
     got = {r["query_id"]: r for r in ask.ask(corpus, questions, lambda prompt: "Yes [1]\n[[ANSWERED]]").collect()}
     assert got[0]["answer"] == "Yes [1]" and got[0]["citations"][0]["url"] == "facts/a"
     assert not got[1]["answered"]
+    # a vector for each question, made once for each text; blank questions aren't asked, and an empty corpus is an error
+    vectors = corpus.select("ord", F.when(F.col("doc_title") == "Beta", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>").alias("embedding"))
+    more = spark.createDataFrame([(0, "zeta"), (1, "zeta"), (2, "  "), (3, None)], "query_id long, question string")
+    got = {r["query_id"]: r for r in ask.ask(corpus, more, lambda prompt: "See [1]\n[[ANSWERED]]", vectors, embed_fn=lambda texts: [[1.0, 0.0] for _ in texts]).collect()}
+    assert [got[i]["answered"] for i in range(4)] == [True, True, False, False] and got[1]["citations"][0]["title"] == "Beta"
+    with pytest.raises(ValueError, match="empty"):
+        ask.ask(corpus.limit(0), more, lambda prompt: "")
 
 
 def test_stream_keeps_new_texts(spark, tmp_path):
