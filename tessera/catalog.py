@@ -12,9 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import arabic, markup
+from tessera.functions import arabic, markup, sql
 from tessera.functions import text as T
-from tessera.operators import answer, chunking, index, records, reports, segments, urls
+from tessera.operators import answer, chunking, index, layout, records, reports, segments, urls
 from tessera.runtime import new_folder, spread
 
 QUESTION = "Is the of thing and thereonwh with est"
@@ -27,11 +27,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, oracle: str | None = None):
     def register(f):
         QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
+        if oracle:
+            ORACLE_SQL[name] = oracle
         return f
 
     return register
@@ -534,7 +534,18 @@ def table_blocks(s, d):
     return documents(s, d).select("doc_id", F.explode(chunking.blocks(F.replace(F.replace("text", F.lit(", "), F.lit("\n  | ")), F.lit(". "), end))).alias("block"))
 
 
-# chunking
+# chunking and tokens in SQL text alone
+def in_sql(s, d, text: str) -> DataFrame:
+    """A SQL text over the documents as ``{docs}``, with the library's functions for SQL users."""
+    sql.register(s)
+    return s.sql(text, docs=documents(s, d))
+
+
+@query("sql_tokens", f"SELECT doc_id, generate_subscripts(t, 1) - 1 AS place, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS t FROM documents)")
+def sql_tokens(s, d):
+    return in_sql(s, d, "SELECT d.doc_id, t.place, t.token FROM {docs} d, LATERAL tessera_tokens(d.text) t")
+
+
 def chunk_sql(source: str = "documents", keep: str = "doc_id", name: str = "chunked") -> str:
     """Parts of a WITH: ``name`` has the columns of ``keep`` with the chunks of ``source``'s text (text, part)."""
     heading_ = HEADING.replace("line", "x.cur[1]")
@@ -562,6 +573,11 @@ def chunk_chars(s, d):
     return made.select("doc_id", F.posexplode("c").alias("part", "text")).withColumn("part", F.col("part").cast("long"))
 
 
+@query("sql_chunks", f"WITH {chunk_sql()} SELECT doc_id, part::INT AS part, text FROM chunked")
+def sql_chunks(s, d):
+    return in_sql(s, d, "SELECT d.doc_id, c.part, c.text FROM {docs} d, LATERAL tessera_chunks(d.text) c")
+
+
 @query("blocks", f"WITH {blocks_sql('doc_id', 'documents')} SELECT doc_id, block FROM b")
 def blocks(s, d):
     return documents(s, d).select("doc_id", F.explode(chunking.blocks(F.col("text"))).alias("block"))
@@ -700,6 +716,29 @@ def html_text(s, d):
     return pages(s, d).select("page_id", markup.html_text(F.col("html")).alias("text"))
 
 
+# words of documents laid out as pages would: a line of prose, then tables of ten rows and three columns
+def laid_out(s, d) -> DataFrame:
+    words = documents(s, d).select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("page"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), 0)).alias("i", "word"))
+    row, block = F.floor(F.col("i") / 3), F.floor(F.col("i") / 30)
+    x0 = F.when(F.col("i") % 3 == 0, 0.0).when(F.col("i") % 3 == 1, 400.0).otherwise(800.0) + F.pmod(row, F.lit(4)) * 2
+    table = words.select("file", "page", x0.alias("x0"), (x0 + F.length("word") * 2).alias("x1"), (100 + row * 10 + block * 40 + F.col("i") % 3).cast("double").alias("y"), "word")
+    title = documents(s, d).select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("page"), F.posexplode(F.array(F.lit("Words"), F.lit("of"), F.col("doc_id").cast("string"))).alias("i", "word"))
+    return table.unionByName(title.select("file", "page", (F.col("i") * 30.0).alias("x0"), (F.col("i") * 30.0 + 24).alias("x1"), F.lit(20.0).alias("y"), "word"))
+
+
+@query("layout_tables", """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents), b AS (SELECT doc_id, w, unnest(range(0, (len(w) + 29) // 30)) AS b FROM w),
+    r AS (SELECT doc_id, b, w[b * 30 + 1:b * 30 + 30] AS w FROM b), t AS (SELECT doc_id, b, w, list_transform(range(0, (len(w) + 2) // 3), lambda i: '| ' || w[i * 3 + 1] || ' | ' || coalesce(w[i * 3 + 2], '') || ' | ' || coalesce(w[i * 3 + 3], '') || ' |') AS rows FROM r WHERE len(w) > 3)
+    SELECT doc_id::VARCHAR AS file, 1 AS page, b::INT AS table_no, array_to_string(list_concat([rows[1], '| --- | --- | --- |'], rows[2:]), chr(10)) AS text FROM t""")
+def layout_tables(s, d):
+    return records.table_markdown(layout.tables(layout.placed(laid_out(s, d))))
+
+
+@query("layout_prose", """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents)
+    SELECT doc_id::VARCHAR AS file, 1 AS page, 'Words of ' || doc_id || CASE WHEN len(w) % 30 = 1 THEN chr(10) || w[len(w)] ELSE '' END AS text FROM w""")
+def layout_prose(s, d):
+    return records.prose_pages(layout.prose(layout.placed(laid_out(s, d))))
+
+
 @query("min_body", f"SELECT page_id FROM pages WHERE length(array_to_string({BODY}, chr(10))) >= 200")
 def min_body(s, d):
     return page_text(s, d).where(F.length("text") >= records.LEAST_BODY).select("page_id")
