@@ -209,11 +209,12 @@ MANY = f"""u AS (SELECT vec_id AS ord, {UNIT} AS v FROM embeddings), nv AS (SELE
     vs AS (SELECT query_id, ord, round(list_sum(list_transform(list_zip(v, q), lambda p: p[1] * p[2])), 9) AS score FROM u, nv)"""
 
 
-@query("vector_topk_batch", f"WITH {MANY} SELECT query_id, ord, round(score, 6) AS score, row_number() OVER w - 1 AS rank FROM vs WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, ord) QUALIFY row_number() OVER w <= 100")
+@query("vector_topk_batch", f"WITH {MANY} SELECT query_id, ord, score, row_number() OVER w - 1 AS rank FROM vs WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, ord) QUALIFY row_number() OVER w <= 100")
 def vector_topk_batch(s, d):
     v = vectors(s, d)
     found = index.vector_search(v, v.where("ord % 50 = 0").select(F.col("ord").alias("query_id"), "embedding"))
-    return found.select("query_id", "ord", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    # scores are rounded already, and rounding them again could part ways with SQL's at a half
+    return found.select("query_id", "ord", "score", F.col("rank").cast("long").alias("rank"))
 
 
 FUSED = """, vl AS (SELECT query_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) - 1 AS rank FROM vs JOIN c USING (ord)),
