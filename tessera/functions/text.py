@@ -137,6 +137,7 @@ def boilerplate(x: Column, pattern: str, sep: str = "\n") -> Column:
 
 def file_title(stem: Column) -> Column:
     """A readable title from a file name that carries hexadecimal upload ids."""
+    # a fixed value: what such ids look like
     name = F.regexp_replace(stem, r"^(?:[0-9a-f]{6,}[_-]+)+", "")
     name = F.regexp_replace(F.regexp_replace(name, "_+", " "), r"^[ \-_]+|[ \-_]+$", "")
     return F.coalesce(F.nullif(F.regexp_replace(name, f"{WS}{{2,}}", " "), F.lit("")), stem)

@@ -18,7 +18,7 @@ DOCUMENT = (
     "confidence string, curated boolean, competitive boolean, pricing_not_local boolean, modified string, content_hash string, chars int, text string"
 )
 COMPETITIVE = "/switchers"
-# A bare price, and currencies that are named.
+# A bare price, currencies that are named, and (below) the lines of front matter.
 BARE_PRICE = r"(?U)\b\d{2,5}\s*(?:تدفع|/\s*شهر|شهري|سنوي)"
 LOCAL_CURRENCY = r"(جنيه|درهم|دينار|ريال عماني|\$|USD|EGP|AED|KWD|OMR)"
 LEAST_BODY = 200

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions import markup
 from tessera.runtime import materialise
 
+# Paths that are no content, and the country of a path.
 SKIP = r"/(testing|tesr|private|test-typography|profile)/?|/legal/test"
 COUNTRIES = {"/egypt": "EG", "/uae": "AE", "/kuwait": "KW", "/oman": "OM", "terms-conditions-kw": "KW"}
 
