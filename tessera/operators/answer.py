@@ -12,6 +12,7 @@ from tessera.functions import text as T
 
 NO_ANSWER = "[[NO_ANSWER]]"
 MARKER = r"[\p{IsWhite_Space}\x1C-\x1F]*\[\[(?:ANSWERED|NO_ANSWER)\]\][\p{IsWhite_Space}\x1C-\x1F]*$"
+# a fixed value: what is said where nothing was found
 REFUSAL = "لا توجد لدي معلومات كافية للإجابة على هذا السؤال."
 #: What a passage's tags say; name your products here if readers should see them.
 TAGS = {

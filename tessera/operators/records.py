@@ -22,6 +22,8 @@ COMPETITIVE = "/switchers"
 BARE_PRICE = r"(?U)\b\d{2,5}\s*(?:تدفع|/\s*شهر|شهري|سنوي)"
 LOCAL_CURRENCY = r"(جنيه|درهم|دينار|ريال عماني|\$|USD|EGP|AED|KWD|OMR)"
 LEAST_BODY = 200
+#: Bytes of strings that all pages share.
+CHROME_BYTES = 8 << 20
 FRONT_MATTER, FRONT_MATTER_SPACES = r"^([a-z_]+):\s*(\S+)\s*$", r"^([a-z_]+):\s*(\S.*?)\s*$"
 
 
@@ -149,7 +151,10 @@ def page_text(pages: DataFrame, chrome: DataFrame | None = None, plans_header: s
     rows = rows.withColumn("_lines", F.when(F.col("_plans") != "", F.concat("_lines", F.split("_plans", "\n"))).otherwise(F.col("_lines")))
     rows = rows.withColumn("_extra", F.array_except(markup.payload_strings(F.col("html")), F.col("_lines")))
     if chrome is not None:
-        # one row with the strings of one page, so of bounded size
+        # one row with the strings of one page, which goes to all tasks; its size is checked
+        size = chrome.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size > CHROME_BYTES:
+            raise ValueError(f"chrome holds {size} bytes of strings; it should be those of one page")
         shared = chrome.agg(F.collect_set("text").alias("_chrome")).withColumn("_1", F.lit(1))
         rows = rows.withColumn("_1", F.lit(1)).join(F.broadcast(shared), "_1").drop("_1").withColumn("_extra", F.array_except("_extra", "_chrome")).drop("_chrome")
     lines = markup.collapse_blocks(markup.drop_adjacent(F.concat("_lines", "_extra")))

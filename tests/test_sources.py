@@ -100,6 +100,8 @@ def test_payload_and_plans(spark):
     assert set(got) == {("https://s/ar/pricing/", "A"), ("https://s/ar/pricing/", "Prices"), ("https://s/ar/kuwait/", "A")}
     prices = got["https://s/ar/pricing/", "Prices"]["text"].split("\n")
     assert prices[2:] == ["All plans:", "سعر باقة النمو (تكلفة الاشتراك): 99 ريال شهرياً وعند الدفع السنوي 990", "سعر باقة حرة (تكلفة الاشتراك): مجاناً"]
+    with pytest.raises(ValueError, match="of one page"):
+        records.page_text(pages, chrome.select(F.repeat("text", 300_000).alias("text")))
     page = got["https://s/ar/kuwait/", "A"]
     assert page["country"] == "KW" and "كلمات عربية كثيرة هنا" in page["text"] and "المشتركة" not in page["text"]
 
