@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -108,6 +109,8 @@ def by_words() -> Counter:
 
 @cache
 def _tokenizer(path: str):
+    # Spark runs a task on each core; threads of the library's own would only be in their way
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
