@@ -106,6 +106,14 @@ def test_payload_and_plans(spark):
     assert page["country"] == "KW" and "كلمات عربية كثيرة هنا" in page["text"] and "المشتركة" not in page["text"]
 
 
+def test_a_page_is_measured_with_or_without_its_repeats(spark):
+    html = "<h1>T</h1><body>" + "<p>one line of forty characters, about that</p>" * 6 + "</body>"
+    pages = spark.createDataFrame([("https://s/a", html)], "url string, html string")
+    assert records.market_pages(pages).count() == 0
+    (got,) = records.market_pages(pages, repeats_count=True).collect()
+    assert got["text"] == "T\n\nT\none line of forty characters, about that" and got["chars"] == len(got["text"])
+
+
 def test_plans_of_any_nesting():
     """Fields come from the plan, what it holds and what holds it; never from a neighbour."""
     read = lambda blob: [{k: v for k, v in p.items() if v} for p in markup.read_plans(blob)]
