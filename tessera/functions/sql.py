@@ -1,8 +1,13 @@
 """Functions for users who write SQL: tokens, headings and chunks, as temporary SQL functions of a session.
 
-They are SQL themselves, so Catalyst inlines them; ``chunks`` and ``tokens`` are table functions for FROM and LATERAL.
+They are SQL themselves, so Catalyst inlines them. Over a table take the lists, which are exploded where the rows are:
 
-    SELECT d.doc_id, c.part, c.text FROM documents d, LATERAL tessera_chunks(d.text) c
+    SELECT doc_id, part, chunk FROM (SELECT doc_id, tessera_chunk_list(text) AS l FROM documents)
+    LATERAL VIEW OUTER posexplode(l) AS part, chunk WHERE part IS NOT NULL
+
+OUTER keeps Spark from asking for the list a second time, for a filter on its size. ``tessera_chunks`` and
+``tessera_tokens`` are table functions for one text: after a table, by LATERAL, Spark joins their rows to the table's by
+the text, which shuffles the whole text with each of its tokens.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.functions import sql
 from tessera.functions import text as T
 from tessera.operators import chunking, layout, records
@@ -57,3 +58,13 @@ def test_sql_functions_are_the_columns(spark):
     assert same.distinct().collect() == [(True, True, True)]
     rows = spark.sql("SELECT d.i, t.place, t.token FROM {df} d, LATERAL tessera_tokens(d.text) t WHERE d.i = 0 ORDER BY place", df=df).collect()
     assert [r["token"] for r in rows] == ["من", "متجر", "الي", "عميل"]
+
+
+def test_sql_over_a_table_shuffles_no_text(spark):
+    """A table function behind LATERAL is a join by the text, which goes along with each of its tokens."""
+    for name in ("sql_tokens", "sql_chunks"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+    df = spark.createDataFrame([(0, None), (1, ""), (2, "A b a"), (2, "A b a")], "doc_id int, text string")
+    listed = "SELECT doc_id, place, token FROM (SELECT doc_id, tessera_token_list(text) AS l FROM {df}) LATERAL VIEW OUTER posexplode(l) AS place, token WHERE place IS NOT NULL"
+    assert sorted(map(tuple, spark.sql(listed, df=df).collect())) == sorted([(2, 0, "a"), (2, 1, "b"), (2, 2, "a")] * 2)
