@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
@@ -116,6 +118,79 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Pre-tokens that a worker remembers with their counts, and characters of the longest of them.
+REMEMBERED, LONGEST = 1 << 18, 64
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
+
+
+@cache
+def _pretokens() -> re.Pattern:
+    """Pre-tokens of byte-level BPE, for characters below U+10000 (Python looks those up in a table)."""
+    kinds = {"L": [], "N": []}
+    for cp in range(0x10000):
+        if (kind := unicodedata.category(chr(cp))[0]) in kinds:
+            if kinds[kind] and kinds[kind][-1][1] == cp - 1:
+                kinds[kind][-1][1] = cp
+            else:
+                kinds[kind].append([cp, cp])
+    # a fixed value: white space of the Unicode property White_Space
+    white = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    letter, number = ("".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in kinds[k]) for k in "LN")
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+")
+
+
+def _low(m: re.Match) -> str:
+    return {"L": "a", "N": "1"}.get(unicodedata.category(m[0])[0], "#")
+
+
+def pretokens(text: str) -> list[str]:
+    if text.isascii() or not _HIGH.search(text):
+        return _pretokens().findall(text)
+    # characters above that table are looked up one by one, and others of their kind take their places in the pattern
+    return [text[m.start() : m.end()] for m in _pretokens().finditer(_HIGH.sub(_low, text))]
+
+
+@cache
+def _added(path: str) -> re.Pattern | None:
+    """A pattern of the strings that are tokens of their own, if all else is byte-level BPE of pre-tokens; else None."""
+    with open(path, encoding="utf-8") as f:
+        x = json.load(f)
+    split, model = x.get("pre_tokenizer") or {}, x["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    plain = plain and model.get("type") == "BPE" and not model.get("dropout") and not any(x.get(k) for k in ("normalizer", "truncation", "padding"))
+    return re.compile("|".join(re.escape(a["content"]) for a in x["added_tokens"]) or r"(?!)") if plain else None
+
+
+@cache
+def _known(path: str) -> dict[str, int]:
+    return {}
+
+
+def _lengths(path: str, texts: list[str]) -> list[int]:
+    return [len(e) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def _vocabulary_counts(path: str, texts: list[str]) -> list[int]:
+    """Counts as the library gives them. Of byte-level BPE a text's count is the sum of its pre-tokens', and these repeat."""
+    added, known = _added(path), _known(path)
+    if added is None:
+        return _lengths(path, texts)
+    whole = [i for i, t in enumerate(texts) if added.search(t)]
+    parts = [pretokens(t) for t in texts]
+    for i in whole:
+        parts[i] = []
+    if len(known) > REMEMBERED:
+        known.clear()
+    new = list({p for some in parts for p in some if p not in known})
+    fresh = dict(zip(new, _lengths(path, new), strict=True)) if new else {}
+    known.update((p, n) for p, n in fresh.items() if len(p) <= LONGEST)
+    long = {p: n for p, n in fresh.items() if len(p) > LONGEST}
+    counts = [sum(map(known.__getitem__, some)) if not long else sum(long[p] if p in long else known[p] for p in some) for some in parts]
+    for i, n in zip(whole, _lengths(path, [texts[i] for i in whole]), strict=True):
+        counts[i] = n
+    return counts
+
+
 def vocabulary(path: str) -> Counter:
     """Counts by a vocabulary of the tokenizers library, a file that every executor has."""
 
@@ -124,7 +199,7 @@ def vocabulary(path: str) -> Counter:
         ids = lib.encode(s, add_special_tokens=False).ids
         return [lib.decode(ids[i : i + limit]) for i in range(0, len(ids), limit)]
 
-    return Counter("vocabulary", lambda texts: [len(e) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)], cut)
+    return Counter("vocabulary", lambda texts: _vocabulary_counts(path, texts), cut)
 
 
 @cache

@@ -169,6 +169,14 @@ def test_collapse(spark):
     assert values(longer, "x") == [list("ABCABC"), list("XABAB"), None, []]
 
 
+def test_collapse_of_many_rows_keeps_to_each(spark):
+    """Rows of a batch share a dictionary and go by slices; nulls stay, of lines too."""
+    rows = [(i, None if i % 7 == 0 else [] if i % 7 == 1 else [str(i), "b", str(i), "b", *([None, "x"] * 2), "c"]) for i in range(700)]
+    df = spark.createDataFrame(rows, "i int, l array<string>").coalesce(1)
+    got = {r["i"]: r["x"] for r in df.select("i", markup._collapse(F.col("l")).alias("x")).collect()}
+    assert got == {i: x and [str(i), "b", None, "x", "c"] for i, x in rows}
+
+
 def test_collapse_is_linear_and_exact():
     def restated(x):
         i = 0
@@ -402,3 +410,22 @@ def test_stream_keeps_new_texts(spark, tmp_path):
         (src / f"{i}.json").write_text("".join(json.dumps({"id": t, "text": t}) + "\n" for t in texts))
         follow(spark, str(src), out, str(tmp_path / "cp")).awaitTermination()
     assert sorted(values(spark.read.parquet(out), "text")) == ["a", "b", "c"]
+
+
+def test_vocabulary_counts_are_the_librarys():
+    import random
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pick, drawn = list("abc AB  \n\t\r'sdmtrevl.,!-_12٠²½Ⅷé́ـضن中😀𝒜𝟙\x85\xa0\u3000\x1c\x00ǅªʰ") + ["'re", "'ll", "<|endoftext|>", "\n\n", " the"], random.Random(1)
+    texts = ["", " ", "x" * 500 + " " + "y" * 70] + ["".join(drawn.choice(pick) for _ in range(drawn.randrange(40))) for _ in range(3000)]
+    calls, library = [], chunking._lengths
+    try:
+        chunking._lengths = lambda p, t: calls.append(len(t)) or library(p, t)
+        for i in range(0, len(texts), 500):
+            assert chunking._vocabulary_counts(path, texts[i : i + 500]) == library(path, texts[i : i + 500])
+        calls.clear()
+        chunking._vocabulary_counts(path, ["the same words again", "the same words"])
+        chunking._vocabulary_counts(path, ["the same words again"] * 100)
+        assert sum(calls) == 4  # each pre-token once
+    finally:
+        chunking._lengths = library
