@@ -68,3 +68,28 @@ def test_sql_over_a_table_shuffles_no_text(spark):
     df = spark.createDataFrame([(0, None), (1, ""), (2, "A b a"), (2, "A b a")], "doc_id int, text string")
     listed = "SELECT doc_id, place, token FROM (SELECT doc_id, tessera_token_list(text) AS l FROM {df}) LATERAL VIEW OUTER posexplode(l) AS place, token WHERE place IS NOT NULL"
     assert sorted(map(tuple, spark.sql(listed, df=df).collect())) == sorted([(2, 0, "a"), (2, 1, "b"), (2, 2, "a")] * 2)
+
+
+def test_pages_are_read_in_one_shuffle(spark, monkeypatch):
+    """The same lines and tables as from placed words, over pages of odd words, many pages or one of many batches."""
+    import random
+
+    rnd = random.Random(3)
+    edge = [0.0, -0.0, 5.0, 40.0, 41.5, 90.0, float("nan"), float("inf")]
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([1, 2, None]), rnd.choice(edge), rnd.choice([*edge, 60.0]), float(rnd.randrange(0, 400, 7)), rnd.choice(["x", "yy", "é", "y y", " ", "ـ", "متجر"])) for _ in range(900)]
+    df = spark.createDataFrame(rows, WORDS).repartition(3)
+    for held in (layout.PAGE_WORDS, 8):
+        monkeypatch.setattr(layout, "PAGE_WORDS", held)
+        on = layout.placed(df)
+        shown = lambda t: sorted(map(str, t.collect()))
+        assert shown(layout.page_lines(df)) == shown(layout.prose(on))
+        assert shown(layout.page_tables(df).selectExpr("file", "page", "table_no", "inline(rows)")) == shown(layout.tables(on))
+        assert shown(records.markdown(layout.page_tables(df))) == shown(records.table_markdown(layout.tables(on)))
+    plan = records.markdown(layout.page_tables(df.sparkSession.createDataFrame(rows, WORDS)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Window" not in plan
+
+
+def test_tables_are_cleaned(spark):
+    rows = [("f", 1, 0, i, c) for i, c in enumerate([["ﬁ ", "a  b"], [None, " "], [], None, ["x\ny", "z", "w"], [" ", "ok"]])]
+    df = spark.createDataFrame(rows, "file string, page int, table_no int, row_no int, cells array<string>")
+    assert records.table_markdown(df).collect()[0]["text"] == "| fi | a b |  |\n| --- | --- | --- |\n| x y | z | w |\n|  | ok |  |"
