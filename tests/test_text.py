@@ -126,3 +126,13 @@ def test_texts_in_their_normal_form_stay_out_of_python(spark):
     values = ["plain", "é ü ß ÷", None, "e\u0301", "é\u0323", "½", "ﬁ"]
     df = spark.createDataFrame([(v,) for v in values], "x string").select(F.when(F.col("x").rlike(T.UNSTABLE), "x").alias("sent"))
     assert [r["sent"] for r in df.collect()] == [None, None, None, "x", "x", "x", "x"]
+
+
+def test_prefixes_go_as_tokens_are_found(spark):
+    """Folding is one search over the whole text; only texts with a token of stretches alone are folded token by token."""
+    texts = ["الكتاب والكتاب بال لل ـ", "والأ والأب ـ_ إلى", "x ـــ y", "للمة 1ال ـالكتب", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = F.regexp_extract_all(F.lower(F.coalesce("t", F.lit(""))), F.lit(T.TOKEN), 0)
+    assert [r[0] for r in df.select(T.tokens(F.col("t"))).collect()] == [r[0] for r in df.select(F.transform(found, T.fold_token)).collect()]
+    plan = df.select(T.tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(lower(" in plan
