@@ -24,20 +24,40 @@ def _found(x: Column, pattern: str) -> Column:
     return F.regexp_extract_all(T.strip_marks(x), F.lit(f"({pattern})"), 1)
 
 
+def _score(found: Column, lexicon, final_only: str) -> Column:
+    return _hits(found, lexicon) - F.size(F.filter(found, lambda t: F.substring(t, 1, 1).isin(*final_only)))
+
+
+def _hits(found: Column, lexicon) -> Column:
+    # literals, which Spark looks up in a set; an array would be searched for every word
+    return F.size(F.filter(found, lambda t: t.isin(*lexicon))) if lexicon else F.size(found) * 0
+
+
+def _confidence(found: Column, lexicon) -> Column:
+    counts = F.struct(_hits(found, lexicon).alias("hits"), _hits(found, [w[::-1] for w in lexicon]).alias("backwards"), F.size(found).alias("n"))
+
+    def judge(c: Column) -> Column:
+        hits, n = c["hits"], c["n"]
+        judged = F.when((hits >= 2) | ((hits >= 1) & (n <= 3)), "high").when(c["backwards"] > hits, "low").when(hits > 0, "high").otherwise("low")
+        return F.when(n == 0, "n/a").otherwise(judged)
+
+    return T.let(counts, judge)
+
+
 def lexicon_score(x: Column, lexicon=WORDS, pattern: str = f"[{T.ARABIC}]+", final_only: str = FINAL_ONLY) -> Column:
     """Words of the lexicon, less words that begin with a letter that only ends words."""
-    found, known = _found(x, pattern), F.array(*[F.lit(w) for w in lexicon])
-    hits = F.size(F.filter(found, lambda t: F.array_contains(known, t)))
-    return hits - F.size(F.filter(found, lambda t: t.rlike(f"^[{final_only}]")))
+    return T.let(_found(x, pattern), lambda found: _score(found, lexicon, final_only))
 
 
 def confidence(x: Column, lexicon=WORDS) -> Column:
-    found, known = _found(x, f"[{T.ARABIC}]+"), F.array(*[F.lit(w) for w in lexicon])
-    hits = F.size(F.filter(found, lambda t: F.array_contains(known, t)))
-    n = F.size(found)
-    backwards = F.size(F.filter(found, lambda t: F.array_contains(known, F.reverse(t))))
-    judged = F.when((hits >= 2) | ((hits >= 1) & (n <= 3)), "high").when(backwards > hits, "low").when(hits > 0, "high").otherwise("low")
-    return F.when(~x.rlike(f"[{T.ARABIC}]") | (n == 0), "n/a").otherwise(judged)
+    return F.when(~x.rlike(f"[{T.ARABIC}]"), "n/a").otherwise(T.let(_found(x, f"[{T.ARABIC}]+"), lambda found: _confidence(found, lexicon)))
+
+
+def judged(x: Column, lexicon=WORDS) -> Column:
+    """struct(score, confidence) from one search for words; see ``lexicon_score`` and ``confidence``."""
+    both = lambda found: F.struct(_score(found, lexicon, FINAL_ONLY).alias("score"), _confidence(found, lexicon).alias("confidence"))
+    none = F.struct(F.lit(0).alias("score"), F.lit("n/a").alias("confidence"))
+    return F.when(~x.rlike(f"[{T.ARABIC}]"), none).otherwise(T.let(_found(x, f"[{T.ARABIC}]+"), both))
 
 
 def fix_word_order(line: Column) -> Column:
