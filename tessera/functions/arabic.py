@@ -75,8 +75,8 @@ def fix_word_order(line: Column) -> Column:
     return F.struct(fixed.alias("text"), (fixed != line).alias("changed"))
 
 
-#: An Arabic letter and all Arabic letters and white space after it, or what is between such runs.
-_RUN = rf"[{T.ARABIC}][{T.ARABIC}\p{{IsWhite_Space}}\x1C-\x1F]*+|[^{T.ARABIC}]++"
+#: Arabic letters with white space between them, or what is between such runs.
+_RUN = rf"[{T.ARABIC}]++(?:{T.WS}++[{T.ARABIC}]++)*+|[^{T.ARABIC}]++"
 
 
 def fix_char_order(x: Column, lexicon=WORDS) -> Column:
@@ -85,8 +85,7 @@ def fix_char_order(x: Column, lexicon=WORDS) -> Column:
     White space at a run's end stays there. ``x`` is used inside of functions of elements, so it must be a column if a
     Python function makes it.
     """
-    turn = lambda p: T.let(F.regexp_replace(p, f"{T.WS}+$", ""), lambda core: F.concat(F.reverse(core), F.substr(p, F.length(core) + 1)))
-    pieces = F.transform(F.regexp_extract_all(x, F.lit(_RUN), 0), lambda p: F.when(p.rlike(f"^[{T.ARABIC}]"), turn(p)).otherwise(p))
+    pieces = F.transform(F.regexp_extract_all(x, F.lit(_RUN), 0), lambda p: F.when(p.rlike(f"^[{T.ARABIC}]"), F.reverse(p)).otherwise(p))
     result = lambda text, changed: F.struct(text.alias("text"), F.lit(changed).alias("changed"))
     judged = T.let(F.array_join(pieces, ""), lambda out: F.when(lexicon_score(out, lexicon) > lexicon_score(x, lexicon), result(out, True)).otherwise(result(x, False)))
     return F.when(x.rlike(f"[{T.ARABIC}]"), judged).otherwise(result(x, False))

@@ -145,3 +145,11 @@ def test_words_are_searched_for_once(spark):
     assert plan.count("regexp_extract_all(") == 1 and "array_contains" not in plan
     rows = df.select(arabic.judged(t).alias("j"), arabic.lexicon_score(t).alias("score"), arabic.confidence(t).alias("confidence")).collect()
     assert [tuple(r["j"]) for r in rows[:3]] == [tuple(r)[1:] for r in rows[:3]] == [(1, "high"), (-1, "low"), (0, "n/a")]
+
+
+def test_runs_end_with_a_letter(spark):
+    """White space at the end of a run is no part of it, so that no run is searched again."""
+    df = spark.createDataFrame([("ىلع نم \t.  نم ",), ("من في",)], "t string")
+    fixed = df.select(arabic.fix_char_order(F.col("t")).alias("f"))
+    assert [tuple(r["f"]) for r in fixed.collect()] == [("من على \t.  من ", True), ("من في", False)]
+    assert fixed._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
