@@ -25,6 +25,8 @@ rows give repeated results; an empty table gives an empty table; other columns a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +36,7 @@ from pyspark.sql.window import Window
 from tessera.llm import pretoken, shingles
 from tessera.llm.graph import components
 from tessera.llm.prefix_tree import link
-from tessera.runtime import forget, free_name, lookup, materialise, pick, row_key, small_batches, without
+from tessera.runtime import fitting, forget, free_name, lookup, materialise, pick, row_key, small_batches, without
 
 PERCENT = 80
 #: Pairs of a hash and a class that a task packs at once, and about as many as come together in one bucket.
@@ -43,6 +45,10 @@ BUCKET_PAIRS = 1 << 19
 LEAST_BUCKETS = 16
 #: Shingles of the classes in one tree-search task.
 TASK_SHINGLES, LEAST_TASK_SHINGLES = 4 << 20, 4 << 10
+#: Shingles whose rows a task of a join or an aggregation takes at least, if there are fewer than shuffles have parts for.
+FIT_SHINGLES = 1 << 19
+#: Rows of ids and keys that a task takes at least in the same way.
+FIT_ROWS = 1 << 13
 #: Classes that speak for a component when components are joined, and rounds of that before the full comparison.
 SPOKESMEN, JOINING_ROUNDS = 8, 6
 #: Bits of the filter that keeps other texts out of the candidates' shuffle: 8 MB, whatever the input.
@@ -122,7 +128,7 @@ def document_sets(df: DataFrame, id_col: str, text_col: str, percent: int, key:
     return rows.mapInArrow(run, "doc_id long, r1 long, r2 long, n long, k1 long, k2 long, prefix binary")
 
 
-def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
+def shared_counts(docs: DataFrame, buckets: int, fit: Callable) -> DataFrame:
     """k1 -> c: in how many of the prefix's hashes a class has company (never too few; copies may raise it)."""
 
     def reduced(keys, values):
@@ -171,7 +177,7 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
     # what is sent and what is counted on the spot come of the same pass; it is made twice, as that costs less than
     # keeping its blocks
     prefixes = docs.where("n > 0").select("k1", "prefix")
-    far = prefixes.mapInArrow(deal(True), PACKED).groupBy("bucket").applyInArrow(count, PACKED)
+    far = fit(prefixes.mapInArrow(deal(True), PACKED).groupBy("bucket").applyInArrow(count, PACKED))
     near = prefixes.mapInArrow(deal(False), PACKED)
     return far.union(near).groupBy("bucket").applyInArrow(total, "k1 long, c long")
 
@@ -189,7 +195,7 @@ def bit_filter(ids: DataFrame) -> np.ndarray | None:
     return bits
 
 
-def candidate_sets(df: DataFrame, candidates: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def candidate_sets(df: DataFrame, candidates: DataFrame, id_col: str, text_col: str, fit: Callable) -> DataFrame:
     """cid, n, items (ascending hashes, packed) of each candidate class."""
     bits = bit_filter(candidates.where("doc_id is not null"))
     bits_b = df.sparkSession.sparkContext.broadcast(bits)
@@ -213,11 +219,11 @@ def candidate_sets(df: DataFrame, candidates: DataFrame, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1), pa.array(k2), items], names=["d", "k1", "k2", "items"])
 
     made = rows.select("doc_id", "text", *place).mapInArrow(run, "d long, k1 long, k2 long, items binary")
-    mine = candidates.join(made, ["k1", "k2"]).where(F.col("d").eqNullSafe(F.col("doc_id")))
+    mine = fit(candidates.join(made, ["k1", "k2"])).where(F.col("d").eqNullSafe(F.col("doc_id")))
     return mine.select("cid", "n", "items").dropDuplicates(["cid"])
 
 
-def ordered_sets(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
+def ordered_sets(sets: DataFrame, buckets: int, percent: int, fit: Callable) -> DataFrame:
     """cid, n, items (shared hashes in the global order, as (classes, hash) pairs, packed), posts (the first of them).
 
     Classes that can't have a partner are left out.
@@ -252,15 +258,16 @@ def ordered_sets(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
                     out.append({"cid": cid, "n": n, "items": pairs[a:b].tobytes(), "posts": pairs[a : a + posts, 1].copy().view(np.int64)})
         return pa.Table.from_pylist(out, pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("items", pa.binary()), ("posts", pa.list_(pa.int64()))]))
 
-    ranked = sets.select("cid", "items").mapInArrow(deal, PACKED).groupBy("bucket").applyInArrow(rank, PACKED)
+    ranked = fit(sets.select("cid", "items").mapInArrow(deal, PACKED).groupBy("bucket").applyInArrow(rank, PACKED))
     sizes = sets.select(F.pmod(F.col("cid"), F.lit(buckets)).cast("int").alias("bucket"), "cid", "n")
     return ranked.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(order, "cid long, n long, items binary, posts array<long>")
 
 
-def cluster(posts: DataFrame) -> DataFrame:
+def cluster(posts: DataFrame, fit: Callable) -> DataFrame:
     """(h, cid) -> (cid, cluster): classes that are connected by postings."""
-    first = posts.groupBy("h").agg(F.min("cid").alias("m"))
-    edges = posts.join(first, "h").select(F.col("cid").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    first = fit(posts.groupBy("h").agg(F.min("cid").alias("m")))
+    # components takes repeated edges out in the tasks that join
+    edges = fit(posts.join(first, "h")).select(F.col("cid").alias("a"), F.col("m").alias("b")).where("a <> b")
     return components(edges).select(F.col("v").alias("cid"), F.col("component").alias("cluster"))
 
 
@@ -294,15 +301,15 @@ def shard(shards: int) -> Column:
     return F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(shards)).cast("string"))
 
 
-def deal_tasks(rows: DataFrame, block_shingles: int, shards: int) -> tuple[DataFrame, bool]:
+def deal_tasks(rows: DataFrame, block_shingles: int, shards: int, fit: Callable) -> tuple[DataFrame, bool]:
     """Rows (cluster, cid, own, n, items, w) for ``search``, and whether a cluster is in several blocks.
 
     Small clusters share tasks; a large one is dealt into blocks by a hash of the class, each with the cluster's first class.
     """
-    sizes = rows.groupBy("cluster").agg(F.sum("w").alias("cluster_w"), F.min("cid").alias("leader"))
+    sizes = fit(rows.groupBy("cluster").agg(F.sum("w").alias("cluster_w"), F.min("cid").alias("leader")))
     sizes = materialise(sizes.withColumn("blocks", F.ceil(F.col("cluster_w") / block_shingles).cast("int")), "ngram-sizes")
     most = sizes.agg(F.max("blocks")).first()[0] or 0
-    rows = rows.join(sizes, "cluster")
+    rows = fit(rows.join(sizes, "cluster"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     name = lambda k: F.concat_ws("-", F.lit("b"), F.col("cluster"), k)
     blocks = F.when(F.col("cid") == F.col("leader"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), name)).otherwise(F.array(name(own)))
@@ -310,33 +317,33 @@ def deal_tasks(rows: DataFrame, block_shingles: int, shards: int) -> tuple[DataF
     return rows.select(task.alias("task"), "cluster", "cid", "own", "n", "items"), most > 1
 
 
-def deal_pairs(rows: DataFrame, block_shingles: int, shards: int) -> DataFrame:
+def deal_pairs(rows: DataFrame, block_shingles: int, shards: int, fit: Callable) -> DataFrame:
     """Rows (cluster, cid, own, n, items, w) for a ``search`` that compares all classes of a cluster whose components differ.
 
     A component above a block's size has blocks of its own, the others of a cluster share some. Pairs of blocks are
     tasks unless both are of one component, so the blocks of a large component meet those of the others only.
     """
-    comps = rows.groupBy("cluster", "own").agg(F.sum("w").alias("own_w"))
+    comps = fit(rows.groupBy("cluster", "own").agg(F.sum("w").alias("own_w")))
     large = F.col("own_w") > block_shingles
     rest = F.sum(F.when(~large, F.col("own_w")).otherwise(0))
     sizes = comps.groupBy("cluster").agg(F.sum("own_w").alias("cluster_w"), F.ceil(F.greatest(rest, F.lit(1)) / block_shingles).alias("shared"))
-    comps = materialise(comps.join(sizes, "cluster"), "ngram-components")
-    rows = rows.join(comps, ["cluster", "own"])
+    comps = materialise(fit(comps.join(fit(sizes), "cluster")), "ngram-components")
+    rows = fit(rows.join(comps, ["cluster", "own"]))
     parts = F.ceil(F.col("own_w") / block_shingles)
     block = F.when(large, F.concat_ws("-", F.lit("c"), "own", F.pmod(F.xxhash64("cid"), parts))).otherwise(F.concat_ws("-", F.lit("m"), F.pmod(F.xxhash64("own"), F.col("shared"))))
     alone = F.col("cluster_w") <= block_shingles
     small = rows.where(alone).select(shard(shards).alias("task"), "cluster", "cid", "own", "n", "items")
     rows = rows.where(~alone).withColumn("block", block).withColumn("of", F.when(large, F.col("own")))
-    blocks = materialise(rows.select("cluster", "block", "of").distinct(), "ngram-blocks")
+    blocks = materialise(fit(rows.select("cluster", "block", "of").distinct()), "ngram-blocks")
     x, y = blocks.alias("x"), blocks.alias("y")
     apart = ~F.coalesce(F.col("x.of") == F.col("y.of"), F.lit(False))
     pairs = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & apart)
     task = F.concat_ws("|", F.col("x.cluster"), F.col("x.block"), F.col("y.block"))
     pairs = pairs.select(F.col("x.cluster").alias("cluster"), task.alias("task"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
-    return small.union(rows.join(pairs, ["cluster", "block"]).select("task", "cluster", "cid", "own", "n", "items"))
+    return small.union(fit(rows.join(fit(pairs), ["cluster", "block"])).select("task", "cluster", "cid", "own", "n", "items"))
 
 
-def all_links(posts: DataFrame, ordered: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+def all_links(posts: DataFrame, ordered: DataFrame, percent: int, task_shingles: int, fit: Callable) -> DataFrame:
     """Links that connect all classes which Jaccard similarity connects, from postings (h, cid) and ordered sets.
 
     First each cluster is searched in blocks. While postings lie between components that are still apart, a few classes
@@ -349,28 +356,30 @@ def all_links(posts: DataFrame, ordered: DataFrame, percent: int, task_shingles:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     block = int(max(1, min(task_shingles, max(LEAST_TASK_SHINGLES, total // (4 * tasks)))))
     shards = int(max(tasks, total // task_shingles))
-    clusters = materialise(cluster(posts), "ngram-clusters")
-    dealt, split = deal_tasks(ordered.join(clusters, "cid").withColumn("own", F.col("cid")), block, shards)
-    links = materialise(search(dealt, percent), "ngram-links")
+    clusters = materialise(cluster(posts, fit), "ngram-clusters")
+    dealt, split = deal_tasks(fit(ordered.join(clusters, "cid")).withColumn("own", F.col("cid")), block, shards, fit)
+    links = materialise(fit(search(dealt, percent)), "ngram-links")
     rounds = 0
     while split:
         forget(clusters)
         known = materialise(components(links), "ngram-known")
-        named = posts.join(known, posts["cid"] == known["v"], "left").select("h", "cid", F.coalesce("component", "cid").alias("own"))
-        open_ = named.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("h")
-        left = materialise(named.join(open_, "h", "left_semi"), "ngram-open")
-        clusters = materialise(cluster(left.select("h", "cid")), "ngram-clusters")
+        named = fit(posts.join(known, posts["cid"] == known["v"], "left")).select("h", "cid", F.coalesce("component", "cid").alias("own"))
+        open_ = fit(named.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y"))).where("x <> y").select("h")
+        left = materialise(fit(named.join(open_, "h", "left_semi")), "ngram-open")
+        clusters = materialise(cluster(left.select("h", "cid"), fit), "ngram-clusters")
         forget(known)
         if clusters.isEmpty():
             break
-        rows = ordered.join(clusters, "cid").join(left.select("cid", "own").distinct(), "cid")
+        rows = fit(fit(ordered.join(clusters, "cid")).join(fit(left.select("cid", "own").distinct()), "cid"))
         found = None
         if rounds < JOINING_ROUNDS:
             few = Window.partitionBy("cluster", "own").orderBy(F.xxhash64("cid"), "cid")
-            some = rows.withColumn("_k", F.row_number().over(few)).where(F.col("_k") <= SPOKESMEN).drop("_k")
-            found = materialise(search(deal_tasks(some, block, shards)[0], percent), "ngram-links")
+            # from what is written, as the sizes of clusters and their rows are both read from it
+            some = materialise(fit(rows.withColumn("_k", F.row_number().over(few)).where(F.col("_k") <= SPOKESMEN)).drop("_k"), "ngram-spokesmen")
+            found = materialise(fit(search(deal_tasks(some, block, shards, fit)[0], percent)), "ngram-links")
+            forget(some)
         if found is None or found.isEmpty():
-            found, split = materialise(search(deal_pairs(rows, block, shards), percent), "ngram-links"), False
+            found, split = materialise(fit(search(deal_pairs(rows, block, shards, fit), percent)), "ngram-links"), False
         rounds += 1
         before, links = links, materialise(links.union(found), "ngram-links")
         forget(before, found, left)
@@ -384,27 +393,28 @@ def _grouped(df: DataFrame, percent: int, id_col: str, text_col: str, task_shing
     size = docs.agg(F.sum("n")).first()[0] or 0
     # buckets follow the data alone: a quarter of all shingles is dealt
     buckets = max(LEAST_BUCKETS, -(-int(size) // 4 // BUCKET_PAIRS))
+    fit = fitting(df.sparkSession, size, FIT_SHINGLES)
     classes = docs.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("class_docs"))
-    classes = materialise(classes, "ngram-classes")
+    classes = materialise(fit(classes), "ngram-classes")
     need = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
-    counts = shared_counts(docs, buckets)
-    candidates = classes.join(counts, "k1").where(F.col("c") >= need).select("k1", "k2", "doc_id", "n")
+    counts = fit(shared_counts(docs, buckets, fit))
+    candidates = fit(classes.join(counts, "k1")).where(F.col("c") >= need).select("k1", "k2", "doc_id", "n")
     candidates = materialise(candidates.withColumn("cid", F.monotonically_increasing_id()), "ngram-candidates")
-    sets = materialise(candidate_sets(df, candidates, id_col, text_col), "ngram-sets")
+    sets = materialise(fit(candidate_sets(df, candidates, id_col, text_col, fit)), "ngram-sets")
     size = candidates.agg(F.sum("n")).first()[0] or 0
-    ordered = materialise(ordered_sets(sets, max(LEAST_BUCKETS, -(-int(size) // BUCKET_PAIRS)), percent), "ngram-ordered")
+    ordered = materialise(fit(ordered_sets(sets, max(LEAST_BUCKETS, -(-int(size) // BUCKET_PAIRS)), percent, fit)), "ngram-ordered")
     posts = ordered.select(F.explode("posts").alias("h"), "cid")
-    found = components(all_links(posts, ordered, percent, task_shingles))
-    linked = candidates.join(found, candidates["cid"] == found["v"]).select("k1", "k2", "doc_id", "component")
-    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(least, "component").select("k1", "k2", "component_id", "component")
+    found = components(all_links(posts, ordered, percent, task_shingles, fit))
+    linked = fit(candidates.join(found, candidates["cid"] == found["v"])).select("k1", "k2", "doc_id", "component")
+    least = fit(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    linked = fit(linked.join(least, "component")).select("k1", "k2", "component_id", "component")
     same = F.struct(F.col("component").isNull().alias("class"), F.coalesce("component", "k1").alias("a"), F.when(F.col("component").isNull(), F.col("k2")).alias("b"))
-    named = classes.join(linked, ["k1", "k2"], "left").select(
+    named = fit(classes.join(linked, ["k1", "k2"], "left")).select(
         F.struct("k1", "k2").alias("key"), F.coalesce("component_id", "doc_id").alias("component_id"), "class_docs", same.alias("g")
     )
     named = materialise(named, "ngram-named")
     full = docs.where("n > 0").select("doc_id", "r1", "r2", "n", F.struct("k1", "k2").alias("key"))
-    out = lookup(full, named, "key", "class_docs", docs.count()).select("doc_id", "r1", "r2", "n", "component_id", "class_docs", "g")
+    out = fit(lookup(full, named, "key", "class_docs", docs.count())).select("doc_id", "r1", "r2", "n", "component_id", "class_docs", "g")
     alone = docs.where("n = 0").select(
         "doc_id", "r1", "r2", "n", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_docs"), F.lit(None).cast(out.schema["g"].dataType).alias("g")
     )
@@ -429,9 +439,10 @@ def drop_near(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", tex
     key = row_key(df)
     rows = materialise(_grouped(df, percent, id_col, text_col, task_shingles, key).where("g is not null").select("doc_id", "r1", "r2", "g"), "ngram-grouped")
     total = rows.count()
-    first = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("f")).select(F.col("f.r1").alias("f1"), F.col("f.r2").alias("f2"))
-    each = rows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias(times))
-    named = each.join(first, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")), "left")
+    fit = fitting(df.sparkSession, total, FIT_ROWS)
+    first = fit(rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("f"))).select(F.col("f.r1").alias("f1"), F.col("f.r2").alias("f2"))
+    each = fit(rows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias(times)))
+    named = fit(each.join(first, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")), "left"))
     # rows that go, and rows that stay but repeat; all others are left alone
     plan = named.where(F.col("f1").isNull() | (F.col(times) > 1)).select(F.col("r1").alias(names[0]), F.col("r2").alias(names[1]), times, F.col("f1").isNotNull().alias("stays"))
     plan = materialise(plan, "ngram-plan")

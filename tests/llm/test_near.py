@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from helpers import frame, near_groups, shingles
 
-from tessera.llm import ngram_join, queries
+from tessera.llm import graph, ngram_join, queries
 from tessera.llm.graph import components
 from tessera.llm.prefix_tree import link
 from tessera.llm.shingles import sets
@@ -139,3 +139,37 @@ def test_hot_group_of_two_components(spark):
     few = rows[:300]
     assert got(frame(spark, few), task_shingles=2000) == near_groups(few)
     assert sum(sizes.values()) == 20_000 and len([n for n in sizes.values() if n > 2000]) == len([c for c in {c for _, _, c in near_groups(few)} if sum(x == c for _, _, x in near_groups(few)) > 20])
+
+
+def test_small_graph_is_settled_in_few_jobs(spark):
+    path = [(i + 1, i) for i in range(3000)] + [(5000, 4000 + i) for i in range(900)]
+    edges = frame(spark, path, "a long, b long").repartition(5)
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = jobs()
+    found = {r["v"]: r["component"] for r in components(edges).collect()}
+    assert jobs() - before <= 6
+    assert found == dict.fromkeys(range(3001), 0) | dict.fromkeys([*range(4000, 4900), 5000], 4000)
+
+
+def test_graph_above_one_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_STARS", 16)
+    rng = random.Random(5)
+    path = [(i + 1, i) for i in range(200)] + [(1000 + rng.randrange(99), 1000 + rng.randrange(99)) for _ in range(99)]
+    rng.shuffle(path)
+    found = {r["v"]: r["component"] for r in components(frame(spark, path, "a long, b long").repartition(4)).collect()}
+    least = {v: v for e in path for v in e if e[0] != e[1]}
+    for _ in path:
+        for a, b in path:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert found == least
+
+
+def test_few_rows_in_many_partitions(spark):
+    rows = [(i, " ".join(f"w{i % 7}-{k}" if k % 40 != i // 7 % 40 else f"z{i}" for k in range(120))) for i in range(120)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 61)
+        assert got(frame(spark, rows), task_shingles=200) == near_groups(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
