@@ -10,8 +10,8 @@ A record file is a row of frames, as in the TFRecord format:
 Flag 1: the id is null. Flag 2: ids of 4 bytes, taken if one is above 65,535. The index is a Parquet table, one row per
 record: part, seq, doc_id, file, offset, length, n_tokens; `read_shuffled` reads records through it in a random order.
 
-Texts are encoded by the tokenizers library. Equal pre-tokens of a batch are encoded once: they are found by the
-pre-tokenizer's own split, and since no merge crosses one, a text's ids are those of its pre-tokens in a row.
+Texts are encoded by the model of the tokenizers library, given pre-tokens. Equal ones are encoded once: they are found by
+the pre-tokenizer's own split, and since no merge crosses one, a text's ids are those of its pre-tokens in a row.
 
 Rows are range-partitioned by id (and text), so part files and the records in them ascend. Each task writes its file
 under a new name and returns index rows; Spark's commit of the index decides which files count. Reads run over byte
@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from tessera.llm import files, pretoken
 from tessera.llm.checksums import crc32c, masked
 from tessera.llm.token_counts import byte_symbols
-from tessera.runtime import new_folder, small_batches
+from tessera.runtime import materialise, new_folder, small_batches
 
 NULL_ID, WIDE = 1, 2
 READ_BYTES = 16 << 20
@@ -53,12 +53,11 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.path, self.lib = path, Tokenizer.from_file(path)
-        stands = {c: 1 for c in byte_symbols()}
-        size = self.lib.get_vocab_size()
-        self.bytes_of = np.zeros(size, np.int64)
-        for token, i in self.lib.get_vocab().items():
-            self.bytes_of[i] = sum(stands.get(c, 0) for c in token)
+        self.path = path
+        # its model alone: pre-tokens need not be split or looked through for special strings again
+        self.model = Tokenizer.from_file(path).model
+        self.shown = dict(enumerate(byte_symbols()))
+        self.special = pretoken.special_tokens(path)
         self.clear()
 
     def clear(self) -> None:
@@ -77,27 +76,17 @@ class Encoder:
         self.n = n
 
     def _learn(self, pieces: list[bytes]) -> None:
-        joined, alone = [], []
-        for p in pieces:
-            word = len(p) > 1 and p[0] == 0x20 and (p[1:].isalpha() or p[1:].decode().isalpha())
-            (joined if word else alone).append(p)
-        # words that begin with a space split at those spaces again, so many are encoded in one call
-        for a in range(0, len(joined), 2000):
-            some = joined[a : a + 2000]
-            ids = np.array(self.lib.encode(b"".join(some).decode(), add_special_tokens=False).ids, np.int32)
-            sizes = np.cumsum([len(p) for p in some])
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), sizes) + 1
-            if not np.array_equal(np.cumsum(self.bytes_of[ids])[ends - 1], sizes):
-                alone += some
-                continue
-            for k, p in enumerate(some):
-                self.memo[p] = self.n + k
-            self._grow(ids, ends)
-        if alone:
-            each = [e.ids for e in self.lib.encode_batch([p.decode() for p in alone], add_special_tokens=False)]
-            for k, p in enumerate(alone):
-                self.memo[p] = self.n + k
-            self._grow(np.array([i for e in each for i in e], np.int32), np.cumsum([len(e) for e in each]))
+        ids, ends, tokenize, b = [], [], self.model.tokenize, 0
+        symbols = b"".join(pieces).decode("latin-1").translate(self.shown)  # one for each byte
+        for k, p in enumerate(pieces, self.n):
+            a, b = b, b + len(p)
+            if p in self.special:
+                ids.append(self.special[p])
+            else:
+                ids += [t.id for t in tokenize(symbols[a:b])]
+            ends.append(len(ids))
+            self.memo[p] = k
+        self._grow(np.array(ids, np.int32), np.array(ends, np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each."""
@@ -242,7 +231,11 @@ def read(index: DataFrame) -> DataFrame:
 
 
 def with_starts(records: DataFrame) -> DataFrame:
-    """Add ``start``, the number of ids in all records before. One row for each part file meets in a single task."""
+    """Add ``start``, the number of ids in all records before. One row for each part file meets in a single task.
+
+    What was read is written first, as it is needed twice: the files are read and checked once.
+    """
+    records = materialise(records, "token-records-read")
     sums = records.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))

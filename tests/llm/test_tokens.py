@@ -1,6 +1,7 @@
 import random
 import subprocess
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -188,3 +189,27 @@ def test_records_of_odd_rows(spark, library):
 def test_no_rows(spark):
     assert records(spark, frame(spark, []))[1] == []
     assert token_counts.count_tokens(frame(spark, []), PATH).count() == 0
+
+
+def test_words_are_not_split_again(library):
+    """Encoding words that are all different takes less time than the library needs to split and encode the text."""
+    rng = random.Random(7)
+    text = pa.array(["".join(" " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3000)) for _ in range(10)])
+    took = {"own": [], "library": []}
+    for _ in range(3):
+        own = token_records.Encoder(PATH)
+        began = time.process_time()
+        found = own.encode(text)[0].tolist()
+        took["own"].append(time.process_time() - began)
+        began = time.process_time()
+        want = [i for t in text.to_pylist() for i in ids(library, t)]
+        took["library"].append(time.process_time() - began)
+        assert found == want
+    assert min(took["own"]) < min(took["library"])
+
+
+def test_files_are_read_once(spark):
+    index = token_records.write(frame(spark, [(i, "a b c") for i in range(20)]), PATH, 2)
+    out = token_records.with_starts(token_records.read(index))
+    assert sorted(r["start"] for r in out.collect()) == [4 * i for i in range(20)]
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
