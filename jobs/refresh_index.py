@@ -47,10 +47,18 @@ def new_texts(batch: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """term, doc_id, tf, doc_len of indexed texts; the text's key keeps texts apart whose ids are null or repeat."""
-    rows = documents.select("text_key", "doc_id", T.tokens(F.col("text")).alias("_tokens"))
-    terms = rows.select("text_key", "doc_id", F.size("_tokens").cast("long").alias("doc_len"), F.explode("_tokens").alias("term"))
-    return terms.groupBy("text_key", "doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """text_key, term, doc_id, tf, doc_len of indexed texts; the text's key keeps texts apart whose ids are null or repeat.
+
+    A row holds a whole text, so its terms are counted where it is, without a shuffle: its tokens are sorted, and a term
+    counts from the place where it begins to that of the next.
+    """
+    rows = documents.select("text_key", "doc_id", F.sort_array(T.tokens(F.col("text"))).alias("_t"))
+    rows = rows.select("text_key", "doc_id", F.size("_t").cast("long").alias("doc_len"), "_t").where("doc_len > 0")
+    begins = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: (i == 1) | (F.get("_t", i - 1) != F.get("_t", i - 2)))
+    rows = rows.withColumn("_b", begins)
+    ends = F.concat(F.slice("_b", F.lit(2), F.size("_b")), F.array(F.size("_t") + 1))
+    terms = F.zip_with("_b", ends, lambda a, b: F.struct(F.get("_t", a - 1).alias("term"), (b - a).cast("long").alias("tf")))
+    return rows.select("text_key", "doc_id", "doc_len", F.inline(terms))
 
 
 def refresh(spark: SparkSession, documents: str, out: str, checkpoint: str, own: dict | None = None) -> DataFrame:

@@ -156,3 +156,12 @@ def test_command_lines(site):
     assert done.returncode == 0 and "chunks of" in done.stderr and (site / "c" / "chunks" / "_SUCCESS").exists()
     done = call("jobs.refresh_index", site / "docs", site / "i", site / "k", "--config", config)
     assert done.returncode == 0 and "wrote" in done.stderr and list((site / "i" / "postings").rglob("*.parquet"))
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    texts = ["b a b, A", None, "", "..", "x" * 5, "c b a " * 50]
+    rows = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(texts)], "text_key string, doc_id long, text string")
+    found = refresh_index.postings(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [(0, "a", 2, 4), (0, "b", 2, 4), (4, "xxxxx", 1, 1), *((5, t, 50, 150) for t in "abc")]
+    assert sorted((r["doc_id"], r["term"], r["tf"], r["doc_len"]) for r in found.collect()) == want
