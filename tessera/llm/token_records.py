@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,16 @@ READ_BYTES = 16 << 20
 ENCODE_BYTES = 1 << 19
 #: Pre-tokens that a worker remembers, some 200 bytes each.
 MEMO_PIECES = 1 << 18
+#: Pre-tokens that are encoded in a row: so few lists at once that they don't start Python's garbage collector.
+LEARN_PIECES = 500
 INDEX = "part int, seq long, doc_id long, file string, offset long, length long, n_tokens long"
 
 
+def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... , counts[k] numbers for each k."""
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 class Encoder:
     """The tokenizers library behind a memory of pre-tokens."""
 
@@ -56,58 +64,73 @@ class Encoder:
         self.path = path
         # its model alone: pre-tokens need not be split or looked through for special strings again
         self.model = Tokenizer.from_file(path).model
-        self.shown = dict(enumerate(byte_symbols()))
+        # the characters that stand for bytes, all below 65,536
+        self.shown = np.array([ord(c) for c in byte_symbols()], "<u2")
         self.special = pretoken.special_tokens(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[str, int] = {}  # piece: its number, whose ids stand from at[number] to at[number + 1]
         self.ids, self.at, self.n = np.empty(1 << 20, np.int32), np.zeros(1 << 16, np.int64), 0
+        self.uses = np.zeros(1 << 16, np.int32)  # blocks that had the piece
+        if self.special:
+            self._remember([self._symbols(np.frombuffer(x, np.uint8)) for x in self.special], np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
+
+    def _symbols(self, raw: np.ndarray) -> str:
+        """A character for each byte, as the model takes them."""
+        return self.shown[raw].tobytes().decode("utf-16-le")
 
-    def _grow(self, ids: np.ndarray, ends: np.ndarray) -> None:
-        """Remember pieces with these ids, the k-th of which ends at ends[k]."""
-        base, n = int(self.at[self.n]), self.n + len(ends)
+    def _remember(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        base, n = int(self.at[self.n]), self.n + len(pieces)
         while base + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while n + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            self.at, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.uses))
         self.ids[base : base + len(ids)] = ids
-        self.at[self.n + 1 : n + 1] = base + ends
+        self.at[self.n + 1 : n + 1] = base + np.cumsum(counts)
+        self.memo.update(zip(pieces, range(self.n, n), strict=True))
         self.n = n
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        ids, ends, tokenize, b = [], [], self.model.tokenize, 0
-        symbols = b"".join(pieces).decode("latin-1").translate(self.shown)  # one for each byte
-        for k, p in enumerate(pieces, self.n):
-            a, b = b, b + len(p)
-            if p in self.special:
-                ids.append(self.special[p])
-            else:
-                ids += [t.id for t in tokenize(symbols[a:b])]
-            ends.append(len(ids))
-            self.memo[p] = k
-        self._grow(np.array(ids, np.int32), np.array(ends, np.int64))
+    def _thin(self) -> None:
+        """Forget what few blocks had: all but some ``MEMO_PIECES / 2`` pieces, and the special ones stay."""
+        pieces, number = list(self.memo), np.array(list(self.memo.values()), np.int64)
+        order = np.argsort(-self.uses[number[len(self.special) :]], kind="stable")[: MEMO_PIECES // 2] + len(self.special)
+        keep = np.append(np.arange(len(self.special)), np.sort(order))
+        number = number[keep]
+        first, counts = self.at[number], self.at[number + 1] - self.at[number]
+        ids, uses = self.ids[_ranges(first, counts)], self.uses[number] // 2
+        self.memo, self.n = {}, 0
+        self._remember([pieces[k] for k in keep.tolist()], ids, counts)
+        self.uses[:] = 0
+        self.uses[: self.n] = uses
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids, counts = [], []
+        for a in range(0, len(pieces), LEARN_PIECES):
+            found = list(map(self.model.tokenize, pieces[a : a + LEARN_PIECES]))
+            ids += [t.id for tokens in found for t in tokens]
+            counts += map(len, found)
+        self._remember(pieces, np.array(ids, np.int32), np.array(counts, np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each."""
         raw, offsets = pretoken.utf8_of(texts)
         parts, counts = [], np.zeros(len(offsets) - 1, np.int64)
-        for i, j, part, at in pretoken.blocks(raw, offsets, ENCODE_BYTES, pretoken.special_tokens(self.path)):
+        for i, j, part, at in pretoken.blocks(raw, offsets, ENCODE_BYTES, self.special):
             if not len(part):
                 continue
             if len(self.memo) > MEMO_PIECES:
-                self.clear()
-            starts, _ = pretoken.split(part, at, pretoken.special_tokens(self.path))
+                self._thin()
+            starts, _ = pretoken.split(part, at, self.special)
             group, begin, end = pretoken.distinct(part, starts)
-            whole = part.tobytes()
-            pieces = [whole[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            known = list(map(self.memo.get, pieces))
-            if None in known:
-                self._learn(list(dict.fromkeys(p for p, k in zip(pieces, known, strict=True) if k is None)))
-                known = list(map(self.memo.get, pieces))
-            known = np.array(known, np.int64)[group]
+            symbols = self._symbols(part)
+            pieces = [symbols[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            known = np.array(list(map(self.memo.get, pieces, repeat(-1))), np.int64)
+            unknown = np.flatnonzero(known < 0)
+            if len(unknown):
+                known[unknown] = self.n + np.arange(len(unknown))
+                self._learn([pieces[k] for k in unknown.tolist()])
+            self.uses[known] += 1
+            known = known[group]
             first, n = self.at[known], self.at[known + 1] - self.at[known]
-            parts.append(self.ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+            parts.append(self.ids[_ranges(first, n)])
             text = np.searchsorted(at, starts, side="right") - 1
             counts[i:j] += np.bincount(text, weights=n, minlength=j - i).astype(np.int64)
         return (np.concatenate(parts) if parts else np.empty(0, np.int32)), counts

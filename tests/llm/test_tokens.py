@@ -213,3 +213,22 @@ def test_files_are_read_once(spark):
     out = token_records.with_starts(token_records.read(index))
     assert sorted(r["start"] for r in out.collect()) == [4 * i for i in range(20)]
     assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frequent_pieces_are_encoded_once(library, monkeypatch):
+    """When the encoder's memory is full, what most blocks have stays, and ids are the library's all along."""
+    monkeypatch.setattr(token_records, "MEMO_PIECES", 100)
+    lib, asked = token_records.Encoder(PATH), []
+
+    class Counted:
+        def __init__(self, model):
+            self.tokenize = lambda piece: asked.append(piece) or model.tokenize(piece)
+
+    lib.model = Counted(lib.model)
+    common = " the quick brown fox's jump<|endoftext|>"
+    for k in range(60):
+        text = common + "".join(f" {chr(97 + k % 26)}z{chr(97 + k // 26)}q{chr(97 + i)}w" for i in range(7)) + common
+        flat, count = lib.encode(pa.array([text, None]))
+        assert flat.tolist() == ids(library, text) and count.tolist() == [len(flat), 0]
+    assert len(lib.memo) < 150 and not any("endoftext" in p for p in asked)
+    assert all(asked.count(p) == 1 for p in ("Ġthe", "Ġquick", "Ġbrown", "Ġfox", "'s", "Ġjump"))
