@@ -21,6 +21,7 @@ repeated results; an empty table gives an empty table; an input column with the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +43,9 @@ STEPS = 10
 SMOOTHING = 0.2
 HELD_OUT = 2
 #: Weights gathered at once, over all languages.
-BLOCK_WEIGHTS = 6 << 20
+BLOCK_WEIGHTS = 2 << 20
+#: Bytes of text that are counted at once; working arrays take some 70 times as much.
+TRAIN_BYTES = 1 << 19
 UNKNOWN = "und"
 #: Share of the typical gain that a text must have, and typical trigrams that are added to those of a text, so that a few
 #: odd ones in a short text don't decide.
@@ -143,6 +146,21 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
+def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (lang, text) to rows of lang, bucket, n."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for s in pretoken.slices(batch, 1, TRAIN_BYTES):
+            langs = s.column(0)
+            for lang in pc.unique(langs).to_pylist():
+                bucket, _, _ = trigrams(s.column(1).filter(pc.equal(langs, lang)))
+                sums[lang] = sums.get(lang, 0) + np.bincount(bucket, minlength=BUCKETS)
+    for lang, n in sums.items():
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
+    pretoken.give_back()
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -157,19 +175,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     u = F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "text")
 
-    def count(batches):
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for s in pretoken.slices(batch, 1):
-                langs = s.column(0)
-                for lang in pc.unique(langs).to_pylist():
-                    bucket, _, _ = trigrams(s.column(1).filter(pc.equal(langs, lang)))
-                    sums[lang] = sums.get(lang, 0) + np.bincount(bucket, minlength=BUCKETS)
-        for lang, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
-
-    counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(count_trigrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # at most most_languages * BUCKETS numbers
     found = counted.toPandas()
     languages = sorted(found["lang"].unique())
@@ -190,6 +196,7 @@ def typical_gain(df: DataFrame, model: Model, text_col: str = "text", lang_col:
                 _, gain, grams = mixtures(s.column(0), model)
                 bins, n = np.unique(np.floor(gain[grams > 0] * BINS_PER_NAT).astype(np.int32), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(n, pa.int64())], names=["bin", "n"])
+        pretoken.give_back()
 
     # a gain lies within some 50 nats, so a few thousand rows come to the driver
     found = rows.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
@@ -232,6 +239,7 @@ def annotate(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(best)))]).astype(np.int32)
                 shares = pa.MapArray.from_arrays(pa.array(ends), pa.array([model.languages[c] for c in col], pa.string()), pa.array(p[row, col]))
                 yield pa.RecordBatch.from_arrays([*s.columns, pa.array(name, pa.string()), pa.array(score), shares], names=[*s.schema.names, *new])
+        pretoken.give_back()
 
     return df.mapInArrow(run, schema)
 

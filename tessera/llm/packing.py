@@ -40,6 +40,8 @@ CHUNK_PIECES = 1 << 18
 #: Bytes of text for one task of the packing; of small inputs, so that all tasks get something.
 TASK_BYTES, LEAST_TASK_BYTES = 256 << 20, 4 << 20
 BIN_BITS = 32
+#: Pre-tokens that a worker remembers in a task and after it, as other stages need the memory, too.
+MEMO_PIECES, REST_PIECES = 1 << 17, 1 << 14
 
 SCHEMA = "bin_id long, bin_length int, bin_used int, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<int>, ids binary"
 
@@ -86,7 +88,7 @@ def _pieces(vocabulary: str, end_id: int | None, longest: int):
     """Batches of (id, text, k1, k2, part) to rows for each piece: k1, k2, piece, part, id, start, ids."""
 
     def run(batches):
-        lib = encoder(vocabulary)
+        lib = encoder(vocabulary, MEMO_PIECES)
         for batch in (s for b in batches for s in pretoken.slices(b, 1)):
             ids, n = lib.encode(batch.column(1))
             if end_id is not None:
@@ -107,6 +109,7 @@ def _pieces(vocabulary: str, end_id: int | None, longest: int):
                 k = take.slice(a, len(ends) - 1)
                 cols = [batch.column(2).take(k), batch.column(3).take(k), pa.array(piece[z].astype(np.int32)), batch.column(4).take(k), batch.column(0).take(k), pa.array(start[z]), own]
                 yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "piece", "part", "id", "start", "ids"])
+        lib.thin(REST_PIECES)
         pretoken.give_back()
 
     return run

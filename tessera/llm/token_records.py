@@ -58,21 +58,24 @@ def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Encoder:
     """The tokenizers library behind a memory of pre-tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         from tokenizers import Tokenizer
 
-        self.path = path
+        self.most = most or MEMO_PIECES
         # its model alone: pre-tokens need not be split or looked through for special strings again
         self.model = Tokenizer.from_file(path).model
         # the characters that stand for bytes, all below 65,536
         self.shown = np.array([ord(c) for c in byte_symbols()], "<u2")
         self.special = pretoken.special_tokens(path)
-        self.memo: dict[str, int] = {}  # piece: its number, whose ids stand from at[number] to at[number + 1]
-        self.ids, self.at, self.n = np.empty(1 << 20, np.int32), np.zeros(1 << 16, np.int64), 0
-        self.uses = np.zeros(1 << 16, np.int32)  # blocks that had the piece
+        self._empty()
         if self.special:
             self._remember([self._symbols(np.frombuffer(x, np.uint8)) for x in self.special], np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
 
+    def _empty(self) -> None:
+        self.memo: dict[str, int] = {}  # piece: its number, whose ids stand from at[number] to at[number + 1]
+        self.ids, self.at, self.n = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+        self.uses = np.zeros(1 << 14, np.int32)  # blocks that had the piece
+
     def _symbols(self, raw: np.ndarray) -> str:
         """A character for each byte, as the model takes them."""
         return self.shown[raw].tobytes().decode("utf-16-le")
@@ -88,17 +91,18 @@ class Encoder:
         self.memo.update(zip(pieces, range(self.n, n), strict=True))
         self.n = n
 
-    def _thin(self) -> None:
-        """Forget what few blocks had: all but some ``MEMO_PIECES / 2`` pieces, and the special ones stay."""
+    def thin(self, most: int) -> None:
+        """Forget what few blocks had: ``most`` pieces stay, and the special ones."""
+        if len(self.memo) <= most:
+            return
         pieces, number = list(self.memo), np.array(list(self.memo.values()), np.int64)
-        order = np.argsort(-self.uses[number[len(self.special) :]], kind="stable")[: MEMO_PIECES // 2] + len(self.special)
+        order = np.argsort(-self.uses[number[len(self.special) :]], kind="stable")[:most] + len(self.special)
         keep = np.append(np.arange(len(self.special)), np.sort(order))
         number = number[keep]
         first, counts = self.at[number], self.at[number + 1] - self.at[number]
         ids, uses = self.ids[_ranges(first, counts)], self.uses[number] // 2
-        self.memo, self.n = {}, 0
+        self._empty()
         self._remember([pieces[k] for k in keep.tolist()], ids, counts)
-        self.uses[:] = 0
         self.uses[: self.n] = uses
 
     def _learn(self, pieces: list[str]) -> None:
@@ -116,8 +120,8 @@ class Encoder:
         for i, j, part, at in pretoken.blocks(raw, offsets, ENCODE_BYTES, self.special):
             if not len(part):
                 continue
-            if len(self.memo) > MEMO_PIECES:
-                self._thin()
+            if len(self.memo) > self.most:
+                self.thin(self.most // 2)
             starts, _ = pretoken.split(part, at, self.special)
             group, begin, end = pretoken.distinct(part, starts)
             symbols = self._symbols(part)
@@ -137,8 +141,8 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most: int | None = None) -> Encoder:
+    return Encoder(path, most)
 
 
 def frames(ids: np.ndarray, counts: np.ndarray, doc_ids: list) -> tuple[bytes, np.ndarray]:

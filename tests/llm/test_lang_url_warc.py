@@ -4,6 +4,7 @@ import json
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, queries, url_filter, warc
+from tessera.llm import language_id, pretoken, queries, url_filter, warc
 
 D = "/root/testdata/sf0.001"
 
@@ -37,6 +38,24 @@ def test_held_out_accuracy(spark):
     assert seen > 100 and right / seen > 0.97
 
 
+def test_memory_of_a_batch():
+    """What a worker holds while it learns and predicts, on texts of 4 MB, and that blocks don't change what it counts."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choice(words, 700)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa", "bb"] * 500), pa.array(texts)], names=["lang", "text"])
+    tracemalloc.start()
+    counted = pa.Table.from_batches(list(language_id.count_trigrams(iter([batch]))))
+    model = language_id.Model(["aa", "bb", "cc", "dd"], np.zeros((language_id.BUCKETS, 4), np.float32))
+    for s in pretoken.slices(batch, 1, model.block_bytes()):
+        language_id.mixtures(s.column(1), model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 << 20
+    whole = Counter(language_id.trigrams(pa.array(texts[::2]))[0].tolist())
+    assert {r["bucket"]: r["n"] for r in counted.to_pylist() if r["lang"] == "aa"} == whole
+
+
 def two_languages():
     rng = np.random.default_rng(0)
     a = ["".join(rng.choice(list("abcde"), rng.integers(3, 8))) for _ in range(300)]
