@@ -50,7 +50,7 @@ def lexicon_score(x: Column, lexicon=WORDS, pattern: str = f"[{T.ARABIC}]+", fin
 
 
 def confidence(x: Column, lexicon=WORDS) -> Column:
-    return F.when(~x.rlike(f"[{T.ARABIC}]"), "n/a").otherwise(T.let(_found(x, f"[{T.ARABIC}]+"), lambda found: _confidence(found, lexicon)))
+    return F.when(~T.has_arabic(x), "n/a").otherwise(T.let(_found(x, f"[{T.ARABIC}]+"), lambda found: _confidence(found, lexicon)))
 
 
 def judged(x: Column, lexicon=WORDS) -> Column:

@@ -347,7 +347,9 @@ def chunks(df: DataFrame, counter: Counter | None = None, text_col: str = "text"
 def lineage(df: DataFrame, chunks_col: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Explode an array of chunks (strings, or structs with text and tokens) and say where each comes from."""
     structs = not dict(df.dtypes)[chunks_col].startswith("array<string")
-    out = df.select("*", F.size(chunks_col).alias("chunk_count"), F.posexplode(chunks_col).alias("chunk_index", "_chunk"))
+    # not the bare column, for which Spark would add a filter on its size, and make the chunks for that as well (see ``runtime.keep``)
+    some = F.when(F.size(chunks_col) > 0, F.col(chunks_col))
+    out = df.withColumn("chunk_count", F.size(chunks_col)).select("*", F.posexplode(some).alias("chunk_index", "_chunk"))
     body = F.col("_chunk.text") if structs else F.col("_chunk")
     parent = F.col(id_col).cast("string")
     own = T.content_key(F.concat_ws(":", parent, F.col("chunk_index").cast("string")))

@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import build_corpus, common, refresh_index
+from tessera.operators import chunking, records
+from tessera.runtime import keep
 
 ROOT = Path(__file__).resolve().parents[1]
 DOCS = "doc_id long, text string, lang string, source string"
@@ -165,3 +167,35 @@ def test_terms_are_counted_without_a_shuffle(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     want = [(0, "a", 2, 4), (0, "b", 2, 4), (4, "xxxxx", 1, 1), *((5, t, 50, 150) for t in "abc")]
     assert sorted((r["doc_id"], r["term"], r["tf"], r["doc_len"]) for r in found.collect()) == want
+
+
+def steps(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_costly_steps_are_planned_once(spark, site):
+    """No filter on what a record holds is moved to its source, which would make the record twice, or make all where a join leaves few."""
+    docs = spark.read.parquet(str(site / "docs"))
+    made = build_corpus.prose(docs)
+    made = chunking.lineage(made.withColumn("_parts", chunking.chunk_chars(F.col("text"))), "_parts")
+    assert steps(made, "ArrowEvalPython") == 1 and steps(made, "Filter") == 0 and steps(made, "aggregate(split") == 1
+    few = spark.createDataFrame([("https://s/egypt/a",)], "url string")
+    found = records.market_pages(spark.read.parquet(str(site / "pages")).join(few, "url", "left_semi").select("url", "html"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3 and plan.count("<noscript") == 1  # plans, repeated blocks, NFKC
+    assert "ArrowEvalPython" not in plan[plan.index("LeftSemi") :]
+    assert [r["source_file"] for r in found.collect()] == ["https://s/egypt/a"]
+
+
+def test_tables_in_one_file_are_dealt_out(spark, site, monkeypatch):
+    parts = []
+    monkeypatch.setattr(build_corpus, "prose", lambda texts, real=build_corpus.prose: parts.append(texts.rdd.getNumPartitions()) or real(texts))
+    for name in ("docs", "pages"):
+        spark.read.parquet(str(site / name)).coalesce(1).write.parquet(str(site / f"{name}_1"))
+    build_corpus.build(spark, str(site / "docs_1"), str(site / "pages_1"), str(site / "out"))
+    assert parts[0] == spark.sparkContext.defaultParallelism
+
+
+def test_keep(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "i int, t string")
+    assert [tuple(r) for r in keep(rows, F.col("t") == "a").collect()] == [(1, "a")] and keep(rows, F.col("i") > 1).schema.names == ["i", "t"]

@@ -153,3 +153,10 @@ def test_runs_end_with_a_letter(spark):
     fixed = df.select(arabic.fix_char_order(F.col("t")).alias("f"))
     assert [tuple(r["f"]) for r in fixed.collect()] == [("من على \t.  من ", True), ("من في", False)]
     assert fixed._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+
+
+def test_normalising_looks_at_the_ends_of_a_text(spark):
+    texts = ["", " ", "a", " a", "a ", " a  b\t\tc‏", "٣ x ", "é\x1c", "\U0001d7d8 ", "﷼  a", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["n"] for r in df.orderBy("i").select(T.normalize(F.col("t")).alias("n")).collect()]
+    assert got == ["", "", "a", "a", "a", "a b c", "3 x", "é", "0", "ریال a", ""]
