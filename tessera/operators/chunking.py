@@ -8,7 +8,8 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.runtime import small_batches
 
 TARGET_CHARS, LEAST_CHARS = 1800, 200
 TARGET_TOKENS, MOST_TOKENS, LEAST_TOKENS = 450, 700, 40
@@ -76,17 +78,32 @@ class Counter:
     """How a text is measured: ``counts`` of many texts, in parts of a token (``scale`` of them), and how one is cut.
 
     ``cut(text, limit)`` gives pieces of at most ``limit`` tokens. A count may depend on the white space before a text, but
-    not on other text there, so that counts of blocks and sentences in a row add up.
+    not on other text there, so that counts of blocks and sentences in a row add up. ``led(lead, texts, alone)`` counts texts
+    behind white space, given their counts alone; without it they are counted anew. ``adds`` tells of a text whether its count
+    is exactly that of its parts, all led by white space but the first, where none has white space of its own at an end.
+    ``least`` is a number, quickly found, that a text's count does not fall below.
     """
 
     name: str
     counts: Callable[[list[str]], list[int]]
     cut: Callable[[str, int], list[str]]
     scale: int = 1
+    led: Callable[[str, list[str], list[int]], list[int]] | None = None
+    adds: Callable[[str], bool] | None = None
+    least: Callable[[str], int] = lambda text: 0
 
     def tokens(self, texts: list[str]) -> list[int]:
         return [-(-n // self.scale) for n in self.counts(texts)]
 
+    def behind(self, lead: str, texts: list[str], alone: list[int]) -> list[int]:
+        return self.led(lead, texts, alone) if self.led else self.counts([lead + t for t in texts])
+
+
+@lru_cache(1024)
+def _once(counter: Counter, text: str) -> int:
+    """The count of a text that comes again, such as a title."""
+    return counter.counts([text])[0]
+
 
 def _estimate(texts: list[str]) -> list[int]:
     return [CHAR_UNITS * len(t) + (0 if t.isascii() else ARABIC_UNITS * len(_ARABIC.findall(t))) for t in texts]
@@ -120,7 +137,7 @@ def _tokenizer(path: str):
 
 #: Pre-tokens that a worker remembers with their counts, and characters of the longest of them.
 REMEMBERED, LONGEST = 1 << 18, 64
-_HIGH = re.compile("[\U00010000-\U0010ffff]")
+_HIGH, _SEPARATORS = re.compile("[\U00010000-\U0010ffff]"), re.compile("[\x1c-\x1f]")
 
 
 @cache
@@ -166,31 +183,75 @@ def _known(path: str) -> dict[str, int]:
     return {}
 
 
-def _lengths(path: str, texts: list[str]) -> list[int]:
-    return [len(e) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+@dataclass(frozen=True)
+class _Model:
+    """A vocabulary's model alone, which takes single pre-tokens."""
+
+    path: str
+
+
+@cache
+def _bytes_shown() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
+
+
+def _lengths(of: str | _Model, texts: list[str]) -> list[int]:
+    """Numbers of tokens as the library gives them, by a vocabulary or by its model."""
+    if isinstance(of, str):
+        return [len(e) for e in _tokenizer(of).encode_batch(texts, add_special_tokens=False)]
+    # no pre-token has the byte FF, as none of UTF-8 has
+    shown, model = b"\xff".join([t.encode() for t in texts]).decode("latin-1").translate(_bytes_shown()), _tokenizer(of.path).model
+    return [len(model.tokenize(t)) for t in shown.split(_bytes_shown()[0xFF])]
+
+
+def _sums_of(path: str, parts: list[list[str]]) -> list[int]:
+    """Counts of lists of pre-tokens."""
+    known = _known(path)
+    if len(known) > REMEMBERED:
+        known.clear()
+    new = list(set(chain.from_iterable(parts)).difference(known))
+    if new:
+        known.update(zip(new, _lengths(_Model(path), new), strict=True))
+    counts = [sum(map(known.__getitem__, some)) for some in parts]
+    for p in new:
+        if len(p) > LONGEST:
+            del known[p]
+    return counts
 
 
 def _vocabulary_counts(path: str, texts: list[str]) -> list[int]:
     """Counts as the library gives them. Of byte-level BPE a text's count is the sum of its pre-tokens', and these repeat."""
-    added, known = _added(path), _known(path)
+    added = _added(path)
     if added is None:
         return _lengths(path, texts)
     whole = [i for i, t in enumerate(texts) if added.search(t)]
     parts = [pretokens(t) for t in texts]
     for i in whole:
         parts[i] = []
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({p for some in parts for p in some if p not in known})
-    fresh = dict(zip(new, _lengths(path, new), strict=True)) if new else {}
-    known.update((p, n) for p, n in fresh.items() if len(p) <= LONGEST)
-    long = {p: n for p, n in fresh.items() if len(p) > LONGEST}
-    counts = [sum(map(known.__getitem__, some)) if not long else sum(long[p] if p in long else known[p] for p in some) for some in parts]
-    for i, n in zip(whole, _lengths(path, [texts[i] for i in whole]), strict=True):
-        counts[i] = n
+    counts = _sums_of(path, parts)
+    if whole:
+        for i, n in zip(whole, _lengths(path, [texts[i] for i in whole]), strict=True):
+            counts[i] = n
     return counts
 
 
+def _vocabulary_led(path: str, lead: str, texts: list[str], alone: list[int]) -> list[int]:
+    """Counts of texts behind ``lead``. A gap of lines leaves the pre-tokens of most texts as they are."""
+    added, anew = _added(path), range(len(texts))
+    out = list(alone)
+    if added is not None and lead == GAP:
+        anew = [i for i, t in enumerate(texts) if not t or t[0].isspace() or added.search(lead + t)]
+        a, b = _sums_of(path, [["a"], pretokens(lead + "a")])
+        out = [n + b - a for n in alone]
+    if anew:
+        for i, n in zip(anew, _vocabulary_counts(path, [lead + texts[i] for i in anew]), strict=True):
+            out[i] = n
+    return out
+
+
 def vocabulary(path: str) -> Counter:
     """Counts by a vocabulary of the tokenizers library, a file that every executor has."""
 
@@ -199,7 +260,14 @@ def vocabulary(path: str) -> Counter:
         ids = lib.encode(s, add_special_tokens=False).ids
         return [lib.decode(ids[i : i + limit]) for i in range(0, len(ids), limit)]
 
-    return Counter("vocabulary", lambda texts: _vocabulary_counts(path, texts), cut)
+    def adds(text: str) -> bool:
+        return _added(path) is not None and not _added(path).search(text)
+
+    def least(text: str) -> int:
+        # no pre-token holds two words, but for the four characters that are white space to Python alone
+        return len(text.split()) if adds(text) and not _SEPARATORS.search(text) else 0
+
+    return Counter("vocabulary", lambda texts: _vocabulary_counts(path, texts), cut, 1, lambda *a: _vocabulary_led(path, *a), adds, least)
 
 
 @cache
@@ -245,8 +313,8 @@ def _is_heading(block: str, most_chars: int = 80, most_words: int = 10) -> bool:
 class _Sums:
     """Texts in a row by their running totals: the furthest that fits a limit is found by a search."""
 
-    def __init__(self, alone: list[int], after: list[int]):
-        self.alone, self.upto = alone, np.concatenate([[0], np.cumsum(after, dtype=np.int64)])
+    def __init__(self, after: list[int]):
+        self.upto = np.concatenate([[0], np.cumsum(after, dtype=np.int64)])
 
     def run(self, i: int, base: int, limit: int, stop: int) -> tuple[int, int]:
         """One past the last text that fits behind text i, which counts as ``base``, and the total."""
@@ -255,39 +323,54 @@ class _Sums:
         return end, base + int(self.upto[end] - self.upto[i + 1])
 
 
-def _pieces(block: str, hard: int, counter: Counter) -> list[tuple[str, int]]:
-    """A long block as pieces of whole sentences up to ``hard`` tokens; what is longer still is cut."""
+def _inner(texts: list[str]) -> np.ndarray:
+    """For each place, how many texts before it end with white space, so that counts don't add up behind them."""
+    return np.concatenate([[0], np.cumsum([t[-1].isspace() for t in texts])])
+
+
+def _pieces(block: str, hard: int, counter: Counter) -> list[tuple[str, int, bool]]:
+    """A long block as pieces of whole sentences up to ``hard`` tokens; what is longer still is cut. With counts, and whether exact."""
     parts = [s for s in _SENTENCE.split(block) if s.strip()]
-    sums, i, out = _Sums(counter.counts(parts), counter.counts([" " + s for s in parts])), 0, []
+    # a sentence is counted without the space before it only where a piece begins
+    sums, i, out, open_ = _Sums(counter.counts([" " + s for s in parts])), 0, [], _inner(parts)
     while i < len(parts):
-        end, n = sums.run(i, sums.alone[i], hard * counter.scale, len(parts))
+        end, n = sums.run(i, counter.counts([parts[i]])[0], hard * counter.scale, len(parts))
         text = " ".join(parts[i:end])
         if n > hard * counter.scale:
             cut = counter.cut(text, hard)
-            out += zip(cut, counter.counts(cut), strict=True)
+            out += zip(cut, counter.counts(cut), [True] * len(cut), strict=True)
         else:
-            out.append((text, n))
+            out.append((text, n, open_[end - 1] == open_[i]))
         i = end
     return out
 
 
 def split_text(text: str, title: str, counter: Counter, target: int = TARGET_TOKENS, most: int = MOST_TOKENS, least: int = LEAST_TOKENS) -> list[str]:
     """One document's chunks; see ``chunk_tokens``."""
+    return [c for c, _ in _split(text, title, counter, target, most, least)]
+
+
+def _split(text: str, title: str, counter: Counter, target: int, most: int, least: int) -> list[tuple[str, int | None]]:
+    """The chunks with their counts, where these are known from their parts."""
     prefix = f"{title}{GAP}" if title else ""
-    used = counter.tokens([prefix])[0] if prefix else 0
+    used = -(-_once(counter, prefix) // counter.scale) if prefix else 0
     # a title may leave no room; then each block or sentence stands alone, and what is cut has a token at least
     soft, hard = target - used, max(1, most - used)
     blocks_ = _paragraphs(text)
     if not blocks_:
         return []
     n = len(blocks_)
-    alone = counter.counts(blocks_)
-    sums = _Sums(alone, counter.counts([GAP + b for b in blocks_]))
-    after = np.diff(sums.upto)
-    long = np.array([u > hard * counter.scale and not _TABLE.match(b) for u, b in zip(alone, blocks_, strict=True)])
+    # blocks that are surely cut are counted by their sentences only; what stands for their counts is never looked at
+    sure = [len(b) > hard and counter.least(b) > hard * counter.scale and not _TABLE.match(b) for b in blocks_]
+    some = [b for b, s in zip(blocks_, sure, strict=True) if not s]
+    counts = counter.counts(some)
+    both = iter(zip(counts, counter.behind(GAP, some, counts), strict=True))
+    alone, after = (list(x) for x in zip(*[(hard * counter.scale + 1,) * 2 if s else next(both) for s in sure], strict=True))
+    sums, open_ = _Sums(after), _inner(blocks_)
+    long = np.array([s or (u > hard * counter.scale and not _TABLE.match(b)) for s, u, b in zip(sure, alone, blocks_, strict=True)])
     heads = np.maximum.accumulate(np.where([_is_heading(b) for b in blocks_] & ~long, np.arange(n), -1))
     stops = np.append(np.flatnonzero(long), n)
-    bodies: list[tuple[str, int]] = []
+    bodies: list[tuple[str, int, bool]] = []
     i, full = 0, False
     while i < n:
         if long[i]:
@@ -298,23 +381,39 @@ def split_text(text: str, title: str, counter: Counter, target: int = TARGET_TOK
         head = int(heads[i]) if full else -1
         led = head >= 0 and blocks_[head] != blocks_[i]
         end, u = sums.run(i, alone[head] + int(after[i]) if led else alone[i], soft * counter.scale, int(stops[np.searchsorted(stops, i)]))
-        bodies.append((GAP.join([*([blocks_[head]] if led else []), *blocks_[i:end]]), u))
+        exact = open_[end - 1] == open_[i] and not (led and blocks_[head][-1].isspace())
+        bodies.append((GAP.join([*([blocks_[head]] if led else []), *blocks_[i:end]]), u, exact))
         i, full = end, end < n and not long[end]
-    gap = counter.counts([GAP])[0]
+    gap = _once(counter, GAP)
     small = least * counter.scale - counter.scale  # at most so many parts are fewer than ``least`` tokens
     groups: list[list[str]] = []
+    known: list[list[int | None]] = []
     first = 0
-    for body, u in bodies:
-        if not (body := body.strip()):
+    for whole, u, exact in bodies:
+        if not (body := whole.strip()):
             continue
+        n = u if exact and len(body) == len(whole) else None
         if groups and (u <= small or (len(groups) == 1 and first <= small)):
             groups[-1].append(body)
+            known[-1].append(n)
             first += gap + u if len(groups) == 1 else 0
         else:
             groups.append([body])
+            known.append([n])
             first = u if len(groups) == 1 else first
     made = [GAP.join(g) for g in groups]
-    return [c if c.startswith(title) else prefix + c for c in made]
+    named = [c if c.startswith(title) else prefix + c for c in made]
+    if counter.adds is None:
+        return [(c, None) for c in named]
+    # the title and the bodies stand between gaps; see ``Counter.adds``
+    own = _once(counter, title) if title and title.strip() == title else None
+    between = _once(counter, GAP + "a") - _once(counter, "a")
+    out: list[tuple[str, int | None]] = []
+    for c, whole, counts in zip(named, made, known, strict=True):
+        counts = counts if c is whole else [own, *counts]
+        sure = None not in counts and counter.adds(c)
+        out.append((c, sum(counts) + between * (len(counts) - 1) if sure else None))
+    return out
 
 
 def chunk_tokens(df: DataFrame, counter: Counter | None, text_col: str, title_col: str, out: str, target: int = TARGET_TOKENS, most: int = MOST_TOKENS, least: int = LEAST_TOKENS) -> DataFrame:
@@ -329,12 +428,17 @@ def chunk_tokens(df: DataFrame, counter: Counter | None, text_col: str, title_co
 
     @F.arrow_udf("array<struct<text:string,tokens:int>>")
     def cut(texts: pa.Array, titles: pa.Array) -> pa.Array:
-        made = [split_text(t or "", h or "", counter, target, most, least) for t, h in zip(texts.to_pylist(), titles.to_pylist(), strict=True)]
-        flat = [c for some in made for c in some]
+        made = [_split(t or "", h or "", counter, target, most, least) for t, h in zip(texts.to_pylist(), titles.to_pylist(), strict=True)]
+        flat = [c for some in made for c, _ in some]
+        sizes = [-(-n // counter.scale) if n is not None else None for some in made for _, n in some]
+        rest = [i for i, n in enumerate(sizes) if n is None]
+        for i, n in zip(rest, counter.tokens([flat[i] for i in rest]), strict=True):
+            sizes[i] = n
         ends = np.concatenate([[0], np.cumsum([len(some) for some in made])]).astype(np.int32)
-        fields = pa.StructArray.from_arrays([pa.array(flat, pa.string()), pa.array(counter.tokens(flat), pa.int32())], ["text", "tokens"])
+        fields = pa.StructArray.from_arrays([pa.array(flat, pa.string()), pa.array(sizes, pa.int32())], ["text", "tokens"])
         return pa.ListArray.from_arrays(pa.array(ends), fields)
 
+    small_batches(df.sparkSession)
     return df.withColumn(out, cut(F.col(text_col).cast("string"), F.col(title_col).cast("string")))
 
 

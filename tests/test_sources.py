@@ -429,3 +429,42 @@ def test_vocabulary_counts_are_the_librarys():
         assert sum(calls) == 4  # each pre-token once
     finally:
         chunking._lengths = library
+
+
+def test_counts_of_chunks_are_those_of_their_parts():
+    """What is added up equals what the library counts, also behind white space, with odd ends and special strings."""
+    import random
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pick, drawn = list("abc AB  \r'sdt.,!-12²Ⅷé́中😀𝒜𝟙\x85\xa0　\x1c") + [". ", "\n", "\n", "\n\n", "'re", "<|endoftext|>", " the words here", "| t |\n", "W" * 70], random.Random(2)
+    make = lambda n: "".join(drawn.choice(pick) for _ in range(drawn.randrange(n)))
+    texts, count = [make(30) for _ in range(2000)], chunking.vocabulary(path)
+    alone = count.counts(texts)
+    for lead in (" ", chunking.GAP):
+        assert count.behind(lead, texts, alone) == chunking._lengths(path, [lead + t for t in texts])
+    sure = 0
+    for i in range(300):
+        title = ("", "T", "two words ", "it's", " x", "<|endoftext|>")[i % 6]
+        made = chunking._split(make(600), title, count, 30 + i % 20, 50, 1 + i % 12)
+        assert [n for _, n in made if n is not None] == [k for k, (_, n) in zip(chunking._lengths(path, [c for c, _ in made]), made, strict=True) if n is not None]
+        sure += sum(n is not None for _, n in made)
+    assert sure > 300
+
+
+def test_counting_a_text_makes_its_pre_tokens_once():
+    path, calls = public_tokenizers.path("byte_bpe_50k.json"), []
+    real = chunking.pretokens
+    try:
+        chunking.pretokens = lambda t: calls.append(len(t)) or real(t)
+        text = "\n\n".join(f"Paragraph {i} of some words" for i in range(200))
+        assert len(chunking._split(text, "Title", chunking.vocabulary(path), 450, 700, 40)) > 2
+        assert sum(calls) < len(text) * 1.1
+    finally:
+        chunking.pretokens = real
+
+
+def test_documents_are_chunked_once_and_by_all_tasks(spark):
+    from tessera import catalog
+
+    plan = catalog.QUERIES["chunk_vocabulary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Repartition") and "Filter" not in plan
